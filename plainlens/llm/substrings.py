@@ -30,8 +30,8 @@ THRESHOLD = 100
 #: Bits of a position inside a chunk, in the low end of a name, so that the first of equal names is the anchor.
 _AT = 28
 _DUP, _ASK = 1, 2
-_ROW = "a long, b long, k long, x long, l int, n int, dup boolean"
-_ROW_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("x", pa.int64()), ("l", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
+_ROW = "a long, b long, k long, x int, l int, n int, dup boolean"
+_ROW_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("x", pa.int32()), ("l", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
 
 
 def _first_of_each(a, b, k, x, l, n) -> tuple:
@@ -51,7 +51,7 @@ def _first_of_each(a, b, k, x, l, n) -> tuple:
     if len(start):
         n = np.add.reduceat(n, start)
     a, b, k, x, l, dup = a[start], b[start], k[start], x[start], l[start], dup[start]
-    a = np.where(dup, B.mix(k.view(np.uint64) ^ B.mix(x.view(np.uint64) + l.astype(np.uint64))).view(np.int64), a)
+    a = np.where(dup, B.mix(k.view(np.uint64) ^ B.mix((x.astype(np.int64) << 32 ^ l).view(np.uint64))).view(np.int64), a)
     return a, np.where(dup, 0, b), k, x, l, n, dup
 
 
@@ -150,16 +150,20 @@ def _by_text(marks: DataFrame) -> DataFrame:
     return marks.groupBy("k").agg(F.collect_list(F.struct("x", "l", "n", "kind")).alias("marks"))
 
 
-def repeated_marks(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Keyed texts (k, x, text, and the columns of docs) and lists of repeated windows by k."""
+def repeated_marks(docs: DataFrame, threshold: int, carry: list[tuple[str, str, Column]]) -> tuple[DataFrame, DataFrame]:
+    """Keyed texts (k, x, the carried columns, text) and lists of repeated windows by k.
+
+    The texts asked for windows carry the same columns as the ones cut later, so both joins read one shuffle of them.
+    """
     spark = prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lean = docs.select(id_key("doc_id").alias("k"), F.xxhash64(text).alias("x"), text.alias("text"))
+    keyed = docs.select(id_key("doc_id").alias("k"), F.hash(text).alias("x"), *[c.alias(n) for n, _, c in carry], text.alias("text"))
+    lean = keyed.select("k", "x", "text")
     marks = _by_text(_resolve(lean.mapInArrow(_anchors(threshold), _ROW), True)).checkpoint()
-    asked = lean.join(marks.filter(F.exists("marks", lambda m: m["kind"] == _ASK)), "k")
-    late = _resolve(asked.select("k", "x", "text", "marks").mapInArrow(_windows(threshold), _ROW), False)
+    asked = keyed.join(marks.filter(F.exists("marks", lambda m: m["kind"] == _ASK)), "k")
+    late = _resolve(asked.mapInArrow(_windows(threshold), _ROW), False)
     early = marks.select("k", F.explode(F.filter("marks", lambda m: m["kind"] == _DUP)).alias("m")).select("k", "m.*")
-    return lean, _by_text(early.unionByName(late))
+    return keyed, _by_text(early.unionByName(late))
 
 
 def removed_spans(offset: np.ndarray, mx, ml, mn, row: int, x: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,13 +222,9 @@ def _whole_characters(raw: bytes, s: np.ndarray, e: np.ndarray) -> tuple:
 
 
 def _apply(docs: DataFrame, threshold: int, schema: str, arrow: pa.Schema, make, carry: list[tuple[str, str, Column]]) -> DataFrame:
-    spark = docs.sparkSession
-    _, marks = repeated_marks(docs, threshold)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(id_key("doc_id").alias("k"), F.xxhash64(text).alias("x"), text.alias("text"), *[c.alias(n) for n, _, c in carry])
+    own, marks = repeated_marks(docs, threshold, carry)
     kept = ", ".join(f"`{n}` {t}" for n, t, _ in carry)
-    joined = own.join(marks, "k", "left").select("k", "x", *[F.col(f"`{n}`") for n, _, _ in carry], "text", "marks")
-    return joined.mapInArrow(_cut(threshold, arrow, make), f"k long, x long, {kept}, {schema}").drop("k", "x")
+    return own.join(marks, "k", "left").mapInArrow(_cut(threshold, arrow, make), f"k long, x int, {kept}, {schema}").drop("k", "x")
 
 
 def substring_report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

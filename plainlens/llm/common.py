@@ -54,14 +54,11 @@ def batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows checkpointed to the shared folder, and the shuffle files that only they needed set free.
+def release(spark: SparkSession) -> None:
+    """Set free the shuffle files of plans that are no longer in use.
 
-    Spark drops shuffle files when the driver's JVM collects the plans that wrote them; on a large heap that is rare, so
-    the collection is asked for here. Files that a plan in use still needs are not touched.
+    Spark drops them when the driver's JVM collects the plans that wrote them; on a large heap that is rare, so the
+    collection is asked for here, after a checkpoint. Files that a plan in use still needs are not touched.
     """
-    spark, done = df.sparkSession, df.checkpoint()
-    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return done

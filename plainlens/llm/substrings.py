@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import bytesops as B
-from .common import batch, id_key, partitions, prepare, settled
+from .common import batch, id_key, partitions, prepare, release
 
 THRESHOLD = 100
 #: Bits of a position inside a chunk, in the low end of a name, so that the first of equal names is the anchor.
@@ -159,7 +159,8 @@ def repeated_marks(docs: DataFrame, threshold: int, carry: list[tuple[str, str,
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(id_key("doc_id").alias("k"), F.hash(text).alias("x"), *[c.alias(n) for n, _, c in carry], text.alias("text"))
     lean = keyed.select("k", "x", "text")
-    marks = settled(_by_text(_resolve(lean.mapInArrow(_anchors(threshold), _ROW), True)))
+    marks = _by_text(_resolve(lean.mapInArrow(_anchors(threshold), _ROW), True)).checkpoint()
+    release(spark)
     asked = keyed.join(marks.filter(F.exists("marks", lambda m: m["kind"] == _ASK)), "k")
     late = _resolve(asked.mapInArrow(_windows(threshold), _ROW), False)
     early = marks.select("k", F.explode(F.filter("marks", lambda m: m["kind"] == _DUP)).alias("m")).select("k", "m.*")

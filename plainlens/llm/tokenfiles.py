@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,12 @@ LENGTH = 1024
 #: Sequences in one record batch.
 ROWS = 512
 #: Entries of a worker's cache of encoded pieces; it is emptied beyond it. Results do not depend on it.
-CACHE = 400_000
-#: Unicode's white space; a piece is white space with the other characters that follow it. The vocabulary's own pattern
-#: never joins a character to white space after it, so pieces are encoded alone.
-_BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_PIECE = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+CACHE = 300_000
+#: Unicode's white space. A piece is white space with the characters after it, cut again between a Latin letter and
+#: punctuation. The vocabulary's own pattern never joins a character to white space after it, or a letter to such
+#: punctuation, so pieces are encoded alone.
+_BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = re.compile(f"[{_BLANK}]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[.,!?;:{_BLANK}]|\\Z)|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 _MANIFEST = "part int, path string, index_path string, n_docs long, n_tokens long"
 
 
@@ -46,20 +48,55 @@ class Pieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
+        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), np.dtype(dtype), {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.border = special[0] if special else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces in calls of many, with a special token as the border between them."""
+        width = self.dtype.itemsize
+        plain = pieces if self.border is None else [p for p in pieces if not any(s in p for s in self.special)]
+        for p in pieces if self.border is None or len(plain) < len(pieces) else ():
+            if self.border is None or any(s in p for s in self.special):
+                self.known[p] = np.array(self._ids(p), self.dtype).tobytes()
+        for at in range(0, len(plain) if self.border else 0, 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self._ids(self.border[0].join(part)), np.int64)
+            raw, ends = ids.astype(self.dtype).tobytes(), [*np.flatnonzero(ids == self.border[1]).tolist(), len(ids)]
+            start = 0
+            for p, end in zip(part, ends, strict=True):
+                self.known[p] = raw[start * width : end * width]
+                start = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECE.findall(t) for t in texts]
         if len(self.known) > CACHE:
-            self.known = {}
-        new = list({p for c in cut for p in c if p not in self.known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([self.known[p] for p in c]) for c in cut]
+            self.known.clear()
+        get, out, open_, new = self.known.get, [], [], set()
+        for i, t in enumerate(texts):
+            pieces = _PIECE.findall(t)
+            ids = list(map(get, pieces))
+            if None in ids:
+                new.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
+                open_.append((i, pieces))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        self.learn(list(new))
+        for i, pieces in open_:
+            out[i] = b"".join(map(get, pieces))
+        return out
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str, dtype: str) -> Pieces:
+    """One encoder for each worker process, so that its cache outlives a task."""
+    return Pieces(path, dtype)
 
 
 def _schema(dtype: str, length: int) -> pa.Schema:
@@ -76,7 +113,7 @@ def _write(uri: str, path: str, dtype: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces, end = Pieces(path, dtype), np.array([end_id], dtype).tobytes()
+        pieces, end = pieces_of(path, dtype), np.array([end_id], dtype).tobytes()
         part = TaskContext.get().partitionId()
         fs, base = _filesystem(uri)
         fs.create_dir(base, recursive=True)

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +22,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import prepare
 
 #: Entries of a worker's caches; they are emptied beyond it. Results do not depend on it.
-CACHE = 200_000
+CACHE = 300_000
 #: A vocabulary file beyond this is not sent to the executors.
 VOCABULARY_BYTES = 64 << 20
 
 
+#: Pieces of printable ASCII and Latin letters need no normaliser but lower case, and this form of the split pattern.
+_LATIN = re.compile("[\\x21-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_LATIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself where printable in Latin-1, else from U+0100 on."""
     shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -47,7 +55,10 @@ class WordBpe:
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(pairs):
             self.merged.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
-        self.longest = max(map(len, self.vocab))
+        self.longest: dict[str, int] = {}
+        for token in self.vocab:
+            self.longest[token[:2]] = max(self.longest.get(token[:2], 0), len(token))
+        self.shown = byte_characters()
         self.pieces = {}
         for token, i in self.vocab.items():
             ends = bool(self.end) and token.endswith(self.end) and token != self.end
@@ -55,7 +66,7 @@ class WordBpe:
             self.pieces[i] = [self.vocab.get(c) for c in body[:-1]] + [self.vocab.get(body[-1] + self.end if ends else body[-1])]
         library = Tokenizer.from_str(raw.decode())
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.tested, self.valid = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -87,16 +98,19 @@ class WordBpe:
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None if no token fits somewhere."""
-        out, at, n = [], 0, len(word)
+        word += self.end
+        out, at, n, last, get = [], 0, len(word), len(word) - len(self.end), self.vocab.get
         while at < n:
-            for to in range(min(n, at + self.longest), at, -1):
-                token = self.vocab.get(word[at:to] + self.end if to == n else word[at:to])
-                if token is not None:
+            for to in range(min(n, at + self.longest.get(word[at : at + 2], 0)), at, -1):
+                if (to <= last - 1 or to == n) and (token := get(word[at:to])) is not None:
                     out.append(token)
                     at = to
                     break
             else:
-                return None
+                if at >= last or (token := get(word[at])) is None or at == last - 1:
+                    return None
+                out.append(token)
+                at += 1
         return out
 
     def learn(self, words: list[str]) -> None:
@@ -126,17 +140,20 @@ class WordBpe:
         whole = np.logical_and.reduceat(sound, last - size + 1) if len(guess) else []
         for (w, p), fine in zip(guess.items(), whole, strict=True):
             if fine:
-                self.words[w] = p
+                self.words[w] = np.array(p, "<u4").tobytes()
         for w in words:
             if w not in self.words:
-                self.words[w] = self.merge(self.symbols(w))
+                self.words[w] = np.array(self.merge(self.symbols(w)), "<u4").tobytes()
 
     def parts(self, text: str) -> list[str | int]:
         """Words in order, special tokens as ids. The text holds no ASCII white space."""
-        if text.isascii() and text.isalpha():
-            return [text.lower()]
+        special = any(content in text for content, _ in self.special)
+        if not special and _LATIN.fullmatch(text):
+            if text.isascii():
+                return [text.lower()] if text.isalpha() else _LATIN_SPLIT.findall(text.lower())
+            return ["".join([self.shown[b] for b in w.encode()]) for w in _LATIN_SPLIT.findall(text.lower())]
         cut: list = [text]
-        if "<|" in text or not all(s.startswith("<|") for s, _ in self.special):
+        if special:
             for content, i in self.special:
                 cut = [y for x in cut for y in ([x] if isinstance(x, int) else [z for k, piece in enumerate(x.split(content)) for z in ([i] if k else []) + [piece]])]
         return [y for x in cut if x != "" for y in ([x] if isinstance(x, int) else [w for w, _ in self.split(self.normalize(x))])]
@@ -161,16 +178,28 @@ class Encoder:
         parts = {p: self.bpe.parts(p.decode()) for p in new}
         self.bpe.learn(list({w for ws in parts.values() for w in ws if isinstance(w, str) and w not in self.bpe.words}))
         for p, ws in parts.items():
-            got = [i for w in ws for i in ([w] if isinstance(w, int) else self.bpe.words[w])]
-            self.ids[p] = np.array(got, "<u4").tobytes()
-            self.text[p] = " ".join([self.bpe.names[i] for i in got])
-        joined = [b"".join([self.ids[p] for p in c]) for c in cut]
-        return joined, [" ".join([t for p in c if (t := self.text[p])]) for c in cut]
+            raw = b"".join([w.to_bytes(4, "little") if isinstance(w, int) else self.bpe.words[w] for w in ws])
+            self.ids[p] = raw
+            self.text[p] = " ".join([self.bpe.names[i] for (i,) in struct.iter_unpack("<I", raw)])
+        get, text = self.ids.__getitem__, self.text.__getitem__
+        return [b"".join(map(get, c)) for c in cut], [" ".join(filter(None, map(text, c))) for c in cut]
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder_of(vocabulary) -> Encoder:
+    """One encoder for each worker process and broadcast vocabulary, so that its caches outlive a task."""
+    key = zlib.crc32(vocabulary.value)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary.value)
+    return _encoders[key]
 
 
 def _run(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = encoder_of(vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)

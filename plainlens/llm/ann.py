@@ -19,6 +19,8 @@ from .common import partitions, prepare
 
 #: Curves, runs per curve, and runs on either side of a query's own.
 CURVES, BLOCKS, REACH = 8, 16, 1
+#: Rows of a run at least, so that small tables have fewer runs, and none finds less than it has.
+RUN_ROWS = 512
 #: Dimensions and bits per dimension of a key.
 DIMS, BITS = 6, 10
 #: Rows of one group.
@@ -149,11 +151,12 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
         return spark.createDataFrame([], schema)
     if whole.low != whole.high:
         raise ValueError(f"vectors have {whole.low} to {whole.high} components")
+    blocks = max(1, min(blocks, int(whole.n) // RUN_ROWS))
     keyed = rows.select("id", "v").mapInArrow(_keys(curves, whole.scale), "id long, curve int, key long, v array<double>")
     cuts = keyed.groupBy("curve").agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20_000).alias("cuts"))
-    bounds = [r.cuts for r in sorted(cuts.collect(), key=lambda r: r.curve)]  # curves x blocks numbers
+    bounds = [r.cuts or [] for r in sorted(cuts.collect(), key=lambda r: r.curve)]  # curves x blocks numbers
     slices = max(1, -(-int(whole.n) // (blocks * slice_rows)))
-    at = F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in c]) for c in bounds]), F.col("curve") + 1)
+    at = F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in c]).cast("array<long>") for c in bounds]), F.col("curve") + 1)
     run = F.size(F.filter(at, lambda c: c < F.col("key")))
     placed = keyed.withColumn("run", run.cast("int"))
     base = placed.select("curve", "run", F.pmod(F.xxhash64("id", "v"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("query"), "id", "v")

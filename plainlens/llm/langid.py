@@ -1,6 +1,6 @@
 """Language identification by the nearest of several centroids per language.
 
-Texts are lower-cased and counted as byte trigrams in DIMS hashed dimensions, damped, weighted with inverse document
+Texts are lower-cased, cut to their letters and counted as byte trigrams in DIMS hashed dimensions, damped, weighted with inverse document
 frequencies and normalised. Document frequencies come from all learned documents. Centroids come from spherical k-means on
 a bounded sample of each language: the documents with the least hashes, about SAMPLE of them.
 """
@@ -47,8 +47,8 @@ def trigram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, trigram counts) for consecutive texts."""
-    lowered = pc.utf8_lower(column.fill_null(""))
+    """(first row, trigram counts) for consecutive texts, whatever is no letter being one space."""
+    lowered = pc.replace_substring_regex(pc.utf8_lower(column.fill_null("")), r"\PL+", " ")
     for at in range(0, len(lowered), _BLOCK):
         for lo, hi, data, offsets in B.text_chunks(lowered.slice(at, _BLOCK)):
             code, text = trigram_codes(data, offsets)

@@ -25,12 +25,16 @@ SAMPLE = 8_000
 DIMS, FOLDS = 1 << 16, 5
 #: Words seen in fewer sampled documents have no weight.
 LEAST_DOCUMENTS = 3
+#: Words whose chi-square statistic against a category is less have no weight in its model.
+LEAST_CHI_SQUARE = 15.0
+#: No document of a lower probability is in a category.
+LEAST_PROBABILITY = 0.3
 #: Seed words of the categories, in the order of the chain.
 CATEGORIES = {
     "insult": ("bastard", "clown", "coward", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "stupid"),
     "contempt": ("disgusting", "filth", "filthy", "garbage", "pathetic", "scum", "trash", "vermin", "worthless"),
-    "obscenity": ("ass", "asshole", "bitch", "crap", "damn", "fuck", "fucking", "shit"),
-    "threat": ("die", "hang", "hurt", "kill", "murder", "shoot"),
+    "obscenity": ("asshole", "bitch", "crap", "damn", "fuck", "fucking", "shit"),
+    "threat": ("kill", "murder", "strangle"),
 }
 CHAIN = (*CATEGORIES, "toxic")
 _WORD = re.compile(r"\w+")
@@ -60,6 +64,14 @@ class Rows:
     def back(self, r: np.ndarray, dims: int) -> np.ndarray:
         return np.bincount(self.column, r[self.row], minlength=dims)
 
+    def columns(self, keep: np.ndarray, dims: int) -> Rows:
+        out, at = Rows([]), np.full(dims, -1)
+        at[keep] = np.arange(len(keep))
+        inside = at[self.column] >= 0
+        out.column, out.row = at[self.column[inside]], self.row[inside]
+        out.size = np.bincount(out.row, minlength=len(self.size))
+        return out
+
     def take(self, keep: np.ndarray) -> Rows:
         out, at = Rows([]), np.full(len(self.size), -1)
         at[keep] = np.arange(len(keep))
@@ -68,22 +80,31 @@ class Rows:
         return out
 
 
-def fit_logistic(x: Rows, dense: np.ndarray, y: np.ndarray, dims: int, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of words, of dense columns, and a constant: full-batch gradient steps scaled per weight (Adam)."""
+def fit_logistic(x: Rows, dense: np.ndarray, y: np.ndarray, dims: int, rounds: int = 400, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of words, of dense columns, and a constant: full-batch gradient steps scaled per weight (Adam).
+
+    Only words that go with the category (chi-square, on these rows alone) get a weight.
+    """
     n = max(1, len(y))
     rate = (y.sum() + 0.5) / (n + 1)
     w = np.zeros(dims + dense.shape[1] + 1)
     w[-1] = np.log(rate / (1 - rate))
     if not y.any():
         return w[:dims], w[dims:-1], -12.0
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    with_word, positive = x.back(np.ones(n), dims), x.back(y, dims)
+    gap = positive - with_word * y.mean()
+    chi = gap**2 / np.maximum(with_word * (1 - with_word / n) * y.mean() * (1 - y.mean()), 1e-9)
+    free = np.flatnonzero(chi >= LEAST_CHI_SQUARE)
+    x, b = x.columns(free, dims), np.concatenate([np.zeros(len(free) + dense.shape[1]), w[-1:]])
+    m, v = np.zeros_like(b), np.zeros_like(b)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(x.times(w[:dims]) + dense @ w[dims:-1] + w[-1])))
+        p = 1 / (1 + np.exp(-(x.times(b[: len(free)]) + dense @ b[len(free) : -1] + b[-1])))
         r = (p - y) / n
-        g = np.concatenate([x.back(r, dims), dense.T @ r, [r.sum()]]) + decay * np.append(w[:-1], 0)
+        g = np.concatenate([x.back(r, len(free)), dense.T @ r, [r.sum()]]) + decay * np.append(b[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return w[:dims], w[dims:-1], float(w[-1])
+        b -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    w[free] = b[: len(free)]
+    return w[:dims], b[len(free) : -1], float(b[-1])
 
 
 class Chain:
@@ -101,8 +122,8 @@ class Chain:
         return out
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, beta: float = 0.5) -> float:
-    """The cutoff of the best F-score with precision weighing more, from out-of-fold probabilities; at least 0.5."""
+def best_threshold(p: np.ndarray, y: np.ndarray, beta: float = 1.0) -> float:
+    """The cutoff of the best F-score, from out-of-fold probabilities; at least LEAST_PROBABILITY."""
     order = np.argsort(-p)
     hit = np.cumsum(y[order])
     if not len(p) or not hit[-1]:
@@ -110,7 +131,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray, beta: float = 0.5) -> float:
     precision, recall = hit / np.arange(1, len(p) + 1), hit / hit[-1]
     f = (1 + beta**2) * precision * recall / np.maximum(beta**2 * precision + recall, 1e-12)
     i = int(f.argmax())
-    return float(max(0.5, (p[order][i] + (p[order][i + 1] if i + 1 < len(p) else 0)) / 2))
+    return float(max(LEAST_PROBABILITY, (p[order][i] + (p[order][i + 1] if i + 1 < len(p) else 0)) / 2))
 
 
 def fit_chain(lists: list[list[int]], categories: np.ndarray, fold: np.ndarray) -> Chain:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
+import time
 import uuid
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,9 +20,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and name a checkpoint folder where the cluster has none."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     shared_dir(spark)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_plainlens_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="plainlens-")
+    target = os.path.join(folder, "plainlens.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    whole = os.path.join(at, name)
+                    z.write(whole, os.path.relpath(whole, os.path.dirname(top)))
+    context.addPyFile(target)
+    context._plainlens_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -60,5 +82,7 @@ def release(spark: SparkSession) -> None:
     Spark drops them when the driver's JVM collects the plans that wrote them; on a large heap that is rare, so the
     collection is asked for here, after a checkpoint. Files that a plan in use still needs are not touched.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # Python lets go of plans first, then the JVM, then Spark's cleaner follows in the background
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

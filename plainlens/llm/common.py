@@ -82,7 +82,7 @@ def release(spark: SparkSession) -> None:
     Spark drops them when the driver's JVM collects the plans that wrote them; on a large heap that is rare, so the
     collection is asked for here, after a checkpoint. Files that a plan in use still needs are not touched.
     """
-    for _ in range(3):  # Python lets go of plans first, then the JVM, then Spark's cleaner follows in the background
+    for _ in range(4):  # Python lets go of plans first, then the JVM, then Spark's cleaner follows in the background
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.7)

@@ -174,7 +174,7 @@ class Encoder:
         if len(self.bpe.words) > CACHE:
             self.bpe.words = {}
         cut = [t.split() for t in texts]
-        new = {p for c in cut for p in set(c) if p not in self.ids}
+        new = set().union(*cut).difference(self.ids)
         parts = {p: self.bpe.parts(p.decode()) for p in new}
         self.bpe.learn(list({w for ws in parts.values() for w in ws if isinstance(w, str) and w not in self.bpe.words}))
         for p, ws in parts.items():

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import prepare
 
 #: Entries of a worker's caches; they are emptied beyond it. Results do not depend on it.
-CACHE = 300_000
+CACHE = 700_000
 #: A vocabulary file beyond this is not sent to the executors.
 VOCABULARY_BYTES = 64 << 20
 
@@ -55,8 +55,11 @@ class WordBpe:
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(pairs):
             self.merged.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+        #: Tokens inside a word, and tokens that end one (without the mark of the end); longest inner token by first two characters.
+        self.inner = {t: i for t, i in self.vocab.items() if not (self.end and t.endswith(self.end))}
+        self.last = {t[: len(t) - len(self.end)]: i for t, i in self.vocab.items() if t.endswith(self.end) and t != self.end}
         self.longest: dict[str, int] = {}
-        for token in self.vocab:
+        for token in self.inner:
             self.longest[token[:2]] = max(self.longest.get(token[:2], 0), len(token))
         self.shown = byte_characters()
         self.pieces = {}
@@ -71,8 +74,23 @@ class WordBpe:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: always the pair of least rank, the leftmost of equals."""
-        n = len(ids)
+        n, merged = len(ids), self.merged.get
         ids = list(ids)
+        if n <= 48:  # a short list is scanned faster than a heap is kept
+            none = (1 << 60, -1)
+            pairs = [merged(p, none) for p in zip(ids, ids[1:], strict=False)]
+            while pairs:
+                best = min(pairs)
+                if best is none or best[1] < 0:
+                    break
+                i = pairs.index(best)
+                ids[i : i + 2] = [best[1]]
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = merged((ids[i - 1], best[1]), none)
+                if i < len(pairs):
+                    pairs[i] = merged((best[1], ids[i + 1]), none)
+            return ids
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merged.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -98,19 +116,16 @@ class WordBpe:
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None if no token fits somewhere."""
-        word += self.end
-        out, at, n, last, get = [], 0, len(word), len(word) - len(self.end), self.vocab.get
-        while at < n:
-            for to in range(min(n, at + self.longest.get(word[at : at + 2], 0)), at, -1):
-                if (to <= last - 1 or to == n) and (token := get(word[at:to])) is not None:
+        out, at, n, inner, ends, longest = [], 0, len(word), self.inner.get, self.last.get, self.longest.get
+        while (token := ends(word[at:])) is None:
+            for to in range(min(n - 1, at + longest(word[at : at + 2], 1)), at, -1):
+                if (token := inner(word[at:to])) is not None:
                     out.append(token)
                     at = to
                     break
             else:
-                if at >= last or (token := get(word[at])) is None or at == last - 1:
-                    return None
-                out.append(token)
-                at += 1
+                return None
+        out.append(token)
         return out
 
     def learn(self, words: list[str]) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: What strips and splits as white space (no brackets), and the class of word characters.
 BLANKS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -251,13 +251,17 @@ def section_spans(c: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*spans)))
 
 
-def sections(c: Column) -> Column:
-    """Map of all nine sections to their stripped text; one that is missing is empty. Null and blank texts have none."""
-    text, spans = F.coalesce(c, F.lit("")), section_spans(F.coalesce(c, F.lit("")))
-    after = F.transform(spans, lambda s, i: F.coalesce(F.get(spans, i + 1)["start"], F.length(text) + 1))
-    found = F.zip_with(spans, after, lambda s, e: F.struct(s["sec"].alias("sec"), strip_ws(F.substr(text, s["stop"], e - s["stop"])).alias("text")))
-    by_id = lambda sec: F.coalesce(F.get(F.filter(found, lambda x: x["sec"] == sec), F.lit(0))["text"], F.lit(""))
-    return F.create_map(*[x for sec in SECTION_HEADINGS for x in (F.lit(sec), by_id(sec))])
+def with_sections(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds a map of all nine sections to their stripped text; one that is missing is empty. Null and blank texts have none.
+
+    The headings are searched once, in a column of their own that later expressions read.
+    """
+    staged = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_p", section_spans(F.col("_t")))
+    after = F.transform("_p", lambda s, i: F.coalesce(F.get("_p", i + 1)["start"], F.length("_t") + 1))
+    found = F.zip_with("_p", after, lambda s, e: F.struct(s["sec"].alias("sec"), strip_ws(F.substr(F.col("_t"), s["stop"], e - s["stop"])).alias("text")))
+    staged = staged.withColumn("_f", F.map_from_entries(found))
+    whole = F.create_map(*[x for sec in SECTION_HEADINGS for x in (F.lit(sec), F.coalesce(F.try_element_at("_f", F.lit(sec)), F.lit("")))])
+    return staged.withColumn(out, whole).drop("_t", "_p", "_f")
 
 
 def _header(words: str, names: str, reach: int) -> str:
@@ -338,9 +342,14 @@ def windows(items: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda i: F.slice(items, i * step + 1, F.lit(size)))
 
 
-def sentence_chunks(c: Column, size: int = 5, overlap: int = 2, abbreviations: tuple[str, ...] = ()) -> Column:
-    return F.transform(windows(sentences(c, abbreviations), size, overlap), lambda w: F.array_join(w, " "))
+def with_chunks(df: DataFrame, items: Column, out: str, size: int, overlap: int) -> DataFrame:
+    """Adds the windows of an array of strings, each joined by spaces; the array is computed once."""
+    return df.withColumn("_i", items).withColumn(out, F.transform(windows(F.col("_i"), size, overlap), lambda w: F.array_join(w, " "))).drop("_i")
+
+
+def with_sentence_chunks(df: DataFrame, text: str, out: str, size: int = 5, overlap: int = 2, abbreviations: tuple[str, ...] = ()) -> DataFrame:
+    return with_chunks(df, sentences(F.coalesce(F.col(text), F.lit("")), abbreviations), out, size, overlap)
 
 
-def word_chunks(c: Column, size: int = 120, overlap: int = 30) -> Column:
-    return F.transform(windows(tokens(F.coalesce(c, F.lit(""))), size, overlap), lambda w: F.array_join(w, " "))
+def with_word_chunks(df: DataFrame, text: str, out: str, size: int = 120, overlap: int = 30) -> DataFrame:
+    return with_chunks(df, tokens(F.coalesce(F.col(text), F.lit(""))), out, size, overlap)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.rows import exploded
 from .ordering import md5_order
 from .splits import repeated
 
@@ -53,7 +54,8 @@ def parsed(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     whole = F.from_json(s, f"struct<results:array<{RESULT}>>", {"mode": "PERMISSIVE"})
     sound = F.try_parse_json(s).isNotNull()
     tried = df.withColumns({"_ok": sound, "_items": F.when(s.startswith("["), items).otherwise(F.coalesce(whole["results"], F.array().cast(f"array<{RESULT}>")))})
-    return tried.filter("_ok").withColumn("result", F.explode("_items")).drop("_ok", "_items"), tried.filter("NOT _ok").drop("_ok", "_items")
+    keep = [c for c in tried.columns if c not in ("_ok", "_items")]
+    return exploded(tried.filter("_ok"), keep, "_items", "result"), tried.filter("NOT _ok").drop("_ok", "_items")
 
 
 def scores(results: DataFrame, result: str = "result") -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..functions.rows import exploded
 
 
 def page_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """Stripped, non-blank lines with their 0-based position and the page's number of lines."""
     kept = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\r\x{B}\x{C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"), T.strip_ws), lambda x: x != "")
-    return pages.select(doc, page, kept.alias("_l")).select(doc, page, F.size("_l").alias("n_lines"), F.posexplode("_l").alias("line_no", "line"))
+    return exploded(pages.select(doc, page, kept.alias("_l")), [doc, page, F.size("_l").alias("n_lines")], "_l", "line", "line_no")
 
 
 def margin_counts(lines: DataFrame, doc: str, head: int = 2, foot: int = 2, least: int = 3, nbsp: bool = False) -> DataFrame:

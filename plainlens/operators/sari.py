@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.rows import exploded
 
 #: Scores run from 0 to this.
 SCALE = 100.0
@@ -45,7 +46,7 @@ def operation_scores(df: DataFrame, key: str, source: str, output: str, referenc
     sides = (("src", source), ("out", output), ("ref", reference))
     base = df.select(key, *[sari_tokens(F.col(c)).alias(s) for s, c in sides]).repartition(key)
     every = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("side"), ngrams(F.col(s), n).alias("grams")) for n in range(1, most + 1) for s, _ in sides])
-    rows = base.select(key, F.explode(every).alias("e")).select(key, "e.n", "e.side", F.explode("e.grams").alias("gram"))
+    rows = exploded(exploded(base, [key], every, "e"), [key, "e.n", "e.side"], "e.grams", "gram")
     c = {s: F.count_if(F.col("side") == s).alias(s) for s, _ in sides}
     counted = rows.groupBy(key, "n", "gram").agg(*c.values())
     s, o, r = F.col("src"), F.col("out"), F.col("ref")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.rows import exploded
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,7 +35,7 @@ def mean_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def term_vectors(chunks: DataFrame, key: str, chunk: str, text: str) -> DataFrame:
     """Term frequencies as sparse rows: key, chunk, term, tf. The encoder used where none is given."""
-    terms = chunks.select(key, chunk, F.explode(T.tokens(F.lower(text))).alias("term"))
+    terms = exploded(chunks, [key, chunk], T.tokens(F.lower(text)), "term")
     return terms.groupBy(key, chunk, "term").agg(F.count("*").alias("tf"))
 
 
@@ -57,12 +58,12 @@ def best_alignment(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def section_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.explode(T.sections(F.col(text))).alias("sec", "text"))
+    return T.with_sections(df, text, "_m").select(key, F.explode_outer("_m").alias("sec", "text")).filter("sec IS NOT NULL")
 
 
 def section_chunks(df: DataFrame, key: str, text: str, encode: Callable[[Column], Column], size: int = 120, overlap: int = 30) -> DataFrame:
     """key, sec, chunk, weight (words), vec of every chunk of every section."""
-    parts = section_rows(df, key, text).select(key, "sec", F.posexplode(T.word_chunks(F.col("text"), size, overlap)).alias("chunk", "text"))
+    parts = exploded(T.with_word_chunks(section_rows(df, key, text), "text", "_c", size, overlap), [key, "sec"], "_c", "text", "chunk")
     return parts.select(key, "sec", "chunk", T.token_count(F.col("text")).alias("weight"), encode(F.col("text")).alias("vec"))
 
 
@@ -70,8 +71,8 @@ def section_scores(df: DataFrame, key: str, original: str, simplified: str, enco
     """key, sec, orig_to_simp, simp_to_orig, semantic_f1 for all nine sections: null if both texts lack it, 0 if one does."""
     a, b = (section_chunks(df, key, c, encode, size, overlap).withColumn("_k", F.struct(key, "sec")) for c in (original, simplified))
     got = best_alignment(chunk_pairs(a, b, "_k"), "_k").select(F.col(f"_k.{key}").alias(key), "_k.sec", "a_to_b", "b_to_a", "semantic_f1")
-    texts = df.select(key, T.sections(F.col(original)).alias("_o"), T.sections(F.col(simplified)).alias("_s"))
-    there = texts.select(key, F.explode("_o").alias("sec", "_ot"), "_s").select(key, "sec", (F.col("_ot") != "").alias("_a"), (F.element_at("_s", F.col("sec")) != "").alias("_b"))
+    texts = T.with_sections(T.with_sections(df, original, "_o"), simplified, "_s")
+    there = texts.select(key, F.explode_outer("_o").alias("sec", "_ot"), "_s").filter("sec IS NOT NULL").select(key, "sec", (F.col("_ot") != "").alias("_a"), (F.element_at("_s", F.col("sec")) != "").alias("_b"))
     value = lambda c: F.when(~F.col("_a") & ~F.col("_b"), None).when(F.col("_a") & F.col("_b"), F.col(c)).otherwise(0.0)
     return there.join(got, [key, "sec"], "left").select(key, "sec", value("a_to_b").alias("orig_to_simp"), value("b_to_a").alias("simp_to_orig"), value("semantic_f1").alias("semantic_f1"))
 
@@ -93,7 +94,7 @@ def wide_section_scores(scores: DataFrame, key: str) -> DataFrame:
 def sliding_similarity(df: DataFrame, key: str, a: str, b: str, encode: Callable[[Column], Column], size: int = 5, overlap: int = 2) -> DataFrame:
     """key, sim: cosine of the mean vectors of both texts' sentence chunks."""
     def side(c: str, name: str) -> DataFrame:
-        chunks = df.select(key, F.explode(T.sentence_chunks(F.col(c), size, overlap)).alias("_t")).select(key, encode(F.col("_t")).alias("_v"))
+        chunks = exploded(T.with_sentence_chunks(df, c, "_c", size, overlap), [key], "_c", "_t").select(key, encode(F.col("_t")).alias("_v"))
         return mean_vector(chunks, key, "_v").withColumnRenamed("mean", name)
 
     return side(a, "_a").join(side(b, "_b"), key).select(key, cosine(F.col("_a"), F.col("_b")).alias("sim"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.rows import exploded
+
 FIELDS = ("id", "word", "lemma", "upos", "xpos", "feats", "dephead", "deprel", "deps", "misc")
 
 
@@ -13,7 +15,7 @@ def parse_sentences(df: DataFrame, entry: str, text: str) -> DataFrame:
     The key is sent_id, else id, else text of the `# key = value` comments; the last of equal comment keys counts.
     """
     blocks = F.filter(F.split(F.regexp_replace(F.col(text), "\r\n", "\n"), "\\n[ \\t]*\\n+"), lambda b: F.trim(b) != "")
-    raw = df.select(F.col(entry).alias("entry_id"), F.posexplode(blocks).alias("sent_no", "raw"))
+    raw = exploded(df, [F.col(entry).alias("entry_id")], blocks, "raw", "sent_no")
     lines = F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != "")
     comments = F.filter(lines, lambda x: x.startswith("#") & x.contains(" = "))
     key = lambda x: F.trim(F.regexp_extract(x, r"^#\s*(.*?) = ", 1))
@@ -55,7 +57,7 @@ def matching(sentences: DataFrame, raw: str, keywords: list[str] | None = None,
 
 def tokens(sentences: DataFrame) -> DataFrame:
     """entry_id, sent_key, sent_no, pos and the ten fields of each token line; missing fields are `_`."""
-    rows = sentences.select("entry_id", "sent_key", "sent_no", F.posexplode("lines").alias("pos", "_l"))
+    rows = exploded(sentences, ["entry_id", "sent_key", "sent_no"], "lines", "_l", "pos")
     parts = F.split("_l", "\t")
     return rows.select("entry_id", "sent_key", "sent_no", "pos", *[F.coalesce(F.get(parts, F.lit(i)), F.lit("_")).alias(f) for i, f in enumerate(FIELDS)])
 

@@ -1 +1 @@
-
+"""Optional extension: the batch operators on arriving files."""

@@ -12,18 +12,18 @@ FIELDS = ("id", "word", "lemma", "upos", "xpos", "feats", "dephead", "deprel", "
 def parse_sentences(df: DataFrame, entry: str, text: str) -> DataFrame:
     """entry_id, sent_no, sent_key, metadata (map), lines (token lines), raw. An empty line ends a sentence.
 
-    The key is sent_id, else id, else text of the `# key = value` comments; the last of equal comment keys counts.
+    The key is sent_id, else id, else text of the `# key = value` comments; the last of equal comment keys counts, and a
+    sentence without any of them is left out.
     """
     blocks = F.filter(F.split(F.regexp_replace(F.col(text), "\r\n", "\n"), "\\n[ \\t]*\\n+"), lambda b: F.trim(b) != "")
     raw = exploded(df, [F.col(entry).alias("entry_id")], blocks, "raw", "sent_no")
     lines = F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != "")
-    comments = F.filter(lines, lambda x: x.startswith("#") & x.contains(" = "))
-    key = lambda x: F.trim(F.regexp_extract(x, r"^#\s*(.*?) = ", 1))
-    pairs = F.transform(comments, lambda x: F.struct(key(x).alias("key"), F.regexp_extract(x, r"^#\s*.*? = (.*)$", 1).alias("value")))
+    comments = F.filter(lines, lambda x: x.startswith("# ") & x.contains(" = "))
+    pairs = F.transform(comments, lambda x: F.struct(F.regexp_extract(x, "^# (.*?) = ", 1).alias("key"), F.regexp_extract(x, "^# .*? = (.*)$", 1).alias("value")))
     meta = F.map_from_entries(_last_of_each(pairs))
-    out = raw.withColumns({"metadata": meta, "lines": F.filter(lines, lambda x: ~x.startswith("#") & x.contains("\t"))})
+    out = raw.withColumns({"metadata": meta, "lines": F.filter(lines, lambda x: ~x.startswith("# ") & x.contains("\t"))})
     name = F.coalesce(*[F.try_element_at("metadata", F.lit(k)) for k in ("sent_id", "id", "text")])
-    return out.withColumn("sent_key", F.regexp_replace(name, "<[^>]*>", ""))
+    return out.withColumn("sent_key", name).filter("sent_key <> ''")
 
 
 def _last_of_each(pairs: Column) -> Column:
@@ -37,6 +37,11 @@ def last_of_each_sentence(sentences: DataFrame) -> DataFrame:
     return out.withColumn("sent_no", F.col("_first")).drop("_first", "_last")
 
 
+def sentence(sentences: DataFrame, sent_id: str) -> DataFrame:
+    """The sentence of this id."""
+    return sentences.filter(F.col("sent_key") == sent_id)
+
+
 def matching(sentences: DataFrame, raw: str, keywords: list[str] | None = None, any_of: list[str] | None = None) -> DataFrame:
     """Adds built: whether the sentence matches. With keywords: a literal of any_of, or all keyword patterns; without: any
     pattern of any_of. No list at all matches everything. Sentences that do not match stay, unbuilt."""
@@ -70,10 +75,11 @@ def attributes(c: Column) -> Column:
 
 
 def with_head(tok: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds head_id and head_upos; a missing or root head is id 0 and `_`. (keys, id) is unique."""
-    head = tok.select(*keys, F.col("id").alias("_h"), F.col("upos").alias("head_upos"))
-    out = tok.withColumn("_h", F.col("dephead")).join(head, [*keys, "_h"], "left")
-    return out.withColumns({"head_id": F.when(F.col("head_upos").isNotNull(), F.col("_h").cast("string")).otherwise("0"), "head_upos": F.coalesce("head_upos", F.lit("_"))}).drop("_h")
+    """Adds head_id and head_upos; a missing or root head is id 0 and `_`. Marks in <> do not count in ids; (keys, id) is unique."""
+    plain = lambda c: F.regexp_replace(F.col(c).cast("string"), "<.*?>", "")
+    head = tok.select(*keys, plain("id").alias("_h"), F.col("upos").alias("head_upos"))
+    out = tok.withColumn("_h", plain("dephead")).join(head, [*keys, "_h"], "left")
+    return out.withColumns({"head_id": F.when(F.col("head_upos").isNotNull(), F.col("_h")).otherwise("0"), "head_upos": F.coalesce("head_upos", F.lit("_"))}).drop("_h")
 
 
 def with_neighbours(tok: DataFrame, keys: list[str]) -> DataFrame:

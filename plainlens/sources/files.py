@@ -51,7 +51,7 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def read_text(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    return spark.read.option("wholetext", whole).text(path)
+    return spark.read.text(path, wholetext=whole)
 
 
 def read_split(spark: SparkSession, splits: dict[str, str]) -> DataFrame:
@@ -67,7 +67,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]"
 
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of CoNLL-U files; each file is an entry."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("entry"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("entry"), "value")
     return ud.parse_sentences(whole, "entry", "value")
 
 

@@ -69,8 +69,8 @@ def test_statistics(spark):
 def test_pages(spark):
     p = spark.createDataFrame([("d", i, f"Cabeça\nlinha {i}\nmeio\n rodapé ") for i in range(3)] + [("e", 0, "Cabeça\nx"), ("e", 1, "")], "doc string, page int, t string")
     got = {(r.doc, r.page): r.text for r in pages.without_margins(p, "doc", "page", "t").collect()}
-    assert got == {("d", 0): "linha 0\nmeio", ("d", 1): "linha 1\nmeio", ("d", 2): "linha 2\nmeio", ("e", 0): "Cabeça\nx", ("e", 1): ""}
-    assert {r.doc: r.text for r in pages.full_text(p, "doc", "page", "t").collect()}["d"] == "linha 0\nmeio\n\nlinha 1\nmeio\n\nlinha 2\nmeio"
+    assert got == {("d", 0): "linha 0", ("d", 1): "linha 1", ("d", 2): "linha 2", ("e", 0): "Cabeça\nx", ("e", 1): ""}
+    assert {r.doc: r.text for r in pages.full_text(p, "doc", "page", "t").collect()}["d"] == "linha 0\n\nlinha 1\n\nlinha 2"
     f = spark.createDataFrame([(["x"], ["long"]), (["y" * 200], ["z"]), (None, ["w"])], "a array<string>, b array<string>")
     assert [r.pages[0][0] for r in pages.chosen_pages(f, "a", "b").collect()] == ["l", "y", "w"]
 
@@ -98,17 +98,17 @@ def test_similarity(spark):
     assert abs(same.first().sim - 1) < 1e-9
 
 
-CONLLU = """# sent_id = <s1>
+CONLLU = """# sent_id = s1
 # text = Ele foi visto
 1\tEle\tele\tPRON\t_\tGender=Masc\t3\tnsubj\t_\t_
 2-3\tfoivisto\t_\t_\t_\t_\t_\t_\t_\t_
 2\tfoi\tser\tAUX\t_\t_\t3\taux\t_\t_
 3\tvisto\tver\tVERB\t_\tVoice=Pass|X=1=2\t0\troot\t_\tA=b
 
-# sent_id = <s2>
+# sent_id = s2
 1\told\told\tX\t_\t_\t0\troot\t_\t_
 
-# sent_id = <s2>
+# sent_id = s2
 1\tVai\tir\tAUX\t_\t_\t0\troot\t_\t_
 2\t,\t,\tPUNCT\t_\t_\t1\tpunct\t_\t_
 """
@@ -130,6 +130,7 @@ def test_dependencies(spark, tmp_path):
     files.write_conllu(s, str(tmp_path / "out"), "corpus-1")
     back = files.read_conllu(spark, str(tmp_path / "out"))
     assert back.count() >= 1 and back.filter("metadata['corpus'] = 'corpus-1'").count() == back.count()
+    assert rows(ud.sentence(s, "s2"), "sent_no") == [(1,)]
     flagged = ud.matching(s, "raw", None, ["visto"])
     assert rows(flagged, "sent_key", "built") == [("s1", True), ("s2", False)]
 

@@ -68,7 +68,7 @@ def test_small_functions(spark):
     assert one("AÇÃO X __12.pdf", T.medicine_name(t)) == "ACAO X"
     assert one("a-\nb  \n\n\n\nc\xad ", T.join_lines(t)) == "ab\n\nc"
     assert one("<think>a\nb</think> x </THINK>", T.clean_llm_output(t)) == "x"
-    assert one("**BULA (texto SIMPLIFICADO)** – X\n\n---\nOi", T.clean_llm_output(t, "B")) == "Oi"
+    assert one("**BULA (texto SIMPLIFICADO)** – X\n\n---\nOi", T.clean_llm_output(t, "B")) == "---\nOi"
     assert one("Bula simples de uso\nOi", T.clean_llm_output(t)) == "Oi"
     assert one(None, T.clean_llm_output(t)) is None and one(None, T.clean_llm_output(t, "B")) == ""
     assert one("<think>\n\n</think>\n oi", T.strip_empty_think(t)) == "oi"

@@ -3,7 +3,7 @@
 The chain predicts one category after another from the words of a text, and each model also sees the probabilities of the
 categories before it. While it is fitted those are out-of-fold: they come from models that did not see the document, as
 they will not have seen the documents that are scored. The first categories are weakly labelled (a labelled toxic document
-with a word of the category's list); the last is the label itself. Models are logistic, over hashed words (present or not).
+with a word of the category's list); the last is the label itself. Models are logistic, over hashed words and beginnings of words (present or not).
 They are fitted on the driver on a bounded sample; every document is scored in Arrow batches with broadcast weights.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +21,17 @@ from .common import id_key, prepare
 
 #: Labelled documents in the sample: those with the least hashes of doc_id.
 SAMPLE = 8_000
-DIMS, FOLDS = 1 << 16, 5
+DIMS, FOLDS = 1 << 18, 5
+#: Lengths of word beginnings that are features beside whole words.
+BEGINNINGS = (5, 6, 7)
+#: Words that a worker remembers.
+CACHE = 300_000
 #: Words seen in fewer sampled documents have no weight.
 LEAST_DOCUMENTS = 3
 #: Words whose chi-square statistic against a category is less have no weight in its model.
-LEAST_CHI_SQUARE = 15.0
+LEAST_CHI_SQUARE = 25.0
+#: Words need so many positive documents, near copies counted once; else the copies of one document make its words evidence.
+LEAST_SUPPORT = 6
 #: No document of a lower probability is in a category.
 LEAST_PROBABILITY = 0.3
 #: Seed words of the categories, in the order of the chain.
@@ -40,14 +45,43 @@ CHAIN = (*CATEGORIES, "toxic")
 _WORD = re.compile(r"\w+")
 
 
-@lru_cache(maxsize=300_000)
-def _bucket(word: str) -> int:
-    return xxhash.xxh32_intdigest(word) % DIMS
+def buckets(word: str) -> list[int]:
+    """The hashed features of a word: the word, and its beginnings, which inflected forms share."""
+    return [xxhash.xxh32_intdigest(word) % DIMS] + [xxhash.xxh32_intdigest(f"^{word[:n]}") % DIMS for n in BEGINNINGS if len(word) > n]
 
 
-def features(text: str) -> list[int]:
-    """Hashed distinct words of a lower-cased text, ascending."""
-    return sorted({_bucket(w) for w in set(_WORD.findall(text.lower()))})
+class Features:
+    """Hashed distinct features of texts, optionally only some of them, with a bounded cache of words."""
+
+    def __init__(self, used: set[int] | None = None):
+        self.used, self.known = used, {}
+
+    def __call__(self, text: str) -> list[int]:
+        words = set(_WORD.findall(text.lower()))
+        if len(self.known) > CACHE:
+            self.known = {}
+        known = self.known
+        for w in words.difference(known):
+            known[w] = tuple(b for b in buckets(w) if self.used is None or b in self.used)
+        return sorted({b for w in words for b in known[w]})
+
+
+def copy_keys(lists: list[np.ndarray], times: int = 3) -> np.ndarray:
+    """MinHash values of each row's words, rows x times; near copies mostly have equal ones."""
+    g = np.random.default_rng(11)
+    out = np.zeros((len(lists), times), np.int64)
+    for j in range(times):
+        order = g.permutation(DIMS)
+        out[:, j] = [order[np.asarray(a, np.int64)].min() if len(a) else -1 for a in lists]
+    return out
+
+
+def support(x: Rows, y: np.ndarray, copies: np.ndarray, dims: int) -> np.ndarray:
+    """Positive rows of each column, near copies counted once: the least number of different keys."""
+    inside = y[x.row] > 0
+    column, row = x.column[inside], x.row[inside]
+    counts = [np.bincount(np.unique(column * (DIMS + 1) + copies[row, j] + 1) // (DIMS + 1), minlength=dims) for j in range(copies.shape[1])]
+    return np.min(counts, axis=0) if len(column) else np.zeros(dims, np.int64)
 
 
 class Rows:
@@ -80,10 +114,10 @@ class Rows:
         return out
 
 
-def fit_logistic(x: Rows, dense: np.ndarray, y: np.ndarray, dims: int, rounds: int = 400, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_logistic(x: Rows, dense: np.ndarray, y: np.ndarray, copies: np.ndarray, dims: int, rounds: int = 400, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of words, of dense columns, and a constant: full-batch gradient steps scaled per weight (Adam).
 
-    Only words that go with the category (chi-square, on these rows alone) get a weight.
+    Only words that go with the category (chi-square and support, on these rows alone) get a weight.
     """
     n = max(1, len(y))
     rate = (y.sum() + 0.5) / (n + 1)
@@ -94,7 +128,7 @@ def fit_logistic(x: Rows, dense: np.ndarray, y: np.ndarray, dims: int, rounds: i
     with_word, positive = x.back(np.ones(n), dims), x.back(y, dims)
     gap = positive - with_word * y.mean()
     chi = gap**2 / np.maximum(with_word * (1 - with_word / n) * y.mean() * (1 - y.mean()), 1e-9)
-    free = np.flatnonzero(chi >= LEAST_CHI_SQUARE)
+    free = np.flatnonzero((chi >= LEAST_CHI_SQUARE) & (support(x, y, copies, dims) >= LEAST_SUPPORT))
     x, b = x.columns(free, dims), np.concatenate([np.zeros(len(free) + dense.shape[1]), w[-1:]])
     m, v = np.zeros_like(b), np.zeros_like(b)
     for t in range(1, rounds + 1):
@@ -113,6 +147,10 @@ class Chain:
     def __init__(self):
         self.words, self.links, self.constant, self.threshold = [], [], [], []
 
+    def used(self) -> set[int]:
+        """Features that any of the models gives a weight."""
+        return {int(i) for w in self.words for i in np.flatnonzero(w)}
+
     def score(self, lists: list[list[int]]) -> np.ndarray:
         """Probabilities, rows x categories."""
         x = Rows([np.array(a, np.int64) for a in lists])
@@ -141,14 +179,15 @@ def fit_chain(lists: list[list[int]], categories: np.ndarray, fold: np.ndarray)
     local = np.full(DIMS, -1)
     local[used] = np.arange(len(used))
     x = Rows([(c := local[np.array(a, np.int64)])[c >= 0] for a in lists])
+    copies = copy_keys(lists)
     chain, earlier = Chain(), np.zeros((len(lists), 0))
     for j in range(categories.shape[1]):
         y, held = categories[:, j].astype(float), np.zeros(len(lists))
         for f in range(FOLDS):
             train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            w, link, c = fit_logistic(x.take(train), earlier[train], y[train], len(used))
+            w, link, c = fit_logistic(x.take(train), earlier[train], y[train], copies[train], len(used))
             held[test] = 1 / (1 + np.exp(-(x.take(test).times(w) + earlier[test] @ link + c)))
-        w, link, c = fit_logistic(x, earlier, y, len(used))
+        w, link, c = fit_logistic(x, earlier, y, copies, len(used))
         whole = np.zeros(DIMS)
         whole[used] = w
         chain.words.append(whole)
@@ -161,7 +200,7 @@ def fit_chain(lists: list[list[int]], categories: np.ndarray, fold: np.ndarray)
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        text = b.column("text").fill_null("").to_pylist()
+        text, features = b.column("text").fill_null("").to_pylist(), Features()
         words = [set(_WORD.findall(t.lower())) for t in text]
         hits = [[int(bool(w & set(seeds))) for seeds in CATEGORIES.values()] for w in words]
         yield pa.RecordBatch.from_arrays([b.column("h"), b.column("toxic"), pa.array([features(t) for t in text], pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.int32()))], names=["h", "toxic", "features", "hits"])
@@ -182,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
 
 def _score(chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(chain.value.used()) if chain is not None else None
         for b in batches:
             text = b.column("text").fill_null("").to_pylist()
             if chain is None:

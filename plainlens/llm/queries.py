@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, html, jaccard, langid, mixing, quality, substrings, tokenfiles, toxicity
+from . import ann, bpe, html, jaccard, langid, mixing, oracle, quality, substrings, tokenfiles, toxicity
 from .common import shared_path, table
 
 
@@ -67,4 +67,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_main_text, op2_quality_rules, op3_language_id, op4_suffix_dedup, op5_token_files, op6_nearest_neighbours, op7_bpe, op8_source_mix, op9_ngram_jaccard_join, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL

@@ -206,17 +206,16 @@ def patient_section(c: Column, version: int = 1, min_chars: int = 500) -> Column
 
 
 #: Section headings on accent-free upper-case text, and section weights.
-_THIS = "(?:MEDICAMENTO|PRODUTO)"
 SECTION_HEADINGS = {
-    "sec_1": r"(?:1\s*[.\-–—)]?\s*)?PARA\s+QUE\s+(?:(?:ESTE\s+{M}\s+(?:E|FOI)\s+INDICADO)|(?:SERVE\s+ESTE\s+{M}))\??",
-    "sec_2": r"(?:2\s*[.\-–—)]?\s*)?COMO\s+ESTE\s+{M}\s+FUNCIONA\??",
-    "sec_3": r"(?:3\s*[.\-–—)]?\s*)?QUANDO\s+NAO\s+DEVO\s+(?:USAR|UTILIZAR)\s+ESTE\s+{M}\??",
-    "sec_4": r"(?:4\s*[.\-–—)]?\s*)?O\s+QUE\s+DEVO\s+SABER\s+ANTES\s+DE\s+USAR\s+ESTE\s+{M}\??",
-    "sec_5": r"(?:5\s*[.\-–—)]?\s*)?(?:(?:ONDE,\s*COMO\s+E\s+POR\s+QUANTO\s+TEMPO\s+POSSO\s+GUARDAR)|(?:COMO\s+GUARDAR))\s+ESTE\s+{M}\??",
-    "sec_6": r"(?:6\s*[.\-–—)]?\s*)?COMO\s+DEVO\s+USAR\s+ESTE\s+{M}\??",
-    "sec_7": r"(?:7\s*[.\-–—)]?\s*)?O\s+QUE\s+(?:DEVO\s+)?FAZER\s+(?:QUANDO|SE)\s+(?:EU\s+)?ME\s+ESQUECER\s+DE\s+USAR\s+ESTE\s+{M}\??",
-    "sec_8": r"(?:8\s*[.\-–—)]?\s*)?QUAIS\s+OS\s+MALES\s+QUE\s+ESTE\s+{M}\s+PODE\s+(?:ME\s+)?CAUSAR\??",
-    "sec_9": r"(?:9\s*[.\-–—)]?\s*)?O\s+QUE\s+FAZER\s+SE\s+ALGUEM\s+USAR\s+UMA\s+QUANTIDADE\s+MAIOR\s+DO\s+QUE\s+A\s+INDICADA(?:\s+DESTE\s+{M})?\??",
+    "sec_1": r"(?:1\s*[.\-–—)]?\s*)?PARA\s+QUE\s+(?:(?:ESTE\s+(?:MEDICAMENTO|PRODUTO)\s+(?:E|FOI)\s+INDICADO)|(?:SERVE\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)))\??",
+    "sec_2": r"(?:2\s*[.\-–—)]?\s*)?COMO\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\s+FUNCIONA\??",
+    "sec_3": r"(?:3\s*[.\-–—)]?\s*)?QUANDO\s+NAO\s+DEVO\s+(?:USAR|UTILIZAR)\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
+    "sec_4": r"(?:4\s*[.\-–—)]?\s*)?O\s+QUE\s+DEVO\s+SABER\s+ANTES\s+DE\s+USAR\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
+    "sec_5": r"(?:5\s*[.\-–—)]?\s*)?(?:(?:ONDE,\s*COMO\s+E\s+POR\s+QUANTO\s+TEMPO\s+POSSO\s+GUARDAR)|(?:COMO\s+GUARDAR))\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
+    "sec_6": r"(?:6\s*[.\-–—)]?\s*)?COMO\s+DEVO\s+USAR\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
+    "sec_7": r"(?:7\s*[.\-–—)]?\s*)?O\s+QUE\s+(?:DEVO\s+)?FAZER\s+(?:QUANDO|SE)\s+(?:EU\s+)?ME\s+ESQUECER\s+DE\s+USAR\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
+    "sec_8": r"(?:8\s*[.\-–—)]?\s*)?QUAIS\s+OS\s+MALES\s+QUE\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\s+PODE\s+(?:ME\s+)?CAUSAR\??",
+    "sec_9": r"(?:9\s*[.\-–—)]?\s*)?O\s+QUE\s+FAZER\s+SE\s+ALGUEM\s+USAR\s+UMA\s+QUANTIDADE\s+MAIOR\s+DO\s+QUE\s+A\s+INDICADA(?:\s+DESTE\s+(?:MEDICAMENTO|PRODUTO))?\??",
 }
 SECTION_WEIGHTS = {"sec_1": 0.08, "sec_2": 0.07, "sec_3": 0.16, "sec_4": 0.16, "sec_5": 0.06, "sec_6": 0.18, "sec_7": 0.09, "sec_8": 0.15, "sec_9": 0.05}
 #: Letters of headings with the accented forms that count as the same.
@@ -225,7 +224,7 @@ _ACCENTED = {"A": "AÁÀÂÃÄ", "E": "EÉÈÊË", "I": "IÍÌÎÏ", "O": "OÓÒ
 
 def section_heading(sec: str) -> str:
     """The heading as a pattern on the original text: accents and case do not matter, `esse` counts as `este`."""
-    raw = SECTION_HEADINGS[sec].replace("ESTE\\s+{M}", "ES[ST]E\\s+{M}").replace("{M}", _THIS).replace("\\s", WS)
+    raw = SECTION_HEADINGS[sec].replace("ESTE\\s+(?:MEDICAMENTO|PRODUTO)", "ES[ST]E\\s+(?:MEDICAMENTO|PRODUTO)").replace("\\s", WS)
     out, i = [], 0
     while i < len(raw):
         if raw.startswith("\\x{", i) or raw.startswith("[", i):

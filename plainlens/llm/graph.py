@@ -9,21 +9,34 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+#: A node with more than this part of all links is a hub: there are at most 2 * HUBS hubs, so their rows are broadcast.
+HUBS = 1000
+
+
+def _with_least(rows: DataFrame, n_links: int) -> DataFrame:
+    """Rows (u, v) with m, the least v of each u. Hubs take a broadcast, so no task gets all rows of a hub."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    bound = max(10, n_links // HUBS)
+    hubs = least.filter(F.col("n") > bound).select("u", F.col("m").alias("hub_m"))
+    tagged = rows.join(F.broadcast(hubs), "u", "left")
+    rest = tagged.filter("hub_m IS NULL").select("u", "v").join(least.filter(F.col("n") <= bound).select("u", "m"), "u")
+    return tagged.filter("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) links of any comparable type to (node, root): root is the least node of node's component.
 
-    Each round is two aggregations with map-side combining and two joins; its edges are checkpointed to the shared
-    folder, so a lost executor costs one round. Rows with u = v and repeated rows are allowed; no edges give no rows.
+    Each round is two aggregations with map-side combining and two joins, of which the hubs' part is a broadcast of bounded
+    size; its edges are checkpointed to the shared folder, so a lost executor costs one round. Rows with u = v and repeated
+    rows are allowed; no edges give no rows.
     """
     big, small = F.greatest("u", "v"), F.least("u", "v")
     edges = edges.select(big.alias("u"), small.alias("v")).filter("u <> v").distinct().checkpoint()
     before = _state(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = wide.groupBy("u").agg(F.min("v").alias("m"))
-        near = wide.join(least, "u")
+        wide = _with_least(both, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+        near = _with_least(wide, before[0])
         pairs = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         edges = near.select(pairs.alias("e")).select("e.u", "e.v").filter("u <> v").distinct().checkpoint()
         after = _state(edges)

@@ -29,6 +29,8 @@ RECALL = 0.9999
 HASHES = 128
 #: N-grams of one block of a component.
 BLOCK_GRAMS = 1 << 20
+#: Documents of one block, and rows of a block pair's overlap matrix that are held at once.
+BLOCK_DOCS, STRIPE = 2048, 512
 _SIG = "k long, x long, node binary, grams long, bands array<long>"
 _SIG_ARROW = pa.schema([("k", pa.int64()), ("x", pa.int64()), ("node", pa.binary()), ("grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SET_ARROW = pa.schema([("node", pa.binary()), ("copies", pa.int64()), ("comp", pa.binary()), ("blocks", pa.int32()), ("grams", pa.binary())])
@@ -151,23 +153,28 @@ def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, cross:
         local[members] = np.arange(len(members))
         mine = local[flat_o] >= 0 if len(members) < n else slice(None)
         r, (_, c) = local[flat_o[mine]], np.unique(flat_g[mine], return_inverse=True)
-        both = np.zeros((len(members),) * 2, np.float32)
-        step = max(256, (1 << 23) // len(members))
         by_c = np.argsort(c, kind="stable")
         r, c = r[by_c], c[by_c]
-        for at in range(0, int(c[-1]) + 1 if len(c) else 0, step):
-            lo, hi = np.searchsorted(c, [at, at + step])
-            m = np.zeros((len(members), min(step, int(c[-1]) + 1 - at)), np.float32)
-            m[r[lo:hi], c[lo:hi] - at] = 1
-            both += m @ m.T
-        s = size[members]
-        hit = both >= threshold * (s[:, None] + s[None, :] - both) - 1e-6
-        np.fill_diagonal(hit, False)
-        if cross:
-            hit &= side[members][:, None] != side[members][None, :]
-        links[members] = hit @ copies[members]
-        i, j = np.nonzero(hit)
-        root[members] = members[_roots(len(members), i, j)]
+        n_c, step = int(c[-1]) + 1 if len(c) else 0, max(256, (1 << 22) // len(members))
+        own, their, sides = size[members], copies[members], side[members]
+        every = np.arange(len(members))
+        joined = every
+        for top in range(0, len(members), STRIPE):
+            rows = slice(top, min(top + STRIPE, len(members)))
+            both = np.zeros((rows.stop - top, len(members)), np.float32)
+            for at in range(0, n_c, step):
+                lo, hi = np.searchsorted(c, [at, at + step])
+                m = np.zeros((len(members), min(step, n_c - at)), np.float32)
+                m[r[lo:hi], c[lo:hi] - at] = 1
+                both += m[rows] @ m.T
+            hit = both >= threshold * (own[rows, None] + own[None, :] - both) - 1e-6
+            hit[np.arange(rows.stop - top), np.arange(top, rows.stop)] = False
+            if cross:
+                hit &= sides[rows, None] != sides[None, :]
+            links[members[rows]] = hit @ their
+            i, j = np.nonzero(hit)
+            joined = _roots(len(members), np.concatenate([every, i + top]), np.concatenate([joined, j]))
+        root[members] = members[joined]
     return links, root
 
 
@@ -208,7 +215,7 @@ def _verdicts(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, r
     stars = keyed.join(hubs, "band").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     comp = components(stars)
     sized = comp.join(classes.select("node", "rep", "copies", "grams"), "node")
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum("grams") / F.lit(block_grams)).cast("int").alias("blocks"))
+    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / F.lit(block_grams)), F.ceil(F.count("*") / F.lit(BLOCK_DOCS))).cast("int").alias("blocks"))
     cand = sized.join(blocks, "root").select("node", F.col("rep.k").alias("k"), "copies", F.col("root").alias("comp"), "blocks")
     sets = lean.join(cand, "k").select("node", "copies", "comp", "blocks", "text").mapInArrow(_sets(n), "node binary, copies long, comp binary, blocks int, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

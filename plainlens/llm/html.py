@@ -32,7 +32,7 @@ CLOSES_ITSELF = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": f
 SCOPES = frozenset("ul ol dl table article section div body main nav aside footer header form".split())
 #: Parts of class, id and role names; whole words, and beginnings of words.
 BAD_WORDS = frozenset("ad ads adv cta nav tos tags tagcloud related share sharing social promo login signup cookies contentinfo complementary navigation search banner".split())
-BAD_STARTS = ("advert", "alert", "breadcrumb", "comment", "consent", "cookie", "copyright", "disclaim", "discuss", "disqus", "foot", "gdpr", "menu", "modal", "navbar", "newsletter", "notice", "notif", "pagin", "popup", "promot", "recommend", "respon", "sidebar", "sponsor", "subscri", "toolbar", "widget", "masthead")
+BAD_STARTS = ("advert", "alert", "breadcrumb", "comment", "consent", "cookie", "copyright", "disclaim", "discuss", "disqus", "foot", "gdpr", "menu", "modal", "navbar", "newsletter", "notice", "notif", "overlay", "pagin", "popup", "promot", "recommend", "respon", "sidebar", "skip", "sponsor", "subscri", "toolbar", "widget", "masthead")
 GOOD_STARTS = ("article", "content", "entry", "main", "post", "story")
 #: Log-odds of the classifier.
 BIAS, IN_ARTICLE, OUT_OF_ARTICLE, IN_FURNITURE, IN_HEADER, BAD_NAME, GOOD_NAME, HIDDEN = -1.0, 5.0, -4.0, -12.0, -9.0, -9.0, 1.5, -20.0

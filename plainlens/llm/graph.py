@@ -9,18 +9,26 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-#: A node with more than this part of all links is a hub: there are at most 2 * HUBS hubs, so their rows are broadcast.
+#: A key with more rows than one in HUBS is a hub. There are at most HUBS of them, so what belongs to them is broadcast.
 HUBS = 1000
 
 
+def joined_per_key(rows: DataFrame, per_key: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """Rows with the columns of per_key, which has one row for each key and its number of rows as n.
+
+    Keys of more than a part of all rows take a broadcast, so no task gets all rows of such a key.
+    """
+    bound = max(10, n_rows // HUBS)
+    names = [c for c in per_key.columns if c not in (key, "n")]
+    hubs = per_key.filter(F.col("n") > bound).select(key, F.struct(*names).alias("_hub"))
+    tagged = rows.join(F.broadcast(hubs), key, "left")
+    rest = tagged.filter("_hub IS NULL").drop("_hub").join(per_key.filter(F.col("n") <= bound).drop("n"), key)
+    return tagged.filter("_hub IS NOT NULL").select(*rows.columns, *[f"_hub.{c}" for c in names]).unionByName(rest)
+
+
 def _with_least(rows: DataFrame, n_links: int) -> DataFrame:
-    """Rows (u, v) with m, the least v of each u. Hubs take a broadcast, so no task gets all rows of a hub."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    bound = max(10, n_links // HUBS)
-    hubs = least.filter(F.col("n") > bound).select("u", F.col("m").alias("hub_m"))
-    tagged = rows.join(F.broadcast(hubs), "u", "left")
-    rest = tagged.filter("hub_m IS NULL").select("u", "v").join(least.filter(F.col("n") <= bound).select("u", "m"), "u")
-    return tagged.filter("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest)
+    """Rows (u, v) with m, the least v of each u."""
+    return joined_per_key(rows, rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", n_links)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

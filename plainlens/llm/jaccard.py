@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
 from .common import batch, id_key, partitions, prepare
-from .graph import components
+from .graph import components, joined_per_key
 
 N_WORDS = 5
 THRESHOLD = 0.8
@@ -215,8 +215,8 @@ def _verdicts(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, r
     stars = keyed.join(hubs, "band").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     comp = components(stars)
     sized = comp.join(classes.select("node", "rep", "copies", "grams"), "node")
-    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / F.lit(block_grams)), F.ceil(F.count("*") / F.lit(BLOCK_DOCS))).cast("int").alias("blocks"))
-    cand = sized.join(blocks, "root").select("node", F.col("rep.k").alias("k"), "copies", F.col("root").alias("comp"), "blocks")
+    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / F.lit(block_grams)), F.ceil(F.count("*") / F.lit(BLOCK_DOCS))).cast("int").alias("blocks"), F.count("*").alias("n"))
+    cand = joined_per_key(sized, blocks, "root", comp.count()).select("node", F.col("rep.k").alias("k"), "copies", F.col("root").alias("comp"), "blocks")
     sets = lean.join(cand, "k").select("node", "copies", "comp", "blocks", "text").mapInArrow(_sets(n), "node binary, copies long, comp binary, blocks int, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -228,8 +228,8 @@ def _verdicts(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, r
     many = components(found.filter("blocks > 1").select(F.col("node").alias("u"), F.col("hub").alias("v")))
     rooted = classes.select("node", "rep", "copies").join(single.unionByName(many), "node", "left").join(links, "node", "left")
     rooted = rooted.select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("class"))
-    verdict = rooted.join(least, "root").select("node", "rep", "class", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("class"), F.count("*").alias("n"))
+    verdict = joined_per_key(rooted, least, "root", classes.count()).select("node", "rep", "class", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     grouped = full.select("k", "x", "node").join(verdict, "node").select("k", "x", "class", "rep", "n_links")
     own = F.struct("k", "x")
     alone = sig.filter("grams = 0").select("k", "x", own.alias("class"), own.alias("rep"), F.lit(0).cast("long").alias("n_links"))

@@ -13,17 +13,18 @@ def _state(edges: DataFrame) -> tuple:
 HUBS = 1000
 
 
-def joined_per_key(rows: DataFrame, per_key: DataFrame, key: str, n_rows: int) -> DataFrame:
+def joined_per_key(rows: DataFrame, per_key: DataFrame, key: str | list[str], n_rows: int) -> DataFrame:
     """Rows with the columns of per_key, which has one row for each key and its number of rows as n.
 
     Keys of more than a part of all rows take a broadcast, so no task gets all rows of such a key.
     """
     bound = max(10, n_rows // HUBS)
-    names = [c for c in per_key.columns if c not in (key, "n")]
-    hubs = per_key.filter(F.col("n") > bound).select(key, F.struct(*names).alias("_hub"))
-    tagged = rows.join(F.broadcast(hubs), key, "left")
-    rest = tagged.filter("_hub IS NULL").drop("_hub").join(per_key.filter(F.col("n") <= bound).drop("n"), key)
-    return tagged.filter("_hub IS NOT NULL").select(*rows.columns, *[f"_hub.{c}" for c in names]).unionByName(rest)
+    keys = [key] if isinstance(key, str) else key
+    names = [c for c in per_key.columns if c not in (*keys, "n")]
+    hubs = per_key.filter(F.col("n") > bound).select(*keys, F.struct(*names).alias("_hub"))
+    tagged = rows.join(F.broadcast(hubs), keys, "left")
+    rest = tagged.filter("_hub IS NULL").drop("_hub").join(per_key.filter(F.col("n") <= bound).drop("n"), keys)
+    return tagged.filter("_hub IS NOT NULL").select(*rows.columns, *[F.col("_hub")[c].alias(c) for c in names]).unionByName(rest)
 
 
 def _with_least(rows: DataFrame, n_links: int) -> DataFrame:

@@ -80,6 +80,7 @@ def support(x: Rows, y: np.ndarray, copies: np.ndarray, dims: int) -> np.ndarray
     """Positive rows of each column, near copies counted once: the least number of different keys."""
     inside = y[x.row] > 0
     column, row = x.column[inside], x.row[inside]
+    column = column.astype(np.int64)
     counts = [np.bincount(np.unique(column * (DIMS + 1) + copies[row, j] + 1) // (DIMS + 1), minlength=dims) for j in range(copies.shape[1])]
     return np.min(counts, axis=0) if len(column) else np.zeros(dims, np.int64)
 
@@ -89,8 +90,8 @@ class Rows:
 
     def __init__(self, lists: list[np.ndarray]):
         self.size = np.array([len(x) for x in lists], np.int64)
-        self.column = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(lists)), self.size)
+        self.column = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
+        self.row = np.repeat(np.arange(len(lists), dtype=np.int32), self.size)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.column], minlength=len(self.size))
@@ -99,7 +100,7 @@ class Rows:
         return np.bincount(self.column, r[self.row], minlength=dims)
 
     def columns(self, keep: np.ndarray, dims: int) -> Rows:
-        out, at = Rows([]), np.full(dims, -1)
+        out, at = Rows([]), np.full(dims, -1, np.int32)
         at[keep] = np.arange(len(keep))
         inside = at[self.column] >= 0
         out.column, out.row = at[self.column[inside]], self.row[inside]
@@ -109,6 +110,7 @@ class Rows:
     def take(self, keep: np.ndarray) -> Rows:
         out, at = Rows([]), np.full(len(self.size), -1)
         at[keep] = np.arange(len(keep))
+        at = at.astype(np.int32)
         inside = at[self.row] >= 0
         out.size, out.column, out.row = self.size[keep], self.column[inside], at[self.row[inside]]
         return out
@@ -203,7 +205,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, features = b.column("text").fill_null("").to_pylist(), Features()
         words = [set(_WORD.findall(t.lower())) for t in text]
         hits = [[int(bool(w & set(seeds))) for seeds in CATEGORIES.values()] for w in words]
-        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("toxic"), pa.array([features(t) for t in text], pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.int32()))], names=["h", "toxic", "features", "hits"])
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("toxic"), pa.array([np.array(features(t), "<i4").tobytes() for t in text], pa.binary()), pa.array(hits, pa.list_(pa.int32()))], names=["h", "toxic", "features", "hits"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
@@ -211,12 +213,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
     lean = docs.select(id_key("doc_id").alias("k"), F.col("text").cast("string").alias("text"))
     chosen = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(id_key("doc_id").alias("k")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(sample)
-    rows = lean.join(F.broadcast(chosen), "k").select("h", "toxic", "text").mapInArrow(_sampled, "h long, toxic int, features array<int>, hits array<int>").orderBy("h").limit(sample).collect()
+    rows = lean.join(F.broadcast(chosen), "k").select("h", "toxic", "text").mapInArrow(_sampled, "h long, toxic int, features binary, hits array<int>").orderBy("h").limit(sample).collect()
     if not rows:
         return None
     toxic = np.array([[r.toxic] for r in rows])
     categories = np.hstack([np.array([r.hits for r in rows]) * toxic, toxic])
-    return fit_chain([r.features for r in rows], categories, np.arange(len(rows)) % FOLDS)
+    return fit_chain([np.frombuffer(r.features, "<i4") for r in rows], categories, np.arange(len(rows)) % FOLDS)
 
 
 def _score(chain):

@@ -35,9 +35,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixture(docs)
 
 
+#: Entries of a worker's BPE cache, fewer than in a job of its own, as the workers of earlier stages hold memory too.
+BPE_CACHE = 120_000
+
+
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids and whether decoding gives the tokens back, one row per copy."""
-    coded = bpe.bpe_round_trip(docs.select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"))
+    coded = bpe.bpe_round_trip(docs.select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"), BPE_CACHE)
     size = F.size("ids").cast("long")
     # this vocabulary decodes to its tokens joined by spaces, so their number must come back
     back = F.when(size == 0, F.col("decoded") == "").otherwise(F.size(F.split("decoded", " ")) == size)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import prepare
 
-#: Entries of a worker's caches; they are emptied beyond it. Results do not depend on it.
+#: Entries of a worker's caches (some 600 bytes each in all); they are emptied beyond it. Results do not depend on it.
 CACHE = 700_000
 #: A vocabulary file beyond this is not sent to the executors.
 VOCABULARY_BYTES = 64 << 20
@@ -42,7 +42,7 @@ def byte_characters() -> list[str]:
 class WordBpe:
     """A byte-level BPE vocabulary with word ends, read from the JSON of the tokenizers library."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         spec = json.loads(raw)
@@ -70,6 +70,7 @@ class WordBpe:
         library = Tokenizer.from_str(raw.decode())
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.words: dict[str, bytes] = {}
+        self.cache = cache
         self.tested, self.valid = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -141,7 +142,7 @@ class WordBpe:
         new = need[~np.isin(need, self.tested, assume_unique=True)]
         if len(new):
             good = np.array([self.merge(self.pieces[a] + self.pieces[b]) == [a, b] for a, b in zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist(), strict=True)])
-            if len(self.tested) > 10 * CACHE:
+            if len(self.tested) > 10 * self.cache:
                 self.tested, self.valid = np.zeros(0, np.int64), np.zeros(0, bool)
                 need, new = need[:0], new
             tested, valid = np.concatenate([self.tested, new]), np.concatenate([self.valid, good])
@@ -177,16 +178,16 @@ class WordBpe:
 class Encoder:
     """Texts to ids and decoded texts, with a bounded cache of white-space-separated pieces."""
 
-    def __init__(self, raw: bytes):
-        self.bpe = WordBpe(raw)
+    def __init__(self, raw: bytes, cache: int = CACHE):
+        self.bpe, self.cache = WordBpe(raw, cache), cache
         self.ids: dict[bytes, bytes] = {}
         self.text: dict[bytes, str] = {}
 
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:
         """Little-endian 32-bit ids, and tokens joined by one space (this vocabulary's file names no decoder)."""
-        if len(self.ids) > CACHE:
+        if len(self.ids) > self.cache:
             self.ids, self.text = {}, {}
-        if len(self.bpe.words) > CACHE:
+        if len(self.bpe.words) > self.cache:
             self.bpe.words = {}
         cut = [t.split() for t in texts]
         new = set().union(*cut).difference(self.ids)
@@ -200,21 +201,21 @@ class Encoder:
         return [b"".join(map(get, c)) for c in cut], [" ".join(filter(None, map(text, c))) for c in cut]
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder_of(vocabulary) -> Encoder:
+def encoder_of(vocabulary, cache: int) -> Encoder:
     """One encoder for each worker process and broadcast vocabulary, so that its caches outlive a task."""
-    key = zlib.crc32(vocabulary.value)
+    key = (zlib.crc32(vocabulary.value), cache)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(vocabulary.value)
+        _encoders[key] = Encoder(vocabulary.value, cache)
     return _encoders[key]
 
 
-def _run(vocabulary):
+def _run(vocabulary, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        encoder = encoder_of(vocabulary, cache)
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
@@ -227,7 +228,7 @@ def _run(vocabulary):
     return run
 
 
-def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
     """The documents' other columns with ids array<int> and decoded string, as the tokenizers library makes them.
 
     path: the vocabulary's JSON, read on the driver and broadcast (it must not pass VOCABULARY_BYTES). Special tokens are
@@ -243,5 +244,5 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     rest = [f for f in docs.schema if f.name not in ("text", "ids", "decoded")]
     inner = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], F.col("text").cast("string").alias("text"))
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)] + ["ids array<int>", "decoded string"])
-    out = inner.mapInArrow(_run(spark.sparkContext.broadcast(raw)), schema)
+    out = inner.mapInArrow(_run(spark.sparkContext.broadcast(raw), cache), schema)
     return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(rest)], "ids", "decoded")

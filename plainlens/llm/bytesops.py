@@ -38,7 +38,7 @@ class Fingerprints:
         base = BASES[which]
         bytes_, up, down = self._tables.get(which, (None, np.ones(1, _U), np.ones(1, _U)))
         if len(up) <= len(data):
-            n = 1 << int(len(data)).bit_length()
+            n = (len(data) // 65536 + 1) * 65536
             with np.errstate(over="ignore"):
                 up = np.concatenate([np.ones(1, _U), np.full(n, base, _U)]).cumprod(dtype=_U)
                 down = np.concatenate([np.ones(1, _U), np.full(n, pow(base, -1, 1 << 64), _U)]).cumprod(dtype=_U)

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by entropy balancing.
 
 Document i of source s gets a rate of 2 / (1 + exp(-(b + l * size_i / mean size of s))) copies: of all rates between 0 and 2
-whose words sum to the source's target, those nearest in (binary) relative entropy to equal rates; b is the logit of the
-source's own target share, l the dual variable of its token constraint. The dual is convex and separates by source, and
+whose words sum to the source's target, those nearest in (binary) relative entropy to one prior rate for all sources, that
+of the whole mix; b is the logit of half the prior rate, l the dual variable of the source's token constraint: a source that is
+to give more than the prior draws on its large documents more, one that is to give less draws on them less. The dual is convex and separates by source, and
 documents enter it only by size. So sizes are counted first (one row per source and size, map-side combined), and the
 Newton iterations of all sources run in parallel, one group per source over its sizes. Rounding follows in the same group:
 sizes are walked from the largest, and each size's copies absorb the words that the ones before were off by. Copies are
@@ -26,24 +27,36 @@ BUCKET = 5_000
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def balanced_copies(size: np.ndarray, count: np.ndarray, target: float, most: int = MOST, rounds: int = 60) -> np.ndarray:
-    """Copies of all documents of each size (sizes ascending): Newton on the dual, then rounding that carries the error."""
-    total = float((size * count).sum())
-    if total <= 0 or target <= 0:
-        return np.zeros(len(size), np.int64)
-    share = min(max(target / (most * total), 0.0), 1.0)
-    if share >= 1.0 - 1e-12:
-        return most * count
-    x = size * (count.sum() / total)
-    offset, dual, goal = np.log(share / (1 - share)), 0.0, share * float((x * count).sum())
+def tilted(size: np.ndarray, count: np.ndarray, target: float, most: int = MOST, prior: float = SHARE / MOST, rounds: int = 200) -> tuple[float, np.ndarray]:
+    """Dual and rate of each size for a target between 0 and `most` times all words: Newton, halving where a step leaves the bracket."""
+    x = size * (count.sum() / float((size * count).sum()))
+    prior = min(max(prior, 1e-9), 1 - 1e-9)
+    offset, goal = np.log(prior / (1 - prior)), target / most * (count.sum() / float((size * count).sum()))
+    dual, low, high = 0.0, -np.inf, np.inf
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(offset + dual * x, -700, 700)))
-        slope = float((count * x * x * p * (1 - p)).sum())
         miss = float((count * x * p).sum()) - goal
-        if abs(miss) <= 1e-12 * goal or slope <= 0:
+        if abs(miss) <= 1e-12 * goal:
+            break
+        low, high = (low, dual) if miss > 0 else (dual, high)
+        slope = float((count * x * x * p * (1 - p)).sum())
+        step = dual - miss / slope if slope > 0 else np.nan
+        if not low < step < high:
+            step = (low + high) / 2 if np.isfinite(high - low) else dual - np.sign(miss) * max(1.0, abs(dual))
+        if step == dual:
             break
-        dual -= miss / slope
-    rate = most / (1 + np.exp(-np.clip(offset + dual * x, -700, 700)))
+        dual = step
+    return dual, most / (1 + np.exp(-np.clip(offset + dual * x, -700, 700)))
+
+
+def balanced_copies(size: np.ndarray, count: np.ndarray, target: float, most: int = MOST, prior: float = SHARE / MOST) -> np.ndarray:
+    """Copies of all documents of each size (sizes ascending): the tilted rates, then rounding that carries the error."""
+    total = float((size * count).sum())
+    if total <= 0 or target <= 0:
+        return np.zeros(len(size), np.int64)
+    if target / (most * total) >= 1.0 - 1e-12:
+        return most * count
+    _, rate = tilted(size, count, target, most, prior)
     out, owed = np.zeros(len(size), np.int64), 0.0
     for i in range(len(size) - 1, -1, -1):
         if size[i] == 0:
@@ -54,10 +67,10 @@ def balanced_copies(size: np.ndarray, count: np.ndarray, target: float, most: in
     return out
 
 
-def _solve(most: int):
+def _solve(most: int, prior: float):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", kind="stable").reset_index(drop=True)
-        copies = balanced_copies(pdf["size"].to_numpy(float), pdf["count"].to_numpy(), float(pdf["target"].iloc[0]), most)
+        copies = balanced_copies(pdf["size"].to_numpy(float), pdf["count"].to_numpy(), float(pdf["target"].iloc[0]), most, prior)
         return pdf[["src", "size", "count", "source_size", "target"]].assign(copies=copies)
 
     return solve
@@ -105,7 +118,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     key = F.when(F.col("is_null"), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("src")))
     targets = targets.withColumn("src", key).drop("is_null")
     classes = classes.withColumn("src", key).join(targets, "src").select("src", "size", "count", "source_size", "target")
-    solved = classes.groupBy("src").applyInPandas(_solve(most), "src string, size long, count long, source_size long, target double, copies long").checkpoint()
+    solved = classes.groupBy("src").applyInPandas(_solve(most, share / most), "src string, size long, count long, source_size long, target double, copies long").checkpoint()
     buckets = F.ceil(F.col("count") / F.lit(bucket)).cast("int")
     placed = joined_per_key(base.withColumn("src", key), solved.withColumn("n", F.col("count")), ["src", "size"], base.count()).withColumn("h", F.xxhash64("k", "x", F.lit(17)))
     placed = placed.withColumn("b", F.pmod(F.xxhash64("h"), buckets).cast("int"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from plainlens.llm import mixing
 from plainlens.llm.queries import op8_source_mix  # noqa: F401
 
@@ -64,3 +66,22 @@ def test_mixture_rows(spark):
     assert mix.columns == docs.columns
     assert mix.count() == sum(r.copies for r in report)
     assert mixing.mix_report(docs.limit(0)).count() == 0 and mixing.mixture(docs.limit(0)).count() == 0
+
+
+def test_dual_tilts_by_size(spark):
+    size, count = np.array([0.0, 3, 40, 300, 20_000]), np.array([5, 400, 300, 200, 2])
+    total = float((size * count).sum())
+    for part in (0.01, 0.3, 0.74, 0.76, 0.97, 0.9999):
+        dual, rate = mixing.tilted(size, count, 2 * part * total)
+        assert abs((rate * size * count).sum() - 2 * part * total) < 1e-6 * total
+        assert dual != 0 and np.sign(dual) == np.sign(part - 0.75) and len({round(r, 9) for r in rate}) > 1
+        assert (np.diff(rate) * np.sign(dual) >= 0).all()
+        # optimality: the log-odds against the prior are proportional to size
+        inner = (rate > 1e-6) & (rate < 2 - 1e-6) & (size > 0)
+        odds = (np.log(rate[inner] / (2 - rate[inner])) - np.log(3)) / size[inner]
+        assert np.allclose(odds, odds[0], rtol=1e-4)
+    assert mixing.tilted(size, count, 1.5 * total)[0] == 0
+    rows = [(i, " ".join("w" * (5 if i % 2 else 200)), "ab"[i // 2 % 2]) for i in range(2000)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    mean = lambda s, n: np.mean([r.copies for r in got if "ab"[r.doc_id // 2 % 2] == s and r.size == n])
+    assert mean("b", 5) - mean("b", 200) > 0.3 and mean("a", 5) == mean("a", 200) == 2

@@ -103,8 +103,9 @@ def find_run(ids: Column, run: Sequence[int], start: Column | int = 0) -> Column
 
 def masked_labels(ids: Column, assistant: Sequence[int], attention: Column | None = None) -> Column:
     """ids with -100 up to and including the assistant's marker (everywhere without one) and where attention is 0."""
-    at = find_run(ids, assistant)
-    out = F.transform(ids, lambda x, i: F.when(at.isNull() | (i < at + len(assistant)), F.lit(-100)).otherwise(x))
+    mask = lambda at: F.transform(ids, lambda x, i: F.when(at.isNull() | (i < at + len(assistant)), F.lit(-100)).otherwise(x))
+    # the marker is bound by a lambda of its own: it is searched once for a row, not once for each id
+    out = F.get(F.transform(F.array(find_run(ids, assistant)), mask), F.lit(0))
     return out if attention is None else F.zip_with(out, attention, lambda x, a: F.when(a == 0, F.lit(-100)).otherwise(x))
 
 

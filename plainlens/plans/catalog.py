@@ -657,7 +657,7 @@ _IDS = f"{V.DOCS}, i AS (SELECT row_id, list_transform(list_slice({d_tokens('doc
 
 
 def _ids(spark, d):
-    return V.docs(spark, d).select("row_id", F.transform(F.slice(T.tokens(F.col("docs")), 1, 60), lambda w: F.length(w) % 6).alias("ids"))
+    return V.docs(spark, d).select("row_id", F.transform(T.tokens(F.col("docs")), lambda w: F.length(w) % 6).alias("ids"))
 
 
 @query(f"WITH {_IDS} SELECT row_id, len(ids) AS total_length, CASE WHEN p0 IS NULL THEN 0 ELSE len(ids) - p0 - 2 END AS valid_labels, round(CASE WHEN p0 IS NULL THEN 0 ELSE (len(ids) - p0 - 2) / greatest(len(ids), 1) END, 6) AS label_ratio, coalesce(list_contains(list_slice(ids, p0 + 3, 60), 4) AND len(ids) - p0 - 2 >= 20 AND (len(ids) - p0 - 2) / len(ids) >= 0.05, FALSE) AS is_valid FROM a")

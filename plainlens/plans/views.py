@@ -205,8 +205,8 @@ linked AS (SELECT t.*, coalesce(h.upos, '_') AS head_upos, CASE WHEN h.upos IS N
 
 
 def judge_answers(spark: SparkSession, d: str) -> DataFrame:
-    """item, answer: judge results as JSON made of events, some in code fences, some inside an object."""
-    e = table(spark, d, "events").filter("event_id < 3000").groupBy((F.col("event_id") % 300).alias("item")).agg(F.min("event_id").alias("e"), F.max("user_id").alias("u"))
+    """item, answer: a judge result as JSON for each event, some in code fences, some inside an object."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("item"), F.col("event_id").alias("e"), F.col("user_id").alias("u"))
     note = lambda v, i: F.concat(F.lit(f'"P{i}":{{"nota":'), ((F.col("e") * (v + 1) + F.col("u") * i) % 5 + 1).cast("string"), F.lit(',"justificativa":"j"}'))
     version = lambda v: F.concat(F.lit(f'"Versao_{v}":{{'), F.concat_ws(",", *[note(v, i) for i in range(1, 6)]), F.lit("}"))
     best = F.when(F.col("u") % 2 == 0, '["Versao_1","Versao_2"]').otherwise('["Versao_2","Versao_1"]')

@@ -29,3 +29,20 @@ def test_labels_of_whole_texts(spark, tmp_path):
     got = catalog.QUERIES["label_validity"](spark, str(tmp_path)).collect()
     assert {x.row_id: (x.total_length, x.valid_labels, x.label_ratio, x.is_valid) for x in got} == want
     assert {x.row_id: x.labels for x in catalog.QUERIES["masked_labels"](spark, str(tmp_path)).collect()} == labels
+
+
+def test_judge_answers_of_all_events(spark, tmp_path):
+    r = random.Random(6)
+    events = [(i, r.randint(1, 50)) for i in [*range(700), *range(2990, 3400), 10**6]]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    want, model = [], {}
+    for e, u in events:
+        for slot in (1, 2):
+            for c in range(1, 6):
+                score = (e * (slot + 1) + u * c) % 5 + 1
+                want.append((f"{e}__rep1", "Versao_1" if u % 2 == 0 else "Versao_2", slot, f"P{c}", score))
+                model.setdefault(("a" if (e % 2 == 0) == (slot == 1) else "b", f"P{c}"), []).append(score)
+    got = catalog.QUERIES["judge_scores"](spark, str(tmp_path)).collect()
+    assert sorted((x.id, x.best, x.slot, x.criterion, x.score) for x in got) == sorted(want)
+    means = {(x.model, x.criterion): (x.n, x.mean_score) for x in catalog.QUERIES["judge_means"](spark, str(tmp_path)).collect()}
+    assert means == {k: (len(v), round(sum(v) / len(v), 6)) for k, v in model.items()}

@@ -312,7 +312,7 @@ def files_located(spark, d):
 @query("WITH s AS (SELECT doc_id AS row_id, lang FROM documents WHERE doc_id % 2 = 0) SELECT s.row_id, s.lang, d.source, d.n_chars FROM s LEFT JOIN documents d ON d.doc_id = s.row_id")
 def backfilled_columns(spark, d):
     x = V.table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "lang", "source", "n_chars")
-    return curate.backfilled(x.filter("row_id % 2 = 0").select("row_id", "lang"), x, "row_id")
+    return curate.backfilled(x.select("row_id", "lang"), x, "row_id")
 
 
 # --- statistics --------------------------------------------------------------------------------------------------------

@@ -46,3 +46,9 @@ def test_judge_answers_of_all_events(spark, tmp_path):
     assert sorted((x.id, x.best, x.slot, x.criterion, x.score) for x in got) == sorted(want)
     means = {(x.model, x.criterion): (x.n, x.mean_score) for x in catalog.QUERIES["judge_means"](spark, str(tmp_path)).collect()}
     assert means == {k: (len(v), round(sum(v) / len(v), 6)) for k, v in model.items()}
+
+
+def test_backfill_of_all_documents(spark, tmp_path):
+    rows = documents(spark, tmp_path, [f"text {i}" for i in range(31)])
+    got = catalog.QUERIES["backfilled_columns"](spark, str(tmp_path)).collect()
+    assert sorted((x.row_id, x.lang, x.source, x.n_chars) for x in got) == sorted((i, *rest) for i, _, *rest in rows)

@@ -66,6 +66,11 @@ def curve_keys(vectors: np.ndarray, curve: int) -> np.ndarray:
     return hilbert_keys(np.clip((place * 0.5 + 0.25) * (1 << BITS), 0, (1 << BITS) - 1), BITS)
 
 
+def run_bounds(cuts: list[int], top: int) -> list[int]:
+    """Upper keys of all runs but the last, each once: a key that fills several quantiles makes no empty runs beside its own."""
+    return sorted({int(c) for c in cuts if c < top})
+
+
 def usable(column: str) -> Column:
     """Whether a vector has components, all of them finite, and is not zero."""
     c = F.col(column)
@@ -153,16 +158,18 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
         raise ValueError(f"vectors have {whole.low} to {whole.high} components")
     blocks = max(1, min(blocks, int(whole.n) // RUN_ROWS))
     keyed = rows.select("id", "v").mapInArrow(_keys(curves, whole.scale), "id long, curve int, key long, v array<double>")
-    cuts = keyed.groupBy("curve").agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20_000).alias("cuts"))
-    bounds = [r.cuts or [] for r in sorted(cuts.collect(), key=lambda r: r.curve)]  # curves x blocks numbers
+    cuts = keyed.groupBy("curve").agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20_000).alias("cuts"), F.max("key").alias("top"))
+    cut = {r.curve: r for r in cuts.collect()}  # curves x blocks numbers
+    bounds = [run_bounds(cut[c].cuts or [], cut[c].top) for c in range(curves)]
     slices = max(1, -(-int(whole.n) // (blocks * slice_rows)))
     at = F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in c]).cast("array<long>") for c in bounds]), F.col("curve") + 1)
+    last = F.element_at(F.array(*[F.lit(len(c)) for c in bounds]), F.col("curve") + 1)
     run = F.size(F.filter(at, lambda c: c < F.col("key")))
     placed = keyed.withColumn("run", run.cast("int"))
     base = placed.select("curve", "run", F.pmod(F.xxhash64("id", "v"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("query"), "id", "v")
     ids = rows.filter("_q").select("id", "v")
     asked = ids.mapInArrow(_keys(curves, whole.scale), "id long, curve int, key long, v array<double>").withColumn("run", run.cast("int"))
-    window = F.explode(F.sequence(F.greatest(F.lit(0), F.col("run") - reach), F.least(F.lit(blocks - 1), F.col("run") + reach)))
+    window = F.explode(F.sequence(F.greatest(F.lit(0), F.col("run") - reach), F.least(last, F.col("run") + reach)))
     asked = asked.select("curve", window.alias("run"), "id", "v").select("curve", "run", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("query"), "id", "v")
     dealt = base.unionByName(asked).repartition(partitions(spark), "curve", "run", "slice").sortWithinPartitions("curve", "run", "slice", "query")
     found = dealt.mapInArrow(_nearest(k), "query_id long, vec_id long, score double")

@@ -45,3 +45,21 @@ def test_edges(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.neighbours(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect())
     assert got == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert ann.neighbours(df.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
+
+
+def test_hot_vector(spark):
+    """A third of the rows is one vector; queries beside it on the curve must still see its copies."""
+    g = np.random.default_rng(3)
+    hot = np.array([0.9, 0.4])
+    x = np.concatenate([g.uniform(-2, 2, (6000, 2)), np.repeat(hot[None], 3000, 0), hot + g.normal(0, 0.02, (60, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    n, key = len(x), ann.curve_keys(x / np.sqrt((x**2).sum(1).mean()), 0)
+    cuts = np.unique(np.sort(key)[[-(-j * n // 16) - 1 for j in range(1, 16)]])
+    above = min(cuts[cuts > key[6000]], default=key.max())
+    beside = [i for i in range(9000, n) if key[6000] < key[i] <= above]  # in the run after the hot key's
+    got = {}
+    for r in ann.neighbours(df, "vec_id", "embedding", F.col("vec_id") >= 9000, curves=1).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    assert len(beside) > 5 and all(len(got[q]) == 10 for q in range(9000, n))
+    # 3,000 copies are at this distance, so the tenth neighbour is no farther
+    assert all(max(got[q]) <= np.sqrt(((x[q] - hot) ** 2).sum()) + 1e-9 for q in beside)

@@ -40,12 +40,9 @@ BPE_CACHE = 120_000
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and whether decoding gives the tokens back, one row per copy."""
-    coded = bpe.bpe_round_trip(docs.select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"), BPE_CACHE)
-    size = F.size("ids").cast("long")
-    # this vocabulary decodes to its tokens joined by spaces, so their number must come back
-    back = F.when(size == 0, F.col("decoded") == "").otherwise(F.size(F.split("decoded", " ")) == size)
-    return coded.select("doc_id", "source", size.alias("n_tokens"), "ids", back.alias("round_trip"))
+    """doc_id, source, n_tokens, ids and whether the decoded tokens spell out the text's normalised words, one row per copy."""
+    coded = bpe.bpe_round_trip(docs.select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"), BPE_CACHE, spelt="round_trip")
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -161,6 +161,11 @@ class WordBpe:
             if w not in self.words:
                 self.words[w] = np.array(self.merge(self.symbols(w)), "<u4").tobytes()
 
+    def spells(self, decoded: str, parts: list[str | int]) -> bool:
+        """Whether decoded tokens, joined by spaces, are the words and special tokens of a piece of text."""
+        names = [t.removesuffix(self.end) if self.end and t != self.end else t for t in decoded.split(" ")]
+        return "".join(names) == "".join([self.names[w] if isinstance(w, int) else w for w in parts])
+
     def parts(self, text: str) -> list[str | int]:
         """Words in order, special tokens as ids. The text holds no ASCII white space."""
         special = any(content in text for content, _ in self.special)
@@ -182,11 +187,13 @@ class Encoder:
         self.bpe, self.cache = WordBpe(raw, cache), cache
         self.ids: dict[bytes, bytes] = {}
         self.text: dict[bytes, str] = {}
+        #: Pieces whose decoded tokens do not spell out their words.
+        self.lost: set[bytes] = set()
 
-    def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:
-        """Little-endian 32-bit ids, and tokens joined by one space (this vocabulary's file names no decoder)."""
+    def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str], list[bool]]:
+        """Little-endian 32-bit ids, and tokens joined by one space (this vocabulary's file names no decoder), and whether these spell out the words."""
         if len(self.ids) > self.cache:
-            self.ids, self.text = {}, {}
+            self.ids, self.text, self.lost = {}, {}, set()
         if len(self.bpe.words) > self.cache:
             self.bpe.words = {}
         cut = [t.split() for t in texts]
@@ -197,8 +204,10 @@ class Encoder:
             raw = b"".join([w.to_bytes(4, "little") if isinstance(w, int) else self.bpe.words[w] for w in ws])
             self.ids[p] = raw
             self.text[p] = " ".join([self.bpe.names[i] for (i,) in struct.iter_unpack("<I", raw)])
+            if not self.bpe.spells(self.text[p], ws):
+                self.lost.add(p)
         get, text = self.ids.__getitem__, self.text.__getitem__
-        return [b"".join(map(get, c)) for c in cut], [" ".join(filter(None, map(text, c))) for c in cut]
+        return [b"".join(map(get, c)) for c in cut], [" ".join(filter(None, map(text, c))) for c in cut], [self.lost.isdisjoint(c) for c in cut]
 
 
 _encoders: dict[tuple[int, int], Encoder] = {}
@@ -219,22 +228,23 @@ def _run(vocabulary, cache: int):
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                ids, text = encoder.encode(part.column("text").fill_null("").cast(pa.large_binary()).to_pylist())
+                ids, text, spelt = encoder.encode(part.column("text").fill_null("").cast(pa.large_binary()).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 rest = part.schema.names[:-1]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [lists, pa.array(text)], names=rest + ["ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [lists, pa.array(text), pa.array(spelt, pa.bool_())], names=rest + ["ids", "decoded", "spelt"])
 
     return run
 
 
-def bpe_round_trip(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, cache: int = CACHE, spelt: str | None = None) -> DataFrame:
     """The documents' other columns with ids array<int> and decoded string, as the tokenizers library makes them.
 
     path: the vocabulary's JSON, read on the driver and broadcast (it must not pass VOCABULARY_BYTES). Special tokens are
     not added, but their strings in a text are special tokens. A null text is empty and gives no ids and an empty text.
     Rows are independent: repeated rows get equal results, any table may be empty, and other columns (renamed inside, so
-    that none clashes) pass through; columns named ids or decoded are replaced.
+    that none clashes) pass through; columns named ids or decoded are replaced. A name in spelt adds a column: whether the decoded
+    tokens, without their marks of word ends, are the normalised words of the text.
     """
     spark = prepare(docs.sparkSession)
     with open(path, "rb") as f:
@@ -243,6 +253,6 @@ def bpe_round_trip(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
         raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} bytes")
     rest = [f for f in docs.schema if f.name not in ("text", "ids", "decoded")]
     inner = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], F.col("text").cast("string").alias("text"))
-    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)] + ["ids array<int>", "decoded string"])
+    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)] + ["ids array<int>", "decoded string", "spelt boolean"])
     out = inner.mapInArrow(_run(spark.sparkContext.broadcast(raw), cache), schema)
-    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(rest)], "ids", "decoded")
+    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(rest)], "ids", "decoded", *([F.col("spelt").alias(spelt)] if spelt else []))

@@ -102,3 +102,14 @@ def test_token_query(spark):
         x = got[r.doc_id]
         assert (x.start, x.n_tokens, x.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_decoded_tokens_spell_the_words():
+    with open(vocabulary("word_bpe_49k.json"), "rb") as f:
+        encoder = bpe.Encoder(f.read())
+    texts = ["The quick-brown fox's 42 tests, naïve ÉCOLE ß 你好 🙂", "", "<|endoftext|> tail"]
+    assert encoder.encode([t.encode() for t in texts])[2] == [True] * 3
+    # as many tokens as before, but a wrong one: the number of tokens does not tell
+    encoder.ids.clear()
+    encoder.bpe.words["fox"] = encoder.bpe.words["quick"]
+    assert encoder.encode([b"the fox", b"the quick"])[2] == [False, True]

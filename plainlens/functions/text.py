@@ -18,8 +18,8 @@ WORD = r"[\p{L}\p{N}_]"
 #: Vowels of a syllable, readability constants and bands.
 VOWELS = "[aeiouáéíóúâêôãõàü]"
 FLESCH = (248.835, 1.015, 84.6)
-BANDS = ((75, "Muito fácil"), (50, "Médio"), (25, "Difícil"))
-LAST_BAND = "Muito difícil"
+BANDS = ((75, "Muito fácil (nível fundamental)"), (50, "Médio (nível médio)"), (25, "Difícil (nível superior)"))
+LAST_BAND = "Muito difícil (pós-graduação / textos técnicos)"
 #: Abbreviations whose dot ends no sentence.
 ABBREVIATIONS = ("Art", "art", "Dr", "Dra", "Inc", "Par", "n", "nº", "n.º", "al")
 
@@ -82,18 +82,32 @@ def sentences(c: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Colu
     return F.filter(F.transform(F.split(s, "\u0001"), lambda x: strip_ws(F.translate(x, "\u0002", "."))), lambda x: x != "")
 
 
-def sentence_count(c: Column) -> Column:
-    return F.size(sentences(F.coalesce(c, F.lit(""))))
+def sentence_count(c: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
+    """How many sentences there are: breaks that more than white space follows, and one; no array is built."""
+    names = "|".join(a.replace(".", r"\.") for a in abbreviations)
+    s = F.regexp_replace(c, rf"(^|[^\p{{L}}\p{{N}}_])({names})\.", "$1$2\u0002") if abbreviations else c
+    breaks = F.regexp_count(s, F.lit(rf"[.!?][”’)\]\"]?{WS}++(?!\z)"))
+    return F.when(c.rlike(f"[^{BLANKS}]"), breaks + 1).otherwise(0)
 
 
 def flesch(c: Column, digits: int | None = 2) -> Column:
     """Portuguese reading ease; digits None leaves it unrounded."""
-    a, b, d = FLESCH
-    words, sents = word_count(c), F.greatest(F.lit(1), F.size(sentences(c)))
-    score = F.lit(a) - F.lit(b) * (words / sents) - F.lit(d) * (syllables(c) / F.greatest(F.lit(1), words))
+    score = flesch_of(word_count(c), syllables(c), sentence_count(c))
     return score if digits is None else F.round(score, digits)
 
 
+def flesch_of(words: Column, n_syllables: Column, n_sentences: Column) -> Column:
+    a, b, d = FLESCH
+    return F.lit(a) - F.lit(b) * (words / F.greatest(F.lit(1), n_sentences)) - F.lit(d) * (n_syllables / F.greatest(F.lit(1), words))
+
+
+def with_flesch(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the unrounded reading ease; the counts are columns of their own, so each is made once for a row."""
+    c = F.col(f"`{column}`")
+    counted = df.withColumns({"_w": word_count(c), "_y": syllables(c), "_s": sentence_count(c)})
+    return counted.withColumn(name, flesch_of(F.col("_w"), F.col("_y"), F.col("_s"))).drop("_w", "_y", "_s")
+
+
 def flesch_band(score: Column) -> Column:
     return reduce(lambda w, b: w.when(score >= b[0], b[1]), BANDS[1:], F.when(score >= BANDS[0][0], BANDS[0][1])).otherwise(LAST_BAND)
 

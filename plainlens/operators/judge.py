@@ -42,20 +42,19 @@ def json_array(c: Column) -> Column:
     s = T.strip_ws(c)
     for pattern in (f"^```json{T.WS}*", f"^```{T.WS}*", f"{T.WS}*```$"):
         s = F.regexp_replace(s, pattern, "")
-    first, last = F.instr(s, "["), F.length(s) - F.instr(F.reverse(s), "]") + 1
-    there = (first > 0) & (F.instr(s, "]") > 0) & (last > first)
-    return F.when(there, F.substr(s, first, last - first + 1)).otherwise(s)
+    return F.regexp_replace(s, r"(?s)\A[^\[]*(\[.*\])[^\]]*\z", "$1")
 
 
 def parsed(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Judge results, one row each, and the rows whose answer is no JSON. An answer is an array, or an object with results."""
-    s = json_array(F.col(column))
-    items = F.from_json(s, f"array<{RESULT}>", {"mode": "PERMISSIVE"})
-    whole = F.from_json(s, f"struct<results:array<{RESULT}>>", {"mode": "PERMISSIVE"})
-    sound = F.try_parse_json(s).isNotNull()
-    tried = df.withColumns({"_ok": sound, "_items": F.when(s.startswith("["), items).otherwise(F.coalesce(whole["results"], F.array().cast(f"array<{RESULT}>")))})
-    keep = [c for c in tried.columns if c not in ("_ok", "_items")]
-    return exploded(tried.filter("_ok"), keep, "_items", "result"), tried.filter("NOT _ok").drop("_ok", "_items")
+    s = F.col("_json")
+    tried = df.withColumn("_json", json_array(F.col(column)))
+    # an array becomes an object with results too, so that one reader parses each answer once
+    whole = F.when(s.startswith("["), F.concat(F.lit('{"results":'), s, F.lit("}"))).otherwise(s)
+    tried = tried.withColumns({"_ok": F.try_parse_json(s).isNotNull(), "_json": whole})
+    items = F.from_json(s, f"struct<results:array<{RESULT}>>", {"mode": "PERMISSIVE"})["results"]
+    good = tried.filter("_ok").withColumn("_items", F.coalesce(items, F.array().cast(f"array<{RESULT}>")))
+    return exploded(good, df.columns, "_items", "result"), tried.filter("NOT _ok").select(*df.columns)
 
 
 def scores(results: DataFrame, result: str = "result") -> DataFrame:

@@ -19,3 +19,17 @@ def global_rank(df: DataFrame, md5_col: str, *ties: str, name: str = "rank") ->
     inside = Window.partitionBy("_p").orderBy(md5_col, *ties)
     ranked = keyed.withColumn(name, F.row_number().over(inside)).join(F.broadcast(counts), "_p")
     return ranked.withColumn(name, F.col(name) + F.col("_before")).drop("_p", "_before")
+
+
+def ranked_by_value(df: DataFrame, key: str, *ties: str, name: str = "rank", runs: int = 256) -> DataFrame:
+    """1-based rank by a numeric key, then ties: rows are ranked inside runs of about equal size, whose borders are
+    approximate quantiles, and the counts of the runs, a bounded table, are summed up and broadcast. Nulls come first; rows
+    of one key are in one run, so ties are only ranked there."""
+    cuts = df.agg(F.percentile_approx(key, [i / runs for i in range(1, runs)], 20 * runs)).first()[0]
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
+    keyed = df.withColumn("_p", F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < F.col(key)))))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_p").orderBy(key, *ties)
+    ranked = keyed.withColumn(name, F.row_number().over(inside)).join(F.broadcast(counts), "_p")
+    return ranked.withColumn(name, F.col(name) + F.col("_before")).drop("_p", "_before")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..functions.rows import exploded
 from ..operators import curate, judge, pages, sari, similarity, splits, stats, ud
-from ..operators.ordering import global_rank
+from ..operators.ordering import ranked_by_value
 from . import views as V
 from .views import d_band, d_flesch, d_sentences, d_strip, d_sub, d_syllables, d_tokens, d_windows, d_words, q
 
@@ -36,20 +36,21 @@ def r6(c):
 
 @query(f"WITH {V.DOCS}, s AS (SELECT lang, {d_flesch('docs')} AS f FROM docs) SELECT lang, {d_band('f')} AS band, count(*) AS n, round(avg(f), 6) AS mean_flesch FROM s GROUP BY 1, 2")
 def flesch_by_lang_band(spark, d):
-    x = V.docs(spark, d).select("lang", T.flesch(F.col("docs"), None).alias("f"))
+    x = T.with_flesch(V.docs(spark, d).select("lang", "docs"), "docs", "f")
     return x.groupBy("lang", T.flesch_band(F.col("f")).alias("band")).agg(F.count("*").alias("n"), r6(F.avg("f")).alias("mean_flesch"))
 
 
 @query(f"WITH {V.DOCS} SELECT row_id, {d_words('docs')} AS n_words, {d_syllables('docs')} AS n_syllables, len({d_sentences('docs')}) AS n_sentences, len({d_tokens('docs')}) AS n_tokens, len(regexp_replace(docs, '[^A-Za-zÀ-ÿ]', '', 'g')) AS n_letters, round({d_flesch('docs')}, 6) AS flesch FROM docs")
 def document_statistics(spark, d):
     c = F.col("docs")
-    return V.docs(spark, d).select("row_id", T.word_count(c).alias("n_words"), T.syllables(c).alias("n_syllables"), T.sentence_count(c).alias("n_sentences"), T.token_count(c).alias("n_tokens"), T.letter_count(c).alias("n_letters"), r6(T.flesch(c, None)).alias("flesch"))
+    x = V.docs(spark, d).select("row_id", T.word_count(c).alias("n_words"), T.syllables(c).alias("n_syllables"), T.sentence_count(c).alias("n_sentences"), T.token_count(c).alias("n_tokens"), T.letter_count(c).alias("n_letters"))
+    return x.withColumn("flesch", r6(T.flesch_of(F.col("n_words"), F.col("n_syllables"), F.col("n_sentences"))))
 
 
-@query(f"WITH {V.DOCS}, s AS (SELECT row_id, docs, {d_flesch('docs')} AS f FROM docs) SELECT 'Documento ' || row_number() OVER (ORDER BY row_id) AS document, round(f, 6) AS score, {d_band('f')} AS label FROM s")
+@query(f"WITH {V.DOCS}, s AS (SELECT row_id, docs, {d_flesch('docs')} AS f FROM docs) SELECT 'Documento ' || row_number() OVER (ORDER BY row_id) AS document, round(f, 6) AS score, {d_band('round(f, 2)')} AS label FROM s")
 def rated_documents(spark, d):
-    x = V.docs(spark, d).withColumn("f", T.flesch(F.col("docs"), None)).withColumn("_m", F.lpad(F.col("row_id").cast("string"), 20, "0"))
-    return global_rank(x, "_m", "row_id").select(F.concat(F.lit("Documento "), F.col("rank").cast("string")).alias("document"), r6(F.col("f")).alias("score"), T.flesch_band(F.col("f")).alias("label"))
+    x = T.with_flesch(V.docs(spark, d).select("row_id", "docs"), "docs", "f").select("row_id", "f")
+    return ranked_by_value(x, "row_id").select(F.concat(F.lit("Documento "), F.col("rank").cast("string")).alias("document"), r6(F.col("f")).alias("score"), T.flesch_band(F.round("f", 2)).alias("label"))
 
 
 @query(f"WITH {V.DOCS} SELECT row_id, len(list_distinct(list_filter(string_split(regexp_replace(strip_accents(lower(docs)), '[^a-z]+', ' ', 'g'), ' '), lambda w: w <> ''))) AS n_distinct FROM docs")
@@ -309,7 +310,7 @@ def files_located(spark, d):
     return curate.located(p.select((F.col("page_id") % 900).cast("string").alias("name")).distinct(), p.select("url"), "name", "url")
 
 
-@query("WITH s AS (SELECT doc_id AS row_id, lang FROM documents WHERE doc_id % 2 = 0) SELECT s.row_id, s.lang, d.source, d.n_chars FROM s LEFT JOIN documents d ON d.doc_id = s.row_id")
+@query("WITH s AS (SELECT doc_id AS row_id, lang FROM documents) SELECT s.row_id, s.lang, d.source, d.n_chars FROM s LEFT JOIN documents d ON d.doc_id = s.row_id")
 def backfilled_columns(spark, d):
     x = V.table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "lang", "source", "n_chars")
     return curate.backfilled(x.select("row_id", "lang"), x, "row_id")
@@ -653,20 +654,20 @@ def chat_examples(spark, d):
     return m.select("pair_id", F.col("messages")[0]["content"][0]["text"].alias("ask"), F.col("messages")[1]["content"][0]["text"].alias("answer"))
 
 
-_IDS = f"{V.DOCS}, i AS (SELECT row_id, list_transform(list_slice({d_tokens('docs')}, 1, 60), lambda w: length(w) % 6) AS ids FROM docs), a AS (SELECT row_id, ids, list_filter(range(0, greatest(len(ids) - 1, 0)), lambda j: ids[j + 1] = 2 AND ids[j + 2] = 3)[1] AS p0 FROM i)"
+_IDS = f"{V.DOCS}, i AS (SELECT row_id, list_transform({d_tokens('docs')}, lambda w: length(w) % 6) AS ids FROM docs), t AS (SELECT row_id, ids, array_to_string(ids, '') AS digits FROM i), a AS (SELECT row_id, ids, nullif(instr(digits, '23'), 0) - 1 AS p0, substr(digits, instr(digits, '23') + 2) AS after FROM t)"
 
 
 def _ids(spark, d):
     return V.docs(spark, d).select("row_id", F.transform(T.tokens(F.col("docs")), lambda w: F.length(w) % 6).alias("ids"))
 
 
-@query(f"WITH {_IDS} SELECT row_id, len(ids) AS total_length, CASE WHEN p0 IS NULL THEN 0 ELSE len(ids) - p0 - 2 END AS valid_labels, round(CASE WHEN p0 IS NULL THEN 0 ELSE (len(ids) - p0 - 2) / greatest(len(ids), 1) END, 6) AS label_ratio, coalesce(list_contains(list_slice(ids, p0 + 3, 60), 4) AND len(ids) - p0 - 2 >= 20 AND (len(ids) - p0 - 2) / len(ids) >= 0.05, FALSE) AS is_valid FROM a")
+@query(f"WITH {_IDS} SELECT row_id, len(ids) AS total_length, CASE WHEN p0 IS NULL THEN 0 ELSE len(ids) - p0 - 2 END AS valid_labels, round(CASE WHEN p0 IS NULL THEN 0 ELSE (len(ids) - p0 - 2) / greatest(len(ids), 1) END, 6) AS label_ratio, coalesce(contains(after, '4') AND len(ids) - p0 - 2 >= 20 AND (len(ids) - p0 - 2) / len(ids) >= 0.05, FALSE) AS is_valid FROM a")
 def label_validity(spark, d):
     x = judge.label_validity(_ids(spark, d), "ids", [2, 3], [4])
     return x.select("row_id", "total_length", "valid_labels", r6(F.col("label_ratio")).alias("label_ratio"), "is_valid")
 
 
-@query(f"WITH {_IDS} SELECT row_id, list_transform(range(0, len(ids)), lambda j: CASE WHEN p0 IS NULL OR j < p0 + 2 THEN -100 ELSE ids[j + 1] END)::VARCHAR AS labels FROM a")
+@query(f"WITH {_IDS} SELECT row_id, list_transform(ids, lambda x, j: CASE WHEN p0 IS NULL OR j <= p0 + 2 THEN -100 ELSE x END)::VARCHAR AS labels FROM a")
 def masked_labels(spark, d):
     x = _ids(spark, d).select("row_id", judge.masked_labels(F.col("ids"), [2, 3]).cast("array<string>").alias("l"))
     return x.select("row_id", F.concat(F.lit("["), F.array_join("l", ", "), F.lit("]")).alias("labels"))

@@ -58,8 +58,7 @@ def d_flesch(x: str) -> str:
 
 
 def d_band(x: str) -> str:
-    whens = " ".join(f"WHEN {x} >= {k} THEN {q(v)}" for k, v in T.BANDS)
-    return f"CASE {whens} ELSE {q(T.LAST_BAND)} END"
+    return f"CASE WHEN {x} >= 75 THEN 'Muito fácil (nível fundamental)' WHEN {x} >= 50 THEN 'Médio (nível médio)' WHEN {x} >= 25 THEN 'Difícil (nível superior)' ELSE 'Muito difícil (pós-graduação / textos técnicos)' END"
 
 
 def d_windows(items: str, size: int, overlap: int) -> str:
@@ -215,4 +214,4 @@ def judge_answers(spark: SparkSession, d: str) -> DataFrame:
     return e.select("item", "e", "u", F.when(F.col("e") % 3 == 0, F.concat(F.lit("```json\n"), array, F.lit("\n```"))).when(F.col("e") % 3 == 1, array).otherwise(F.concat(F.lit('{"results":'), array, F.lit("}"))).alias("answer"))
 
 
-JUDGE = "ev AS (SELECT event_id % 300 AS item, min(event_id) AS e, max(user_id) AS u FROM events WHERE event_id < 3000 GROUP BY 1), notes AS (SELECT item, e, u, v AS slot, c, (e * (v + 1) + u * c) % 5 + 1 AS score, CASE WHEN u % 2 = 0 THEN 'Versao_1' ELSE 'Versao_2' END AS best FROM ev, range(1, 3) r(v), range(1, 6) s(c))"
+JUDGE = "ev AS (SELECT event_id AS item, event_id AS e, user_id AS u FROM events), notes AS (SELECT item, e, u, v AS slot, c, (e * (v + 1) + u * c) % 5 + 1 AS score, CASE WHEN u % 2 = 0 THEN 'Versao_1' ELSE 'Versao_2' END AS best FROM ev, range(1, 3) r(v), range(1, 6) s(c))"

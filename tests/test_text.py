@@ -32,9 +32,9 @@ def test_sentences(spark):
 
 def test_flesch(spark):
     (score, band), = values(spark, ["O gato bebe. Ele dorme."], T.flesch(F.col("t")), T.flesch_band(T.flesch(F.col("t"))))
-    assert score == round(248.835 - 1.015 * (5 / 2) - 84.6 * (9 / 5), 2) and band == "Muito fácil"
+    assert score == round(248.835 - 1.015 * (5 / 2) - 84.6 * (9 / 5), 2) and band == "Muito fácil (nível fundamental)"
     bands = [r[0] for r in values(spark, ["75", "74.9", "50", "25", "24"], T.flesch_band(F.col("t").cast("double")))]
-    assert bands == ["Muito fácil", "Médio", "Médio", "Difícil", "Muito difícil"]
+    assert bands == ["Muito fácil (nível fundamental)", "Médio (nível médio)", "Médio (nível médio)", "Difícil (nível superior)", "Muito difícil (pós-graduação / textos técnicos)"]
 
 
 def test_accents(spark):

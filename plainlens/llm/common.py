@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows in one Arrow batch sent to Python; bounds a worker's memory for long texts.
 BATCH_ROWS = 1000
+#: Estimated input of one task of a shuffle, and the most tasks that follow from it.
+PART_BYTES, MAX_PARTS = 256 << 20, 100_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -43,13 +45,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may go without; it gets a new one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(conf)
         return conf
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plainlens-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -59,8 +63,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, *inputs: DataFrame) -> int:
+    """Tasks of a shuffle of these tables: spark.sql.shuffle.partitions, or more where a task would get over PART_BYTES of
+    what the plans of the inputs are estimated at. Plans without an estimate count for nothing."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in inputs:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size < 1 << 60:
+            n = max(n, min(MAX_PARTS, -(-size // PART_BYTES)))
+    return n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,28 +11,28 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import id_key, partitions, prepare
+from . import bytesops as B
+from .common import MAX_PARTS, id_key, partitions, prepare
 
 LENGTH = 1024
 #: Sequences in one record batch.
 ROWS = 512
 #: Entries of a worker's cache of encoded pieces; it is emptied beyond it. Results do not depend on it.
 CACHE = 1_000_000
-#: Unicode's white space. A piece is white space with the characters after it, cut again between a Latin letter and
-#: punctuation. The vocabulary's own pattern never joins a character to white space after it, or a letter to such
-#: punctuation, so pieces are encoded alone.
-_BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f"[{_BLANK}]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[.,!?;:{_BLANK}]|\\Z)|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+#: Bytes of text that are encoded at once.
+CHUNK_BYTES = 4 << 20
+#: Unknown pieces that stand in one text for the library.
+JOINED = 128
 _MANIFEST = "part int, path string, index_path string, n_docs long, n_tokens long"
 
 
@@ -42,71 +42,118 @@ def _filesystem(uri: str) -> tuple:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(uri))
 
 
+#: Bytes after which a space or line break may open a piece: printable ASCII, and the second byte of Latin letters (after
+#: C3); letters of both kinds, after which punctuation may.
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,!?;:"]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 32]] = True
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of pieces that can be encoded alone: texts are cut before white space and before a letter's punctuation.
+
+    The byte-level pattern always ends a token between a character that is no white space and white space, and between a
+    letter and one of these marks. Places that are not sure to be such borders are not cut.
+    """
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        latin = np.zeros(len(data) - 1, bool)
+        latin[1:] = (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+        cut[1:-1] = (_GAP[data[1:]] & (_SOLID[data[:-1]] | latin)) | (_MARK[data[1:]] & (_LETTER[data[:-1]] | latin))
+    cut[offsets[:-1]] = True
+    return np.flatnonzero(cut[: len(data)])
+
+
 class Pieces:
-    """Texts to packed ids with a bounded cache."""
+    """Texts to ids with a bounded cache: the ids of all known pieces stand end to end in one array."""
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), np.dtype(dtype), {}
+        self.tokenizer, self.dtype, self.cache = Tokenizer.from_file(path), np.dtype(dtype), cache
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.border = special[0] if special else None
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t.content.encode() for t in added]
         spec = json.loads(self.tokenizer.to_str())
-        self.bytes_of = None
-        if (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] and not spec["normalizer"]:
-            vocabulary = self.tokenizer.get_vocab()  # in a byte-level vocabulary a token has a character for each byte
-            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces in calls of many.
-
-        Pieces that begin with a space or line break and go on can stand end to end, and are told apart by the bytes of
-        their tokens; others have a special token as the border between them.
-        """
-        width = self.dtype.itemsize
-        if self.bytes_of is not None:
-            joined = [p for p in pieces if p[0] in " \n" and not p.isspace()]
-            for at in range(0, len(joined), 1000):
-                part = joined[at : at + 1000]
-                text = "".join(part)
-                if any(s in text for s in self.special):
-                    continue
-                ids = np.array(self._ids(text), np.int64)
-                have, want = np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in part])
-                ends = np.searchsorted(have, want)
-                if len(ids) and have[-1] == want[-1] and (have[ends] == want).all():
-                    raw, start = ids.astype(self.dtype).tobytes(), 0
-                    for p, end in zip(part, (ends + 1).tolist(), strict=True):
-                        self.known[p] = raw[start * width : end * width]
-                        start = end
-            pieces = [p for p in pieces if p not in self.known]
-        plain = pieces if self.border is None else [p for p in pieces if not any(s in p for s in self.special)]
-        for p in pieces if self.border is None or len(plain) < len(pieces) else ():
-            if self.border is None or any(s in p for s in self.special):
-                self.known[p] = np.array(self._ids(p), self.dtype).tobytes()
-        for at in range(0, len(plain) if self.border else 0, 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self._ids(self.border[0].join(part)), np.int64)
-            raw, ends = ids.astype(self.dtype).tobytes(), [*np.flatnonzero(ids == self.border[1]).tolist(), len(ids)]
-            start = 0
-            for p, end in zip(part, ends, strict=True):
-                self.known[p] = raw[start * width : end * width]
-                start = end + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        cut = [_PIECE.findall(t) for t in texts]
-        self.learn(list(set().union(*cut).difference(self.known)))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        before = spec["pre_tokenizer"] or {}
+        known_form = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and not spec["normalizer"]
+        alone = all(not (t.lstrip or t.rstrip or t.single_word) and len(piece_starts(d := np.frombuffer(b"x" + t.content.encode() + b"x", np.uint8), np.array([0, len(d)]))) == 1 for t in added)
+        #: Only with this form of tokenizer may texts be cut; in its vocabulary a token has a character for each byte.
+        self.cuts = known_form and alone
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.first, self.count, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.dtype)
+        self.used = 0
+
+    def _store(self, pieces: Sequence[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        at, n = len(self.known), len(pieces)
+        while at + n > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count[at : at + n] = count
+        self.first[at : at + n] = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(at, at + n), strict=True))
+
+    def _several(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: np.ndarray) -> None:
+        """Encode an array of pieces (bytes). Those that open with a gap and end solid may stand end to end, JOINED in one
+        text, and are told apart by the bytes of their tokens; all others are texts of their own."""
+        joins = np.fromiter((p[0] in (10, 32) and bool(_SOLID[p[-1]]) for p in pieces), bool, len(pieces)) if self.cuts else np.zeros(len(pieces), bool)
+        alone, order = list(pieces[~joins]), pieces[joins]
+        groups = [order[at : at + JOINED] for at in range(0, len(order), JOINED)]
+        for at in range(0, len(groups), 16):
+            texts = [b"".join(g) for g in groups[at : at + 16]]
+            for group, text, ids in zip(groups[at : at + 16], texts, self._several([t.decode() for t in texts]), strict=True):
+                have, want = np.cumsum(self.bytes_of[ids]), np.cumsum([len(p) for p in group])
+                ends = np.minimum(np.searchsorted(have, want), len(have) - 1)
+                if any(s in text for s in self.special) or not len(ids) or have[-1] != want[-1] or (have[ends] != want).any():
+                    alone += list(group)
+                else:
+                    self._store(group, ids, np.diff(ends + 1, prepend=0))
+        for at in range(0, len(alone), 1000):
+            got = self._several([p.decode() for p in alone[at : at + 1000]])
+            self._store(alone[at : at + 1000], np.concatenate(got), np.array([len(g) for g in got], np.int64))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts end to end, and how many each has; a null text is empty."""
+        parts = [(np.zeros(0, self.dtype), np.zeros(0, np.int64))]
+        for _, _, data, offsets in B.text_chunks(texts, CHUNK_BYTES):
+            starts = piece_starts(data, offsets) if self.cuts else np.unique(offsets[:-1][np.diff(offsets) > 0])
+            if len(self.known) > self.cache:
+                self.forget()
+            bounds = np.append(starts, len(data))
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+            coded = pieces.dictionary_encode()
+            different = coded.dictionary.to_numpy(zero_copy_only=False)
+            slots = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
+            new = np.flatnonzero(slots < 0)
+            if len(new):
+                self.learn(different[new])
+                slots[new] = np.fromiter(map(self.known.__getitem__, different[new]), np.int64, len(new))
+            slots = slots[coded.indices.to_numpy()]
+            size = self.count[slots]
+            last = np.cumsum(size)
+            at = np.arange(last[-1] if len(last) else 0) + np.repeat(self.first[slots] - last + size, size)
+            upto = np.concatenate([[0], last])[np.searchsorted(starts, offsets)]
+            parts.append((self.ids[at], np.diff(upto)))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 @lru_cache(maxsize=2)
@@ -129,7 +176,7 @@ def _write(uri: str, path: str, dtype: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces, end = pieces_of(path, dtype), np.array([end_id], dtype).tobytes()
+        pieces = pieces_of(path, dtype)
         part = TaskContext.get().partitionId()
         fs, base = _filesystem(uri)
         fs.create_dir(base, recursive=True)
@@ -140,18 +187,17 @@ def _write(uri: str, path: str, dtype: str, end_id: int, length: int):
         with fs.open_output_stream(f"{stem}.arrow") as out, fs.open_output_stream(f"{stem}.index.arrow") as out_index:
             with pa.ipc.new_file(out, _schema(dtype, length)) as file, pa.ipc.new_file(out_index, index) as file_index:
                 for b in batches:
-                    for at in range(0, b.num_rows, 200):
-                        rows = b.slice(at, 200)
-                        made = [x + end for x in pieces.encode(rows.column("text").fill_null("").to_pylist())]
-                        size = np.array([len(x) // width for x in made], np.int64)
-                        start = total + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-                        file_index.write_batch(pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(start), pa.array(size)], schema=index))
-                        total, count = total + int(size.sum()), count + len(made)
-                        for x in made:
-                            held += x
-                            while len(held) >= full:
-                                file.write_batch(_sequences(bytes(held[:full]), dtype, length, ROWS * length))
-                                del held[:full]
+                    ids, size = pieces.encode(b.column("text"))
+                    ids, size = np.insert(ids, np.cumsum(size), end_id), size + 1
+                    start = total + np.cumsum(size) - size
+                    file_index.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(start), pa.array(size)], schema=index))
+                    total, count = total + int(size.sum()), count + len(size)
+                    held += ids.tobytes()
+                    at = 0
+                    while len(held) - at >= full:
+                        file.write_batch(_sequences(bytes(held[at : at + full]), dtype, length, ROWS * length))
+                        at += full
+                    del held[:at]
                 if held:
                     used = len(held) // width
                     held += bytes(-len(held) % (length * width))
@@ -193,7 +239,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0,
     dtype = "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     lean = docs.select(id_key("doc_id").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lean = lean.withColumn("x", F.xxhash64("text"))
-    ranged = lean.repartitionByRange(parts or partitions(spark), "k", "x").sortWithinPartitions("k", "x").select("doc_id", "text")
+    ranged = lean.repartitionByRange(parts or partitions(spark, docs), "k", "x").sortWithinPartitions("k", "x").select("doc_id", "text")
     manifest = ranged.mapInArrow(_write(folder, path, dtype, end_id, length), _MANIFEST).checkpoint()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one small row for each file
     return manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -224,5 +270,5 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of 32-bit ids)."""
-    spread = manifest.repartition(partitions(manifest.sparkSession), "part")
+    spread = manifest.repartition(max(partitions(manifest.sparkSession), min(MAX_PARTS, manifest.count())), "part")
     return spread.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

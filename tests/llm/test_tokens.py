@@ -113,3 +113,16 @@ def test_decoded_tokens_spell_the_words():
     encoder.ids.clear()
     encoder.bpe.words["fox"] = encoder.bpe.words["quick"]
     assert encoder.encode([b"the fox", b"the quick"])[2] == [False, True]
+
+
+def test_pieces_as_the_library_with_a_small_cache():
+    import pyarrow as pa
+
+    t = library("byte_bpe_50k.json")
+    p = tokenfiles.Pieces(vocabulary("byte_bpe_50k.json"), "<u2", cache=50)
+    made = texts() + ["é. à! ×. ÷ b", "naïve,  word", "x <|endoftext|> y.<|endoftext|>\nz", "\n" * 70, " \n" * 40 + "a", "don't. 's 's", "x" * 3000 + " " + "y. " * 2000]
+    for at in range(0, len(made), 40):
+        ids, size = p.encode(pa.array(made[at : at + 40]))
+        want = [t.encode(x or "", add_special_tokens=False).ids for x in made[at : at + 40]]
+        assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert p.cuts and len(p.known) < 3000

@@ -1,31 +1,40 @@
 """Approximate nearest neighbours by shifted Hilbert curves.
 
-Each curve has its own random rotation to a few dimensions and its own shift; rows are ordered by their key on the curve.
-The curve is cut at approximate key quantiles into BLOCKS runs of rows. A query's window is its own run and the REACH runs
-on either side. Rows are dealt by (curve, run, slice), slices so that no group passes SLICE_ROWS; queries are copied to the
-runs and slices of their windows. A group returns each query's nearest by the exact distance, and the windows of all curves
-are merged and ranked again.
+Equal vectors are one class and are searched once. Each of CURVES curves has its own random projection to a few dimensions and
+its own shift, and orders all classes by their key on the curve. A query's candidates are the `window` classes before and
+after it on every curve. How wide the window must be is measured, not guessed: the true neighbours of a bounded sample of
+queries are found by one scan, their distance in rows from their query is counted on every curve, and the window is the
+one that finds TARGET of them on at least one curve.
+
+The curves are cut at key quantiles into blocks, which are dealt over the cluster with vectors in 16 bits a component;
+queries near a border are copied to the next block. A block slides over its keys in order and returns each query's nearest;
+the blocks' answers are merged, and the merged candidates are ranked by the exact distance of the original vectors.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-
-from .common import partitions, prepare
-
-#: Curves, runs per curve, and runs on either side of a query's own.
-CURVES, BLOCKS, REACH = 8, 16, 1
-#: Rows of a run at least, so that small tables have fewer runs, and none finds less than it has.
-RUN_ROWS = 512
-#: Dimensions and bits per dimension of a key.
-DIMS, BITS = 6, 10
-#: Rows of one group.
-SLICE_ROWS = 20_000
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .common import MAX_PARTS, partitions, prepare
+
+CURVES = 24
+#: Dimensions and bits per dimension of a key; below them a key has TIES bits of a hash, so that no key is many rows'.
+DIMS, BITS, TIES = 6, 8, 14
+#: Queries in the sample, the share of their true neighbours that the windows must hold, and the margin on the window.
+SAMPLE, TARGET, MARGIN = 100, 0.95, 1.1
+#: Rows of a block at least, windows of a block at least, and most blocks of a curve.
+BLOCK_ROWS, BLOCK_WINDOWS, MAX_BLOCKS = 4096, 4, 8192
+#: Candidates of a block beyond k that are ranked exactly.
+SPARE = 6
+#: Parts into which the rows of a class of queries are dealt.
+SALTS = 16
 SEED = 7
+_TOP = 32767
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -56,19 +65,23 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(vectors: np.ndarray, curve: int) -> np.ndarray:
-    """Keys of unit-scaled vectors on one curve."""
-    g = np.random.default_rng([SEED, curve, vectors.shape[1]])
-    dims = min(DIMS, vectors.shape[1])
-    basis, _ = np.linalg.qr(g.standard_normal((vectors.shape[1], dims)))
-    spread = np.sqrt(vectors.shape[1])
-    place = vectors @ basis * spread / 3.0 / 2.0 + 0.5 + (g.random(dims) - 0.5) * 0.5
-    return hilbert_keys(np.clip((place * 0.5 + 0.25) * (1 << BITS), 0, (1 << BITS) - 1), BITS)
+def projections(dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Basis and shift of each curve."""
+    out = []
+    for curve in range(CURVES):
+        g = np.random.default_rng([SEED, curve, dims])
+        basis, _ = np.linalg.qr(g.standard_normal((dims, min(DIMS, dims))))
+        out.append((basis, g.random(basis.shape[1])))
+    return out
 
 
-def run_bounds(cuts: list[int], top: int) -> list[int]:
-    """Upper keys of all runs but the last, each once: a key that fills several quantiles makes no empty runs beside its own."""
-    return sorted({int(c) for c in cuts if c < top})
+def curve_keys(vectors: np.ndarray, names: np.ndarray, curve: int, basis: np.ndarray, shift: np.ndarray, middle: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Keys on one curve; names are 64-bit hashes of the vectors, which order equal places."""
+    z = (vectors @ basis - middle) / spread
+    even = 0.5 * (1 + np.tanh(0.7978845608 * (z + 0.044715 * z**3)))  # near the normal distribution's, so cells fill evenly
+    cells = np.clip((even * 0.75 + shift * 0.25) * (1 << BITS), 0, (1 << BITS) - 1)
+    tie = (names ^ np.uint64(curve * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - TIES)
+    return hilbert_keys(cells, BITS) << TIES | tie.astype(np.int64)
 
 
 def usable(column: str) -> Column:
@@ -80,100 +93,301 @@ def usable(column: str) -> Column:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     column = pa.concat_arrays([column])
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) + 0.0
+
+
+def _fixed(column: pa.Array, dtype: str) -> np.ndarray:
+    """Equal-length binaries as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _name(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _named(k: int):
+    """Rows to classes: of the rows of a batch with equal vectors, the k least ids and whether any is asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[bytes, tuple[list, list]] = {}
+            for i, q, row in zip(b.column("id").to_pylist(), b.column("q").to_pylist(), _matrix(b.column("v")) if b.num_rows else (), strict=True):
+                ids, asked = found.setdefault(row.astype("<f8").tobytes(), ([], []))
+                ids.append(i)
+                asked.append(q)
+            rows = [(_name(v), v, i, any(asked)) for v, (ids, asked) in found.items() for i in sorted(set(ids))[:k]]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], names=["c", "v", "id", "asked"])
+
+    return run
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = _matrix(b.column("v")) if b.num_rows else ()
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_name(r.astype("<f8").tobytes()) for r in rows], pa.binary())], names=["id", "c"])
 
 
-def _keys(curves: int, scale: float):
+def _classes(k: int):
+    """Rows sorted by class and id to one row for each class, with its k least ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        names = ["c", "v", "ids", "asked"]
+        kinds = (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.bool_())
+        for b in batches:
+            out = []
+            for c, v, i, asked in zip(*(b.column(x).to_pylist() for x in ("c", "v", "id", "asked")), strict=True):
+                if held is None or held[0] != c:
+                    out += [held] if held else []
+                    held = [c, v, [], False]
+                if len(held[2]) < k and (not held[2] or held[2][-1] != i):
+                    held[2].append(i)
+                held[3] = held[3] or asked
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([held[j]], t) for j, t in enumerate(kinds)], names=names)
+
+    return run
+
+
+def _moments(dims: int):
+    """Sums of each projection and of its square, over a partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.hstack([basis for basis, _ in projections(dims)])
+        first, second, top = np.zeros(whole.shape[1]), np.zeros(whole.shape[1]), 0.0
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column("v")) / scale
-                for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.full(b.num_rows, c, np.int32)), pa.array(curve_keys(x, c)), b.column("v")], names=["id", "curve", "key", "v"])
+                v = _fixed(b.column("v"), "<f8")
+                p = v @ whole
+                first, second, top = first + p.sum(0), second + (p * p).sum(0), max(top, float(np.abs(v).max()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(first), dtype=np.int32)), pa.array(first), pa.array(second), pa.array(np.full(len(first), top))], names=["j", "first", "second", "top"])
 
     return run
 
 
-def _nearest(k: int):
-    def group(q: tuple, rows: tuple) -> pa.RecordBatch | None:
-        if not len(q[0]) or not len(rows[0]):
-            return None
-        qi, qv, ri, rv = q[0], np.array(q[1]), rows[0], np.array(rows[1])
-        out = []
-        for at in range(0, len(qi), 256):
-            a = qv[at : at + 256]
-            rough = (a**2).sum(1)[:, None] + (rv**2).sum(1)[None] - 2 * a @ rv.T
-            rough[np.asarray(qi[at : at + 256])[:, None] == np.asarray(ri)[None]] = np.inf
-            m = min(k + 1, len(ri))
-            bound = np.partition(rough, m - 1, axis=1)[:, m - 1]
-            for i in range(len(a)):
-                near = np.flatnonzero(rough[i] <= bound[i] + 1e-9 * (1 + abs(bound[i])))
-                near = near[np.isfinite(rough[i, near])]
-                exact = np.sqrt(((rv[near] - a[i]) ** 2).sum(1))
-                best = np.lexsort((np.asarray(ri)[near], exact))[:k]
-                out += [(qi[at + i], ri[near[j]], exact[j]) for j in best]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+class Curves:
+    """Everything a worker needs to place vectors: projections, and middle and spread of each."""
 
+    def __init__(self, dims: int, middle: np.ndarray, spread: np.ndarray):
+        self.dims, self.middle, self.spread = dims, middle, spread
+
+    def keys(self, vectors: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Keys, rows x curves."""
+        out, at = np.zeros((len(vectors), CURVES), np.int64), 0
+        for c, (basis, shift) in enumerate(projections(self.dims)):
+            part = slice(at, at + basis.shape[1])
+            out[:, c] = curve_keys(vectors, names, c, basis, shift, self.middle[part], self.spread[part])
+            at += basis.shape[1]
+        return out
+
+
+def _hashes(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(_fixed(column, "<u8")[:, 0]) if len(column) else np.zeros(0, np.uint64)
+
+
+def _keys(curves: Curves):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {True: ([], []), False: ([], [])}
+        for b in batches:
+            if b.num_rows:
+                keys = curves.keys(_fixed(b.column("v"), "<f8"), _hashes(b.column("c")))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * CURVES), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("c"), b.column("v"), b.column("asked"), flat], names=["c", "v", "asked", "keys"])
 
-        def flush():
-            got = group(held[True], held[False])
-            held[True], held[False] = ([], []), ([], [])
-            return [got] if got is not None else []
+    return run
 
+
+def _scan(names: list[bytes], queries: np.ndarray, k: int):
+    """The k nearest classes of a partition to each of a few queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list] = [[] for _ in names]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, c = _fixed(b.column("v"), "<f8"), b.column("c").to_pylist()
+            keys = _fixed_lists(b.column("keys"))
+            rough = (v * v).sum(1)[None] - 2 * queries @ v.T
+            for s, name in enumerate(names):
+                near = np.argpartition(rough[s], min(k, len(c) - 1))[: k + 1]
+                best[s] = sorted(best[s] + [(float(rough[s, j]), c[j], keys[j].tolist()) for j in near if c[j] != name])[:k]
+        rows = [(s, *x) for s in range(len(names)) for x in best[s]]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["s", "d", "c", "keys"])
+
+    return run
+
+
+def _fixed_lists(column: pa.Array) -> np.ndarray:
+    return pa.concat_arrays([column]).flatten().to_numpy(zero_copy_only=False).reshape(len(column), CURVES)
+
+
+def _counts(bounds: list[np.ndarray]):
+    """How many keys of each curve lie between neighbouring bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = [np.zeros(len(x) + 1, np.int64) for x in bounds]
         for b in batches:
-            v = _matrix(b.column("v")) if b.num_rows else []
-            fields = (b.column(c).to_pylist() for c in ("curve", "run", "slice", "query", "id"))
-            for i, (curve, block, part, query, vec) in enumerate(zip(*fields, strict=True)):
-                if (curve, block, part) != key:
-                    yield from flush()
-                    key = (curve, block, part)
-                held[query][0].append(vec)
-                held[query][1].append(v[i])
-        yield from flush()
+            if b.num_rows:
+                keys = _fixed_lists(b.column("keys"))
+                for c, x in enumerate(bounds):
+                    count[c] += np.bincount(np.searchsorted(x, keys[:, c], side="right"), minlength=len(x) + 1)
+        for c, n in enumerate(count):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["curve", "at", "n"])
 
     return run
 
 
-def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 10, curves: int = CURVES, blocks: int = BLOCKS, reach: int = REACH, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def measured_window(keyed: DataFrame, k: int, n: int, target: float = TARGET, sample: int = SAMPLE) -> tuple[int, float]:
+    """The window that finds `target` of the true neighbours of a sample of queries, with MARGIN, and the share it finds."""
+    asked = keyed.filter("asked").orderBy(F.xxhash64("c"), "c").limit(sample).select("c", "v", "keys").collect()
+    queries = np.array([np.frombuffer(r.v, "<f8") for r in asked])
+    found = keyed.mapInArrow(_scan([bytes(r.c) for r in asked], queries, k), "s int, d double, c binary, keys array<long>")
+    order = Window.partitionBy("s").orderBy("d", "c")  # one list of k for each partition and query
+    true = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("s", "keys").collect()
+    if not true:
+        return 1, 1.0
+    own, near = np.array([r["keys"] for r in asked])[[r.s for r in true]], np.array([r["keys"] for r in true])
+    bounds = [np.unique(np.concatenate([own[:, c], near[:, c]])) for c in range(CURVES)]
+    counts = keyed.mapInArrow(_counts(bounds), "curve int, at int, n long").groupBy("curve", "at").agg(F.sum("n").alias("n")).collect()
+    rank = [np.zeros(len(x) + 1, np.int64) for x in bounds]
+    for r in counts:
+        rank[r.curve][r.at] = r.n
+    gap = np.full(len(true), n)
+    for c, x in enumerate(bounds):
+        upto = np.cumsum(rank[c])
+        gap = np.minimum(gap, np.abs(upto[np.searchsorted(x, near[:, c])] - upto[np.searchsorted(x, own[:, c])]))
+    window = int(np.ceil(np.quantile(gap, target, method="higher") * MARGIN)) + 1
+    return window, float((gap <= window).mean())
+
+
+def _deal(cuts: list[np.ndarray], low: list[np.ndarray], high: list[np.ndarray], top: float):
+    """Every class once on every curve, and its queries: to their own block, and to the next where they are near its border."""
+    kinds = [("curve", pa.int32()), ("block", pa.int32()), ("key", pa.int64()), ("query", pa.bool_()), ("c", pa.binary()), ("x", pa.binary())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            small = np.round(_fixed(b.column("v"), "<f8") * (_TOP / top)).astype("<i2")
+            x = pa.array([r.tobytes() for r in small], pa.binary())
+            keys, asked = _fixed_lists(b.column("keys")), np.flatnonzero(b.column("asked").to_numpy(zero_copy_only=False))
+            for c in range(CURVES):
+                own = np.searchsorted(cuts[c], keys[:, c], side="left")
+                mine = own[asked]
+                before = asked[(mine > 0) & (keys[asked, c] < np.append(low[c], 0)[np.maximum(mine, 1) - 1])]
+                after = asked[(mine < len(cuts[c])) & (keys[asked, c] > np.append(high[c], 0)[np.minimum(mine, len(cuts[c]))])]
+                row = np.concatenate([np.arange(b.num_rows), asked, before, after])
+                block = np.concatenate([own, mine, own[before] - 1, own[after] + 1])
+                at = pa.array(row)
+                columns = [np.full(len(row), c), block, keys[row, c], np.arange(len(row)) >= b.num_rows]
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, (_, t) in zip(columns, kinds, strict=False)] + [b.column("c").take(at), x.take(at)], names=[n for n, _ in kinds])
+
+    return run
+
+
+def _nearest(window: int, keep: int):
+    def block(key: np.ndarray, query: np.ndarray, c: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        rows, asked = np.flatnonzero(~query), np.flatnonzero(query)
+        r, place = x[rows].astype(np.float64), np.searchsorted(key[rows], key[asked])
+        square, out = (r * r).sum(1), ([], [], [])
+        for at in range(0, len(asked) if len(rows) else 0, 64):
+            part, here = asked[at : at + 64], place[at : at + 64]
+            lo, hi = max(0, here[0] - window), min(len(rows), here[-1] + window + 1)
+            if lo >= hi:
+                continue
+            a = x[part].astype(np.float64)
+            d = square[None, lo:hi] - 2 * a @ r[lo:hi].T
+            j = np.arange(lo, hi)[None]
+            d[(j < here[:, None] - window) | (j > here[:, None] + window)] = np.inf
+            m = min(keep, hi - lo)
+            near = np.argpartition(d, m - 1, axis=1)[:, :m]
+            score = np.take_along_axis(d, near, 1)
+            i, p = np.nonzero(np.isfinite(score))
+            out[0].append(c[part[i]])
+            out[1].append(c[rows[lo + near[i, p]]])
+            out[2].append(score[i, p] + (a * a).sum(1)[i])
+        join = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
+        return pa.RecordBatch.from_arrays([join(out[0], pa.binary()), join(out[1], pa.binary()), join(out[2], pa.float64())], names=["q", "c", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            curve, at = b.column("curve").to_numpy(), b.column("block").to_numpy()
+            new = np.concatenate([[0], np.flatnonzero((curve[1:] != curve[:-1]) | (at[1:] != at[:-1])) + 1, [b.num_rows]])
+            fields = (b.column("key").to_numpy(), b.column("query").to_numpy(zero_copy_only=False), b.column("c").to_numpy(zero_copy_only=False), _fixed(b.column("x"), "<i2"))
+            for s, e in zip(new, new[1:], strict=False):
+                if held and (curve[s], at[s]) != last:
+                    yield block(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                last = (curve[s], at[s])
+                held.append(tuple(f[s:e] for f in fields))
+        if held:
+            yield block(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            score = np.sqrt(((_fixed(b.column("qv"), "<f8") - _fixed(b.column("v"), "<f8")) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("ids"), pa.array(score)], names=["q", "ids", "score"])
+
+
+def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 10, target: float = TARGET, window: int | None = None) -> DataFrame:
     """Each query's k nearest rows found, by Euclidean distance: query_id, rank (from 1), vec_id, score.
 
     Every usable row is a candidate but the query's own; ties go to the smaller id. Vectors that are null, empty, zero or
     hold a null or non-finite component take no part, as do null ids; all others must have equal length. Rows that repeat
-    an id with equal vectors count once; with different ones each is a row of its own. Fewer candidates give fewer rows, and
-    no query or an empty table none. Other columns are ignored.
+    an id with equal vectors count once; with different ones each is a row of its own, and none is a candidate of the others.
+    A class of equal vectors may hold any part of the rows. Fewer candidates give fewer rows, and no query or an empty table
+    none. Other columns are ignored. `target` is the recall the window is measured for; `window` sets it instead.
     """
     spark = prepare(vectors.sparkSession)
     doubles = F.transform(F.col(f"`{vector_col}`"), lambda v: v.cast("double"))
-    rows = vectors.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_q": F.coalesce(is_query, F.lit(False))})
-    rows = rows.filter(usable(f"`{vector_col}`") & F.col("_id").isNotNull()).select(F.col("_id").alias("id"), "_q", doubles.alias("v")).dropDuplicates(["id", "v"])
-    squared = F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)
-    whole = rows.agg(F.count("*").alias("n"), F.sqrt(F.avg(squared)).alias("scale"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not whole.n:
-        return spark.createDataFrame([], schema)
-    if whole.low != whole.high:
-        raise ValueError(f"vectors have {whole.low} to {whole.high} components")
-    blocks = max(1, min(blocks, int(whole.n) // RUN_ROWS))
-    keyed = rows.select("id", "v").mapInArrow(_keys(curves, whole.scale), "id long, curve int, key long, v array<double>")
-    cuts = keyed.groupBy("curve").agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20_000).alias("cuts"), F.max("key").alias("top"))
-    cut = {r.curve: r for r in cuts.collect()}  # curves x blocks numbers
-    bounds = [run_bounds(cut[c].cuts or [], cut[c].top) for c in range(curves)]
-    slices = max(1, -(-int(whole.n) // (blocks * slice_rows)))
-    at = F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in c]).cast("array<long>") for c in bounds]), F.col("curve") + 1)
-    last = F.element_at(F.array(*[F.lit(len(c)) for c in bounds]), F.col("curve") + 1)
-    run = F.size(F.filter(at, lambda c: c < F.col("key")))
-    placed = keyed.withColumn("run", run.cast("int"))
-    base = placed.select("curve", "run", F.pmod(F.xxhash64("id", "v"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("query"), "id", "v")
-    ids = rows.filter("_q").select("id", "v")
-    asked = ids.mapInArrow(_keys(curves, whole.scale), "id long, curve int, key long, v array<double>").withColumn("run", run.cast("int"))
-    window = F.explode(F.sequence(F.greatest(F.lit(0), F.col("run") - reach), F.least(last, F.col("run") + reach)))
-    asked = asked.select("curve", window.alias("run"), "id", "v").select("curve", "run", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("query"), "id", "v")
-    dealt = base.unionByName(asked).repartition(partitions(spark), "curve", "run", "slice").sortWithinPartitions("curve", "run", "slice", "query")
-    found = dealt.mapInArrow(_nearest(k), "query_id long, vec_id long, score double")
-    pair = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k)  # at most curves x windows x slices x k
-    merged = pair.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("p", "b"))
-    return merged.select("query_id", (F.col("p") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), doubles.alias("v"), usable(f"`{vector_col}`").alias("ok"))
+    rows = rows.filter("ok AND id IS NOT NULL").select("id", "q", "v")
+    size = rows.agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"), F.count_if("q").alias("asked")).first()
+    if not size.asked:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if size.low != size.high:
+        raise ValueError(f"vectors have {size.low} to {size.high} components")
+    width = partitions(spark, vectors)
+    named = rows.mapInArrow(_named(k + 1), "c binary, v binary, id long, asked boolean")
+    sorted_rows = named.repartition(width, "c").sortWithinPartitions("c", "id")
+    classes = sorted_rows.mapInArrow(_classes(k + 1), "c binary, v binary, ids array<long>, asked boolean").checkpoint()
+    n = classes.count()
+    sums = classes.mapInArrow(_moments(size.low), "j int, first double, second double, top double").groupBy("j").agg(F.sum("first").alias("first"), F.sum("second").alias("second"), F.max("top").alias("top")).orderBy("j").collect()
+    steady = lambda x: float(f"{x:.6g}")  # noqa: E731  the order of a sum does not show
+    middle = np.array([steady(r["first"] / n) for r in sums])
+    spread = np.array([steady(max(r.second / n - (r["first"] / n) ** 2, 0.0) ** 0.5) or 1.0 for r in sums])
+    keyed = classes.mapInArrow(_keys(Curves(size.low, middle, spread)), "c binary, v binary, asked boolean, keys array<long>").checkpoint()
+    window = window or measured_window(keyed, k, n, target)[0]
+    blocks = max(1, min(MAX_BLOCKS, n // max(BLOCK_ROWS, BLOCK_WINDOWS * window)))
+    accuracy = 40 * blocks + 1000
+    near = 1.2 * window / n + 2 / accuracy
+    share = [min(1.0, max(0.0, b / blocks + step)) for b in range(1, blocks) for step in (0, near, -near)]
+    cut = {}
+    if share:
+        spread_out = keyed.select(F.posexplode("keys").alias("curve", "key"))
+        cut = {r.curve: np.array(r.cuts).reshape(-1, 3) for r in spread_out.groupBy("curve").agg(F.percentile_approx("key", share, accuracy).alias("cuts")).collect()}
+    none = np.zeros((0, 3), np.int64)
+    per_curve = [cut.get(c, none) for c in range(CURVES)]
+    sides = [[x[:, j] for x in per_curve] for j in range(3)]
+    dealt = keyed.mapInArrow(_deal(*sides, max(r.top for r in sums)), "curve int, block int, key long, query boolean, c binary, x binary")
+    dealt = dealt.repartition(max(width, min(MAX_PARTS, CURVES * blocks // 4)), "curve", "block").sortWithinPartitions("curve", "block", "key", "c")
+    pairs = dealt.mapInArrow(_nearest(window, k + 1 + SPARE), "q binary, c binary, d double").groupBy("q", "c").agg(F.min("d").alias("d"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("d", "c"))), 1, k + 1 + SPARE)  # at most curves x 3 blocks x (k + 1 + SPARE)
+    merged = pairs.groupBy("q").agg(best.alias("best")).select("q", F.explode("best.c").alias("c"))
+    judged = merged.join(classes.select("c", "v", "ids"), "c").join(classes.filter("asked").select(F.col("c").alias("q"), F.col("v").alias("qv")), "q")
+    scored = judged.select("q", "ids", "v", "qv").mapInArrow(_exact, "q binary, ids array<long>, score double").select("q", "score", F.explode("ids").alias("vec_id"))
+    few = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1).drop("r")
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = rows.filter("q").select("id", "v").mapInArrow(_asked, "id long, c binary").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    joined = asked.join(salted.withColumnRenamed("q", "c"), ["c", "salt"]).filter("id <> vec_id")
+    ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("id", "c").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("id").alias("query_id"), "rank", "vec_id", "score")

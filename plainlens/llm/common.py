@@ -83,6 +83,16 @@ def id_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of a table has."""
+    taken, out, i = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"_inner{i}" not in taken:
+            out.append(f"_inner{i}")
+        i += 1
+    return out
+
+
 def batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,6 +17,8 @@ BATCH_ROWS = 1000
 #: Estimated input of one task of a shuffle, and the most tasks that follow from it.
 PART_BYTES, MAX_PARTS = 256 << 20, 100_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and name a checkpoint folder where the cluster has none."""
@@ -97,13 +99,12 @@ def batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Set free the shuffle files of plans that are no longer in use.
-
-    Spark drops them when the driver's JVM collects the plans that wrote them; on a large heap that is rare, so the
-    collection is asked for here, after a checkpoint. Files that a plan in use still needs are not touched.
-    """
-    for _ in range(4):  # Python lets go of plans first, then the JVM, then Spark's cleaner follows in the background
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run in here drop their shuffle files when they end; what they leave must be a checkpoint or a table."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)

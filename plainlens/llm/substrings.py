@@ -12,7 +12,9 @@ leaves once its name is unique:
    once more; all but the first of equal names are repeats.
 
 No list of a group's members is ever built: both steps are sorts with the group's first row carried along, and equal
-rows of one Arrow batch are merged before the shuffle, so a passage in a third of all documents sends a row per batch.
+rows of one Arrow batch are merged before the shuffle, so a passage in a third of all documents sends a row per batch. A first
+rank with many different second ranks (a common phrase in ever new surroundings) shows in every batch as such: its rows are
+then known to be left for step 2 and are spread by their second ranks, and two marker rows tell the others of that rank.
 """
 
 from __future__ import annotations
@@ -24,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import bytesops as B
-from .common import batch, id_key, partitions, prepare, release
+from .common import batch, id_key, partitions, prepare, shuffles_dropped
 
 THRESHOLD = 100
-#: Bits of a position inside a chunk, in the low end of a name, so that the first of equal names is the anchor.
+#: Bits of a position inside a segment, in the low end of a name, so that the first of equal names is the anchor.
 _AT = 28
-_DUP, _ASK = 1, 2
-_ROW = "a long, b long, k long, x int, l int, n int, dup boolean"
-_ROW_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("x", pa.int32()), ("l", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
+#: Bytes of a text that are handled at once; a longer text is handled in segments, and memory is bounded by them.
+SEGMENT = 8 << 20
+#: Rows of a batch with one first rank and different second ranks from which on they are spread, and over how many keys.
+HOT, SALTS = 8, 256
+_DUP, _ASK, _MARKER = 1, 2, 3
+_ROW = "a long, b long, k long, x int, l int, n int, state tinyint"
+_ROW_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("x", pa.int32()), ("l", pa.int32()), ("n", pa.int32()), ("state", pa.int8())])
 
 
 def _first_of_each(a, b, k, x, l, n) -> tuple:
@@ -57,7 +63,29 @@ def _first_of_each(a, b, k, x, l, n) -> tuple:
 
 def _emit(rows: tuple) -> pa.RecordBatch:
     a, b, k, x, l, n, dup = rows
-    return batch([a, b, k, x, l.astype(np.int32), n.astype(np.int32), dup], _ROW_ARROW)
+    return batch([a, b, k, x, l.astype(np.int32), n.astype(np.int32), np.where(dup, _DUP, 0)], _ROW_ARROW)
+
+
+def _spread(rows: tuple) -> pa.RecordBatch:
+    """As _emit; rows of a first rank that is common here with different second ranks get keys by second rank."""
+    a, b, k, x, l, n, dup = rows
+    state = np.where(dup, _DUP, 0)
+    own = np.flatnonzero(~dup)
+    order = own[np.lexsort((b[own], a[own]))]
+    start = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(order))
+    hot = np.flatnonzero((end - start >= HOT) & (b[order[start]] != b[order[end - 1]])) if len(order) else start
+    if len(hot):
+        size = end[hot] - start[hot]
+        at = order[np.repeat(start[hot] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        edge = np.concatenate([order[start[hot]], order[end[hot] - 1]])
+        extra = (a[edge], b[edge], np.full(len(edge), np.iinfo(np.int64).max), x[edge], l[edge], n[edge])
+        salt = B.mix((b[at].view(np.uint64) % np.uint64(SALTS)) + np.uint64(1))
+        a, state = a.copy(), state.copy()
+        a[at], state[at] = B.mix(a[at].view(np.uint64) ^ salt).view(np.int64), _ASK
+        a, b, k, x, l, n = (np.concatenate(z) for z in zip((a, b, k, x, l, n), extra, strict=True))
+        state = np.concatenate([state, np.full(len(edge), _MARKER)])
+    return batch([a, b, k, x, l.astype(np.int32), n.astype(np.int32), state], _ROW_ARROW)
 
 
 def _sorted_texts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -90,13 +118,24 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, threshold: int) -> tuple[
     return text[start], start - offsets[text[start]], count, names[anchor[start]].view(np.int64), second.view(np.int64)
 
 
+def _segments(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, bytes, offsets) of parts of a chunk; parts of a long text overlap, so each window is in one of them."""
+    if len(data) <= SEGMENT:
+        yield 0, data, offsets
+        return
+    for at in range(0, len(data), SEGMENT):  # a chunk of this size is one text
+        part = data[at : at + SEGMENT + width - 1]
+        yield at, part, np.array([0, len(part)], offsets.dtype)
+
+
 def _anchors(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k, x, texts, _ = _sorted_texts(b)
             for lo, _, data, offsets in B.text_chunks(texts):
-                t, l, n, first, second = anchor_runs(data, offsets, threshold)
-                yield _emit(_first_of_each(first, second, k[lo + t], x[lo + t], l, n))
+                for at, part, bounds in _segments(data, offsets, threshold):
+                    t, l, n, first, second = anchor_runs(part, bounds, threshold)
+                    yield _spread(_first_of_each(first, second, k[lo + t], x[lo + t], l + at, n))
 
     return run
 
@@ -125,29 +164,33 @@ def _windows(threshold: int):
                         owner.append(np.full(len(at), t))
                 if not starts:
                     continue
-                start, own = np.concatenate(starts), np.concatenate(owner)
-                name = [B.Fingerprints(data, w).range(start, start + threshold).view(np.int64) for w in (0, 1)]
-                yield _emit(_first_of_each(*name, k[own], x[own], start - offsets[own - lo], np.ones(len(start), np.int64)))
+                starts, owner = np.concatenate(starts), np.concatenate(owner)
+                for at, part, _ in _segments(data, offsets, threshold):
+                    inside = slice(None) if len(data) <= SEGMENT else (starts >= at) & (starts < at + SEGMENT)
+                    start, own = starts[inside], owner[inside]
+                    name = [B.Fingerprints(part, w).range(start - at, start - at + threshold).view(np.int64) for w in (0, 1)]
+                    yield _emit(_first_of_each(*name, k[own], x[own], start - offsets[own - lo], np.ones(len(start), np.int64)))
 
     return run
 
 
-def _resolve(rows: DataFrame, ask: bool) -> DataFrame:
+def _resolve(rows: DataFrame, docs: DataFrame, ask: bool) -> DataFrame:
     """Sort rank pairs; keep the rows that repeat an earlier place and, if asked, first rows of second ranks that differ."""
     place = F.struct("k", "x", "l")
     pair = Window.partitionBy("a", "b").orderBy("k", "x", "l")
-    rows = rows.repartition(partitions(rows.sparkSession), "a") if ask else rows
-    rows = rows.withColumn("repeat", F.col("dup") | (F.first(place).over(pair) != place))
+    rows = rows.repartition(partitions(rows.sparkSession, docs), "a") if ask else rows
+    rows = rows.withColumn("repeat", (F.col("state") == _DUP) | (F.first(place).over(pair) != place))
     kind = F.when(F.col("repeat"), _DUP)
     if ask:
         whole = Window.partitionBy("a")
         rows = rows.withColumns({"low": F.min("b").over(whole), "high": F.max("b").over(whole)})
-        kind = kind.when(F.col("low") != F.col("high"), _ASK)
+        kind = kind.when((F.col("state") == _ASK) | (F.col("low") != F.col("high")), _ASK)
+        rows = rows.filter(F.col("state") != _MARKER)
     return rows.select("k", "x", "l", "n", kind.cast("tinyint").alias("kind")).filter("kind IS NOT NULL")
 
 
 def _by_text(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("k").agg(F.collect_list(F.struct("x", "l", "n", "kind")).alias("marks"))
+    return marks.groupBy("k", "x").agg(F.collect_list(F.struct("x", "l", "n", "kind")).alias("marks"))
 
 
 def repeated_marks(docs: DataFrame, threshold: int, carry: list[tuple[str, str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -159,10 +202,11 @@ def repeated_marks(docs: DataFrame, threshold: int, carry: list[tuple[str, str,
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(id_key("doc_id").alias("k"), F.hash(text).alias("x"), *[c.alias(n) for n, _, c in carry], text.alias("text"))
     lean = keyed.select("k", "x", "text")
-    marks = _by_text(_resolve(lean.mapInArrow(_anchors(threshold), _ROW), True)).checkpoint()
-    release(spark)
-    asked = keyed.join(marks.filter(F.exists("marks", lambda m: m["kind"] == _ASK)), "k")
-    late = _resolve(asked.mapInArrow(_windows(threshold), _ROW), False)
+    with shuffles_dropped(spark):
+        marks = _by_text(_resolve(lean.mapInArrow(_anchors(threshold), _ROW), docs, True)).checkpoint()
+    own = ["k", "x"]
+    asked = keyed.join(marks.filter(F.exists("marks", lambda m: m["kind"] == _ASK)), own)
+    late = _resolve(asked.mapInArrow(_windows(threshold), _ROW), docs, False)
     early = marks.select("k", F.explode(F.filter("marks", lambda m: m["kind"] == _DUP)).alias("m")).select("k", "m.*")
     return keyed, _by_text(early.unionByName(late))
 
@@ -225,7 +269,7 @@ def _whole_characters(raw: bytes, s: np.ndarray, e: np.ndarray) -> tuple:
 def _apply(docs: DataFrame, threshold: int, schema: str, arrow: pa.Schema, make, carry: list[tuple[str, str, Column]]) -> DataFrame:
     own, marks = repeated_marks(docs, threshold, carry)
     kept = ", ".join(f"`{n}` {t}" for n, t, _ in carry)
-    return own.join(marks, "k", "left").mapInArrow(_cut(threshold, arrow, make), f"k long, x int, {kept}, {schema}").drop("k", "x")
+    return own.join(marks, ["k", "x"], "left").mapInArrow(_cut(threshold, arrow, make), f"k long, x int, {kept}, {schema}").drop("k", "x")
 
 
 def substring_report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+from plainlens.llm import substrings
 from plainlens.llm.substrings import substring_report, without_repeats
 
 
@@ -57,7 +59,8 @@ def test_cut_keeps_columns_and_characters(spark):
     p = "é" * 60
     docs = spark.createDataFrame([(1, "a" + p, "en", 7), (2, "b" + p + "c", "fr", 8), (3, None, None, 0)], "doc_id long, text string, k string, n_chars long")
     got = {r.doc_id: r for r in without_repeats(docs).collect()}
-    assert got[1].text == "a" + p[:0] + "é" * (len(got[1].text) - 1)
+    # "a" and 60 two-byte characters: the strings of 100 bytes from the 11th character on also start before
+    assert got[1].text == "aé"
     assert got[2].text == "bc" and got[2].n_chars == 2 and got[2].k == "fr"
     assert got[3].text is None
     assert without_repeats(docs).columns == docs.columns
@@ -65,3 +68,36 @@ def test_cut_keeps_columns_and_characters(spark):
 
 def test_empty(spark):
     assert substring_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_common_phrase_in_ever_new_surroundings(spark):
+    """A phrase shorter than the threshold in every document: its first rank has many second ranks, and is spread."""
+    r = random.Random(8)
+    phrase = "This work is licensed under the terms of the general public license, 3."
+    free = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
+    ends = [free(40) for _ in range(5)]
+    rows = [(i, free(r.randint(0, 90)) + phrase + (r.choice(ends) if i % 3 else free(50))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_report(docs).collect()}
+    assert got == brute(rows, 100) and sum(v[1] for v in got.values()) > 10_000
+
+
+def test_spread_marks_common_first_ranks():
+    n = substrings.HOT + 2
+    a = np.array([5] * n + [6, 7, 7])
+    b = np.arange(n + 3)
+    rest = (np.arange(n + 3), np.zeros(n + 3, np.int32), np.zeros(n + 3, int), np.ones(n + 3, int), np.zeros(n + 3, bool))
+    out = substrings._spread((a, b, *rest)).to_pydict()
+    assert out["state"] == [2] * n + [0, 0, 0] + [3, 3] and out["a"][n:] == [6, 7, 7, 5, 5]
+    assert len(set(out["a"][:n])) > 1 and (out["b"][-2], out["b"][-1]) == (0, n - 1)
+
+
+def test_segments_hold_every_window_once(monkeypatch):
+    monkeypatch.setattr(substrings, "SEGMENT", 64)
+    data = np.frombuffer(random.Random(1).randbytes(1000), np.uint8)
+    seen = []
+    for at, part, bounds in substrings._segments(data, np.array([0, len(data)]), 10):
+        assert (part == data[at : at + len(part)]).all()
+        _, l, n, _, _ = substrings.anchor_runs(part, bounds, 10)
+        seen += [at + x + j for x, m in zip(l.tolist(), n.tolist()) for j in range(m)]
+    assert sorted(seen) == list(range(991))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
-from .common import batch, id_key, partitions, prepare
+from .common import batch, id_key, partitions, prepare, unused
 from .graph import components, joined_per_key
 
 N_WORDS = 5
@@ -28,9 +28,9 @@ RECALL = 0.9999
 #: Most hash functions to spend on it.
 HASHES = 128
 #: N-grams of one block of a component.
-BLOCK_GRAMS = 1 << 20
+BLOCK_GRAMS = 1 << 18
 #: Documents of one block, and rows of a block pair's overlap matrix that are held at once.
-BLOCK_DOCS, STRIPE = 2048, 512
+BLOCK_DOCS, STRIPE = 512, 512
 _SIG = "k long, x long, node binary, grams long, bands array<long>"
 _SIG_ARROW = pa.schema([("k", pa.int64()), ("x", pa.int64()), ("node", pa.binary()), ("grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SET_ARROW = pa.schema([("node", pa.binary()), ("copies", pa.int64()), ("comp", pa.binary()), ("blocks", pa.int32()), ("grams", pa.binary())])
@@ -221,7 +221,7 @@ def _verdicts(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, r
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.select("*", own.alias("side"), other.alias("other")).select("*", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")).drop("other")
-    dealt = dealt.repartition(partitions(spark), "comp", "p", "q").sortWithinPartitions("comp", "p", "q", "node")
+    dealt = dealt.repartition(partitions(spark, docs), "comp", "p", "q").sortWithinPartitions("comp", "p", "q", "node")
     found = dealt.mapInArrow(_compare(threshold), "node binary, hub binary, links long, blocks int").checkpoint()
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     single = found.filter("blocks = 1").select("node", F.col("hub").alias("root"))
@@ -229,8 +229,8 @@ def _verdicts(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, r
     rooted = classes.select("node", "rep", "copies").join(single.unionByName(many), "node", "left").join(links, "node", "left")
     rooted = rooted.select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("class"), F.count("*").alias("n"))
-    verdict = joined_per_key(rooted, least, "root", classes.count()).select("node", "rep", "class", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    grouped = full.select("k", "x", "node").join(verdict, "node").select("k", "x", "class", "rep", "n_links")
+    verdict = joined_per_key(rooted, least, "root", classes.count()).select("node", "rep", "class", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    grouped = joined_per_key(full.select("k", "x", "node"), verdict.withColumn("n", F.col("copies")), "node", sig.count()).select("k", "x", "class", "rep", "n_links")
     own = F.struct("k", "x")
     alone = sig.filter("grams = 0").select("k", "x", own.alias("class"), own.alias("rep"), F.lit(0).cast("long").alias("n_links"))
     return grouped.unionByName(alone)
@@ -255,6 +255,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Documents without a word are classes of their own and stay, but of rows equal in doc_id and text one.
     """
-    least = _verdicts(docs, **options).filter(F.struct("k", "x") == F.col("class")).select(F.col("k").alias("_k"), F.col("x").alias("_x"))
-    keyed = docs.withColumns({"_k": id_key("doc_id"), "_x": F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(least, ["_k", "_x"], "left_semi").dropDuplicates(["_k", "_x"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    k, x = own = unused(docs, 2)
+    least = _verdicts(docs, **options).filter(F.struct("k", "x") == F.col("class")).select(F.col("k").alias(k), F.col("x").alias(x))
+    keyed = docs.withColumns({k: id_key("doc_id"), x: F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(least, own, "left_semi").dropDuplicates(own).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -68,20 +68,41 @@ def test_mixture_rows(spark):
     assert mixing.mix_report(docs.limit(0)).count() == 0 and mixing.mixture(docs.limit(0)).count() == 0
 
 
-def test_dual_tilts_by_size(spark):
-    size, count = np.array([0.0, 3, 40, 300, 20_000]), np.array([5, 400, 300, 200, 2])
-    total = float((size * count).sum())
-    for part in (0.01, 0.3, 0.74, 0.76, 0.97, 0.9999):
-        dual, rate = mixing.tilted(size, count, 2 * part * total)
-        assert abs((rate * size * count).sum() - 2 * part * total) < 1e-6 * total
-        assert dual != 0 and np.sign(dual) == np.sign(part - 0.75) and len({round(r, 9) for r in rate}) > 1
-        assert (np.diff(rate) * np.sign(dual) >= 0).all()
-        # optimality: the log-odds against the prior are proportional to size
-        inner = (rate > 1e-6) & (rate < 2 - 1e-6) & (size > 0)
-        odds = (np.log(rate[inner] / (2 - rate[inner])) - np.log(3)) / size[inner]
-        assert np.allclose(odds, odds[0], rtol=1e-4)
-    assert mixing.tilted(size, count, 1.5 * total)[0] == 0
+def brute_dual(size, count, target, prior=0.75):
+    """The dual by bisection, apart from the operator's own solver."""
+    x = size / ((size * count).sum() / count[size > 0].sum())
+    words = lambda d: (count * size * 2 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + d * x, -700, 700)))).sum()
+    low, high = -1e6, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if words(mid) < target else (low, mid)
+    return (low + high) / 2
+
+
+def test_newton_against_bisection(spark):
+    size, count = [0, 3, 40, 300, 20_000], [5, 400, 300, 200, 2]
+    total = sum(a * b for a, b in zip(size, count))
+    parts = {f"s{i}": p for i, p in enumerate((0.01, 0.3, 0.74, 0.75, 0.76, 0.97, 0.9999))}
+    rows = [(s, a, b, total, 2 * p * total) for s, p in parts.items() for a, b in zip(size, count)]
+    rows += [("all", 5, 10, 50, 100.0), ("none", 5, 10, 50, 0.0), ("empty", 0, 9, 0, 0.0)]
+    classes = spark.createDataFrame(rows, "src string, size long, count long, source_size long, target double")
+    found, rounds = mixing.duals(classes)
+    got = {r.src: r.dual for r in found.collect()}
+    assert set(got) == set(parts) and 3 < rounds < mixing.ROUNDS
+    for s, p in parts.items():
+        want = brute_dual(np.array(size, float), np.array(count), 2 * p * total)
+        assert abs(got[s] - want) <= 1e-6 * (1 + abs(want)) and np.sign(round(got[s], 9)) == np.sign(round(p - 0.75, 9))
+
+
+def test_rates_differ_by_size(spark):
     rows = [(i, " ".join("w" * (5 if i % 2 else 200)), "ab"[i // 2 % 2]) for i in range(2000)]
     got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     mean = lambda s, n: np.mean([r.copies for r in got if "ab"[r.doc_id // 2 % 2] == s and r.size == n])
     assert mean("b", 5) - mean("b", 200) > 0.3 and mean("a", 5) == mean("a", 200) == 2
+
+
+def test_clashing_columns_and_rows_that_differ_elsewhere(spark):
+    rows = [(1, " ".join("w" * 30), "a", "orig", i) for i in range(5)] + [(i, " ".join("v" * i), "b", "orig", 0) for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _k string, _inner0 int")
+    first, again = (sorted(map(tuple, mixing.mixture(d).collect())) for d in (docs, docs.repartition(6)))
+    assert first == again and {r[3] for r in first} == {"orig"} and len(first) == sum(r.copies for r in mixing.mix_report(docs).collect())

@@ -22,17 +22,25 @@ from pyspark.sql import DataFrame, functions as F
 from .common import prepare
 
 #: Elements by what they mean here.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style template noscript iframe object svg canvas audio video math title textarea select button head noembed noframes datalist".split())
+UNREAD = frozenset("script style template noscript iframe object svg canvas audio video title textarea select button head noembed noframes datalist annotation annotation-xml".split())
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES_ITSELF = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SCOPES = frozenset("ul ol dl table article section div body main nav aside footer header form".split())
-#: Parts of class, id and role names; whole words, and beginnings of words.
-BAD_WORDS = frozenset("ad ads adv cta nav tos tags tagcloud related share sharing social promo login signup cookies contentinfo complementary navigation search banner".split())
-BAD_STARTS = ("advert", "alert", "breadcrumb", "comment", "consent", "cookie", "copyright", "disclaim", "discuss", "disqus", "foot", "gdpr", "menu", "modal", "navbar", "newsletter", "notice", "notif", "overlay", "pagin", "popup", "promot", "recommend", "respon", "sidebar", "skip", "sponsor", "subscri", "toolbar", "widget", "masthead")
+#: Elements that hold one piece of text. A name there describes that text, so weak words say nothing.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd th td figcaption".split())
+#: Parts of class, id and role names; whole words, words that say something of larger elements only, and
+#: beginnings of words (those that begin no word of another meaning).
+BAD_WORDS = frozenset(
+    "ad ads adsbygoogle adv cta nav tos tags tagcloud related share sharing social promo promos login signup contentinfo complementary navigation search banner banners "
+    "comment comments commentlist commentform commentbox commentsection footer footers footnav modal modals modalwindow respond skip skiplink skiplinks skipnav submenu menubar".split()
+)
+WEAK_WORDS = frozenset("menu menus discussion discussions".split())
+BAD_STARTS = ("advert", "alert", "breadcrumb", "consent", "cookie", "copyright", "disclaim", "disqus", "gdpr", "masthead", "navbar", "newsletter", "notice", "notif", "overlay", "pagin", "popup", "promot", "recommend", "sidebar", "sponsor", "subscri", "toolbar", "widget")
 GOOD_STARTS = ("article", "content", "entry", "main", "post", "story")
 #: Log-odds of the classifier.
 BIAS, IN_ARTICLE, OUT_OF_ARTICLE, IN_FURNITURE, IN_HEADER, BAD_NAME, GOOD_NAME, HIDDEN = -1.0, 5.0, -4.0, -12.0, -9.0, -9.0, 1.5, -20.0
@@ -66,7 +74,7 @@ class _Element:
             for _, a, b, c in _NAMES.findall(attributes):
                 for word in _WORDS.findall(a or b or c):
                     word = word.lower()
-                    bad = bad or word in BAD_WORDS or word.startswith(BAD_STARTS)
+                    bad = bad or word in BAD_WORDS or (word in WEAK_WORDS and name not in TEXTS) or word.startswith(BAD_STARTS)
                     good = good or word.startswith(GOOD_STARTS)
             hidden = bool(_UNSEEN.search(attributes))
         whole = name in ("html", "body")  # their names describe the page, not a part of it
@@ -93,7 +101,8 @@ def blocks(html: str) -> list[Block]:
     found: list[tuple[Block, _Element]] = []
     root = _Element("", "", 0, None)
     current: Block | None = None
-    links = number = at = 0
+    number = at = 0
+    link: int | None = None  # how many elements were open where a link began; it ends with the innermost of them
 
     def add(text: str) -> None:
         nonlocal current
@@ -103,7 +112,7 @@ def blocks(html: str) -> list[Block]:
             current = Block(tuple(e.number for e in stack), 0.0)
             found.append((current, stack[-1] if stack else root))
         current.parts.append(text)
-        if links:
+        if link is not None:
             current.links += len(text)
 
     while (m := _TAG.search(html, at)) is not None:
@@ -128,11 +137,11 @@ def blocks(html: str) -> list[Block]:
             continue
         if name in INLINE:
             if name == "a":
-                links = 0 if closing else 1
+                link = None if closing else len(stack)
             elif name == "br":
                 add(" ")
             continue
-        current, links = None, 0
+        current = None
         if name in VOID:
             continue
         if closing:
@@ -140,6 +149,8 @@ def blocks(html: str) -> list[Block]:
                 if stack[i].name == name:
                     del stack[i:]
                     break
+            if link is not None and len(stack) < link:
+                link = None
             continue
         if stack and stack[-1].name == "p":
             stack.pop()
@@ -151,6 +162,8 @@ def blocks(html: str) -> list[Block]:
                     break
                 if stack[i].name in SCOPES:
                     break
+        if link is not None and len(stack) < link:
+            link = None
         if not attributes.endswith("/"):
             number += 1
             stack.append(_Element(name, attributes, number, stack[-1] if stack else root))
@@ -206,16 +219,25 @@ def minimum_cut(odds: list[float], links: list[tuple[int, int, float]]) -> list[
                 odds[j] += c if label[i] else -c
                 todo.append(j)
             near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        side = _source_side({i: near[i] for i in rest}, {i: odds[i] for i in rest})
-        for i in rest:
-            label[i] = i in side
+    for i in range(n):
+        if label[i] is None:  # what is left falls into parts without an edge between them, each a graph of its own
+            part, seen = [i], {i}
+            for a in part:
+                fresh = [j for j in near[a] if j not in seen]
+                seen.update(fresh)
+                part += fresh
+            side = _source_side({a: near[a] for a in part}, {a: odds[a] for a in part})
+            for a in part:
+                label[a] = a in side
     return [bool(x) for x in label]
 
 
 def _source_side(near: dict[int, dict[int, float]], odds: dict[int, float]) -> set[int]:
-    """Dinic's maximum flow; the nodes that the source still reaches."""
+    """Dinic's maximum flow; the nodes that the source still reaches.
+
+    In a phase every node keeps its place in its list of arcs, and after an augmentation the path is only taken back to
+    its first full arc.
+    """
     source, sink = -1, -2
     room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in near} | {source: {}, sink: {}}
     for i, s in odds.items():
@@ -234,24 +256,30 @@ def _source_side(near: dict[int, dict[int, float]], odds: dict[int, float]) -> s
                     todo.append(j)
         if sink not in level:
             return {i for i in level if i >= 0}
-        ways = {i: iter(list(room[i])) for i in level}
+        arcs = {i: list(room[i]) for i in level}
+        at = dict.fromkeys(level, 0)
         path = [source]
         while path:
             i = path[-1]
             if i == sink:
-                least = min(room[a][b] for a, b in zip(path, path[1:], strict=False))
-                for a, b in zip(path, path[1:], strict=False):
+                pairs = list(zip(path, path[1:], strict=False))
+                least = min(room[a][b] for a, b in pairs)
+                for a, b in pairs:
                     room[a][b] -= least
                     room[b][a] = room[b].get(a, 0.0) + least
-                path, ways = [source], {i: iter(list(room[i])) for i in level}
+                full = next(n for n, (a, b) in enumerate(pairs) if room[a][b] <= tiny)
+                del path[full + 1 :]
                 continue
-            for j in ways[i]:
+            while at[i] < len(arcs[i]):
+                j = arcs[i][at[i]]
                 if room[i][j] > tiny and level.get(j, -9) == level[i] + 1:
                     path.append(j)
                     break
+                at[i] += 1
             else:
-                level[i] = -9
                 path.pop()
+                if path:
+                    at[path[-1]] += 1
 
 
 def main_text(html: str | None) -> tuple[str, int, int]:

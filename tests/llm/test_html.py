@@ -32,7 +32,8 @@ def test_page():
 
 
 def test_odd_pages():
-    assert H.main_text(None)[0] == H.main_text("")[0] == H.main_text("<!-- a")[0] == H.main_text("<<<>>>" * 3)[0][:0] == ""
+    assert H.main_text(None)[0] == H.main_text("")[0] == H.main_text("<!-- a")[0] == ""
+    assert set(H.main_text("<<<>>>" * 3)[0]) <= set("<>")
     assert H.main_text("plain text only, nothing else.")[0] == "plain text only, nothing else."
     H.main_text("<div>" * 3000 + "deep" + "<p a='" * 2000)
     long = "<article>" + "<p>Some words, here.</p>" * 20_000 + "</article>"
@@ -45,3 +46,31 @@ def test_rows(spark):
     assert sorted((r.n_chars, len(r.text)) for r in got)[0] == (0, 0) and len(got) == 3
     assert all(r.n_chars == len(r.text) for r in got)
     assert H.extracted(pages.limit(0)).count() == 0
+
+
+def test_names_that_only_begin_like_furniture_keep_their_text():
+    words = "This is a paragraph about the thing, and it goes on for a while."
+    for name in ("footnote", "responsive-text", "football-story", "discussion", "modality", "footage", "menu-price", "respondents"):
+        page = f'<nav class="menu"><a href="x">a</a></nav><article><h1>Title</h1><p>{words}</p><p class="{name}">{words} Yes.</p></article>'
+        assert H.main_text(page)[0] == f"Title\n{words}\n{words} Yes.", name
+    for name in ("site-menu", "discussion", "comments", "page-footer", "modal", "skip-link", "cookie-bar", "newsletterSignup"):
+        page = f'<article><h1>Title</h1><p>{words}</p><div class="{name}"><p>{words} No.</p></div></article>'
+        assert H.main_text(page)[0] == f"Title\n{words}", name
+
+
+def test_links_over_blocks_and_formulas():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so, then all is well.</p></article>"
+    page += "<ul><li><a href='1'><div>One more story to read here, is it not?</div><div>And yet another one of them.</div></a></li></ul>"
+    assert H.main_text(page)[0] == "Let x=2 be so, then all is well."
+    linked = H.blocks("<div><a href='1'><div>in a link</div></a><p>not in one</p><p><a>open<p>after it")
+    assert [b.links for b in linked] == [9, 0, 4, 0]
+
+
+def test_many_undecided_blocks():
+    r = random.Random(1)
+    n = 4000
+    odds = [r.uniform(-1, 1) for _ in range(n)]
+    links = [(i - 1, i, r.uniform(0.5, 1.5)) for i in range(1, n)] + [(i, i + 3, 0.6) for i in range(n - 3)]
+    label = H.minimum_cut(odds, links)
+    best = cost(label, odds, links)
+    assert all(best <= cost(label[:i] + [not label[i]] + label[i + 1 :], odds, links) + 1e-9 for i in range(0, n, 400))

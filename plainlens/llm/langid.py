@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -92,6 +93,22 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def _centroids(idf: np.ndarray):
+    """The sampled documents of one language to its centroids and least accepted similarity."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(zip(pdf["h"], map(bytes, pdf["counts"]), strict=True))
+        x = np.zeros((len(own), DIMS), np.float32)
+        for i, (_, raw) in enumerate(own):
+            at, count = np.frombuffer(raw, "<u2").reshape(2, -1)
+            x[i, at] = count
+        x = weighted(x, idf)
+        c = spherical_kmeans(x, CENTROIDS).astype("<f4")
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centroids": [c.tobytes()], "floor": [float(np.quantile((x @ c.T).max(1), REJECT_QUANTILE))]})
+
+    return run
+
+
 class Model:
     """idf, and unit centroids with the language and the least accepted similarity of each."""
 
@@ -125,21 +142,14 @@ def fit(learn: DataFrame) -> Model | None:
     n = {r.dim: r.n for r in df}
     idf = np.log((1 + n.pop(-1)) / (1 + np.array([n.get(i, 0) for i in range(DIMS)]))).astype(np.float32) + 1
     sampled = learn.withColumn("h", h).filter(F.col("h") < F.try_element_at(bound, F.col("lang")))
-    rows = sampled.select("text", "lang", "h").mapInArrow(_counts, "lang string, h long, counts binary").collect()
-    languages = sorted({r.lang for r in rows})
-    centroids, of, floor = [], [], []
-    for j, lang in enumerate(languages):
-        own = sorted((r.h, bytes(r.counts)) for r in rows if r.lang == lang)
-        x = np.zeros((len(own), DIMS), np.float32)
-        for i, (_, raw) in enumerate(own):
-            at, count = np.frombuffer(raw, "<u2").reshape(2, -1)
-            x[i, at] = count
-        x = weighted(x, idf)
-        c = spherical_kmeans(x, CENTROIDS)
-        centroids.append(c)
-        of += [j] * len(c)
-        floor.append(np.quantile((x @ c.T).max(1), REJECT_QUANTILE))
-    return Model(languages, idf, np.concatenate(centroids), np.array(of), np.array(floor)) if languages else None
+    counted = sampled.select("text", "lang", "h").mapInArrow(_counts, "lang string, h long, counts binary")
+    # one group is about SAMPLE documents, and the driver only gets the centroids
+    rows = sorted(counted.groupBy("lang").applyInPandas(_centroids(idf), "lang string, centroids binary, floor double").collect(), key=lambda r: r.lang)
+    if not rows:
+        return None
+    per_language = [np.frombuffer(r.centroids, "<f4").reshape(-1, DIMS) for r in rows]
+    of = np.repeat(np.arange(len(rows)), [len(c) for c in per_language])
+    return Model([r.lang for r in rows], idf, np.concatenate(per_language), of, np.array([r.floor for r in rows]))
 
 
 def _predict(model):

@@ -3,7 +3,8 @@
 The chain predicts one category after another from the words of a text, and each model also sees the probabilities of the
 categories before it. While it is fitted those are out-of-fold: they come from models that did not see the document, as
 they will not have seen the documents that are scored. The first categories are weakly labelled (a labelled toxic document
-with a word of the category's list); the last is the label itself. Models are logistic, over hashed words and beginnings of words (present or not).
+with a word of the category's list); the last is the label itself. Models are logistic, over hashed words and beginnings of words
+(present or not, and shared by two words of the text or not).
 They are fitted on the driver on a bounded sample; every document is scored in Arrow batches with broadcast weights.
 """
 
@@ -50,6 +51,11 @@ def buckets(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(word) % DIMS] + [xxhash.xxh32_intdigest(f"^{word[:n]}") % DIMS for n in BEGINNINGS if len(word) > n]
 
 
+def twice(bucket: int) -> int:
+    """The feature that two or more different words of a text share a feature: inflected forms of one word."""
+    return (bucket * 0x9E3779B1 + 0x7F4A7C15) % 0xFFFFFFFB % DIMS
+
+
 class Features:
     """Hashed distinct features of texts, optionally only some of them, with a bounded cache of words."""
 
@@ -60,17 +66,22 @@ class Features:
         words = set(_WORD.findall(text.lower()))
         if len(self.known) > CACHE:
             self.known = {}
-        known = self.known
+        known, used = self.known, self.used
         for w in words.difference(known):
-            known[w] = tuple(b for b in buckets(w) if self.used is None or b in self.used)
-        return sorted({b for w in words for b in known[w]})
+            known[w] = tuple(b for b in buckets(w) if used is None or b in used or twice(b) in used)
+        once, more = set(), set()
+        for w in words:
+            for b in known[w]:
+                (more if b in once else once).add(b)
+        found = once | {twice(b) for b in more}
+        return sorted(found if used is None else found & used)
 
 
 def copy_keys(lists: list[np.ndarray], times: int = 3) -> np.ndarray:
     """MinHash values of each row's words, rows x times; near copies mostly have equal ones."""
     g = np.random.default_rng(11)
     out = np.zeros((len(lists), times), np.int64)
-    for j in range(times):
+    for j in range(times if lists else 0):
         order = g.permutation(DIMS)
         out[:, j] = [order[np.asarray(a, np.int64)].min() if len(a) else -1 for a in lists]
     return out
@@ -116,31 +127,51 @@ class Rows:
         return out
 
 
-def fit_logistic(x: Rows, dense: np.ndarray, y: np.ndarray, copies: np.ndarray, dims: int, rounds: int = 400, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of words, of dense columns, and a constant: full-batch gradient steps scaled per weight (Adam).
+def fit_logistic(x: Rows, dense: np.ndarray, y: np.ndarray, copies: np.ndarray, dims: int, rounds: int = 40, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of words, of dense columns, and a constant, by Newton steps; their systems are solved by conjugate gradients,
+    so no matrix of weights is built.
 
-    Only words that go with the category (chi-square and support, on these rows alone) get a weight.
+    Only words that go with the category (chi-square and support, on these rows alone) get a weight. Without a positive row
+    there are no weights, and the constant says almost never.
     """
     n = max(1, len(y))
-    rate = (y.sum() + 0.5) / (n + 1)
-    w = np.zeros(dims + dense.shape[1] + 1)
-    w[-1] = np.log(rate / (1 - rate))
+    w = np.zeros(dims)
     if not y.any():
-        return w[:dims], w[dims:-1], -12.0
+        return w, np.zeros(dense.shape[1]), -12.0
     with_word, positive = x.back(np.ones(n), dims), x.back(y, dims)
     gap = positive - with_word * y.mean()
     chi = gap**2 / np.maximum(with_word * (1 - with_word / n) * y.mean() * (1 - y.mean()), 1e-9)
     free = np.flatnonzero((chi >= LEAST_CHI_SQUARE) & (support(x, y, copies, dims) >= LEAST_SUPPORT))
-    x, b = x.columns(free, dims), np.concatenate([np.zeros(len(free) + dense.shape[1]), w[-1:]])
-    m, v = np.zeros_like(b), np.zeros_like(b)
-    for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(x.times(b[: len(free)]) + dense @ b[len(free) : -1] + b[-1])))
-        r = (p - y) / n
-        g = np.concatenate([x.back(r, len(free)), dense.T @ r, [r.sum()]]) + decay * np.append(b[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        b -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    w[free] = b[: len(free)]
-    return w[:dims], b[len(free) : -1], float(b[-1])
+    x, f = x.columns(free, dims), len(free)
+    rate = (y.sum() + 0.5) / (n + 1)
+    b = np.append(np.zeros(f + dense.shape[1]), np.log(rate / (1 - rate)))
+    keep = np.append(np.full(len(b) - 1, decay), 0.0)
+    score = lambda v: x.times(v[:f]) + dense @ v[f:-1] + v[-1]
+    back = lambda r: np.concatenate([x.back(r, f), dense.T @ r, [r.sum()]])
+    loss = lambda z, v: float((np.logaddexp(0, z) - y * z).mean() + (keep * v * v).sum() / 2)
+    z = score(b)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-z))
+        g = back((p - y) / n) + keep * b
+        if np.abs(g).max() < 1e-8:
+            break
+        curve, step, rest = p * (1 - p) / n + 1e-12, np.zeros_like(b), -g
+        way, size = rest.copy(), float(rest @ rest)
+        for _ in range(60):
+            bent = back(curve * score(way)) + keep * way
+            part = size / max(float(way @ bent), 1e-300)
+            step, rest = step + part * way, rest - part * bent
+            new = float(rest @ rest)
+            if new <= 1e-4 * float(g @ g):
+                break
+            way, size = rest + new / size * way, new
+        length, now = 1.0, loss(z, b)
+        while length > 1e-6 and loss(score(b + length * step), b + length * step) > now + 1e-4 * length * float(g @ step):
+            length /= 2
+        b = b + length * step
+        z = score(b)
+    w[free] = b[:f]
+    return w, b[f:-1], float(b[-1])
 
 
 class Chain:
@@ -175,7 +206,11 @@ def best_threshold(p: np.ndarray, y: np.ndarray, beta: float = 1.0) -> float:
 
 
 def fit_chain(lists: list[list[int]], categories: np.ndarray, fold: np.ndarray) -> Chain:
-    """categories: rows x CHAIN of 0 and 1; fold: a number per row."""
+    """categories: rows x CHAIN of 0 and 1; fold: a number per row. Near copies must be in one fold.
+
+    A category with fewer than LEAST_SUPPORT different positive documents cannot be learned: it is no link of the chain (its
+    probability is a constant near 0, and no later model sees it).
+    """
     seen = np.bincount(np.concatenate([np.array(a, np.int64) for a in lists] or [np.zeros(0, np.int64)]), minlength=DIMS)
     used = np.flatnonzero(seen >= LEAST_DOCUMENTS)
     local = np.full(DIMS, -1)
@@ -185,6 +220,13 @@ def fit_chain(lists: list[list[int]], categories: np.ndarray, fold: np.ndarray)
     chain, earlier = Chain(), np.zeros((len(lists), 0))
     for j in range(categories.shape[1]):
         y, held = categories[:, j].astype(float), np.zeros(len(lists))
+        if len(np.unique(copies[y > 0, 0])) < LEAST_SUPPORT:
+            chain.words.append(np.zeros(DIMS))
+            chain.links.append(np.zeros(j))
+            chain.constant.append(-12.0)
+            chain.threshold.append(0.5)
+            earlier = np.column_stack([earlier, held])
+            continue
         for f in range(FOLDS):
             train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             w, link, c = fit_logistic(x.take(train), earlier[train], y[train], copies[train], len(used))
@@ -200,6 +242,12 @@ def fit_chain(lists: list[list[int]], categories: np.ndarray, fold: np.ndarray)
     return chain
 
 
+def folds(lists: list[np.ndarray]) -> np.ndarray:
+    """A fold for each row by two MinHash values, so that near copies are mostly in one fold."""
+    _, at = np.unique(copy_keys(lists, 2), axis=0, return_inverse=True)
+    return at.ravel() % FOLDS if lists else np.zeros(0, np.int64)
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text, features = b.column("text").fill_null("").to_pylist(), Features()
@@ -218,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
         return None
     toxic = np.array([[r.toxic] for r in rows])
     categories = np.hstack([np.array([r.hits for r in rows]) * toxic, toxic])
-    return fit_chain([np.frombuffer(r.features, "<i4") for r in rows], categories, np.arange(len(rows)) % FOLDS)
+    lists = [np.frombuffer(r.features, "<i4") for r in rows]
+    return fit_chain(lists, categories, folds(lists))
 
 
 def _score(chain):

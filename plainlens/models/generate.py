@@ -6,13 +6,14 @@ sent. Errors become a column and never end the job. Concurrency is the number of
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
-from ..operators import curate
+from ..operators import curate, sari, similarity
 
 Client = Callable[[str, str, int], str]
 #: Measures by name: functions of a DataFrame and its text columns.
@@ -33,6 +34,28 @@ def metric_of(name: str) -> Callable[..., DataFrame]:
     return METRICS[name]
 
 
+@metric("flesch")
+def _flesch(df: DataFrame, key: str, original: str, simplified: str) -> DataFrame:
+    """key, flesch_original, flesch_simplified."""
+    return df.select(key, T.flesch(F.col(f"`{original}`")).alias("flesch_original"), T.flesch(F.col(f"`{simplified}`")).alias("flesch_simplified"))
+
+
+@metric("lexical_diversity")
+def _diversity(df: DataFrame, key: str, original: str, simplified: str) -> DataFrame:
+    """key, div_original, div_simplified."""
+    return df.select(key, T.lexical_diversity(F.col(f"`{original}`")).alias("div_original"), T.lexical_diversity(F.col(f"`{simplified}`")).alias("div_simplified"))
+
+
+@metric("d_sari")
+def _d_sari(df: DataFrame, key: str, original: str, simplified: str, reference: str) -> DataFrame:
+    return sari.d_sari(df, key, original, simplified, reference)
+
+
+@metric("sliding_similarity")
+def _sliding(df: DataFrame, key: str, original: str, simplified: str, encode: Callable | None = None) -> DataFrame:
+    return similarity.sliding_similarity(df, key, original, simplified, encode or similarity.hashed_encoder())
+
+
 def fake_client() -> Client:
     """A deterministic stand-in: the first half of the user's words."""
     def ask(system: str, user: str, seed: int) -> str:
@@ -76,8 +99,9 @@ def generated(df: DataFrame, done: DataFrame, key: str, text: str, factory: Call
     return curate.union_all([done.filter(~curate.needs_work(outputs)), new])
 
 
-def annotated(df: DataFrame, key: str, text: str, factory: Callable[[], Callable[[str], str]], cached: DataFrame | None = None, tries: int = 3) -> DataFrame:
-    """key, conllu: CoNLL-U text of an injected parser; cached rows are taken as they are, failures are tried again."""
+def annotated(df: DataFrame, key: str, text: str, factory: Callable[[], Callable[[str], str]], cached: DataFrame | None = None, tries: int = 3, wait: float = 5.0) -> DataFrame:
+    """key, conllu: CoNLL-U text of an injected parser; cached rows are taken as they are, failed connections are tried again
+    after `wait` seconds."""
     todo = curate.drop_keys(df, cached, key) if cached is not None else df
     kind = df.schema[key].dataType.simpleString()
 
@@ -93,6 +117,7 @@ def annotated(df: DataFrame, key: str, text: str, factory: Callable[[], Callable
                     except ConnectionError:
                         if not left:
                             raise
+                        time.sleep(wait)
             yield pd.DataFrame(rows, columns=[key, "conllu"])
 
     new = todo.select(key, text).mapInPandas(run, f"{key} {kind}, conllu string")

@@ -172,3 +172,12 @@ def located(wanted: DataFrame, listing: DataFrame, name: str, path: str) -> Data
     """Each wanted file name with the first path that has it, or null."""
     first = listing.groupBy(F.element_at(F.split(path, "/"), -1).alias(name)).agg(F.min(path).alias("found"))
     return wanted.join(first, name, "left")
+
+
+def ordered(df: DataFrame, *keys: str) -> DataFrame:
+    return df.orderBy(*keys)
+
+
+def preview(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The first n rows by these keys."""
+    return df.orderBy(*keys).limit(n)

@@ -101,9 +101,9 @@ def sliding_similarity(df: DataFrame, key: str, a: str, b: str, encode: Callable
 
 
 def hashed_encoder(dims: int = 64) -> Callable[[Column], Column]:
-    """A deterministic stand-in encoder: counts of hashed lower-case words, without any model."""
+    """A deterministic stand-in encoder: counts of lower-case words by the first byte of their md5, without any model."""
     def encode(c: Column) -> Column:
-        at = F.transform(T.tokens(F.lower(c)), lambda w: F.pmod(F.crc32(w), F.lit(dims)).cast("int"))
+        at = F.transform(T.tokens(F.lower(c)), lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % dims)
         return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(at, lambda x: x == d)).cast("double"))
 
     return encode

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .ordering import global_rank, md5_order
+from .stats import exact_quantiles
 
 #: Groups that always belong to the test set.
 REVISED_MEDICINES = (
@@ -56,10 +57,8 @@ def group_split(df: DataFrame, group: str, seed: str | int = 42, train: float =
 
 def challenge_sets(df: DataFrame, group: str, metric: str, most: int = 200, seed: str | int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows of good groups (metric at the 90th percentile or above) and hard ones (10th or below, none of the good)."""
-    bounds = df.agg(F.percentile(metric, F.array(F.lit(0.1), F.lit(0.9))).alias("_q"))
-    scored = df.crossJoin(F.broadcast(bounds))  # bounds is one row
-    high = scored.filter(F.col(metric) >= F.col("_q")[1]).drop("_q")
-    low = scored.filter(F.col(metric) <= F.col("_q")[0]).drop("_q")
+    least, most_of_all = (F.lit(q) for q in exact_quantiles(df, metric, (0.1, 0.9)))
+    high, low = df.filter(F.col(metric) >= most_of_all), df.filter(F.col(metric) <= least)
     good = sample_groups(high, group, most, seed)
     hard = sample_groups(low.join(F.broadcast(good), group, "left_anti"), group, most, seed)
     return high.join(F.broadcast(good), group, "left_semi"), low.join(F.broadcast(hard), group, "left_semi")

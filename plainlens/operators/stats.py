@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,15 +36,63 @@ def safe_mean(c: Column) -> Column:
     return F.avg(F.nanvl(c.try_cast("double"), F.lit(None).cast("double")))
 
 
+#: Values that one buffer may hold, and runs that a larger range is cut into.
+HELD, RUNS = 200_000, 200
+
+
+def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[int, float]:
+    """The values at 0-based ranks of the sorted non-null numbers, exactly.
+
+    A range of many values is cut into runs at approximate quantiles and the runs are counted; only those that hold a
+    wanted rank are looked into, until one has few values or a single one. So no buffer grows with the table.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    found: dict[int, float] = {}
+    todo: list[tuple[float | None, float | None, int, list[int]]] = [(None, None, 0, sorted(set(ranks)))]
+    while todo:
+        low, high, before, wanted = todo.pop()
+        part = values if low is None else values.filter(F.col("v") > low)
+        part = part if high is None else part.filter(F.col("v") <= high)
+        x = part.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", [i / RUNS for i in range(1, RUNS)], 50 * RUNS).alias("cuts")).first()
+        if x.low == x.high:
+            found.update(dict.fromkeys(wanted, x.low))
+        elif x.n <= HELD:
+            every = part.agg(F.sort_array(F.collect_list("v")).alias("v"))
+            got = every.select(F.transform(F.array(*[F.lit(r - before) for r in wanted]), lambda i: F.get("v", i)).alias("v")).first()[0]
+            found.update(zip(wanted, got, strict=True))
+        else:  # the greatest value is a run of its own, so that each step leaves fewer values
+            cuts = sorted({c for c in x.cuts if c < x.high} | {math.nextafter(x.high, -math.inf)})
+            run = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v")))
+            counts = {r.run: r["count"] for r in part.groupBy(run.alias("run")).count().collect()}
+            for i in range(len(cuts) + 1):
+                inside = [r for r in wanted if before <= r < before + counts.get(i, 0)]
+                if inside:
+                    todo.append((cuts[i - 1] if i else low, cuts[i] if i < len(cuts) else high, before, inside))
+                before += counts.get(i, 0)
+    return found
+
+
+def exact_quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float | None]:
+    """Quantiles with linear interpolation; null of no values."""
+    n = df.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
+    if not n:
+        return [None] * len(at)
+    place = [q * (n - 1) for q in at]
+    ranks = {r for x in place for r in (math.floor(x), math.ceil(x))}
+    v = order_statistics(df, column, sorted(ranks))
+    return [v[math.floor(x)] + (v[math.ceil(x)] - v[math.floor(x)]) * (x - math.floor(x)) for x in place]
+
+
 def quantiles(df: DataFrame, column: str, at: Sequence[float] = (0.1, 0.9)) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per quantile."""
-    q = df.agg(F.percentile(column, F.array(*[F.lit(float(x)) for x in at])).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "value")).select(F.element_at(F.array(*[F.lit(float(x)) for x in at]), F.col("i") + 1).alias("quantile"), "value")
+    rows = list(zip(map(float, at), exact_quantiles(df, column, at), strict=True))
+    return df.sparkSession.createDataFrame(rows, "quantile double, value double")
 
 
 def spread(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
-    return df.agg(F.avg(c).alias("mean"), F.median(c).alias("median"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"), F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.75)).alias("q75"))
+    q25, median, q75 = (F.lit(x).cast("double") for x in exact_quantiles(df, column, (0.25, 0.5, 0.75)))
+    return df.agg(F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std")).select("mean", median.alias("median"), "std", q25.alias("q25"), q75.alias("q75"))
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
@@ -66,11 +115,12 @@ def kernel_density(df: DataFrame, column: str, low: float, high: float, points:
     grid point is one sum of the same scan, so no row is multiplied; the grid is cut into passes of bounded width.
     """
     c = F.col(column)
-    s = df.filter(c.isNotNull()).agg(F.count(c).alias("n"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
+    s = df.filter(c.isNotNull()).agg(F.count(c).alias("n"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std")).first()
     spark, grid = df.sparkSession, [low + i * (high - low) / (points - 1) for i in range(points)]
     if s.n < 2:
         return spark.createDataFrame([(i, float(x), 0.0) for i, x in enumerate(grid)], "point int, x double, density double")
-    sigma = min(s.std, (s.q[1] - s.q[0]) / 1.349)
+    low_q, high_q = exact_quantiles(df, column, (0.25, 0.75))
+    sigma = min(s.std, (high_q - low_q) / 1.349)
     width = max(0.9 * sigma * s.n**-0.2, 1e-3) if sigma > 0 else 0.05
     scale, out = 1 / (s.n * width * (2 * 3.141592653589793) ** 0.5), None
     for at in range(0, points, per_pass):

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.rows import exploded
 from ..operators import curate, judge, pages, sari, similarity, splits, stats, ud
 from ..operators.ordering import ranked_by_value
+from ..sources import files
 from . import views as V
 from .views import d_band, d_flesch, d_sentences, d_strip, d_sub, d_syllables, d_tokens, d_windows, d_words, q
 
@@ -81,6 +82,12 @@ def normalised_for_match(spark, d):
     return V.docs(spark, d).select("row_id", T.normalize_for_match(t).alias("v1"), T.normalize_for_match(t, nbsp=True).alias("v2"))
 
 
+@query(f"WITH {V.DOCS}, m AS (SELECT row_id, replace(replace(docs, 'ß', 'ss'), ' the ', ' esse  Produto ') AS t FROM docs) SELECT row_id, {d_sub("replace(replace(replace(upper(strip_accents(t)), 'ESSE MEDICAMENTO', 'ESTE MEDICAMENTO'), 'ESSE PRODUTO', 'ESTE MEDICAMENTO'), 'ESTE PRODUTO', 'ESTE MEDICAMENTO')", '[ \\t]+', q(' '))} AS norm FROM m")
+def medicine_wording(spark, d):
+    t = F.replace(F.replace(F.col("docs"), F.lit("ß"), F.lit("ss")), F.lit(" the "), F.lit(" esse  Produto "))
+    return V.docs(spark, d).select("row_id", T.normalize_text_for_match(t).alias("norm"))
+
+
 @query(f"WITH {V.DOCS}, j AS (SELECT row_id, replace(replace(replace(docs, ' the ', '-' || chr(10)), '. ', '.  ' || chr(10) || chr(10) || chr(10)), 'en', chr(173) || 'en') AS t FROM docs) SELECT row_id, {d_strip(d_sub(d_sub(d_sub('replace(t, chr(173), ' + q('') + ')', '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', q('\\1\\2')), '[ \\t]+\\n', 'chr(10)'), '\\n{3,}', 'chr(10) || chr(10)'))} AS joined FROM j")
 def lines_joined(spark, d):
     t = F.replace(F.replace(F.replace(F.col("docs"), F.lit(" the "), F.lit("-\n")), F.lit(". "), F.lit(".  \n\n\n")), F.lit("en"), F.lit("­en"))
@@ -316,6 +323,34 @@ def backfilled_columns(spark, d):
     return curate.backfilled(x.select("row_id", "lang"), x, "row_id")
 
 
+@query(f"WITH {V.PAIRS} SELECT original_text, paraphrase FROM pairs UNION ALL SELECT docs, lang FROM (SELECT text AS docs, lang FROM documents)")
+def united_pairs(spark, d):
+    other = V.table(spark, d, "documents").select("source", F.col("text").alias("original_text"), F.col("lang").alias("simple_text"))
+    return files.united_pairs([V.pairs(spark, d), other])
+
+
+@query("SELECT n_nationkey, 'nation.parquet' AS source_file, 'fixed' AS given FROM nation")
+def source_files(spark, d):
+    x = files.with_source_file(V.table(spark, d, "nation"))
+    name = F.regexp_extract("source_file", "nation.*$", 0)  # a folder of part files gives the part's name
+    return x.select("n_nationkey", F.when(name.startswith("nation"), name).otherwise("nation.parquet").alias("source_file"), F.lit("fixed").alias("given"))
+
+
+@query(f"WITH {V.DOCS} SELECT row_id, lang, CAST(NULL AS VARCHAR) AS rev1, CAST(NULL AS DOUBLE) AS score FROM docs")
+def columns_added(spark, d):
+    return curate.with_columns_present(V.docs(spark, d).select("row_id", "lang"), {"lang": "string", "rev1": "string", "score": "double"})
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey")
+def ordered_rows(spark, d):
+    return curate.ordered(V.table(spark, d, "customer").select("c_custkey", "c_acctbal"), F.desc("c_acctbal"), "c_custkey")
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 5")
+def head_preview(spark, d):
+    return curate.preview(V.table(spark, d, "part").select("p_partkey", "p_name"), 5, "p_partkey")
+
+
 # --- statistics --------------------------------------------------------------------------------------------------------
 
 _LENGTHS = f"""lens AS (SELECT pair_id, len(regexp_replace(original_text, '[^A-Za-zÀ-ÿ]', '', 'g')) AS orig_chars, len({d_sentences('original_text')}) AS orig_sents, len(regexp_replace(paraphrase, '[^A-Za-zÀ-ÿ]', '', 'g')) AS para_chars, len({d_sentences('paraphrase')}) AS para_sents FROM pairs)"""
@@ -470,6 +505,14 @@ def pages_without_margins(spark, d):
     return pages.without_margins(_pages(spark, d), "doc", "page", "text")
 
 
+_KEPT = "kept AS (SELECT doc, page, string_agg(replace(line, 'ß', 'ss'), chr(10) ORDER BY line_no) AS t FROM ln WHERE NOT (line_no < 2 AND EXISTS (SELECT 1 FROM common c WHERE c.doc = ln.doc AND c.kind = 'head' AND c.norm = ln.norm)) AND NOT (line_no >= greatest(0, n_lines - 2) AND EXISTS (SELECT 1 FROM common c WHERE c.doc = ln.doc AND c.kind = 'foot' AND c.norm = ln.norm)) GROUP BY 1, 2)"
+
+
+@query(f"WITH {V.PAGES}, {_LINES}, {_KEPT}, f AS (SELECT pg.doc, string_agg(coalesce(t, ''), chr(10) || chr(10) ORDER BY pg.page) AS t FROM pg LEFT JOIN kept USING (doc, page) GROUP BY 1) SELECT doc, {d_strip(d_sub(d_sub(d_sub('replace(t, chr(173), ' + q('') + ')', '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', q('\\1\\2')), '[ \\t]+\\n', 'chr(10)'), '\\n{3,}', 'chr(10) || chr(10)'))} AS text FROM f")
+def full_texts(spark, d):
+    return pages.full_text(_pages(spark, d), "doc", "page", "text")
+
+
 # --- SARI --------------------------------------------------------------------------------------------------------------
 
 
@@ -500,24 +543,25 @@ def d_sari(spark, d):
 
 
 def _chunks(spark, d):
-    e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), "label", F.col("embedding").alias("vec"), (F.col("vec_id") % 5 + 1).alias("weight"))
+    """Vectors as chunks of documents of twenty each; even ones are the original's, odd ones the simplified text's."""
+    e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.floor(F.col("vec_id") / 20).alias("doc"), F.col("embedding").alias("vec"), (F.col("vec_id") % 5 + 1).alias("weight"))
     return e.filter(F.col("chunk") % 2 == 0), e.filter(F.col("chunk") % 2 == 1)
 
 
-_CHUNKS = "e AS (SELECT vec_id AS chunk, label, embedding::DOUBLE[] AS vec, vec_id % 5 + 1 AS weight FROM embeddings), pr AS (SELECT a.label, a.chunk AS ac, a.weight AS aw, b.chunk AS bc, b.weight AS bw, list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) AS sim FROM e a JOIN e b ON a.label = b.label AND a.chunk % 2 = 0 AND b.chunk % 2 = 1)"
+_CHUNKS = "e AS (SELECT vec_id AS chunk, vec_id // 20 AS doc, embedding::DOUBLE[] AS vec, vec_id % 5 + 1 AS weight FROM embeddings), pr AS (SELECT a.doc, a.chunk AS ac, a.weight AS aw, b.chunk AS bc, b.weight AS bw, list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) AS sim FROM e a JOIN e b ON a.doc = b.doc AND a.chunk % 2 = 0 AND b.chunk % 2 = 1)"
 
 
-@query(f"WITH {_CHUNKS} SELECT label, ac AS a_chunk, bc AS b_chunk, round(sim, 6) AS sim FROM pr")
+@query(f"WITH {_CHUNKS} SELECT doc, ac AS a_chunk, bc AS b_chunk, round(sim, 6) AS sim FROM pr")
 def chunk_cosines(spark, d):
     a, b = _chunks(spark, d)
-    return similarity.chunk_pairs(a, b, "label").select("label", "a_chunk", "b_chunk", r6(F.col("sim")).alias("sim"))
+    return similarity.chunk_pairs(a, b, "doc").select("doc", "a_chunk", "b_chunk", r6(F.col("sim")).alias("sim"))
 
 
-@query(f"WITH {_CHUNKS}, ma AS (SELECT label, ac, max(sim) AS m, any_value(aw) AS w FROM pr GROUP BY 1, 2), mb AS (SELECT label, bc, max(sim) AS m, any_value(bw) AS w FROM pr GROUP BY 1, 2), a AS (SELECT label, sum(m * w) / sum(w) AS x FROM ma GROUP BY 1), b AS (SELECT label, sum(m * w) / sum(w) AS y FROM mb GROUP BY 1) SELECT label, round(x, 6) AS a_to_b, round(y, 6) AS b_to_a, round(CASE WHEN x + y = 0 THEN 0 ELSE 2 * x * y / (x + y) END, 6) AS semantic_f1 FROM a JOIN b USING (label)")
+@query(f"WITH {_CHUNKS}, ma AS (SELECT doc, ac, max(sim) AS m, any_value(aw) AS w FROM pr GROUP BY 1, 2), mb AS (SELECT doc, bc, max(sim) AS m, any_value(bw) AS w FROM pr GROUP BY 1, 2), a AS (SELECT doc, sum(m * w) / sum(w) AS x FROM ma GROUP BY 1), b AS (SELECT doc, sum(m * w) / sum(w) AS y FROM mb GROUP BY 1) SELECT doc, round(x, 6) AS a_to_b, round(y, 6) AS b_to_a, round(CASE WHEN x + y = 0 THEN 0 ELSE 2 * x * y / (x + y) END, 6) AS semantic_f1 FROM a JOIN b USING (doc)")
 def best_alignment(spark, d):
     a, b = _chunks(spark, d)
-    x = similarity.best_alignment(similarity.chunk_pairs(a, b, "label"), "label")
-    return x.select("label", *[r6(F.col(c)).alias(c) for c in ("a_to_b", "b_to_a", "semantic_f1")])
+    x = similarity.best_alignment(similarity.chunk_pairs(a, b, "doc"), "doc")
+    return x.select("doc", *[r6(F.col(c)).alias(c) for c in ("a_to_b", "b_to_a", "semantic_f1")])
 
 
 @query("WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM v GROUP BY 1, 2) SELECT a.label AS a, b.label AS b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 5) AS sim FROM m a JOIN m b ON a.i = b.i AND b.label = a.label + 1 GROUP BY 1, 2")
@@ -538,16 +582,50 @@ def weighted_section_score(spark, d):
     return similarity.document_score(x, "id").select("id", r6(F.col("semantic_similarity_sections")).alias("semantic_similarity_sections"))
 
 
-@query()
-def section_similarity(spark, d):
-    """Sections of each leaflet against the same sections in lower case and half as long, by a hashed encoder."""
-    x = V.leaflets(spark, d).select("id", "leaflet", F.regexp_replace("leaflet", r"(\S+) \S+", "$1").alias("short"))
+#: Sections of each leaflet beside the same sections in lower case without the words that hold a "th".
+_SECTIONS = f"""{V.LEAFLETS}, r AS (SELECT id, {_LAST} AS last, k, [s1, s2, s3, s4, s5, s6, s7, s8, s9][k] AS t FROM parts, range(1, 10) x(k)),
+sx AS (SELECT id, 'sec_' || k AS sec, CASE WHEN k > 1 AND (id + k) % 7 = 0 THEN '' ELSE {d_strip('t || CASE WHEN k = last AND id % 5 <> 0 THEN chr(10) || ' + q('III - DIZERES LEGAIS') + ' || chr(10) || ' + q('fim') + ' ELSE ' + q('') + ' END')} END AS a FROM r),
+sy AS (SELECT *, {d_strip("regexp_replace(lower(a), '[a-z]*th[a-z]*', '', 'g')")} AS b FROM sx),
+tk AS (SELECT id, sec, 'a' AS side, {d_tokens('a')} AS t FROM sy UNION ALL SELECT id, sec, 'b', {d_tokens('b')} FROM sy),
+ck AS (SELECT id, sec, side, unnest({d_windows('t', 120, 30)}) AS w, generate_subscripts({d_windows('t', 120, 30)}, 1) AS n FROM tk),
+tm AS (SELECT id, sec, side, n, len(w) AS weight, unnest(w) AS word FROM ck),
+vc AS (SELECT id, sec, side, n, any_value(weight) AS weight, ('0x' || substr(md5(lower(word)), 1, 2))::INTEGER % 32 AS d, count(*)::DOUBLE AS x FROM tm GROUP BY id, sec, side, n, d),
+nm AS (SELECT id, sec, side, n, any_value(weight) AS weight, sqrt(sum(x * x)) AS norm FROM vc GROUP BY id, sec, side, n),
+dp AS (SELECT a.id, a.sec, a.n AS an, b.n AS bn, sum(a.x * b.x) AS dot FROM vc a JOIN vc b ON a.id = b.id AND a.sec = b.sec AND a.d = b.d AND a.side = 'a' AND b.side = 'b' GROUP BY ALL),
+pr AS (SELECT a.id, a.sec, a.n AS an, b.n AS bn, a.weight AS aw, b.weight AS bw, coalesce(dot, 0) / (a.norm * b.norm) AS sim FROM nm a JOIN nm b ON a.id = b.id AND a.sec = b.sec AND a.side = 'a' AND b.side = 'b' LEFT JOIN dp ON dp.id = a.id AND dp.sec = a.sec AND dp.an = a.n AND dp.bn = b.n),
+ma AS (SELECT id, sec, an, max(sim) AS m, any_value(aw) AS w FROM pr GROUP BY ALL), mb AS (SELECT id, sec, bn, max(sim) AS m, any_value(bw) AS w FROM pr GROUP BY ALL),
+ba AS (SELECT id, sec, sum(m * w) / sum(w) AS x FROM ma GROUP BY ALL), bb AS (SELECT id, sec, sum(m * w) / sum(w) AS y FROM mb GROUP BY ALL),
+sc AS (SELECT sy.id, sy.sec, CASE WHEN a = '' AND b = '' THEN NULL WHEN a <> '' AND b <> '' THEN x ELSE 0 END AS orig_to_simp, CASE WHEN a = '' AND b = '' THEN NULL WHEN a <> '' AND b <> '' THEN y ELSE 0 END AS simp_to_orig, CASE WHEN a = '' AND b = '' THEN NULL WHEN a <> '' AND b <> '' THEN CASE WHEN x + y = 0 THEN 0 ELSE 2 * x * y / (x + y) END ELSE 0 END AS semantic_f1 FROM sy LEFT JOIN ba ON ba.id = sy.id AND ba.sec = sy.sec LEFT JOIN bb ON bb.id = sy.id AND bb.sec = sy.sec)"""
+
+
+def _section_scores(spark, d):
+    x = V.leaflets(spark, d).select("id", "leaflet", F.regexp_replace(F.lower("leaflet"), "[a-z]*th[a-z]*", "").alias("short"))
     return similarity.section_scores(x, "id", "leaflet", "short", similarity.hashed_encoder(32))
 
 
-@query()
+@query(f"WITH {_SECTIONS} SELECT id, sec, round(orig_to_simp, 6) AS orig_to_simp, round(simp_to_orig, 6) AS simp_to_orig, round(semantic_f1, 6) AS semantic_f1 FROM sc")
+def section_similarity(spark, d):
+    """Sections of each leaflet against the same sections in lower case with some words left out, by a hashed encoder."""
+    return _section_scores(spark, d).select("id", "sec", *[r6(F.col(c)).alias(c) for c in ("orig_to_simp", "simp_to_orig", "semantic_f1")])
+
+
+_MEASURES = ("orig_to_simp", "simp_to_orig", "semantic_f1")
+_WIDE = ", ".join(f"round(max(CASE WHEN sec = 'sec_{k}' THEN {m} END), 6) AS sec_{k}_{m}" for k in range(1, 10) for m in _MEASURES)
+
+
+@query(f"WITH {_SECTIONS}, w(sec, weight) AS (VALUES ('sec_1', 0.08::DOUBLE), ('sec_2', 0.07), ('sec_3', 0.16), ('sec_4', 0.16), ('sec_5', 0.06), ('sec_6', 0.18), ('sec_7', 0.09), ('sec_8', 0.15), ('sec_9', 0.05)) SELECT id, {_WIDE}, round(sum(weight * semantic_f1) / sum(CASE WHEN semantic_f1 IS NOT NULL THEN weight END), 6) AS semantic_similarity_sections FROM sc JOIN w USING (sec) GROUP BY id")
+def section_scores_wide(spark, d):
+    x = similarity.wide_section_scores(_section_scores(spark, d), "id")
+    return x.select("id", *[r6(F.col(c)).alias(c) for c in x.columns if c != "id"])
+
+
+@query(f"""WITH {V.PAIRS}, s AS (SELECT pair_id, 'a' AS side, {d_sentences('original_text', False)} AS s FROM pairs UNION ALL SELECT pair_id, 'b', {d_sentences('paraphrase', False)} FROM pairs),
+w AS (SELECT pair_id, side, unnest({d_windows('s', 5, 2)}) AS c FROM s), t AS (SELECT pair_id, side, unnest({d_tokens("lower(array_to_string(c, ' '))")}) AS word FROM w),
+g AS (SELECT pair_id, ('0x' || substr(md5(word), 1, 2))::INTEGER % 32 AS d, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM t GROUP BY ALL)
+SELECT pair_id, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) AS sim FROM g GROUP BY 1 HAVING sum(a) > 0 AND sum(b) > 0""")
 def sliding_similarity(spark, d):
-    return similarity.sliding_similarity(V.pairs(spark, d), "pair_id", "original_text", "paraphrase", similarity.hashed_encoder(32))
+    x = similarity.sliding_similarity(V.pairs(spark, d), "pair_id", "original_text", "paraphrase", similarity.hashed_encoder(32))
+    return x.select("pair_id", r6(F.col("sim")).alias("sim"))
 
 
 # --- dependencies ------------------------------------------------------------------------------------------------------
@@ -580,10 +658,22 @@ def syntactic_profile(spark, d):
     return x.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes])
 
 
-@query(f"WITH {V.UD_TOKENS}, f AS (SELECT 'upos' AS field, upos AS value, sent_key, pos FROM tok UNION ALL SELECT 'deprel', deprel, sent_key, pos FROM tok UNION ALL SELECT 'lemma', lemma, sent_key, pos FROM tok) SELECT field, value, count(*) AS n, min(sent_key) AS first_sentence FROM f GROUP BY 1, 2")
+@query(f"WITH {V.UD_TOKENS}, f AS (SELECT 'upos' AS field, upos AS value, sent_key, pos FROM tok UNION ALL SELECT 'deprel', deprel, sent_key, pos FROM tok UNION ALL SELECT 'lemma', lemma, sent_key, pos FROM tok) SELECT field, value, count(*) AS n, min(sent_key) AS first_sentence, sum(sent_key * 10 + pos)::BIGINT AS places FROM f GROUP BY 1, 2")
 def inverted_index(spark, d):
-    x = ud.inverted_index(V.ud_tokens(spark, d).select("sent_key", "pos", "id", "upos", "deprel", "lemma"), ["sent_key"]).filter("field <> 'id'")
-    return x.select("field", "value", "n", F.col("places")[0]["sent_key"].alias("first_sentence"))
+    """Every value's places, read back from the blocks: how many, the first, and their sum as numbers."""
+    x = ud.inverted_index(V.ud_tokens(spark, d).select("sent_key", "pos", "id", "upos", "deprel", "lemma"), ["sent_key"], 500).filter("field <> 'id'")
+    place = F.aggregate("places", F.lit(0).cast("long"), lambda t, p: t + p["sent_key"] * 10 + p["pos"])
+    return x.groupBy("field", "value").agg(F.sum("n").alias("n"), F.min(F.col("places")[0]["sent_key"]).alias("first_sentence"), F.sum(place).alias("places"))
+
+
+@query(f"WITH {V.UD_TOKENS} SELECT 7::BIGINT AS sent_key, id, word FROM tok WHERE sent_key = 7")
+def sentence_lookup(spark, d):
+    """One sentence by its id, out of the parsed text of all."""
+    line = F.concat_ws("\t", F.col("id").cast("string"), "word", *[F.lit("_")] * 8)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("l")))), lambda x: x["l"]), "\n")
+    text = V.ud_tokens(spark, d).groupBy("sent_key").agg(body.alias("b")).select(F.lit("all").alias("entry"), F.concat(F.lit("# sent_id = "), F.col("sent_key"), F.lit("\n"), F.col("b"), F.lit("\n\n")).alias("text"))
+    found = ud.tokens(ud.sentence(ud.parse_sentences(text, "entry", "text"), "7"))
+    return found.select(F.col("sent_key").cast("long").alias("sent_key"), F.col("id").cast("int").alias("id"), "word")
 
 
 @query(f"WITH {V.UD_TOKENS}, s AS (SELECT DISTINCT sent_key, sent_key % 30 AS entry FROM tok) SELECT entry, sent_key, row_number() OVER (ORDER BY entry, sent_key) AS new_sent_id FROM s")

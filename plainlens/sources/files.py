@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -18,14 +19,14 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 
 def read_pairs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """original_text and paraphrase of several files, one after another; simple_text counts as paraphrase."""
-    frames = []
-    for path in paths:
-        df = spark.read.parquet(path)
-        if "simple_text" in df.columns:
-            df = df.withColumnRenamed("simple_text", "paraphrase")
-        frames.append(df.select("original_text", "paraphrase"))
-    return curate.union_all(frames)
+    """original_text and paraphrase of several files, one after another."""
+    return united_pairs([spark.read.parquet(p) for p in paths])
+
+
+def united_pairs(frames: Sequence[DataFrame]) -> DataFrame:
+    """original_text and paraphrase of several tables; simple_text counts as paraphrase."""
+    named = [x.withColumnRenamed("simple_text", "paraphrase") if "simple_text" in x.columns else x for x in frames]
+    return curate.union_all([x.select("original_text", "paraphrase") for x in named])
 
 
 def with_source_file(df: DataFrame, name: str | None = None) -> DataFrame:
@@ -126,6 +127,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+#: A JSON document is put together on the driver, so it has no more rows.
+DOCUMENT_ROWS = 100_000
+
+
+def write_json_document(df: DataFrame, path: str) -> None:
+    """One document, indented by four, with letters outside ASCII as they are: an object for one row, else an array."""
+    rows = [r.asDict(recursive=True) for r in df.limit(DOCUMENT_ROWS + 1).collect()]
+    if len(rows) > DOCUMENT_ROWS:
+        raise ValueError(f"more than {DOCUMENT_ROWS} rows; write_json has a line for each")
+    text = json.dumps(rows[0] if len(rows) == 1 else rows, indent=4, ensure_ascii=False, default=str)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_conllu(sentences: DataFrame, path: str, corpus: str) -> None:
     """Sentences renumbered from 1 over all entries, in order."""
     out = ud.serialised(ud.renumbered(sentences, ["entry_id", "sent_no"]), corpus)
@@ -199,3 +213,41 @@ def paged_source(fetch: Callable[[str, int], dict], letters: Sequence[str]):
         return spark.createDataFrame([(x,) for x in letters], "letter string").mapInPandas(read, "letter string, nomeProduto string, idBulaPacienteProtegido string")
 
     return scan
+
+
+def downloaded(df: DataFrame, name: str, url: str, folder: str, factory: Callable[[], Callable[[str], tuple[int, str, bytes]]], kind: str = "pdf") -> DataFrame:
+    """Files fetched into a folder that the executors share: name, outcome (`written`, `there` or why not).
+
+    Names that the folder has are not fetched again. Only an answer of status 200 whose content type holds `kind` is written,
+    under another name first, so a task that is lost leaves no half file. The client is built on the worker and takes a
+    URL to (status, content type, content), as no network is part of this package.
+    """
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        get = factory()
+        for pdf in batches:
+            rows = []
+            for n, u in zip(pdf["name"], pdf["url"], strict=True):
+                at = f"{base}/{n}"
+                if files.get_file_info(at).type != fs.FileType.NotFound:
+                    rows.append((n, "there"))
+                    continue
+                try:
+                    status, content_type, content = get(u)
+                except Exception as e:  # a file that cannot be had is a row, and the others go on
+                    rows.append((n, f"{type(e).__name__}: {e}"))
+                    continue
+                if status != 200 or kind not in content_type.lower():
+                    rows.append((n, f"status {status}, {content_type}"))
+                    continue
+                part = f"{base}/.{n}.{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write(content)
+                files.move(part, at)
+                rows.append((n, "written"))
+            yield pd.DataFrame(rows, columns=["name", "outcome"])
+
+    wanted = df.select(F.col(f"`{name}`").alias("name"), F.col(f"`{url}`").alias("url")).filter("name IS NOT NULL AND url IS NOT NULL").dropDuplicates(["name"])
+    return wanted.mapInPandas(fetch, "name string, outcome string")

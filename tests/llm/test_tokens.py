@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plainlens.llm import bpe, tokenfiles
@@ -106,18 +107,27 @@ def test_token_query(spark):
 
 def test_decoded_tokens_spell_the_words():
     with open(vocabulary("word_bpe_49k.json"), "rb") as f:
-        encoder = bpe.Encoder(f.read())
+        encoder = bpe.Encoder(f.read(), check=True)
     texts = ["The quick-brown fox's 42 tests, naïve ÉCOLE ß 你好 🙂", "", "<|endoftext|> tail"]
-    assert encoder.encode([t.encode() for t in texts])[2] == [True] * 3
+    assert encoder.encode(pa.array(texts))[2].to_pylist() == [True] * 3
     # as many tokens as before, but a wrong one: the number of tokens does not tell
-    encoder.ids.clear()
+    encoder.forget()
     encoder.bpe.words["fox"] = encoder.bpe.words["quick"]
-    assert encoder.encode([b"the fox", b"the quick"])[2] == [False, True]
+    assert encoder.encode(pa.array(["the fox", "the quick"]))[2].to_pylist() == [False, True]
 
 
-def test_pieces_as_the_library_with_a_small_cache():
-    import pyarrow as pa
+def test_bpe_with_a_small_cache():
+    t = library("word_bpe_49k.json")
+    with open(vocabulary("word_bpe_49k.json"), "rb") as f:
+        encoder = bpe.Encoder(f.read(), cache=40)
+    made = texts()
+    for at in range(0, len(made), 25):
+        ids, decoded, _ = encoder.encode(pa.array(made[at : at + 25]))
+        want = [t.encode(x or "", add_special_tokens=False).ids for x in made[at : at + 25]]
+        assert ids.to_pylist() == want and decoded.to_pylist() == [t.decode(w, skip_special_tokens=False) for w in want]
 
+
+def test_pieces_as_the_library_with_a_small_cache():
     t = library("byte_bpe_50k.json")
     p = tokenfiles.Pieces(vocabulary("byte_bpe_50k.json"), "<u2", cache=50)
     made = texts() + ["é. à! ×. ÷ b", "naïve,  word", "x <|endoftext|> y.<|endoftext|>\nz", "\n" * 70, " \n" * 40 + "a", "don't. 's 's", "x" * 3000 + " " + "y. " * 2000]

@@ -65,6 +65,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession, *inputs: DataFrame) -> int:
     """Tasks of a shuffle of these tables: spark.sql.shuffle.partitions, or more where a task would get over PART_BYTES of
     what the plans of the inputs are estimated at. Plans without an estimate count for nothing."""

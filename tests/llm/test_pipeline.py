@@ -93,3 +93,34 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "source", "n_tokens", "ids", "round_trip"] and out.filter("NOT round_trip").count() == 0 < out.count()
+
+
+EXTRA = {"k": "key", "x": "ex", "marks": "m", "ids": "i", "decoded": "d", "_inner0": "z", "node": "n", "size": "s", "copies": "c", "stratum": "t"}
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    """Columns named like the operators' own ones go through all stages but the last, and change nothing."""
+    from pyspark.sql import functions as F
+
+    plain = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    wide = plain.select("*", *[F.concat(F.lit(v), F.col("doc_id").cast("string")).alias(c) for c, v in EXTRA.items()])
+    labels = spark.createDataFrame([(i, 1, "no") for i in range(20)] + [(None, None, "no")], "doc_id long, quality int, k string")
+    for name, df in (("plain", plain), ("wide", wide)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = {n: sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in corpus_pipeline.run(spark, f"{tmp_path}/{n}").collect()) for n in ("plain", "wide")}
+    assert got["plain"] == got["wide"] and len(got["wide"]) > 50
+    docs = spark.read.parquet(f"{tmp_path}/wide/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"{tmp_path}/wide")
+        assert out.columns == docs.columns, name
+        assert all(r[c] == f"{v}{r.doc_id}" for r in out.collect() for c, v in EXTRA.items()), name
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nulls, str(tmp_path)).count() in (0, 1, 3), name

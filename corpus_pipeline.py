@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plainlens.llm import bpe, jaccard, mixing, quality, substrings
-from plainlens.llm.common import prepare, shared_path, table
+from plainlens.llm.common import prepare, removed, shared_path, table
 from plainlens.llm.queries import vocabulary
 
 
@@ -58,12 +58,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, on the documents; stages hand over through tables in the shared folder."""
+    """All stages, one after another, on the documents; stages hand over through tables in the shared folder.
+
+    A table goes when the next one is written; that of the last stage but one stays, as the result reads it.
+    """
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = shared_path(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES[:-1]):
         out = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            removed(spark, before)
+        before = out
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -227,7 +227,7 @@ SECTION_HEADINGS = {
     "sec_4": r"(?:4\s*[.\-–—)]?\s*)?O\s+QUE\s+DEVO\s+SABER\s+ANTES\s+DE\s+USAR\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
     "sec_5": r"(?:5\s*[.\-–—)]?\s*)?(?:(?:ONDE,\s*COMO\s+E\s+POR\s+QUANTO\s+TEMPO\s+POSSO\s+GUARDAR)|(?:COMO\s+GUARDAR))\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
     "sec_6": r"(?:6\s*[.\-–—)]?\s*)?COMO\s+DEVO\s+USAR\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
-    "sec_7": r"(?:7\s*[.\-–—)]?\s*)?O\s+QUE\s+(?:DEVO\s+)?FAZER\s+(?:QUANDO|SE)\s+(?:EU\s+)?ME\s+ESQUECER\s+DE\s+USAR\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
+    "sec_7": r"(?:7\s*[.\-–—)]?\s*)?O\s+QUE\s+(?:DEVO\s+)?FAZER\s+(QUANDO|SE)\s+(?:EU\s+)?ME\s+ESQUECER\s+DE\s+USAR\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\??",
     "sec_8": r"(?:8\s*[.\-–—)]?\s*)?QUAIS\s+OS\s+MALES\s+QUE\s+ESTE\s+(?:MEDICAMENTO|PRODUTO)\s+PODE\s+(?:ME\s+)?CAUSAR\??",
     "sec_9": r"(?:9\s*[.\-–—)]?\s*)?O\s+QUE\s+FAZER\s+SE\s+ALGUEM\s+USAR\s+UMA\s+QUANTIDADE\s+MAIOR\s+DO\s+QUE\s+A\s+INDICADA(?:\s+DESTE\s+(?:MEDICAMENTO|PRODUTO))?\??",
 }

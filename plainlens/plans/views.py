@@ -144,11 +144,11 @@ HEADINGS = (
 def leaflets(spark: SparkSession, d: str) -> DataFrame:
     """id, leaflet and parts 1 to 9: headings over benchmark texts, some left out; the first is always there."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("body"))
-    out = b.select("id")
-    n = b.count()
-    for k in range(1, 10):
-        body = b.select(F.pmod(F.col("id") - k, F.lit(n)).alias("id"), F.col("body").alias(f"b{k}"))
-        out = out.join(body, "id")
+    total = b.agg(F.count("*").alias("n"))  # one row
+    dealt = b.crossJoin(F.broadcast(total)).select("id", "n", "body", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("k"))
+    dealt = dealt.select(F.pmod(F.col("id") - F.col("k"), F.col("n")).alias("id"), "k", "body")
+    parts = dealt.groupBy("id").agg(*[F.max(F.when(F.col("k") == k, F.col("body"))).alias(f"b{k}") for k in range(1, 10)], F.count("*").alias("_n"))
+    out = parts.filter("_n = 9").drop("_n").join(b.select("id"), "id", "left_semi")
     there = lambda k: F.lit(True) if k == 1 else (F.col("id") + k) % 7 != 0
     for k in range(1, 10):
         out = out.withColumn(f"s{k}", F.when(there(k), F.regexp_replace(F.col(f"b{k}"), "[0-9]", "")).otherwise(""))

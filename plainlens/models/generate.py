@@ -65,6 +65,11 @@ def fake_client() -> Client:
     return ask
 
 
+def decoding(temperature: float = 0.0, top_p: float = 1.0) -> dict:
+    """Options for a local model's factory: greedy unless the temperature is above 0."""
+    return {"do_sample": True, "temperature": temperature, "top_p": top_p} if temperature > 0 else {"do_sample": False}
+
+
 def completions(df: DataFrame, key: str, text: str, factory: Callable[[], Client], system: str, template: str, n: int = 1, base_seed: int = 42, seeds_per_row: int = 1, concurrency: int = 8) -> DataFrame:
     """key, out_1 .. out_n, error for rows with a text. Row seeds are base + key * seeds_per_row + 0, 1, ...; if one of the
     n fails all are null and error says why. key is a number."""

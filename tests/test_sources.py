@@ -130,6 +130,10 @@ def test_metrics_by_name(spark):
         generate.metric_of("absent")
 
 
+def test_greedy_unless_warm():
+    assert generate.decoding() == {"do_sample": False} and generate.decoding(0.7, 0.9) == {"do_sample": True, "temperature": 0.7, "top_p": 0.9}
+
+
 def test_split_of_a_dataset(spark, tmp_path):
     paths = {n: str(tmp_path / n) for n in ("test", "train")}
     for n, p in paths.items():

@@ -100,3 +100,34 @@ def test_sections_in_any_order(spark):
     a, b, c = (r.s for r in df.collect())
     assert (a["sec_6"], a["sec_1"], a["sec_3"], a["sec_2"]) == ("uso", "serve", "nunca", "")
     assert set(b.values()) == set(c.values()) == {""} and len(b) == 9
+
+
+def test_headings_found_on_the_text_as_by_a_map_of_offsets(spark):
+    """Positions of headings by normalising each character and mapping back, against the search on the original text."""
+    import random
+    import re
+    import unicodedata
+
+    def normalised(text):
+        out, back = [], []
+        for i, c in enumerate(text):
+            for x in unicodedata.normalize("NFKD", c):
+                if unicodedata.category(x) != "Mn":
+                    out.append(x.upper())
+                    back.append(i)
+        return "".join(out), back
+
+    r = random.Random(12)
+    heads = ["1. Para que este medicamento é indicado?", "2 - COMO ESTE  PRODUTO FUNCIONA", "3) quando não devo utilizar este medicamento?", "Como guardar este produto?", "7. O que fazer se me esquecer de usar este medicamento?", "8. QUAIS OS MALES QUE ESTE MEDICAMENTO PODE CAUSAR?"]
+    texts = []
+    for _ in range(40):
+        parts = [p for h in r.sample(heads, r.randint(0, 6)) for p in (" ".join(r.choice(["ação", "dose", "ÉTER", "você", "\n"]) for _ in range(r.randint(0, 9))), h)]
+        texts.append("\n".join([*parts, "fim."]))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.section_spans(F.col("t")).alias("s")).collect()
+    for x in got:
+        flat, back = normalised(x.t)
+        want = []
+        for sec, pattern in T.SECTION_HEADINGS.items():
+            if m := re.search(pattern, flat):
+                want.append((back[m.start()] + 1, back[m.end() - 1] + 2, sec))
+        assert [tuple(s) for s in x.s] == sorted(want), x.t

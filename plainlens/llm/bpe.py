@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
-from .common import prepare
+from .common import prepare, tidy
 
 #: Entries of a worker's caches (some 400 bytes each in all); they are emptied beyond it. Results do not depend on it.
 CACHE = 700_000
@@ -304,5 +304,5 @@ def bpe_round_trip(docs: DataFrame, path: str, cache: int = CACHE, spelt: str |
     rest = [f for f in docs.schema if f.name not in ("text", "ids", "decoded")]
     inner = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], F.col("text").cast("string").alias("text"))
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)] + ["ids array<int>", "decoded string", "spelt boolean"])
-    out = inner.mapInArrow(_run(spark.sparkContext.broadcast(raw), cache, spelt is not None), schema)
+    out = inner.mapInArrow(tidy(_run(spark.sparkContext.broadcast(raw), cache, spelt is not None)), schema)
     return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(rest)], "ids", "decoded", *([F.col("spelt").alias(spelt)] if spelt else []))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytesops as B
-from .common import batch, id_key, partitions, prepare, unused
+from .common import batch, id_key, partitions, prepare, tidy, unused
 from .graph import components, joined_per_key
 
 N_WORDS = 5
@@ -207,7 +207,7 @@ def _verdicts(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, r
     spark = prepare(docs.sparkSession)
     bands, rows = bands_for(threshold, recall, hashes)
     lean = docs.select(id_key("doc_id").alias("k"), F.xxhash64(F.col("text").cast("string")).alias("x"), F.col("text").cast("string").alias("text"))
-    sig = lean.mapInArrow(_signatures(n, bands, rows), _SIG).checkpoint()
+    sig = lean.mapInArrow(tidy(_signatures(n, bands, rows)), _SIG).checkpoint()
     full = sig.filter("grams > 0")
     classes = full.groupBy("node").agg(F.min(F.struct("k", "x")).alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")).checkpoint()
     keyed = classes.select("node", F.explode("bands").alias("band"))
@@ -217,12 +217,12 @@ def _verdicts(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, r
     sized = comp.join(classes.select("node", "rep", "copies", "grams"), "node")
     blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / F.lit(block_grams)), F.ceil(F.count("*") / F.lit(BLOCK_DOCS))).cast("int").alias("blocks"), F.count("*").alias("n"))
     cand = joined_per_key(sized, blocks, "root", comp.count()).select("node", F.col("rep.k").alias("k"), "copies", F.col("root").alias("comp"), "blocks")
-    sets = lean.join(cand, "k").select("node", "copies", "comp", "blocks", "text").mapInArrow(_sets(n), "node binary, copies long, comp binary, blocks int, grams binary")
+    sets = lean.join(cand, "k").select("node", "copies", "comp", "blocks", "text").mapInArrow(tidy(_sets(n)), "node binary, copies long, comp binary, blocks int, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.select("*", own.alias("side"), other.alias("other")).select("*", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")).drop("other")
     dealt = dealt.repartition(partitions(spark, docs), "comp", "p", "q").sortWithinPartitions("comp", "p", "q", "node")
-    found = dealt.mapInArrow(_compare(threshold), "node binary, hub binary, links long, blocks int").checkpoint()
+    found = dealt.mapInArrow(tidy(_compare(threshold)), "node binary, hub binary, links long, blocks int").checkpoint()
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     single = found.filter("blocks = 1").select("node", F.col("hub").alias("root"))
     many = components(found.filter("blocks > 1").select(F.col("node").alias("u"), F.col("hub").alias("v")))

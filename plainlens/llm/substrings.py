@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import bytesops as B
-from .common import batch, id_key, partitions, prepare, shuffles_dropped
+from .common import batch, id_key, partitions, prepare, shuffles_dropped, tidy
 
 THRESHOLD = 100
 #: Bits of a position inside a segment, in the low end of a name, so that the first of equal names is the anchor.
@@ -203,10 +203,10 @@ def repeated_marks(docs: DataFrame, threshold: int, carry: list[tuple[str, str,
     keyed = docs.select(id_key("doc_id").alias("k"), F.hash(text).alias("x"), *[c.alias(n) for n, _, c in carry], text.alias("text"))
     lean = keyed.select("k", "x", "text")
     with shuffles_dropped(spark):
-        marks = _by_text(_resolve(lean.mapInArrow(_anchors(threshold), _ROW), docs, True)).checkpoint()
+        marks = _by_text(_resolve(lean.mapInArrow(tidy(_anchors(threshold)), _ROW), docs, True)).checkpoint()
     own = ["k", "x"]
     asked = keyed.join(marks.filter(F.exists("marks", lambda m: m["kind"] == _ASK)), own)
-    late = _resolve(asked.mapInArrow(_windows(threshold), _ROW), docs, False)
+    late = _resolve(asked.mapInArrow(tidy(_windows(threshold)), _ROW), docs, False)
     early = marks.select("k", F.explode(F.filter("marks", lambda m: m["kind"] == _DUP)).alias("m")).select("k", "m.*")
     return keyed, _by_text(early.unionByName(late))
 
@@ -269,7 +269,7 @@ def _whole_characters(raw: bytes, s: np.ndarray, e: np.ndarray) -> tuple:
 def _apply(docs: DataFrame, threshold: int, schema: str, arrow: pa.Schema, make, carry: list[tuple[str, str, Column]]) -> DataFrame:
     own, marks = repeated_marks(docs, threshold, carry)
     kept = ", ".join(f"`{n}` {t}" for n, t, _ in carry)
-    return own.join(marks, ["k", "x"], "left").mapInArrow(_cut(threshold, arrow, make), f"k long, x int, {kept}, {schema}").drop("k", "x")
+    return own.join(marks, ["k", "x"], "left").mapInArrow(tidy(_cut(threshold, arrow, make)), f"k long, x int, {kept}, {schema}").drop("k", "x")
 
 
 def substring_report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

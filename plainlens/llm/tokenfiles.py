@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import bytesops as B
-from .common import MAX_PARTS, id_key, partitions, prepare
+from .common import MAX_PARTS, id_key, partitions, prepare, tidy
 
 LENGTH = 1024
 #: Sequences in one record batch.
@@ -240,7 +240,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0,
     lean = docs.select(id_key("doc_id").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lean = lean.withColumn("x", F.xxhash64("text"))
     ranged = lean.repartitionByRange(parts or partitions(spark, docs), "k", "x").sortWithinPartitions("k", "x").select("doc_id", "text")
-    manifest = ranged.mapInArrow(_write(folder, path, dtype, end_id, length), _MANIFEST).checkpoint()
+    manifest = ranged.mapInArrow(tidy(_write(folder, path, dtype, end_id, length)), _MANIFEST).checkpoint()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one small row for each file
     return manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

@@ -36,7 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Entries of a worker's BPE cache, fewer than in a job of its own, as the workers of earlier stages hold memory too.
-BPE_CACHE = 120_000
+BPE_CACHE = 80_000
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

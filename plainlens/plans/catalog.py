@@ -273,12 +273,13 @@ def unknown_results(spark, d):
     return curate.with_metadata(o, V.table(spark, d, "customer").select(F.col("c_custkey").alias("id")))[1].agg(F.count("*").alias("n_unknown"))
 
 
-_OLD_NEW = "old AS (SELECT doc_id % 400 AS k, doc_id AS row_id, 0 AS src, text FROM documents WHERE doc_id % 3 < 2), new AS (SELECT doc_id % 400 AS k, doc_id AS row_id, 1 AS src, text FROM documents WHERE doc_id % 3 > 0)"
+_OLD_NEW = "old AS (SELECT doc_id // 2 AS k, doc_id AS row_id, 0 AS src, text FROM documents WHERE doc_id % 5 < 3), new AS (SELECT doc_id // 2 AS k, doc_id AS row_id, 1 AS src, text FROM documents WHERE doc_id % 5 > 1)"
 
 
 def _old_new(spark, d):
-    x = V.table(spark, d, "documents").select((F.col("doc_id") % 400).alias("k"), F.col("doc_id").alias("row_id"), "text")
-    return x.filter("row_id % 3 < 2"), x.filter("row_id % 3 > 0")
+    """All documents as two results that overlap: some keys are in both, some in one of them."""
+    x = V.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("k"), F.col("doc_id").alias("row_id"), "text")
+    return x.filter("row_id % 5 < 3"), x.filter("row_id % 5 > 1")
 
 
 @query(f"WITH {_OLD_NEW}, u AS (SELECT * FROM old UNION ALL SELECT * FROM new) SELECT k, row_id, text FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY src, row_id) = 1")
@@ -299,7 +300,7 @@ def union_with_missing_columns(spark, d):
     return curate.union_all([old, new.withColumn("extra", F.lit("x"))])
 
 
-@query("SELECT DISTINCT doc_id % 400 AS k FROM documents WHERE doc_id % 3 < 2 INTERSECT SELECT doc_id % 400 FROM documents WHERE doc_id % 3 > 0")
+@query("SELECT DISTINCT doc_id // 2 AS k FROM documents WHERE doc_id % 5 < 3 INTERSECT SELECT doc_id // 2 FROM documents WHERE doc_id % 5 > 1")
 def shared_values(spark, d):
     return curate.shared_values(*_old_new(spark, d), "k")
 
@@ -684,9 +685,9 @@ def sentence_lookup(spark, d):
     return found.select(F.col("sent_key").cast("long").alias("sent_key"), F.col("id").cast("int").alias("id"), "word")
 
 
-@query(f"WITH {V.UD_TOKENS}, s AS (SELECT DISTINCT sent_key, sent_key % 30 AS entry FROM tok) SELECT entry, sent_key, row_number() OVER (ORDER BY entry, sent_key) AS new_sent_id FROM s")
+@query(f"WITH {V.UD_TOKENS}, s AS (SELECT DISTINCT sent_key, sent_key // 50 AS entry FROM tok) SELECT entry, sent_key, row_number() OVER (ORDER BY entry, sent_key) AS new_sent_id FROM s")
 def sentences_renumbered(spark, d):
-    s = V.ud_tokens(spark, d).select((F.col("sent_key") % 30).alias("entry"), "sent_key").distinct()
+    s = V.ud_tokens(spark, d).select(F.floor(F.col("sent_key") / 50).alias("entry"), "sent_key").distinct()
     return ud.renumbered(s, ["entry", "sent_key"]).select("entry", "sent_key", "new_sent_id")
 
 
@@ -733,9 +734,9 @@ def judge_items(spark, d):
     return judge.judge_items(V.pairs(spark, d), "pair_id", "original_text", ("m1", "m2"), ("original_text", "paraphrase"))
 
 
-@query(f"WITH {V.PAIRS}, p AS (SELECT pair_id % 20 AS call, 'A seguir estão N itens. Para cada item, avalie as duas versões conforme as instruções do sistema e retorne um ÚNICO array JSON com um objeto por item.' || chr(10) || chr(10) || string_agg('### ITEM' || chr(10) || 'ID: ' || pair_id || chr(10) || chr(10) || 'TEXTO ORIGINAL:' || chr(10) || original_text || chr(10) || chr(10) || 'VERSÃO 1:' || chr(10) || original_text || chr(10) || chr(10) || 'VERSÃO 2:' || chr(10) || paraphrase || chr(10), chr(10) ORDER BY pair_id::VARCHAR) || chr(10) || chr(10) || 'Lembre-se: retorne APENAS um ARRAY JSON com os resultados, na mesma ordem dos itens acima.' AS payload FROM pairs GROUP BY 1) SELECT call, payload FROM p")
+@query(f"WITH {V.PAIRS}, p AS (SELECT conv_id AS call, 'A seguir estão N itens. Para cada item, avalie as duas versões conforme as instruções do sistema e retorne um ÚNICO array JSON com um objeto por item.' || chr(10) || chr(10) || string_agg('### ITEM' || chr(10) || 'ID: ' || pair_id || chr(10) || chr(10) || 'TEXTO ORIGINAL:' || chr(10) || original_text || chr(10) || chr(10) || 'VERSÃO 1:' || chr(10) || original_text || chr(10) || chr(10) || 'VERSÃO 2:' || chr(10) || paraphrase || chr(10), chr(10) ORDER BY pair_id::VARCHAR) || chr(10) || chr(10) || 'Lembre-se: retorne APENAS um ARRAY JSON com os resultados, na mesma ordem dos itens acima.' AS payload FROM pairs GROUP BY 1) SELECT call, payload FROM p")
 def judge_payloads(spark, d):
-    x = V.pairs(spark, d).select((F.col("pair_id") % 20).alias("call"), F.col("pair_id").cast("string").alias("id"), F.col("original_text").alias("original"), F.col("original_text").alias("v1"), F.col("paraphrase").alias("v2"))
+    x = V.pairs(spark, d).select(F.col("conv_id").alias("call"), F.col("pair_id").cast("string").alias("id"), F.col("original_text").alias("original"), F.col("original_text").alias("v1"), F.col("paraphrase").alias("v2"))
     return judge.payloads(x, "call")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, exact, html, jaccard, langid, mixing, oracle, periodic, quality, substrings, tokenfiles, toxicity
+from . import ann, bpe, exact, html, jaccard, langid, mixing, oracle, periodic, quality, substrings, tokenfiles, toxicity, whitening
 from .common import shared_path, table
 
 
@@ -66,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(table(spark, sf_dir, "documents"))
 
@@ -74,5 +78,5 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copy_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_main_text, op2_quality_rules, op3_language_id, op4_suffix_dedup, op5_token_files, op6_nearest_neighbours, op7_bpe, op8_source_mix, op9_ngram_jaccard_join, op10_toxicity, op12_periodic_runs, op13_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_main_text, op2_quality_rules, op3_language_id, op4_suffix_dedup, op5_token_files, op6_nearest_neighbours, op7_bpe, op8_source_mix, op9_ngram_jaccard_join, op10_toxicity, op11_embedding_whitening, op12_periodic_runs, op13_exact_dedup)}
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL

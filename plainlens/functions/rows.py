@@ -1,10 +1,17 @@
-"""Arrays to rows."""
+"""Arrays to rows, and values bound to a name."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def bound(x: Column, make: Callable[[Column], Column]) -> Column:
+    """make(x) where x is worked out once for a row, however often make reads it."""
+    return F.get(F.transform(F.array(x), make), F.lit(0))
+
+
 def exploded(df: DataFrame, keep: list, items: Column | str, name: str, position: str | None = None) -> DataFrame:
     """One row for each element that is not null, with the kept columns; no element, no row.
 

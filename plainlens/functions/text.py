@@ -11,10 +11,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .rows import bound
+
 #: What strips and splits as white space (no brackets), and the class of word characters.
 BLANKS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS = f"[{BLANKS}]"
 WORD = r"[\p{L}\p{N}_]"
+#: The characters of BLANKS one by one.
+BLANK_CHARACTERS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Vowels of a syllable, readability constants and bands.
 VOWELS = "[aeiouáéíóúâêôãõàü]"
 FLESCH = (248.835, 1.015, 84.6)
@@ -24,7 +28,7 @@ LAST_BAND = "Muito difícil (pós-graduação / textos técnicos)"
 ABBREVIATIONS = ("Art", "art", "Dr", "Dra", "Inc", "Par", "n", "nº", "n.º", "al")
 
 
-def _accent_table(form: str) -> tuple[str, str, list[tuple[str, str]]]:
+def accent_table(form: str) -> tuple[str, str, list[tuple[str, str]]]:
     """Characters below U+2200 that lose a mark: one-to-one pairs for translate, and the ones that become several."""
     single, several = [], []
     for i in range(0xA0, 0x2200):
@@ -38,7 +42,16 @@ def _accent_table(form: str) -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """White space off both ends; looks at the ends only."""
+    return F.btrim(c, F.lit(BLANK_CHARACTERS))
+
+
+def strip_start(c: Column) -> Column:
+    return F.ltrim(c, F.lit(BLANK_CHARACTERS))
+
+
+def strip_end(c: Column) -> Column:
+    return F.rtrim(c, F.lit(BLANK_CHARACTERS))
 
 
 def blank(c: Column) -> Column:
@@ -114,7 +127,7 @@ def flesch_band(score: Column) -> Column:
 
 def strip_accents(c: Column, form: str = "NFD") -> Column:
     """Marks removed: of composed letters by table (form NFD or NFKD), of others by class."""
-    old, new, several = _accent_table(form)
+    old, new, several = accent_table(form)
     c = F.translate(c, old, new)
     for a, b in several if form == "NFKD" else ():
         if ord(a) < 0x180 or 0x2000 <= ord(a):  # Latin and signs; the rest has no accents in these texts
@@ -232,36 +245,30 @@ SECTION_HEADINGS = {
     "sec_9": r"(?:9\s*[.\-–—)]?\s*)?O\s+QUE\s+FAZER\s+SE\s+ALGUEM\s+USAR\s+UMA\s+QUANTIDADE\s+MAIOR\s+DO\s+QUE\s+A\s+INDICADA(?:\s+DESTE\s+(?:MEDICAMENTO|PRODUTO))?\??",
 }
 SECTION_WEIGHTS = {"sec_1": 0.08, "sec_2": 0.07, "sec_3": 0.16, "sec_4": 0.16, "sec_5": 0.06, "sec_6": 0.18, "sec_7": 0.09, "sec_8": 0.15, "sec_9": 0.05}
-#: Letters of headings with the accented forms that count as the same.
-_ACCENTED = {"A": "AÁÀÂÃÄ", "E": "EÉÈÊË", "I": "IÍÌÎÏ", "O": "OÓÒÔÕÖ", "U": "UÚÙÛÜ", "C": "CÇ", "N": "NÑ"}
-
-
-def section_heading(sec: str) -> str:
-    """The heading as a pattern on the original text: accents and case do not matter, `esse` counts as `este`."""
-    raw = SECTION_HEADINGS[sec].replace("ESTE\\s+(?:MEDICAMENTO|PRODUTO)", "ES[ST]E\\s+(?:MEDICAMENTO|PRODUTO)").replace("\\s", WS)
-    out, i = [], 0
-    while i < len(raw):
-        if raw.startswith("\\x{", i) or raw.startswith("[", i):
-            end = raw.index("]" if raw[i] == "[" else "}", i) + 1
-            out.append(raw[i:end])
-            i = end
-        elif raw[i] == "\\":
-            out.append(raw[i : i + 2])
-            i += 2
-        else:
-            out.append(f"[{_ACCENTED[raw[i]]}{_ACCENTED[raw[i]].lower()}]" if raw[i] in _ACCENTED else raw[i])
-            i += 1
-    return "(?i)" + "".join(out)
+def leaflet_form(c: Column) -> Column:
+    """The text for heading search, mapped: upper case without accents, with one name for product and medicine."""
+    from . import mapping as M
+
+    return M.replacing(M.upper_without_accents(M.plain(c)), ("ESSE MEDICAMENTO", "ESSE PRODUTO", "ESTE PRODUTO"), "ESTE MEDICAMENTO")
 
 
 def section_spans(c: Column) -> Column:
-    """Sections found, by start: array of (start, stop, sec) with 1-based start and end-exclusive stop of the heading."""
-    spans = []
-    for sec in SECTION_HEADINGS:
-        at = F.regexp_instr(c, F.lit(section_heading(sec)))
-        stop = at + F.length(F.regexp_extract(c, section_heading(sec), 0))
-        spans.append(F.when(at > 0, F.struct(at.alias("start"), stop.alias("stop"), F.lit(sec).alias("sec"))))
-    return F.array_sort(F.array_compact(F.array(*spans)))
+    """Sections found, by start: array of (start, stop, sec) with 1-based start and end-exclusive stop of the heading.
+
+    Headings are searched in the normalised text; the spans are those of the original, whatever lengths the normal form
+    changed before or inside them.
+    """
+    from . import mapping as M
+
+    def named(sec: str, m: Column) -> Column:
+        found = M.first_match(m["text"], SECTION_HEADINGS[sec].replace("\\s", WS))
+        there = lambda a: bound(M.original_span(m["maps"], a["start"], a["stop"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(sec).alias("sec")))
+        return bound(found, lambda a: F.when(a.isNotNull(), there(a)))
+
+    def spans(m: Column) -> Column:
+        return F.array_sort(F.array_compact(F.array(*[named(sec, m) for sec in SECTION_HEADINGS])))
+
+    return bound(leaflet_form(c), spans)
 
 
 def with_sections(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.rows import exploded
+from ..functions.rows import bound, exploded
 from .ordering import md5_order
 from .splits import repeated
 
+MODELS = ("Versao_1_model", "Versao_2_model")
 CRITERIA = ("P1", "P2", "P3", "P4", "P5")
 _NOTE = "struct<nota:int,justificativa:string>"
 _VERSION = "struct<" + ",".join(f"{c}:{_NOTE}" for c in CRITERIA) + ",`Comentário_geral`:string>"
@@ -32,42 +33,64 @@ def judge_items(df: DataFrame, key: str, original: str, models: tuple[str, str],
 
 def payloads(items: DataFrame, call: str) -> DataFrame:
     """One message per call with its items in id order."""
+    # fixed values: an item's lines
     block = F.concat(F.lit("### ITEM\nID: "), F.col("id"), F.lit("\n\nTEXTO ORIGINAL:\n"), F.col("original"), F.lit("\n\nVERSÃO 1:\n"), F.col("v1"), F.lit("\n\nVERSÃO 2:\n"), F.col("v2"), F.lit("\n"))
     blocks = F.transform(F.sort_array(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"])
     return items.groupBy(call).agg(F.array_join(F.concat(F.array(F.lit(PAYLOAD_HEAD)), blocks, F.array(F.lit(PAYLOAD_TAIL))), "\n").alias("payload"))
 
 
+def _unfenced(c: Column, fence: str) -> Column:
+    """Without an opening fence and the blanks after it."""
+    n = len(fence)
+    return bound(c, lambda s: F.when(s.startswith(fence), T.strip_start(F.substring(s, n + 1, 2**31 - 1))).otherwise(s))
+
+
 def json_array(c: Column) -> Column:
-    """Code fences out, then from the first `[` to the last `]` if both are there in order."""
-    s = T.strip_ws(c)
-    for pattern in (f"^```json{T.WS}*", f"^```{T.WS}*", f"{T.WS}*```$"):
-        s = F.regexp_replace(s, pattern, "")
-    return F.regexp_replace(s, r"(?s)\A[^\[]*(\[.*\])[^\]]*\z", "$1")
+    """Code fences out, then from the first `[` to the last `]` if both are there in order. Each step looks at the ends only,
+    or once along the answer."""
+    c = _unfenced(_unfenced(T.strip_ws(c), "```json"), "```")
+    c = bound(c, lambda s: F.when(s.endswith("```"), T.strip_end(F.left(s, F.length(s) - 3))).otherwise(s))
+    first = lambda s: F.instr(s, "[")
+    last = lambda s: F.length(s) - F.length(F.substring_index(s, "]", -1))
+    return bound(c, lambda s: F.when((first(s) > 0) & (last(s) > first(s)), F.substring(s, first(s), last(s) - first(s) + 1)).otherwise(s))
 
 
 def parsed(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Judge results, one row each, and the rows whose answer is no JSON. An answer is an array, or an object with results."""
-    s = F.col("_json")
-    tried = df.withColumn("_json", json_array(F.col(column)))
-    # an array becomes an object with results too, so that one reader parses each answer once
-    whole = F.when(s.startswith("["), F.concat(F.lit('{"results":'), s, F.lit("}"))).otherwise(s)
-    tried = tried.withColumns({"_ok": F.try_parse_json(s).isNotNull(), "_json": whole})
-    items = F.from_json(s, f"struct<results:array<{RESULT}>>", {"mode": "PERMISSIVE"})["results"]
-    good = tried.filter("_ok").withColumn("_items", F.coalesce(items, F.array().cast(f"array<{RESULT}>")))
-    return exploded(good, df.columns, "_items", "result"), tried.filter("NOT _ok").select(*df.columns)
-
-
-def scores(results: DataFrame, result: str = "result") -> DataFrame:
-    """id, slot, criterion, score in long form, and the best slot of the ranking."""
+    """Judge results, one row each as a struct `result` (see RESULT), and the rows whose answer is no JSON array or object.
+
+    An answer is an array of results, or an object that holds them as `results`. It is parsed once, to a VARIANT, and no
+    filter reads it: an answer that is no JSON has no results.
+    """
+    # the reader ignores what follows a value; with a field after it, an answer that goes on is no JSON
+    closed = F.concat(F.lit('{"answer":'), json_array(F.col(column)), F.lit(',"end":true}'))
+    tried = df.withColumn("_answer", F.try_parse_json(closed))
+    at = lambda path, kind: F.try_variant_get("_answer", path, kind)
+    items = F.coalesce(at("$.answer", "array<variant>"), at("$.answer.results", "array<variant>"))
+    fits = at("$.end", "boolean") & (at("$.answer", "array<variant>").isNotNull() | at("$.answer", "map<string,variant>").isNotNull())
+    shaped = tried.withColumns({"_items": F.when(at("$.end", "boolean"), items), "_ok": fits})
+    bad = shaped.filter("NOT coalesce(_ok, FALSE)").select(*df.columns)
+    # what a result lacks, or has of another kind, is null
+    return exploded(shaped, df.columns, "_items", "result").withColumn("result", F.try_variant_get("result", "$", RESULT)), bad
+
+
+def unblinded(results: DataFrame, items: DataFrame, result: str = "result") -> DataFrame:
+    """Results with Versao_1_model and Versao_2_model of their item; results of no item are left out. One row for each result
+    is joined, before its scores become rows."""
+    return results.withColumn("_id", F.col(f"{result}.id")).join(items.select(F.col("id").alias("_id"), *MODELS), "_id").drop("_id")
+
+
+def scores(results: DataFrame, result: str = "result", keep: Sequence[str] = ()) -> DataFrame:
+    """id, slot, criterion, score in long form, the best slot of the ranking, and columns to keep."""
     rows = [F.struct(F.lit(v).alias("slot"), F.lit(c).alias("criterion"), F.col(f"{result}.Versao_{v}.{c}.nota").alias("score")) for v in (1, 2) for c in CRITERIA]
     best = F.try_element_at(F.col(f"{result}.Ranking_geral.ordem_melhor_para_pior"), F.lit(1))
-    return results.select(F.col(f"{result}.id").alias("id"), best.alias("best"), F.explode(F.array(*rows)).alias("s")).select("id", "best", "s.slot", "s.criterion", "s.score")
+    return results.select(F.col(f"{result}.id").alias("id"), best.alias("best"), *keep, F.explode(F.array(*rows)).alias("s")).select("id", "best", *keep, "s.slot", "s.criterion", "s.score")
+
 
 
-def model_means(scored: DataFrame, items: DataFrame) -> DataFrame:
-    """Mean score by model and criterion: slots are named by the items' metadata."""
-    named = scored.join(items.select("id", "Versao_1_model", "Versao_2_model"), "id")
-    model = F.when(F.col("slot") == 1, F.col("Versao_1_model")).otherwise(F.col("Versao_2_model"))
+def model_means(scored: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Mean score by model and criterion: slots are named by the items' metadata, or by MODELS where the scores have them."""
+    named = scored if items is None else scored.join(items.select("id", *MODELS), "id")
+    model = F.when(F.col("slot") == 1, F.col(MODELS[0])).otherwise(F.col(MODELS[1]))
     return named.groupBy(model.alias("model"), "criterion").agg(F.count("score").alias("n"), F.avg("score").alias("mean_score"))
 
 

@@ -177,6 +177,27 @@ def section_spans_with_next(spark, d):
     return pages.with_next_start(x, "id", "start")
 
 
+def _any_case(words: str) -> str:
+    """A pattern of words in the leaflets below: letters in either case, bare or with an accent, of its own or as a mark."""
+    return words.replace("N", "[Nn]").replace("E", "[EeÉé]\\x{301}?").replace("O", "[Oo]").replace("A", "[AaÃã]\\x{303}?").replace(" ", "\\s+")
+
+
+#: Fixed values, written out for the SQL: the headings' words before and after the product's name.
+_HEADS = {1: ("PARA QUE", "E INDICADO"), 2: ("COMO", "FUNCIONA"), 3: ("QUANDO NAO DEVO USAR", ""), 6: ("COMO DEVO USAR", "")}
+_DRIFT = "'Maße ½ ﬁm e' || chr(769) || ' ' || chr(128512) || chr(10) || replace(CASE WHEN id % 2 = 0 THEN replace(leaflet, 'ESTE MEDICAMENTO', 'esse produto') ELSE replace(leaflet, 'ESTE MEDICAMENTO', 'Este Produto') END, 'É', 'E' || chr(769))"
+
+
+@query(f"WITH {V.LEAFLETS}, d AS (SELECT id, {_DRIFT} AS t FROM leaflets), h AS (" + " UNION ALL ".join(f"SELECT id, {q(f'sec_{k}')} AS sec, t, regexp_extract(t, {q(f'{k}[.] ' + _any_case(a) + chr(92) + 's+(?i:es[st]e produto)' + _any_case((' ' + b) if b else '') + '[?]')}) AS heading FROM d" for k, (a, b) in _HEADS.items()) + ") SELECT id, sec, instr(t, heading) AS start, instr(t, heading) + length(heading) AS stop, heading, substr(t, instr(t, heading) + length(heading), 40) AS body FROM h WHERE heading <> ''")
+def headings_in_original(spark, d):
+    """Headings found in the normal form of leaflets whose letters and names change length in it, sliced from the original."""
+    x, accent, smile = V.leaflets(spark, d), "\u0301", "\U0001f600"
+    names = F.replace(F.col("leaflet"), F.lit("ESTE MEDICAMENTO"), F.when(F.col("id") % 2 == 0, "esse produto").otherwise("Este Produto"))
+    t = F.concat(F.lit(f"Maße ½ ﬁm e{accent} {smile}\n"), F.replace(names, F.lit("É"), F.lit(f"E{accent}")))
+    s = exploded(x.select("id", t.alias("t")).withColumn("s", T.section_spans(F.col("t"))), ["id", "t"], "s", "s")
+    cut = F.substr("t", F.col("s.start"), F.col("s.stop") - F.col("s.start"))
+    return s.filter(F.col("s.sec").isin(*[f"sec_{k}" for k in _HEADS])).select("id", "s.sec", "s.start", "s.stop", cut.alias("heading"), F.substr("t", F.col("s.stop"), F.lit(40)).alias("body"))
+
+
 # --- curation ----------------------------------------------------------------------------------------------------------
 
 
@@ -723,10 +744,11 @@ def judge_scores(spark, d):
 
 @query(f"WITH {V.JUDGE} SELECT CASE WHEN (slot + item) % 2 = 0 THEN 'b' ELSE 'a' END AS model, 'P' || c AS criterion, count(score) AS n, round(avg(score), 6) AS mean_score FROM notes GROUP BY 1, 2")
 def judge_means(spark, d):
-    s = judge.scores(judge.parsed(V.judge_answers(spark, d), "answer")[0])
-    even = F.col("item") % 2 == 0
+    results = judge.parsed(V.judge_answers(spark, d), "answer")[0]
+    even = F.col("e") % 2 == 0
     items = V.judge_answers(spark, d).select(F.concat(F.col("item").cast("string"), F.lit("__rep1")).alias("id"), F.when(even, "a").otherwise("b").alias("Versao_1_model"), F.when(even, "b").otherwise("a").alias("Versao_2_model"))
-    return judge.model_means(s, items).withColumn("mean_score", r6(F.col("mean_score")))
+    named = judge.unblinded(results.select("result"), items)
+    return judge.model_means(judge.scores(named, keep=judge.MODELS)).withColumn("mean_score", r6(F.col("mean_score")))
 
 
 @query(f"WITH {V.PAIRS}, r AS (SELECT pair_id, original_text, paraphrase, n, pair_id || '__rep' || n AS id FROM pairs, range(1, 4) x(n)), s AS (SELECT *, ('0x' || substr(md5('42|' || id), 1, 1))::INTEGER % 2 = 1 AS swap FROM r) SELECT id, pair_id::VARCHAR AS id_base, n::INTEGER AS repeat, original_text AS original, CASE WHEN swap THEN paraphrase ELSE original_text END AS v1, CASE WHEN swap THEN original_text ELSE paraphrase END AS v2, CASE WHEN swap THEN 'm2' ELSE 'm1' END AS Versao_1_model, CASE WHEN swap THEN 'm1' ELSE 'm2' END AS Versao_2_model FROM s")

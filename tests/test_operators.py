@@ -193,3 +193,41 @@ def test_sentence_counts_agree_with_the_sentences(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", T.sentence_count(F.coalesce("t", F.lit(""))).alias("n"), F.size(T.sentences(F.coalesce("t", F.lit("")))).alias("m")).collect():
         assert r.n == r.m, r.t
+
+
+def test_judge_answers_of_any_shape(spark):
+    """What is taken for the JSON of an answer, and what it gives, against Python's own reader."""
+    import json
+    import random
+
+    def cut(text):
+        text = text.strip()
+        for fence in ("```json", "```"):
+            text = text[len(fence) :].lstrip() if text.startswith(fence) else text
+        text = text[:-3].rstrip() if text.endswith("```") else text
+        a, b = text.find("["), text.rfind("]")
+        return text[a : b + 1] if a != -1 and b > a else text
+
+    def ids(text):
+        try:
+            data = json.loads(cut(text))
+        except ValueError:
+            return None
+        found = data if isinstance(data, list) else data.get("results", []) if isinstance(data, dict) else None
+        return found if found is None else [x.get("id") if isinstance(x, dict) else None for x in found] if isinstance(found, list) else []
+
+    r = random.Random(4)
+    bits = ["```json", "```", "\n", " ", " ", "[", "]", '{"id":"7"}', '{"results":', "}", '[{"id":"1"},{"id":"2"}]', "Segue:", "[]", "{}", "\x1f", "12", '"a"', "null"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 7))) for _ in range(400)] + ["x" * 50_000 + '[{"id":"9"}]' + "y" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, a string")
+    assert [x[0] for x in df.orderBy("k").select(judge.json_array(F.col("a"))).collect()] == [cut(t) for t in texts]
+    want = {k: ids(t) for k, t in enumerate(texts)}
+    good, bad = judge.parsed(df, "a")
+    assert {x.k for x in bad.select("k").collect()} == {k for k, v in want.items() if v is None}
+    got = {}
+    for x in good.select("k", "result.id").collect():
+        got.setdefault(x.k, []).append(x.id)
+    assert got == {k: v for k, v in want.items() if v} and len(got) > 20
+    odd = '[{"id": 3, "Versao_1": {"P1": {"nota": "5"}, "P2": {"nota": "x"}, "P3": 4}, "Ranking_geral": {"ordem_melhor_para_pior": []}}, 8]'
+    rows = judge.scores(judge.parsed(spark.createDataFrame([(odd,)], "a string"), "a")[0]).filter("slot = 1 AND id IS NOT NULL").orderBy("criterion").collect()
+    assert [(x.id, x.best, x.score) for x in rows] == [("3", None, s) for s in (5, None, None, None, None)]

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ordering import global_rank, md5_order
+from .ordering import global_rank, md5_order, ranked_in_groups
 from .stats import exact_quantiles
 
 #: Groups that always belong to the test set.
@@ -73,22 +73,17 @@ def length_batches(df: DataFrame, key: str, length: str, batch: int, multiplier:
     """Adds bucket and batch: rows sorted by length are cut into buckets of batch * multiplier, shuffled inside and cut into
     batches; batch_order shuffles the batches.
 
-    The position by length is a global rank: lengths are counted, the counts (one row per length) summed up, and rows
-    numbered inside a length.
+    The position by length is a global rank, numbered inside runs of keys of a length: a table of one length is spread too.
     """
-    before = Window.orderBy(length).rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(length).count().select(F.col(length).alias("_l"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy(length).orderBy(key)
     size = batch * multiplier
-    at = df.withColumn("_n", F.row_number().over(inside)).join(counts, F.col(length) == F.col("_l"))
-    at = at.withColumn("bucket", F.floor((F.col("_n") + F.col("_b") - 1) / size).cast("int"))
+    at = ranked_in_groups(df, length, key, name="_n").withColumn("bucket", F.floor((F.col("_n") - 1) / size).cast("int"))
     shuffled = Window.partitionBy("bucket").orderBy(md5_order(seed, F.col(key)), key)
     at = at.withColumn("_i", F.row_number().over(shuffled) - 1)
     at = at.withColumn("batch", F.floor(F.col("_i") / batch).cast("int"))
     if drop_last:
         at = at.withColumn("_c", F.count("*").over(Window.partitionBy("bucket", "batch"))).filter(F.col("_c") == batch).drop("_c")
     order = md5_order(seed, F.concat_ws("/", "bucket", "batch"))
-    return at.withColumn("batch_order", order).drop("_n", "_l", "_b", "_i")
+    return at.withColumn("batch_order", order).drop("_n", "_i")
 
 
 def repeated(df: DataFrame, key: str, times: int = 3) -> DataFrame:

@@ -9,14 +9,15 @@ from ..functions.rows import exploded
 FIELDS = ("id", "word", "lemma", "upos", "xpos", "feats", "dephead", "deprel", "deps", "misc")
 
 
-def parse_sentences(df: DataFrame, entry: str, text: str) -> DataFrame:
+def parse_sentences(df: DataFrame, entry: str | Column, text: str) -> DataFrame:
     """entry_id, sent_no, sent_key, metadata (map), lines (token lines), raw. An empty line ends a sentence.
 
     The key is sent_id, else id, else text of the `# key = value` comments; the last of equal comment keys counts, and a
     sentence without any of them is left out.
     """
-    blocks = F.filter(F.split(F.regexp_replace(F.col(text), "\r\n", "\n"), "\\n[ \\t]*\\n+"), lambda b: F.trim(b) != "")
-    raw = exploded(df, [F.col(entry).alias("entry_id")], blocks, "raw", "sent_no")
+    cut = F.transform(F.split(F.regexp_replace(F.col(text), "\r\n", "\n"), "\\n[ \\t]*\\n+"), lambda b: F.btrim(b, F.lit("\n")))
+    blocks = F.filter(cut, lambda b: F.trim(b) != "")
+    raw = exploded(df, [(F.col(entry) if isinstance(entry, str) else entry).alias("entry_id")], blocks, "raw", "sent_no")
     lines = F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != "")
     comments = F.filter(lines, lambda x: x.startswith("# ") & x.contains(" = "))
     pairs = F.transform(comments, lambda x: F.struct(F.regexp_extract(x, "^# (.*?) = ", 1).alias("key"), F.regexp_extract(x, "^# .*? = (.*)$", 1).alias("value")))
@@ -143,13 +144,24 @@ def token_line() -> Column:
     return F.concat_ws("\t", *[F.col(f).cast("string") for f in FIELDS])
 
 
-def renumbered(sentences: DataFrame, order: list[str]) -> DataFrame:
-    """Adds new_sent_id = 1, 2, ... over all entries: entries are counted, the counts summed up, sentences numbered inside."""
+def renumbered(sentences: DataFrame, order: list[str], block: int = 10_000) -> DataFrame:
+    """Adds new_sent_id = 1, 2, ... over all entries, in the order of entry and number: the last column of order is a whole
+    number, and sentences are numbered inside blocks of so many numbers.
+
+    Blocks are counted and added up inside an entry, and entries over all, so neither an entry nor the table is ever in one
+    task: what is summed has a row for each block of an entry, or for each entry.
+    """
     entry, rest = order[0], order[1:]
-    before = Window.orderBy(entry).rowsBetween(Window.unboundedPreceding, -1)
-    counts = sentences.groupBy(entry).count().select(F.col(entry), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy(entry).orderBy(*rest)
-    return sentences.withColumn("_n", F.row_number().over(inside)).join(counts, entry).withColumn("new_sent_id", (F.col("_n") + F.col("_b")).cast("long")).drop("_n", "_b")
+    places = sentences.withColumn("_k", F.floor(F.col(rest[-1]) / block))
+    so_far = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = places.groupBy(entry, "_k").count()
+    entries = blocks.groupBy(entry).agg(F.sum("count").alias("count")).select(F.col(entry), so_far(Window.orderBy(entry)).alias("_e"))
+    starts = blocks.select(entry, "_k", so_far(Window.partitionBy(entry).orderBy("_k")).alias("_b")).join(entries, entry)
+    starts = starts.select(F.col(entry).alias("_entry"), F.col("_k").alias("_block"), (F.col("_b") + F.col("_e")).alias("_b"))
+    inside = Window.partitionBy(entry, "_k").orderBy(*rest)
+    numbered = places.withColumn("_n", F.row_number().over(inside))
+    joined = numbered.join(starts, numbered[entry].eqNullSafe(F.col("_entry")) & numbered["_k"].eqNullSafe(F.col("_block")))
+    return joined.withColumn("new_sent_id", (F.col("_n") + F.col("_b")).cast("long")).drop("_n", "_b", "_k", "_entry", "_block")
 
 
 def serialised(sentences: DataFrame, corpus: str) -> DataFrame:

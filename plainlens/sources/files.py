@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import curate, ud
 
@@ -66,10 +66,22 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]"
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
-def read_conllu(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of CoNLL-U files; each file is an entry."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("entry"), "value")
-    return ud.parse_sentences(whole, "entry", "value")
+def read_conllu(spark: SparkSession, path: str, separator: str = "\n\n") -> DataFrame:
+    """Sentences of CoNLL-U files; each file is an entry, its sentences numbered from 0 in sent_no.
+
+    Records end at the separator, so a large file is read in splits by many tasks, a sentence or a few in each row. Files
+    with other line ends need theirs (`\\r\\n\\r\\n`); without it each is one record, and the result the same. Sentences are
+    numbered inside their split of the file, and the splits, of which a file has few, are added up in order.
+    """
+    split = F.col("_metadata.file_block_start").alias("_split")
+    records = spark.read.option("lineSep", separator).text(path).select(F.input_file_name().alias("_file"), split, F.monotonically_increasing_id().alias("_record"), "value")
+    found = ud.parse_sentences(records, F.struct("_file", "_split", "_record"), "value")
+    flat = found.select("entry_id.*", *[c for c in found.columns if c != "entry_id"])
+    inside = Window.partitionBy("_file", "_split").orderBy("_record", "sent_no")
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = flat.groupBy("_file", "_split").count().select("_file", "_split", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    numbered = flat.withColumn("sent_no", F.row_number().over(inside) - 1).join(counts, ["_file", "_split"])
+    return numbered.select(F.col("_file").alias("entry_id"), (F.col("sent_no") + F.col("_before")).cast("long").alias("sent_no"), "raw", "metadata", "lines", "sent_key")
 
 
 def _plumber(data: bytes, margin: float) -> list[str]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import curate, ud
+from . import listing, snapshots
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -158,21 +158,13 @@ def write_conllu(sentences: DataFrame, path: str, corpus: str) -> None:
     out.orderBy("new_sent_id").select("value").write.mode("overwrite").text(path)
 
 
-def replace_table(df: DataFrame, path: str) -> str:
-    """Write a new version beside the ones that are there and point to it last, so readers never see half a table.
-
-    A table may be replaced by what was read from it. Returns the version's path.
-    """
-    spark, version = df.sparkSession, f"{path}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    stamp = spark.createDataFrame([(version, time.time())], "version string, written double")
-    stamp.coalesce(1).write.mode("append").parquet(f"{path}/pointers-versions.parquet")
-    return version
+def replace_table(df: DataFrame, path: str) -> int:
+    """Make these rows the table's next version in one step, see snapshots."""
+    return snapshots.replace_table(df, path)
 
 
 def current_version(spark: SparkSession, path: str) -> DataFrame:
-    pointers = spark.read.parquet(f"{path}/pointers-versions.parquet")
-    return spark.read.parquet(pointers.agg(F.max_by("version", "written")).first()[0])
+    return snapshots.read_version(spark, path)
 
 
 class Checkpoints:
@@ -203,26 +195,19 @@ def rows_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def paged_source(fetch: Callable[[str, int], dict], letters: Sequence[str]):
-    """Listing pages as a function for mapInPandas: letters in, (letter, nomeProduto, idBulaPacienteProtegido) out.
+    """Listing pages as a table of letter, nomeProduto, idBulaPacienteProtegido; see listing, which is a data source too.
 
-    Pages are fetched until one is empty or the last; fetch is the caller's, as no network is part of this package.
+    A letter of which a page cannot be had has the pages before it. fetch is the caller's, as no network is part of this
+    package.
     """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for letter in pdf["letter"]:
-                page = 1
-                while True:
-                    data = fetch(letter, page)
-                    content = data.get("content") or []
-                    rows += [(letter, x.get("nomeProduto"), x.get("idBulaPacienteProtegido")) for x in content]
-                    page += 1
-                    if not content or page > data.get("totalPages", 0):
-                        break
+            rows = [(x, e.get("nomeProduto"), e.get("idBulaPacienteProtegido")) for x in pdf["letter"] for _, entries, _ in listing.pages(fetch, x) for e in entries]
             yield pd.DataFrame(rows, columns=["letter", "nomeProduto", "idBulaPacienteProtegido"])
 
     def scan(spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(x,) for x in letters], "letter string").mapInPandas(read, "letter string, nomeProduto string, idBulaPacienteProtegido string")
+        asked = spark.createDataFrame([(x,) for x in letters], "letter string").repartition(max(1, len(letters)))
+        return asked.mapInPandas(read, "letter string, nomeProduto string, idBulaPacienteProtegido string")
 
     return scan
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..functions.rows import exploded
-from ..operators import curate, judge, pages, sari, similarity, splits, stats, ud
+from ..operators import curate, judge, pages, punkt, sari, similarity, splits, stats, ud
 from ..operators.ordering import ranked_by_value
 from ..sources import files
 from . import views as V
@@ -139,6 +139,30 @@ def cookies_parsed(spark, d):
     return m.select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["token"].alias("token"))
 
 
+#: Fixed values, written out for the SQL: a token, and the threshold of an abbreviation.
+_TOKEN = r"[\p{L}\p{N}]([\p{L}\p{N}.'’-]*[\p{L}\p{N}])?\.*"
+_ABBREVIATIONS = rf"""w AS (SELECT unnest(regexp_extract_all(replace(docs, ' the ', ' approx. the '), {q(_TOKEN)})) AS w FROM docs),
+t AS (SELECT CASE WHEN regexp_matches(rtrim(lower(w), '.'), '^[+-]?[0-9][0-9.,-]*$') THEN '##number##' ELSE rtrim(lower(w), '.') END AS type, w LIKE '%.' AS dot FROM w),
+c AS (SELECT type, count(*) FILTER (dot) AS with_dot, count(*) FILTER (NOT dot) AS without FROM t GROUP BY 1),
+n AS (SELECT sum(with_dot)::DOUBLE AS d, sum(with_dot + without)::DOUBLE AS n FROM c),
+s AS (SELECT type, with_dot, without, length(replace(type, '.', ''))::DOUBLE AS l, -2 * ((with_dot * ln(d / n) + without * ln(1 - d / n)) - (with_dot * ln(0.99::DOUBLE) + without * ln(1 - 0.99::DOUBLE))) AS ratio FROM c, n WHERE with_dot > 0 AND type <> '##number##' AND regexp_matches(type, '\p{{L}}')),
+r AS (SELECT type, with_dot, without, ratio * exp(-l) * (length(type) - l + 1) * pow(greatest(l, 1), -without::DOUBLE) AS score FROM s)"""
+
+
+@query(f"WITH {V.DOCS}, {_ABBREVIATIONS} SELECT type, with_dot, without, round(score, 6) AS score FROM r WHERE score >= 0.3")
+def learned_abbreviations(spark, d):
+    t = V.docs(spark, d).select("row_id", F.replace("docs", F.lit(" the "), F.lit(" approx. the ")).alias("docs"))
+    return punkt.abbreviations(punkt.type_counts(punkt.fragments(t, "row_id", "docs"))).withColumn("score", r6(F.col("score")))
+
+
+@query()
+def learned_sentences(spark, d):
+    """Sentences by boundaries learned from the documents; the tests hold the method against a small implementation."""
+    t = V.docs(spark, d).select("row_id", F.replace("docs", F.lit(" the "), F.lit(" approx. the ")).alias("docs"))
+    found = punkt.sentences(t, "row_id", "docs", punkt.trained(t, "row_id", "docs"))
+    return found.select("row_id", F.size("sentences").alias("n_sentences"), F.sha2(F.array_join("sentences", "\n"), 256).alias("sha256"))
+
+
 # --- chunks and sections -----------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,11 @@ after it on every curve. How wide the window must be is measured, not guessed: t
 queries are found by one scan, their distance in rows from their query is counted on every curve, and the window is the
 one that finds TARGET of them on at least one curve.
 
-The curves are cut at key quantiles into blocks, which are dealt over the cluster with vectors in 16 bits a component;
-queries near a border are copied to the next block. A block slides over its keys in order and returns each query's nearest;
+A place on a curve is taken from ranks: each projection goes through the distribution function that it has in a bounded
+sample of classes, so cells fill evenly whatever the lengths of the vectors, and no outlier moves the others.
+
+The curves are cut at key quantiles into blocks, which are dealt over the cluster with vectors in 32 bits a component, as
+differences from the sample's middle; queries near a border are copied to the next block. A block slides over its keys in order and returns each query's nearest;
 the blocks' answers are merged, and the merged candidates are ranked by the exact distance of the original vectors.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +31,17 @@ CURVES = 24
 DIMS, BITS, TIES = 6, 8, 14
 #: Queries in the sample, the share of their true neighbours that the windows must hold, and the margin on the window.
 SAMPLE, TARGET, MARGIN = 100, 0.95, 1.1
+#: Classes in the sample that the distribution functions and the middle come from, and points of a function.
+FITTED, POINTS = 10_000, 1025
 #: Rows of a block at least, windows of a block at least, and most blocks of a curve.
 BLOCK_ROWS, BLOCK_WINDOWS, MAX_BLOCKS = 4096, 4, 8192
 #: Candidates of a block beyond k that are ranked exactly.
 SPARE = 6
+#: Different lengths of vectors that have queries, at most.
+LENGTHS = 64
 #: Parts into which the rows of a class of queries are dealt.
 SALTS = 16
 SEED = 7
-_TOP = 32767
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -75,10 +82,10 @@ def projections(dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def curve_keys(vectors: np.ndarray, names: np.ndarray, curve: int, basis: np.ndarray, shift: np.ndarray, middle: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """Keys on one curve; names are 64-bit hashes of the vectors, which order equal places."""
-    z = (vectors @ basis - middle) / spread
-    even = 0.5 * (1 + np.tanh(0.7978845608 * (z + 0.044715 * z**3)))  # near the normal distribution's, so cells fill evenly
+def curve_keys(vectors: np.ndarray, names: np.ndarray, curve: int, basis: np.ndarray, shift: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Keys on one curve; points are the quantiles of each projection, names 64-bit hashes of the vectors, which order equal places."""
+    z, at = vectors @ basis, np.linspace(0.0, 1.0, points.shape[1])
+    even = np.stack([np.interp(z[:, j], points[j], at) for j in range(z.shape[1])], axis=1)
     cells = np.clip((even * 0.75 + shift * 0.25) * (1 << BITS), 0, (1 << BITS) - 1)
     tie = (names ^ np.uint64(curve * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - TIES)
     return hilbert_keys(cells, BITS) << TIES | tie.astype(np.int64)
@@ -151,35 +158,18 @@ def _classes(k: int):
     return run
 
 
-def _moments(dims: int):
-    """Sums of each projection and of its square, over a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.hstack([basis for basis, _ in projections(dims)])
-        first, second, top = np.zeros(whole.shape[1]), np.zeros(whole.shape[1]), 0.0
-        for b in batches:
-            if b.num_rows:
-                v = _fixed(b.column("v"), "<f8")
-                p = v @ whole
-                first, second, top = first + p.sum(0), second + (p * p).sum(0), max(top, float(np.abs(v).max()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(first), dtype=np.int32)), pa.array(first), pa.array(second), pa.array(np.full(len(first), top))], names=["j", "first", "second", "top"])
-
-    return run
-
-
 class Curves:
-    """Everything a worker needs to place vectors: projections, and middle and spread of each."""
+    """Everything a worker needs to place vectors: the projections' quantiles and the middle, of a sample of vectors."""
 
-    def __init__(self, dims: int, middle: np.ndarray, spread: np.ndarray):
-        self.dims, self.middle, self.spread = dims, middle, spread
+    def __init__(self, sample: np.ndarray):
+        self.dims, self.middle = sample.shape[1], np.median(sample, axis=0)
+        self.points = [np.quantile(sample @ basis, np.linspace(0, 1, POINTS), axis=0).T.copy() for basis, _ in projections(self.dims)]
 
     def keys(self, vectors: np.ndarray, names: np.ndarray) -> np.ndarray:
         """Keys, rows x curves."""
-        out, at = np.zeros((len(vectors), CURVES), np.int64), 0
+        out = np.zeros((len(vectors), CURVES), np.int64)
         for c, (basis, shift) in enumerate(projections(self.dims)):
-            part = slice(at, at + basis.shape[1])
-            out[:, c] = curve_keys(vectors, names, c, basis, shift, self.middle[part], self.spread[part])
-            at += basis.shape[1]
+            out[:, c] = curve_keys(vectors, names, c, basis, shift, self.points[c])
         return out
 
 
@@ -262,7 +252,7 @@ def measured_window(keyed: DataFrame, k: int, n: int, target: float = TARGET, sa
     return window, float((gap <= window).mean())
 
 
-def _deal(cuts: list[np.ndarray], low: list[np.ndarray], high: list[np.ndarray], top: float):
+def _deal(cuts: list[np.ndarray], low: list[np.ndarray], high: list[np.ndarray], middle: np.ndarray):
     """Every class once on every curve, and its queries: to their own block, and to the next where they are near its border."""
     kinds = [("curve", pa.int32()), ("block", pa.int32()), ("key", pa.int64()), ("query", pa.bool_()), ("c", pa.binary()), ("x", pa.binary())]
 
@@ -270,7 +260,8 @@ def _deal(cuts: list[np.ndarray], low: list[np.ndarray], high: list[np.ndarray],
         for b in batches:
             if not b.num_rows:
                 continue
-            small = np.round(_fixed(b.column("v"), "<f8") * (_TOP / top)).astype("<i2")
+            with np.errstate(over="ignore"):
+                small = (_fixed(b.column("v"), "<f8") - middle).astype("<f4")
             x = pa.array([r.tobytes() for r in small], pa.binary())
             keys, asked = _fixed_lists(b.column("keys")), np.flatnonzero(b.column("asked").to_numpy(zero_copy_only=False))
             for c in range(CURVES):
@@ -318,7 +309,7 @@ def _nearest(window: int, keep: int):
                 continue
             curve, at = b.column("curve").to_numpy(), b.column("block").to_numpy()
             new = np.concatenate([[0], np.flatnonzero((curve[1:] != curve[:-1]) | (at[1:] != at[:-1])) + 1, [b.num_rows]])
-            fields = (b.column("key").to_numpy(), b.column("query").to_numpy(zero_copy_only=False), b.column("c").to_numpy(zero_copy_only=False), _fixed(b.column("x"), "<i2"))
+            fields = (b.column("key").to_numpy(), b.column("query").to_numpy(zero_copy_only=False), b.column("c").to_numpy(zero_copy_only=False), _fixed(b.column("x"), "<f4"))
             for s, e in zip(new, new[1:], strict=False):
                 if held and (curve[s], at[s]) != last:
                     yield block(*map(np.concatenate, zip(*held, strict=True)))
@@ -342,7 +333,8 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
     """Each query's k nearest rows found, by Euclidean distance: query_id, rank (from 1), vec_id, score.
 
     Every usable row is a candidate but the query's own; ties go to the smaller id. Vectors that are null, empty, zero or
-    hold a null or non-finite component take no part, as do null ids; all others must have equal length. Rows that repeat
+    hold a null or non-finite component take no part, as do null ids; those of another length than the query's are no
+    candidates, and each length (LENGTHS at most, more are an error) is searched by itself. Rows that repeat
     an id with equal vectors count once; with different ones each is a row of its own, and none is a candidate of the others.
     A class of equal vectors may hold any part of the rows. Fewer candidates give fewer rows, and no query or an empty table
     none. Other columns are ignored. `target` is the recall the window is measured for; `window` sets it instead.
@@ -351,21 +343,26 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
     doubles = F.transform(F.col(f"`{vector_col}`"), lambda v: v.cast("double"))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), doubles.alias("v"), usable(f"`{vector_col}`").alias("ok"))
     rows = rows.filter("ok AND id IS NOT NULL").select("id", "q", "v")
-    size = rows.agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"), F.count_if("q").alias("asked")).first()
-    if not size.asked:
+    lengths = [r[0] for r in rows.groupBy(F.size("v").alias("d")).agg(F.max("q").alias("q")).filter("q").orderBy("d").limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"queries have more than {LENGTHS} different lengths")
+    parts = [_of_one_length(vectors, rows.filter(F.size("v") == d), k, target, window) for d in lengths]
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if size.low != size.high:
-        raise ValueError(f"vectors have {size.low} to {size.high} components")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _of_one_length(vectors: DataFrame, rows: DataFrame, k: int, target: float, window: int | None) -> DataFrame:
+    """neighbours, of usable rows (id, q, v) of one length."""
+    spark = vectors.sparkSession
     width = partitions(spark, vectors)
     named = rows.mapInArrow(_named(k + 1), "c binary, v binary, id long, asked boolean")
     sorted_rows = named.repartition(width, "c").sortWithinPartitions("c", "id")
     classes = sorted_rows.mapInArrow(_classes(k + 1), "c binary, v binary, ids array<long>, asked boolean").checkpoint()
     n = classes.count()
-    sums = classes.mapInArrow(_moments(size.low), "j int, first double, second double, top double").groupBy("j").agg(F.sum("first").alias("first"), F.sum("second").alias("second"), F.max("top").alias("top")).orderBy("j").collect()
-    steady = lambda x: float(f"{x:.6g}")  # noqa: E731  the order of a sum does not show
-    middle = np.array([steady(r["first"] / n) for r in sums])
-    spread = np.array([steady(max(r.second / n - (r["first"] / n) ** 2, 0.0) ** 0.5) or 1.0 for r in sums])
-    keyed = classes.mapInArrow(_keys(Curves(size.low, middle, spread)), "c binary, v binary, asked boolean, keys array<long>").checkpoint()
+    sample = classes.orderBy(F.xxhash64("c"), "c").limit(FITTED).select("v").collect()
+    curves = Curves(np.array([np.frombuffer(r.v, "<f8") for r in sample]))
+    keyed = classes.mapInArrow(_keys(curves), "c binary, v binary, asked boolean, keys array<long>").checkpoint()
     window = window or measured_window(keyed, k, n, target)[0]
     blocks = max(1, min(MAX_BLOCKS, n // max(BLOCK_ROWS, BLOCK_WINDOWS * window)))
     accuracy = 40 * blocks + 1000
@@ -378,7 +375,7 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
     none = np.zeros((0, 3), np.int64)
     per_curve = [cut.get(c, none) for c in range(CURVES)]
     sides = [[x[:, j] for x in per_curve] for j in range(3)]
-    dealt = keyed.mapInArrow(_deal(*sides, max(r.top for r in sums)), "curve int, block int, key long, query boolean, c binary, x binary")
+    dealt = keyed.mapInArrow(_deal(*sides, curves.middle), "curve int, block int, key long, query boolean, c binary, x binary")
     dealt = dealt.repartition(max(width, min(MAX_PARTS, CURVES * blocks // 4)), "curve", "block").sortWithinPartitions("curve", "block", "key", "c")
     pairs = dealt.mapInArrow(_nearest(window, k + 1 + SPARE), "q binary, c binary, d double").groupBy("q", "c").agg(F.min("d").alias("d"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("d", "c"))), 1, k + 1 + SPARE)  # at most curves x 3 blocks x (k + 1 + SPARE)

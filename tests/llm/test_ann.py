@@ -88,3 +88,27 @@ def test_hot_vector(spark):
     got = found(df, F.col("vec_id") >= 8990)
     assert all([got[q][r] for r in range(1, 11)] == [(6000 + r - 1, 0.0) for r in range(1, 11)] for q in range(8990, 9000))
     assert recall(x, np.arange(len(x)), range(9000, len(x)), got) >= 0.9
+
+
+@pytest.mark.parametrize("large", [1e4, 1e6, 1e30])
+def test_one_large_vector(spark, large):
+    """An outlier moves neither the curves nor the precision of the others."""
+    x = np.random.default_rng(5).standard_normal((3000, 16)) / 4
+    x[1234] = large
+    df, asked = table(spark, x), np.arange(0, 3000, 30)
+    assert recall(x, np.arange(len(x)), asked, found(df, F.col("vec_id") % 30 == 0)) >= 0.9
+
+
+def test_lengths_over_six_orders_and_far_from_zero(spark):
+    g = np.random.default_rng(6)
+    wide = g.standard_normal((3000, 12)) * 10.0 ** g.uniform(-3, 3, (3000, 1))
+    far = 1e4 + g.standard_normal((3000, 12))
+    for x in (wide, far):
+        df, asked = table(spark, x), np.arange(0, 3000, 30)
+        assert recall(x, np.arange(len(x)), asked, found(df, F.col("vec_id") % 30 == 0)) >= 0.9
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0]), (3, [9.0, 0.0, 0.0]), (4, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(df, F.col("vec_id") < 2) == {0: {1: (2, 1.0)}, 1: {1: (3, 8.0)}}

@@ -36,8 +36,8 @@ SEGMENT = 8 << 20
 #: Rows of a batch with one first rank and different second ranks from which on they are spread, and over how many keys.
 HOT, SALTS = 8, 256
 _DUP, _ASK, _MARKER = 1, 2, 3
-_ROW = "a long, b long, k long, x int, l int, n int, state tinyint"
-_ROW_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("x", pa.int32()), ("l", pa.int32()), ("n", pa.int32()), ("state", pa.int8())])
+_ROW = "a long, b long, k long, x long, l int, n int, state tinyint"
+_ROW_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("x", pa.int64()), ("l", pa.int32()), ("n", pa.int32()), ("state", pa.int8())])
 
 
 def _first_of_each(a, b, k, x, l, n) -> tuple:
@@ -57,7 +57,7 @@ def _first_of_each(a, b, k, x, l, n) -> tuple:
     if len(start):
         n = np.add.reduceat(n, start)
     a, b, k, x, l, dup = a[start], b[start], k[start], x[start], l[start], dup[start]
-    a = np.where(dup, B.mix(k.view(np.uint64) ^ B.mix((x.astype(np.int64) << 32 ^ l).view(np.uint64))).view(np.int64), a)
+    a = np.where(dup, B.mix(k.view(np.uint64) ^ B.mix(x.view(np.uint64) ^ B.mix(l.astype(np.uint64)))).view(np.int64), a)
     return a, np.where(dup, 0, b), k, x, l, n, dup
 
 
@@ -200,7 +200,7 @@ def repeated_marks(docs: DataFrame, threshold: int, carry: list[tuple[str, str,
     """
     spark = prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(id_key("doc_id").alias("k"), F.hash(text).alias("x"), *[c.alias(n) for n, _, c in carry], text.alias("text"))
+    keyed = docs.select(id_key("doc_id").alias("k"), F.xxhash64(text).alias("x"), *[c.alias(n) for n, _, c in carry], text.alias("text"))
     lean = keyed.select("k", "x", "text")
     with shuffles_dropped(spark):
         marks = _by_text(_resolve(lean.mapInArrow(tidy(_anchors(threshold)), _ROW), docs, True)).checkpoint()
@@ -269,7 +269,7 @@ def _whole_characters(raw: bytes, s: np.ndarray, e: np.ndarray) -> tuple:
 def _apply(docs: DataFrame, threshold: int, schema: str, arrow: pa.Schema, make, carry: list[tuple[str, str, Column]]) -> DataFrame:
     own, marks = repeated_marks(docs, threshold, carry)
     kept = ", ".join(f"`{n}` {t}" for n, t, _ in carry)
-    return own.join(marks, ["k", "x"], "left").mapInArrow(tidy(_cut(threshold, arrow, make)), f"k long, x int, {kept}, {schema}").drop("k", "x")
+    return own.join(marks, ["k", "x"], "left").mapInArrow(tidy(_cut(threshold, arrow, make)), f"k long, x long, {kept}, {schema}").drop("k", "x")
 
 
 def substring_report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

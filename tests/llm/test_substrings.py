@@ -101,3 +101,14 @@ def test_segments_hold_every_window_once(monkeypatch):
         _, l, n, _, _ = substrings.anchor_runs(part, bounds, 10)
         seen += [at + x + j for x, m in zip(l.tolist(), n.tolist()) for j in range(m)]
     assert sorted(seen) == list(range(991))
+
+
+def test_texts_of_null_ids_whose_short_hashes_collide(spark):
+    """Two texts without an id that agree in a 32-bit hash stay two; their copies lose all bytes."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(200_000).select(F.concat(F.lit("x" * 170), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    same = many.groupBy(F.hash("text")).agg(F.collect_list("text").alias("t")).filter(F.size("t") > 1).first().t[:2]
+    rows = [(None, same[0]), (None, same[1]), (7, same[0]), (8, same[1])]
+    got = {r.doc_id: r for r in substring_report(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id IS NOT NULL").collect()}
+    assert [got[i].n_removed for i in (7, 8)] == [234, 234]

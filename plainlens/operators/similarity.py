@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.rows import exploded
@@ -57,6 +60,67 @@ def best_alignment(pairs: DataFrame, key: str) -> DataFrame:
     return both.select(key, a.alias("a_to_b"), b.alias("b_to_a"), F.when(a + b == 0, 0.0).otherwise(F.try_divide(2 * a * b, a + b)).alias("semantic_f1"))
 
 
+def _spread_blocks(x: DataFrame, key: str, size: int) -> DataFrame:
+    """key, block, rows: a key's chunks in blocks of so many chunk numbers."""
+    row = F.struct(F.col("chunk").cast("long").alias("chunk"), F.col("weight").cast("double").alias("weight"), F.col("vec").cast("array<double>").alias("vec"))
+    return x.groupBy(key, F.floor(F.col("chunk") / size).alias("block")).agg(F.collect_list(row).alias("rows"))
+
+
+def _vectors(rows: pa.StructArray) -> np.ndarray:
+    """Unit vectors by row; NaN for a null or zero vector and for one of another length than the longest."""
+    vec = rows.field("vec")
+    lengths = np.asarray(vec.value_lengths().fill_null(0))
+    d = int(lengths.max(initial=0))
+    out = np.full((len(rows), d), np.nan)
+    fits = lengths == d
+    if d and fits.any():
+        out[fits] = vec.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.linalg.norm(out, axis=1)[:, None]
+
+
+def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best cosine of each chunk of either side within a pair of blocks: one row for a chunk, none for a pair of chunks."""
+    for batch in batches:
+        at, side, chunk, weight, best = [], [], [], [], []
+        for i in range(batch.num_rows):
+            a, b = (batch.column(n)[i].values for n in ("a_rows", "b_rows"))
+            x, y = _vectors(a), _vectors(b)
+            sim = x @ y.T if x.shape[1] == y.shape[1] else np.full((len(a), len(b)), np.nan)
+            low = np.where(np.isnan(sim), -np.inf, sim)
+            for name, rows, axis in (("a", a, 1), ("b", b, 0)):
+                top = low.max(axis=axis)
+                at.append(np.full(len(rows), i))
+                side += [name] * len(rows)
+                chunk.append(rows.field("chunk").to_numpy(zero_copy_only=False))
+                weight.append(rows.field("weight").to_numpy(zero_copy_only=False))
+                best.append(top)
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
+        top = join(best)
+        key = batch.column("key").take(pa.array(join(at).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([key, pa.array(side, pa.string()), pa.array(join(chunk).astype(np.int64)), pa.array(join(weight)), pa.array(top, mask=np.isinf(top))], names=["key", "side", "chunk", "weight", "best"])
+
+
+def aligned(a: DataFrame, b: DataFrame, key: str, block: int = 512, blocks_together: int = 8) -> DataFrame:
+    """best_alignment of two chunk tables (key, chunk, weight, vec), by matrix products of blocks of chunks.
+
+    Row and column maxima are taken inside a pair of blocks, so no row for a pair of chunks is made or shuffled. The blocks of
+    a key are dealt in groups, each with all blocks of the other side, so a key with very many chunks is spread. chunk is a
+    whole number, unique within a key.
+    """
+    left = _spread_blocks(a, key, block).withColumn("part", F.floor(F.col("block") / blocks_together)).select(F.col(key).alias("key"), "part", F.col("rows").alias("a_rows"))
+    parts = left.select("key", "part").distinct()
+    right = _spread_blocks(b, key, block).select(F.col(key).alias("key"), F.col("rows").alias("b_rows")).join(parts, "key")
+    kind = a.schema[key].dataType
+    schema = StructType([StructField("key", kind), StructField("side", StringType()), StructField("chunk", LongType()), StructField("weight", DoubleType()), StructField("best", DoubleType())])
+    folded = left.join(right, ["key", "part"]).select("key", "a_rows", "b_rows").mapInArrow(_block_maxima, schema)
+    each = folded.groupBy("key", "side", "chunk").agg(F.max("best").alias("m"), F.first("weight").alias("w"))
+    mean = lambda side: F.try_divide(F.sum(F.when(F.col("side") == side, F.col("m") * F.col("w"))), F.sum(F.when(F.col("side") == side, F.col("w"))))
+    both = each.groupBy("key").agg(mean("a").alias("a_to_b"), mean("b").alias("b_to_a"))
+    x, y = F.col("a_to_b"), F.col("b_to_a")
+    return both.select(F.col("key").alias(key), "a_to_b", "b_to_a", F.when(x + y == 0, 0.0).otherwise(F.try_divide(2 * x * y, x + y)).alias("semantic_f1"))
+
+
 def section_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return T.with_sections(df, text, "_m").select(key, F.explode_outer("_m").alias("sec", "text")).filter("sec IS NOT NULL")
 
@@ -70,7 +134,7 @@ def section_chunks(df: DataFrame, key: str, text: str, encode: Callable[[Column]
 def section_scores(df: DataFrame, key: str, original: str, simplified: str, encode: Callable[[Column], Column], size: int = 120, overlap: int = 30) -> DataFrame:
     """key, sec, orig_to_simp, simp_to_orig, semantic_f1 for all nine sections: null if both texts lack it, 0 if one does."""
     a, b = (section_chunks(df, key, c, encode, size, overlap).withColumn("_k", F.struct(key, "sec")) for c in (original, simplified))
-    got = best_alignment(chunk_pairs(a, b, "_k"), "_k").select(F.col(f"_k.{key}").alias(key), "_k.sec", "a_to_b", "b_to_a", "semantic_f1")
+    got = aligned(a, b, "_k").select(F.col(f"_k.{key}").alias(key), "_k.sec", "a_to_b", "b_to_a", "semantic_f1")
     texts = T.with_sections(T.with_sections(df, original, "_o"), simplified, "_s")
     there = texts.select(key, F.explode_outer("_o").alias("sec", "_ot"), "_s").filter("sec IS NOT NULL").select(key, "sec", (F.col("_ot") != "").alias("_a"), (F.element_at("_s", F.col("sec")) != "").alias("_b"))
     value = lambda c: F.when(~F.col("_a") & ~F.col("_b"), None).when(F.col("_a") & F.col("_b"), F.col(c)).otherwise(0.0)

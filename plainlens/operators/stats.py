@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
@@ -108,27 +109,54 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return out.select("bin", (F.lit(low) + (F.col("bin") + 0.5) * width).alias("center"), n.cast("long").alias("n"), F.try_divide(n, F.col("_t") * width).alias("density"))
 
 
-def kernel_density(df: DataFrame, column: str, low: float, high: float, points: int, per_pass: int = 100) -> DataFrame:
-    """Gaussian density on an even grid, bandwidth by Silverman's rule: point, x, density.
+#: Bins of a bandwidth, and bins of a grid at most; a kernel ends at REACH bandwidths.
+FINE, MOST_BINS, REACH = 4096, 1 << 18, 9
 
-    bandwidth = max(0.9 * min(std, IQR / 1.349) * n ** -0.2, 0.001), 0.05 without spread; fewer than two values give 0. Each
-    grid point is one sum of the same scan, so no row is multiplied; the grid is cut into passes of bounded width.
-    """
+
+def bandwidth(df: DataFrame, column: str, rule: str = "silverman") -> tuple[int, float]:
+    """Number of values and bandwidth: by silverman max(0.9 * min(std, IQR / 1.349) * n ** -0.2, 0.001), by scott std * n ** -0.2;
+    0.05 without spread."""
     c = F.col(column)
-    s = df.filter(c.isNotNull()).agg(F.count(c).alias("n"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std")).first()
-    spark, grid = df.sparkSession, [low + i * (high - low) / (points - 1) for i in range(points)]
+    s = df.filter(c.isNotNull() & ~F.isnan(c.cast("double"))).agg(F.count(c).alias("n"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std")).first()
+    if rule == "scott":
+        return s.n, s.std * s.n**-0.2 if s.n > 1 and s.std > 0 else 0.05
+    if rule != "silverman":
+        raise ValueError("the rule is `silverman` or `scott`")
     if s.n < 2:
+        return s.n, 0.05
+    low, high = exact_quantiles(df, column, (0.25, 0.75))
+    sigma = min(s.std, (high - low) / 1.349)
+    return s.n, max(0.9 * sigma * s.n**-0.2, 1e-3) if sigma > 0 else 0.05
+
+
+def kernel_density(df: DataFrame, column: str, low: float, high: float, points: int, rule: str = "silverman") -> DataFrame:
+    """Gaussian density on an even grid: point, x, density. Fewer than two values give 0.
+
+    Linear binning: one scan deals each value over the two bins beside it, and the weights of the bins, a vector of at most
+    MOST_BINS, are convolved with the kernel. A bin is a FINE-th of the bandwidth h, or wider where the grid would have more.
+    With bins of width b the binned values and the straight lines between bins differ from the direct sum by at most
+    (b / h) ** 2 / 4 of the kernel's height 1 / (h * sqrt(2 * pi)): 1.5e-8 of it at FINE. Spark jobs run when this is made.
+    """
+    spark, grid = df.sparkSession, [low + i * (high - low) / max(points - 1, 1) for i in range(points)]
+    n, h = bandwidth(df, column, rule)
+    if n < 2:
         return spark.createDataFrame([(i, float(x), 0.0) for i, x in enumerate(grid)], "point int, x double, density double")
-    low_q, high_q = exact_quantiles(df, column, (0.25, 0.75))
-    sigma = min(s.std, (high_q - low_q) / 1.349)
-    width = max(0.9 * sigma * s.n**-0.2, 1e-3) if sigma > 0 else 0.05
-    scale, out = 1 / (s.n * width * (2 * 3.141592653589793) ** 0.5), None
-    for at in range(0, points, per_pass):
-        part = grid[at : at + per_pass]
-        sums = df.agg(F.array(*[F.sum(F.exp(-0.5 * F.pow((F.lit(x) - c) / width, F.lit(2.0)))) for x in part]).alias("d"), F.array(*[F.lit(x) for x in part]).alias("x"))
-        one = sums.select(F.posexplode(F.arrays_zip("x", "d")).alias("p", "v")).select((F.col("p") + at).alias("point"), F.col("v.x").alias("x"), (F.col("v.d") * scale).alias("density"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    start, span = low - REACH * h, high - low + 2 * REACH * h
+    bin_width = max(h / FINE, span / (MOST_BINS - 2))
+    place = (F.col(column).cast("double") - start) / bin_width
+    bins = int(span / bin_width) + 2
+    inside = df.select(place.alias("p")).filter((F.col("p") >= 0) & (F.col("p") < bins - 1)).withColumn("i", F.floor("p").cast("int"))
+    shares = F.explode(F.array(F.struct(F.col("i"), (F.col("i") + 1 - F.col("p")).alias("w")), F.struct((F.col("i") + 1).alias("i"), (F.col("p") - F.col("i")).alias("w"))))
+    found = inside.select(shares.alias("s")).groupBy("s.i").agg(F.sum("s.w").alias("w")).toPandas()
+    weights = np.zeros(bins)
+    weights[found["i"].to_numpy()] = found["w"].to_numpy()
+    size = 1 << (2 * bins - 1).bit_length()
+    away = np.minimum(np.arange(size), size - np.arange(size)) * (bin_width / h)
+    kernel = np.where(away <= REACH, np.exp(-0.5 * away**2), 0.0)
+    summed = np.fft.irfft(np.fft.rfft(weights, size) * np.fft.rfft(kernel), size)[:bins]
+    at = (np.array(grid) - start) / bin_width
+    density = np.maximum(np.interp(at, np.arange(bins), summed), 0.0) / (n * h * math.sqrt(2 * math.pi))
+    return spark.createDataFrame([(i, float(x), float(d)) for i, (x, d) in enumerate(zip(grid, density, strict=True))], "point int, x double, density double")
 
 
 def length_range(df: DataFrame, column: str) -> DataFrame:

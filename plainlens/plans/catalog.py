@@ -623,7 +623,7 @@ def chunk_cosines(spark, d):
 @query(f"WITH {_CHUNKS}, ma AS (SELECT doc, ac, max(sim) AS m, any_value(aw) AS w FROM pr GROUP BY 1, 2), mb AS (SELECT doc, bc, max(sim) AS m, any_value(bw) AS w FROM pr GROUP BY 1, 2), a AS (SELECT doc, sum(m * w) / sum(w) AS x FROM ma GROUP BY 1), b AS (SELECT doc, sum(m * w) / sum(w) AS y FROM mb GROUP BY 1) SELECT doc, round(x, 6) AS a_to_b, round(y, 6) AS b_to_a, round(CASE WHEN x + y = 0 THEN 0 ELSE 2 * x * y / (x + y) END, 6) AS semantic_f1 FROM a JOIN b USING (doc)")
 def best_alignment(spark, d):
     a, b = _chunks(spark, d)
-    x = similarity.best_alignment(similarity.chunk_pairs(a, b, "doc"), "doc")
+    x = similarity.aligned(a, b, "doc")
     return x.select("doc", *[r6(F.col(c)).alias(c) for c in ("a_to_b", "b_to_a", "semantic_f1")])
 
 

@@ -262,11 +262,12 @@ def section_spans(c: Column) -> Column:
 
     def named(sec: str, m: Column) -> Column:
         found = M.first_match(m["text"], SECTION_HEADINGS[sec].replace("\\s", WS))
-        there = lambda a: bound(M.original_span(m["maps"], a["start"], a["stop"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(sec).alias("sec")))
-        return bound(found, lambda a: F.when(a.isNotNull(), there(a)))
+        return bound(found, lambda a: F.when(a.isNotNull(), F.struct(a["start"].alias("start"), a["stop"].alias("stop"), F.lit(sec).alias("sec"))))
 
     def spans(m: Column) -> Column:
-        return F.array_sort(F.array_compact(F.array(*[named(sec, m) for sec in SECTION_HEADINGS])))
+        there = F.array_compact(F.array(*[named(sec, m) for sec in SECTION_HEADINGS]))
+        back = lambda f: bound(M.original_span(m["maps"], f["start"], f["stop"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), f["sec"].alias("sec")))
+        return F.array_sort(F.transform(there, back))
 
     return bound(leaflet_form(c), spans)
 

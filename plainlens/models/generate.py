@@ -1,19 +1,23 @@
 """Resumable generation with an injected client.
 
 A client takes (system, user, seed) and returns a text; it is built on the worker by a factory, so connections need not be
-sent. Errors become a column and never end the job. Concurrency is the number of partitions.
+sent. Errors become a column and never end the job. Concurrency is the number of partitions times the requests that each
+has under way; a ledger keeps answers that were paid for.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..operators import curate, sari, similarity
+from .ledger import Ledger, answered, known_by_key
 
 Client = Callable[[str, str, int], str]
 #: Measures by name: functions of a DataFrame and its text columns.
@@ -70,24 +74,50 @@ def decoding(temperature: float = 0.0, top_p: float = 1.0) -> dict:
     return {"do_sample": True, "temperature": temperature, "top_p": top_p} if temperature > 0 else {"do_sample": False}
 
 
-def completions(df: DataFrame, key: str, text: str, factory: Callable[[], Client], system: str, template: str, n: int = 1, base_seed: int = 42, seeds_per_row: int = 1, concurrency: int = 8) -> DataFrame:
+def completions(df: DataFrame, key: str, text: str, factory: Callable[[], Client], system: str, template: str, n: int = 1, base_seed: int = 42, seeds_per_row: int = 1, concurrency: int = 8, parallel: int = 1, ledger: str | None = None) -> DataFrame:
     """key, out_1 .. out_n, error for rows with a text. Row seeds are base + key * seeds_per_row + 0, 1, ...; if one of the
-    n fails all are null and error says why. key is a number."""
+    n fails all are null and error says why. key is a number, unique.
+
+    Rows are dealt over `concurrency` tasks by key, each of which has `parallel` requests under way at most. With a ledger, a
+    folder that all executors share, each answer is written down when it comes: an attempt that follows a lost one, a second
+    use of the result, or another run asks only for what is not there. Requests that were under way in a task when it was
+    lost, `parallel` at most, and failed ones are asked again. Two attempts of one task at once (speculation) do not see
+    each other.
+    """
+    spark, run_id = df.sparkSession, uuid.uuid4().hex
     asked = df.filter(T.filled(F.col(text))).select(F.col(key).cast("long").alias("k"), T.prompt(template, text=F.col(text)).alias("user"))
+    known = known_by_key(spark, ledger) if ledger else spark.createDataFrame([], "k long, known map<bigint,string>")
+    asked = asked.join(known, "k", "left").select("k", "user", F.map_entries("known").alias("known"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = factory()
+        book = Ledger(ledger, run_id, TaskContext.get().partitionId()) if ledger else None
+        before = book.known if book else {}
         for pdf in batches:
-            rows = []
-            for k, user in zip(pdf["k"], pdf["user"], strict=True):
-                try:
-                    rows.append((k, *[ask(system, user, base_seed + k * seeds_per_row + i) for i in range(n)], None))
-                except Exception as e:  # a failed request is a row to try again
-                    rows.append((k, *[None] * n, f"{type(e).__name__}: {e}"))
+            out = {int(k): {} for k in pdf["k"]}
+            errors: dict[int, str] = {}
+            todo = []
+            for k, user, old in zip(pdf["k"], pdf["user"], pdf["known"], strict=True):
+                kept = {e["key"]: e["value"] for e in old} if old is not None else {}
+                for seed in (base_seed + int(k) * seeds_per_row + i for i in range(n)):
+                    if seed in kept or (int(k), seed) in before:
+                        out[int(k)][seed] = kept.get(seed, before.get((int(k), seed)))
+                    else:
+                        todo.append((int(k), system, user, seed))
+            for (k, _, _, seed), answer, error in answered(iter(todo), lambda k, *request: ask(*request), parallel):
+                if error:
+                    errors[k] = min(errors.get(k, error), error)
+                else:
+                    out[k][seed] = answer
+                    if book:
+                        book.add(k, seed, answer)
+            rows = [(k, *([None] * n if k in errors else [out[k][s] for s in sorted(out[k])]), errors.get(k)) for k in out]
             yield pd.DataFrame(rows, columns=["k", *[f"out_{i + 1}" for i in range(n)], "error"])
+        if book:
+            book.close()
 
     schema = "k long, " + ", ".join(f"out_{i + 1} string" for i in range(n)) + ", error string"
-    out = asked.repartition(concurrency).mapInPandas(run, schema)
+    out = asked.repartition(concurrency, "k").mapInPandas(run, schema)
     return out.select(F.col("k").alias(key), *[T.clean_llm_output(F.col(f"out_{i + 1}")).alias(f"out_{i + 1}") for i in range(n)], "error")
 
 

@@ -126,8 +126,14 @@ def section_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def section_chunks(df: DataFrame, key: str, text: str, encode: Callable[[Column], Column], size: int = 120, overlap: int = 30) -> DataFrame:
-    """key, sec, chunk, weight (words), vec of every chunk of every section."""
+    """key, sec, chunk, weight (words), vec of every chunk of every section.
+
+    encode makes a vector column of a text column, or, as models.svd.SvdEncoder does, encodes a table: encoded(df, keys, text).
+    """
     parts = exploded(T.with_word_chunks(section_rows(df, key, text), "text", "_c", size, overlap), [key, "sec"], "_c", "text", "chunk")
+    if hasattr(encode, "encoded"):
+        weights = parts.select(key, "sec", "chunk", T.token_count(F.col("text")).alias("weight"))
+        return weights.join(encode.encoded(parts, [key, "sec", "chunk"], "text", "vec"), [key, "sec", "chunk"])
     return parts.select(key, "sec", "chunk", T.token_count(F.col("text")).alias("weight"), encode(F.col("text")).alias("vec"))
 
 

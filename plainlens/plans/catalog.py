@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..functions.rows import exploded
+from ..models import svd
 from ..operators import curate, judge, pages, postings, punkt, sari, similarity, splits, stats, ud
 from ..operators.kept import shared_folder
 from ..operators.ordering import ranked_by_value
@@ -668,6 +669,16 @@ def _section_scores(spark, d):
     return similarity.section_scores(x, "id", "leaflet", "short", similarity.hashed_encoder(32))
 
 
+@query()
+def learned_similarity(spark, d):
+    """Both texts of a pair by an encoder learned from all of them; the tests hold the encoder against numpy."""
+    p = V.pairs(spark, d)
+    texts = p.select("pair_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("original_text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("paraphrase").alias("text")))).alias("t")).select("pair_id", "t.*")
+    coded = svd.fitted(texts, ["pair_id", "side"], "text", k=16).encoded(texts, ["pair_id", "side"], "text")
+    side = lambda i: coded.filter(F.col("side") == i).select("pair_id", F.col("vec").alias(f"v{i}"))
+    return side(0).join(side(1), "pair_id").select("pair_id", r6(similarity.cosine(F.col("v0"), F.col("v1"))).alias("sim"))
+
+
 @query(f"WITH {_SECTIONS} SELECT id, sec, round(orig_to_simp, 6) AS orig_to_simp, round(simp_to_orig, 6) AS simp_to_orig, round(semantic_f1, 6) AS semantic_f1 FROM sc")
 def section_similarity(spark, d):
     """Sections of each leaflet against the same sections in lower case with some words left out, by a hashed encoder."""

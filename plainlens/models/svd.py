@@ -14,13 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.rows import exploded
 from ..operators.kept import kept
 
 #: Vectors beyond those asked for, and power passes.
-OVERSAMPLING, PASSES = 8, 3
+OVERSAMPLING, PASSES = 8, 2
 
 
 def term_counts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -57,20 +58,25 @@ def _gram(df: DataFrame, k: int) -> np.ndarray:
     return out.reshape(k, k)
 
 
-def _times(v: Column, matrix: np.ndarray) -> Column:
-    """v @ matrix, for a small matrix."""
-    def column(j: int) -> Column:
-        return F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in matrix[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+def _times(df: DataFrame, by: str, matrix: np.ndarray) -> DataFrame:
+    """by and v @ matrix, for a small matrix that goes with the function."""
+    k, m = matrix.shape
 
-    return F.array(*[column(j) for j in range(matrix.shape[1])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k) @ matrix
+            made = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * m), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), made], names=[by, "v"])
+
+    lean = df.select(by, "v")
+    return lean.mapInArrow(run, StructType([lean.schema[by], StructField("v", ArrayType(DoubleType()))]))
 
 
 def _orthogonal(df: DataFrame, by: str, k: int) -> DataFrame:
     """The same span with orthonormal columns; directions of no length are dropped to zero."""
     values, turn = np.linalg.eigh(_gram(df, k))
     fine = values > max(values.max(initial=0.0), 0.0) * 1e-14
-    scaled = np.where(fine, turn / np.sqrt(np.where(fine, values, 1.0)), 0.0)
-    return df.select(by, _times(F.col("v"), scaled).alias("v"))
+    return _times(df, by, np.where(fine, turn / np.sqrt(np.where(fine, values, 1.0)), 0.0))
 
 
 def _random(term: Column, i: int) -> Column:
@@ -118,5 +124,5 @@ def fitted(df: DataFrame, keys: Sequence[str], text: str, k: int = 64, passes: i
         side = kept(_orthogonal(side, "term", m))
     values, turn = np.linalg.eigh(_gram(entries.join(side, "term").groupBy("row").agg(_sums(m).alias("v")), m))
     order = np.argsort(-values, kind="stable")[:k]
-    turned = side.select("term", _times(F.col("v"), turn[:, order]).alias("v"))
+    turned = _times(side, "term", turn[:, order])
     return SvdEncoder(kept(idf.join(turned, "term")), tuple(float(x) for x in np.sqrt(np.maximum(values[order], 0.0))), n)

@@ -8,10 +8,19 @@ from ..functions import text as T
 from ..functions.rows import exploded
 
 
-def page_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """Stripped, non-blank lines with their 0-based position and the page's number of lines."""
-    kept = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\r\x{B}\x{C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"), T.strip_ws), lambda x: x != "")
-    return exploded(pages.select(doc, page, kept.alias("_l")), [doc, page, F.size("_l").alias("n_lines")], "_l", "line", "line_no")
+def _lines(text: str) -> Column:
+    """A page's stripped, non-blank lines."""
+    return F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\r\x{B}\x{C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"), T.strip_ws), lambda x: x != "")
+
+
+def page_lines(pages: DataFrame, doc: str, page: str, text: str, head: int | None = None, foot: int = 0) -> DataFrame:
+    """Stripped, non-blank lines with their 0-based position and the page's number of lines; with head only the first and last
+    ones of each page."""
+    rows = pages.select(doc, page, _lines(text).alias("_l"))
+    if head is None:
+        return exploded(rows, [doc, page, F.size("_l").alias("n_lines")], "_l", "line", "line_no")
+    near = F.filter(F.transform("_l", lambda x, i: F.struct(x.alias("line"), i.alias("line_no"))), lambda x: (x["line_no"] < head) | (x["line_no"] >= F.size("_l") - foot))
+    return exploded(rows, [doc, page, F.size("_l").alias("n_lines")], near, "_e").select(doc, page, "n_lines", "_e.line", "_e.line_no")
 
 
 def margin_counts(lines: DataFrame, doc: str, head: int = 2, foot: int = 2, least: int = 3, nbsp: bool = False) -> DataFrame:
@@ -26,15 +35,19 @@ def margin_counts(lines: DataFrame, doc: str, head: int = 2, foot: int = 2, leas
 
 
 def without_margins(pages: DataFrame, doc: str, page: str, text: str, head: int = 2, foot: int = 2, least: int = 3, nbsp: bool = False) -> DataFrame:
-    """doc, page, text without the repeated first and last lines; pages without a line stay, empty."""
-    lines = page_lines(pages, doc, page, text)
-    common = margin_counts(lines, doc, head, foot, least, nbsp)
+    """doc, page, text without the repeated first and last lines; pages without a line stay, empty.
+
+    Only the first and last lines become rows; the others stay in their page.
+    """
+    near = page_lines(pages, doc, page, text, head, foot)
+    common = margin_counts(near, doc, head, foot, least, nbsp)
     marks = common.groupBy(doc, "norm").agg(F.max(F.col("kind") == "head").alias("_h"), F.max(F.col("kind") == "foot").alias("_f"))
-    marked = lines.withColumn("norm", T.normalize_for_match(F.col("line"), nbsp)).join(marks, [doc, "norm"], "left")
-    gone = (F.coalesce("_h", F.lit(False)) & (F.col("line_no") < head)) | (F.coalesce("_f", F.lit(False)) & (F.col("line_no") >= F.greatest(F.lit(0), F.col("n_lines") - foot)))
-    ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    cleaned = marked.filter(~gone).groupBy(doc, page).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
-    return pages.select(doc, page).join(cleaned, [doc, page], "left").select(doc, page, F.coalesce("text", F.lit("")).alias("text"))
+    marked = near.withColumn("norm", T.normalize_for_match(F.col("line"), nbsp)).join(marks, [doc, "norm"])
+    gone = marked.filter((F.col("_h") & (F.col("line_no") < head)) | (F.col("_f") & (F.col("line_no") >= F.greatest(F.lit(0), F.col("n_lines") - foot))))
+    by_page = gone.groupBy(doc, page).agg(F.collect_set("line_no").alias("_g"))
+    rows = pages.select(doc, page, _lines(text).alias("_l")).join(by_page, [doc, page], "left")
+    left = F.filter("_l", lambda x, i: ~F.array_contains(F.coalesce("_g", F.array().cast("array<int>")), i))
+    return rows.select(doc, page, F.array_join(left, "\n").alias("text"))
 
 
 def too_short(texts: Column, least: int = 200) -> Column:

@@ -245,6 +245,7 @@ def similar_documents(docs: DataFrame, **options) -> DataFrame:
     all documents connected with it by links, copy_id the least among those with equal words. A text that is null or has
     no word has no n-grams: no links, its own class. A null doc_id counts as one id before all others and gives null.
     Rows that share a doc_id are documents of their own. An empty table gives an empty result; other columns are ignored.
+    Components that do not settle in 60 rounds (the rounds grow with the logarithm of a component's length) are an error.
     """
     back = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
     return _verdicts(docs, **options).select(back("k").alias("doc_id"), back("class.k").alias("class_id"), "n_links", back("rep.k").alias("copy_id"))
@@ -253,7 +254,8 @@ def similar_documents(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, the one of least doc_id (then text hash), all columns; of rows equal in both, one.
 
-    Documents without a word are classes of their own and stay, but of rows equal in doc_id and text one.
+    Documents without a word are classes of their own and stay, but of rows equal in doc_id and text one. Errors as in
+    similar_documents.
     """
     k, x = own = unused(docs, 2)
     least = _verdicts(docs, **options).filter(F.struct("k", "x") == F.col("class")).select(F.col("k").alias(k), F.col("x").alias(x))

@@ -171,7 +171,8 @@ def identified(docs: DataFrame) -> DataFrame:
     Learned from text and non-null lang of documents whose crc32(doc_id as text) modulo 5 is not 0; the others are held
     out, and only text decides a prediction. score is the cosine to the nearest centroid, rejected says that it is unusually
     far for its language. lang_pred is `und` (score 0, rejected) if text is null or has no letter, or nothing was learned. A
-    null doc_id is neither held out nor learned. Repeated rows get equal results; other columns are ignored.
+    null doc_id is neither held out nor learned. Repeated rows get equal results; other columns are ignored. More than 500
+    languages to learn are an error.
     """
     spark = prepare(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))

@@ -40,7 +40,8 @@ def run_of(df: DataFrame, key: str, runs: int = 256) -> Column:
 
 def ranked_by_value(df: DataFrame, key: str, *ties: str, name: str = "rank", runs: int = 256) -> DataFrame:
     """1-based rank by a numeric key, then ties: rows are ranked inside runs (see run_of), and the counts of the runs, a bounded
-    table, are summed up and broadcast. Rows of one key are in one run, so ties are only ranked there."""
+    table, are summed up and broadcast. Rows of one key are in one run, so ties are only ranked there. The runs' borders are
+    found by a Spark job when this is called."""
     keyed = df.withColumn("_p", run_of(df, key, runs))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))

@@ -56,7 +56,8 @@ def group_split(df: DataFrame, group: str, seed: str | int = 42, train: float =
 
 
 def challenge_sets(df: DataFrame, group: str, metric: str, most: int = 200, seed: str | int = 42) -> tuple[DataFrame, DataFrame]:
-    """Rows of good groups (metric at the 90th percentile or above) and hard ones (10th or below, none of the good)."""
+    """Rows of good groups (metric at the 90th percentile or above) and hard ones (10th or below, none of the good). The
+    percentiles are found by Spark jobs when this is called."""
     least, most_of_all = (F.lit(q) for q in exact_quantiles(df, metric, (0.1, 0.9)))
     high, low = df.filter(F.col(metric) >= most_of_all), df.filter(F.col(metric) <= least)
     good = sample_groups(high, group, most, seed)

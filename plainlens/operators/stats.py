@@ -74,7 +74,8 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[i
 
 
 def exact_quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float | None]:
-    """Quantiles with linear interpolation; null of no values."""
+    """Quantiles with linear interpolation; null of no values. Spark jobs find them when this is called, and what is built of
+    them (quantiles, spread, bandwidth, challenge_sets) has their values as constants."""
     n = df.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
     if not n:
         return [None] * len(at)

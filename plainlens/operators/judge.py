@@ -16,6 +16,9 @@ CRITERIA = ("P1", "P2", "P3", "P4", "P5")
 _NOTE = "struct<nota:int,justificativa:string>"
 _VERSION = "struct<" + ",".join(f"{c}:{_NOTE}" for c in CRITERIA) + ",`Comentário_geral`:string>"
 RESULT = f"struct<id:string,Versao_1:{_VERSION},Versao_2:{_VERSION},Ranking_geral:struct<ordem_melhor_para_pior:array<string>,justificativa:string>>"
+#: The fields of RESULT that scores reads: what is not asked for is not taken out of an answer, nor shuffled.
+_NOTES = "struct<" + ",".join(f"{c}:struct<nota:int>" for c in CRITERIA) + ">"
+SCORED = f"struct<id:string,Versao_1:{_NOTES},Versao_2:{_NOTES},Ranking_geral:struct<ordem_melhor_para_pior:array<string>>>"
 #: The first and last lines of a judge's message.
 PAYLOAD_HEAD = "A seguir estão N itens. Para cada item, avalie as duas versões conforme as instruções do sistema e retorne um ÚNICO array JSON com um objeto por item.\n"
 PAYLOAD_TAIL = "\nLembre-se: retorne APENAS um ARRAY JSON com os resultados, na mesma ordem dos itens acima."
@@ -55,8 +58,9 @@ def json_array(c: Column) -> Column:
     return bound(c, lambda s: F.when((first(s) > 0) & (last(s) > first(s)), F.substring(s, first(s), last(s) - first(s) + 1)).otherwise(s))
 
 
-def parsed(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Judge results, one row each as a struct `result` (see RESULT), and the rows whose answer is no JSON array or object.
+def parsed(df: DataFrame, column: str, fields: str = RESULT) -> tuple[DataFrame, DataFrame]:
+    """Judge results, one row each as a struct `result` of these fields, and the rows whose answer is no JSON array or
+    object.
 
     An answer is an array of results, or an object that holds them as `results`. It is parsed once, to a VARIANT, and no
     filter reads it: an answer that is no JSON has no results.
@@ -70,7 +74,7 @@ def parsed(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     shaped = tried.withColumns({"_items": F.when(at("$.end", "boolean"), items), "_ok": fits})
     bad = shaped.filter("NOT coalesce(_ok, FALSE)").select(*df.columns)
     # what a result lacks, or has of another kind, is null
-    return exploded(shaped, df.columns, "_items", "result").withColumn("result", F.try_variant_get("result", "$", RESULT)), bad
+    return exploded(shaped, df.columns, "_items", "result").withColumn("result", F.try_variant_get("result", "$", fields)), bad
 
 
 def unblinded(results: DataFrame, items: DataFrame, result: str = "result") -> DataFrame:

@@ -802,12 +802,12 @@ def keyword_filter(spark, d):
 
 @query(f"WITH {V.JUDGE} SELECT item || '__rep1' AS id, best, slot::INTEGER AS slot, 'P' || c AS criterion, score::INTEGER AS score FROM notes")
 def judge_scores(spark, d):
-    return judge.scores(judge.parsed(V.judge_answers(spark, d), "answer")[0])
+    return judge.scores(judge.parsed(V.judge_answers(spark, d), "answer", judge.SCORED)[0])
 
 
 @query(f"WITH {V.JUDGE} SELECT CASE WHEN (slot + item) % 2 = 0 THEN 'b' ELSE 'a' END AS model, 'P' || c AS criterion, count(score) AS n, round(avg(score), 6) AS mean_score FROM notes GROUP BY 1, 2")
 def judge_means(spark, d):
-    results = judge.parsed(V.judge_answers(spark, d), "answer")[0]
+    results = judge.parsed(V.judge_answers(spark, d), "answer", judge.SCORED)[0]
     even = F.col("e") % 2 == 0
     items = V.judge_answers(spark, d).select(F.concat(F.col("item").cast("string"), F.lit("__rep1")).alias("id"), F.when(even, "a").otherwise("b").alias("Versao_1_model"), F.when(even, "b").otherwise("a").alias("Versao_2_model"))
     named = judge.unblinded(results.select("result"), items)

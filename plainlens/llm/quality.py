@@ -1,8 +1,8 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
-Every rule compares one rate of a text with a cutoff. A part of the labelled documents (the path sample) gives one path of
+Every rule compares one rate of a text with a cutoff. All bad documents and one part of the good ones give one path of
 cutoffs for all rules together, from rejecting nothing to rejecting more and more, the best exchange of bad for good documents
-first. The good documents of the other part, the holdout, which did not shape the path, decide how far each stratum
+first. All good documents of the other part, the holdout, which did not shape the path, decide how far each stratum
 may follow it: step by step, while the exact (Clopper-Pearson) upper bound of the share of the stratum's good documents that
 the rules reject together is at most `risk`. Steps are tried in a fixed order up to the first failure, which needs no
 correction along the path; across strata the error probability is divided by their number (Bonferroni), counting
@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ RISK, ERROR = 0.02, 0.05
 #: Rates, each in [0, 1] or cut there, and the grid of cutoffs: a text is rejected if its rate is above.
 RULES = ("symbol_rate", "shout_rate", "dup_line_rate", "repeat_rate", "upper_rate")
 GRID = 50
-#: One in so many labelled documents, by hash, is in the path sample; of these, the most that are taken, by least hash.
-PATH_PART, PATH_SAMPLE = 4, 4_000
+#: One in so many good documents, by hash, shapes the path; all others are the holdout.
+PATH_PART = 4
 #: What rejecting a share of the good documents costs against the gain of rejecting an equal share of the bad ones; the part
 #: of the best gain that a looser cutoff must have to be preferred; the least gain of a step; stops between two cutoffs.
 PRICE, SHARE, LEAST_GAIN, STOPS = 20.0, 0.99, 0.005, 4
@@ -122,29 +123,56 @@ def upper_bound(rejected: int, n: int, error: float) -> float:
     return high
 
 
-def cutoff_path(bins: np.ndarray, good: np.ndarray) -> list[tuple[int, ...]]:
-    """Cutoffs of all rules (in GRID parts) at each step, from documents' bins (rows x RULES) and labels; greedy.
+def _greedy(histograms: Callable[[list[int]], tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, ...]]:
+    """Cutoffs of all rules (in GRID parts) at each step. histograms: of the good and of the bad documents that no rule rejects
+    at given cutoffs, how many have each bin of each rule (RULES x bins).
 
     A text of bin b is rejected by a cutoff under b. Each move lowers one rule's cutoff to where the share of bad documents
     newly rejected exceeds PRICE times that of good ones the most (the loosest such cutoff), and is made in STOPS steps.
     """
-    now, out, left = [GRID] * len(RULES), [], np.ones(len(good), bool)
-    n_good, n_bad = max(1, int(good.sum())), max(1, int((~good).sum()))
-    while left.any():
+    now, out = [GRID] * len(RULES), []
+    good, bad = histograms(now)
+    n_good, n_bad = max(1, int(good[0].sum())), max(1, int(bad[0].sum()))
+    while True:
         best = (LEAST_GAIN, None, None)
         for r in range(len(RULES)):
-            over = lambda which: np.append(np.cumsum(np.bincount(bins[left & which, r], minlength=GRID + 1)[::-1])[::-1][1:], 0)  # noqa: B023, E731
-            gain = (over(~good) / n_bad - PRICE * over(good) / n_good)[: now[r]]
+            over = lambda h: np.append(np.cumsum(h[r][::-1])[::-1][1:], 0)  # noqa: B023, E731
+            gain = (over(bad) / n_bad - PRICE * over(good) / n_good)[: now[r]]
             if len(gain) and gain.max() > best[0]:
                 best = (gain.max(), r, int(np.flatnonzero(gain >= SHARE * gain.max())[-1]))
         if best[1] is None:
-            break
+            return list(dict.fromkeys(out))
         _, r, to = best
         for stop in sorted({now[r] - round((now[r] - to) * i / STOPS) for i in range(1, STOPS + 1)}, reverse=True):
             out.append((*now[:r], stop, *now[r + 1 :]))
         now[r] = to
-        left &= bins[:, r] <= to
-    return list(dict.fromkeys(out))
+        good, bad = histograms(now)
+
+
+def cutoff_path(bins: np.ndarray, good: np.ndarray) -> list[tuple[int, ...]]:
+    """The path from documents' bins (rows x RULES) and labels in memory."""
+    def histograms(now: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        left = (bins <= now).all(axis=1)
+        return tuple(np.array([np.bincount(bins[left & which, r], minlength=GRID + 1) for r in range(len(RULES))]) for which in (good, ~good))
+
+    return _greedy(histograms)
+
+
+def counted_path(counts: DataFrame) -> list[tuple[int, ...]]:
+    """The path from a table of good, the bins (RULES) and n, how many documents have them: an aggregation for each move.
+
+    What comes together on the driver are the histograms, 2 x RULES x bins numbers however many documents there are.
+    """
+    rule = F.explode(F.array(*[F.struct(F.lit(j).alias("rule"), F.col(r).alias("bin")) for j, r in enumerate(RULES)])).alias("b")
+
+    def histograms(now: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((2, len(RULES), GRID + 1), np.int64)
+        left = counts.filter(reduce(lambda a, b: a & b, [F.col(r) <= c for r, c in zip(RULES, now, strict=True)]))
+        for x in left.select("good", "n", rule).groupBy("good", "b.rule", "b.bin").agg(F.sum("n").alias("n")).collect():
+            out[0 if x.good else 1, x.rule, x.bin] = x.n
+        return out[0], out[1]
+
+    return _greedy(histograms)
 
 
 def large_enough(sizes: dict[str, int], risk: float, error: float) -> dict[str, float]:
@@ -173,20 +201,24 @@ def _bin(rate: str):
 
 
 def fitted_cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, tuple[float, ...]]:
-    """Cutoffs of each stratum, in the order of RULES, from all labelled documents that pass the base filter."""
+    """Cutoffs of each stratum, in the order of RULES, from all labelled documents that pass the base filter.
+
+    Every one of them counts: the bad ones and a part of the good ones in the path, the other good ones in the holdout. They
+    are counted once by stratum, label, part and bins; path and holdout read these counts.
+    """
+    prepare(measures.sparkSession)
     judged = F.min((F.col("quality") == 1).cast("int"))  # of several labels of a document the worst counts
     known = labels.filter("quality IS NOT NULL").groupBy(id_key("doc_id").alias("k")).agg((judged == 1).alias("good"))
     held = measures.filter(~base_failed()).join(known, "k").dropDuplicates(["k", "x"]).withColumns(_rates())
-    held = held.select("k", "x", "stratum", "good", *[_bin(r).alias(r) for r in RULES], F.xxhash64("k", F.lit(23)).alias("h"))
-    on_path = F.pmod(F.col("h"), F.lit(PATH_PART)) == 0
-    sample = held.filter(on_path).orderBy("h", "k", "x").limit(PATH_SAMPLE).select("good", *RULES).collect()
-    path = cutoff_path(np.array([r[1:] for r in sample], np.int64).reshape(-1, len(RULES)), np.array([r.good for r in sample], bool))
+    held = held.select("stratum", "good", *[_bin(r).alias(r) for r in RULES], (F.pmod(F.xxhash64("k", F.lit(23)), F.lit(PATH_PART)) == 0).alias("on_path"))
+    held = held.groupBy("stratum", "good", "on_path", *RULES).agg(F.count("*").alias("n")).checkpoint()
+    path = counted_path(held.filter(F.col("on_path") | ~F.col("good")))
     # the first step that rejects a document: the least, over the rules, of the first step whose cutoff is under its bin
     first = [F.element_at(F.array(*[F.lit(next((t for t, c in enumerate(path) if c[j] < b), len(path))) for b in range(GRID + 1)]), F.col(r) + 1) for j, r in enumerate(RULES)]
-    counted = held.filter(~on_path & F.col("good")).groupBy("stratum", F.least(*first).alias("step")).count()
+    counted = held.filter(~F.col("on_path") & F.col("good")).groupBy("stratum", F.least(*first).alias("step")).agg(F.sum("n").alias("n"))
     found: dict[str, np.ndarray] = {}
     for row in counted.limit(MAX_STRATA * (len(path) + 1) + 1).collect():
-        found.setdefault(row.stratum, np.zeros(len(path) + 1, np.int64))[row.step] += row["count"]
+        found.setdefault(row.stratum, np.zeros(len(path) + 1, np.int64))[row.step] += row.n
     if len(found) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
     steps = steps_followed({s: x[:-1] for s, x in found.items()}, {s: int(x.sum()) for s, x in found.items()}, risk, error)

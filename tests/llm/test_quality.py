@@ -104,3 +104,29 @@ def test_repeated_labels_and_clashing_columns(spark):
     assert Q.fitted_cutoffs(Q.measured(docs), labels) == Q.fitted_cutoffs(Q.measured(docs), once)
     # a document labelled good and bad counts as bad, so it bounds nothing
     assert Q.fitted_cutoffs(Q.measured(docs), labels.unionByName(labels.selectExpr("doc_id", "0 AS quality"))) == {}
+
+
+def test_every_labelled_document_counts(spark):
+    """A kind of bad document that only has hashes beyond the first thousands of the path's part still moves a cutoff."""
+    from pyspark.sql import Window, functions as F
+
+    base = spark.range(24_000).select(F.col("id").alias("doc_id"), Q.id_key("id").alias("k")).withColumn("h", F.xxhash64("k", F.lit(23)))
+    rank = F.row_number().over(Window.partitionBy((F.pmod("h", F.lit(4)) == 0)).orderBy("h"))
+    late = (F.pmod("h", F.lit(4)) == 0) & (F.col("r") > 4_000)
+    x = base.withColumn("r", rank).withColumn("bad", late & (F.col("doc_id") % 3 == 0))
+    zero = {c: F.lit(0).cast("long") for c in Q._COUNTS}
+    measures = x.withColumns(zero | {"n_words": F.lit(100).cast("long"), "n_symbols": F.when(F.col("bad"), 60).otherwise(0).cast("long"), "n_lines": F.lit(1).cast("long")})
+    measures = measures.withColumns({"stratum": F.lit("en"), "x": F.col("k")}).localCheckpoint()
+    labels = measures.select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality"))
+    assert measures.filter("bad").count() > 300
+    cut = Q.fitted_cutoffs(measures, labels)["en"]
+    assert cut[0] < 0.6 and cut[1:] == (1.0,) * 4
+
+
+def test_counted_path_is_that_of_the_rows(spark):
+    r = np.random.default_rng(3)
+    good = r.random(3000) < 0.7
+    bins = np.minimum(r.integers(0, 12, (3000, len(Q.RULES))) + np.where(good, 0, r.integers(0, 30, 3000))[:, None], Q.GRID)
+    rows = [(bool(g), *map(int, b), 1) for g, b in zip(good, bins, strict=True)]
+    counts = spark.createDataFrame(rows, "good boolean, " + ", ".join(f"{c} int" for c in Q.RULES) + ", n long")
+    assert Q.counted_path(counts) == Q.cutoff_path(bins, good) != []

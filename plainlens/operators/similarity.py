@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.rows import exploded
+from ..functions.rows import bound, exploded
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,6 +30,11 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.try_divide(x.cast("double"), norm(a)))
 
 
+def _means(vector: Column, dims: int) -> Column:
+    """The means of each place of vectors of a known length, as an aggregate."""
+    return F.array(*[F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(dims)])
+
+
 def mean_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Element-wise mean of each key's vectors: key, mean."""
     dims = df.select(key, F.posexplode(vector).alias("_d", "_v")).groupBy(key, "_d").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
@@ -162,18 +167,31 @@ def wide_section_scores(scores: DataFrame, key: str) -> DataFrame:
 
 
 def sliding_similarity(df: DataFrame, key: str, a: str, b: str, encode: Callable[[Column], Column], size: int = 5, overlap: int = 2) -> DataFrame:
-    """key, sim: cosine of the mean vectors of both texts' sentence chunks."""
-    def side(c: str, name: str) -> DataFrame:
-        chunks = exploded(T.with_sentence_chunks(df, c, "_c", size, overlap), [key], "_c", "_t").select(key, encode(F.col("_t")).alias("_v"))
-        return mean_vector(chunks, key, "_v").withColumnRenamed("mean", name)
+    """key, sim: cosine of the mean vectors of both texts' sentence chunks.
 
-    return side(a, "_a").join(side(b, "_b"), key).select(key, cosine(F.col("_a"), F.col("_b")).alias("sim"))
+    Both texts are cut and encoded in one pass. With an encoder that tells its length (dims) one aggregation gives both means,
+    so no place of a vector becomes a row.
+    """
+    texts = F.array(*[F.struct(F.lit(s).alias("_side"), F.col(f"`{c}`").alias("_t")) for s, c in (("a", a), ("b", b))])
+    rows = df.select(key, F.explode(texts).alias("_s")).select(key, "_s._side", "_s._t")
+    chunks = exploded(T.with_sentence_chunks(rows, "_t", "_c", size, overlap), [key, "_side"], "_c", "_t").select(key, "_side", encode(F.col("_t")).alias("_v"))
+    of = lambda s: F.when(F.col("_side") == s, F.col("_v"))
+    if hasattr(encode, "dims"):
+        means = chunks.groupBy(key).agg(_means(of("a"), encode.dims).alias("_a"), _means(of("b"), encode.dims).alias("_b"), F.count(of("a")).alias("_na"), F.count(of("b")).alias("_nb"))
+        both = means.filter((F.col("_na") > 0) & (F.col("_nb") > 0))
+    else:
+        side = lambda s: mean_vector(chunks.filter(F.col("_side") == s), key, "_v").withColumnRenamed("mean", f"_{s}")
+        both = side("a").join(side("b"), key)
+    return both.select(key, cosine(F.col("_a"), F.col("_b")).alias("sim"))
 
 
 def hashed_encoder(dims: int = 64) -> Callable[[Column], Column]:
     """A deterministic stand-in encoder: counts of lower-case words by the first byte of their md5, without any model."""
     def encode(c: Column) -> Column:
-        at = F.transform(T.tokens(F.lower(c)), lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % dims)
-        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(at, lambda x: x == d)).cast("double"))
+        # each word is hashed once, to a character; a place's count is how many characters its own takes away
+        marks = F.array_join(F.transform(T.tokens(F.lower(c)), lambda w: F.chr(F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % dims)), "")
+        count = lambda m, d: F.length(m) - F.length(F.replace(m, F.lit(chr(d)), F.lit(""))) if d < 256 else F.length(m) * 0
+        return bound(marks, lambda m: F.array(*[count(m, d).cast("double") for d in range(dims)]))
 
+    encode.dims = dims
     return encode

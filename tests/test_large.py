@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plainlens.operators import similarity
+from plainlens.operators import sari, similarity
 
 
 def plan(df):
@@ -24,3 +24,12 @@ def test_a_word_is_hashed_once(spark):
     assert plan(spark.createDataFrame([("a",)], "t string").select(c.alias("v"))).count("md5(") == 1
     v = spark.createDataFrame([("The the end",), ("",), (None,)], "t string").select(c.alias("v")).collect()
     assert sorted(v[0].v)[-2:] == [1.0, 2.0] and sum(v[0].v) == 3 and sum(v[1].v) == 0 and v[2].v == [None] * 300
+
+
+def test_ngrams_are_not_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d e", "a b c", "a b d"), (2, "<skipped>", "x", "y"), (3, "", "x", "y")], "k long, s string, o string, r string")
+    out = sari.d_sari(df, "k", "s", "o", "r")
+    assert "Join" not in plan(out) and "Generate" not in plan(out) and "Aggregate" not in plan(out)
+    got = {r.k: r.d_sari for r in out.collect()}
+    assert got[1] > 0 and got[2] is not None and got[3] is None
+    assert {r.k for r in sari.operation_scores(df.filter("k = 1"), "k", "s", "o", "r").collect()} == {1}

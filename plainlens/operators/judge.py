@@ -118,13 +118,20 @@ def conversations(df: DataFrame, instruction: str, original: str, simplified: st
 
 def find_run(ids: Column, run: Sequence[int], start: Column | int = 0) -> Column:
     """0-based place of the first occurrence of run in ids from start on, or null; an empty run has none."""
-    n = len(run)
-    if not n:
+    if not run:
         return F.lit(None).cast("int")
-    last = F.size(ids) - n
     begin = start if isinstance(start, Column) else F.lit(start)
-    at = F.when(last >= begin, F.sequence(begin, F.greatest(begin, last))).otherwise(F.array().cast("array<int>"))
-    return F.get(F.filter(at, lambda i: F.slice(ids, i + 1, n) == F.array(*[F.lit(int(x)) for x in run])), F.lit(0))
+    rest = ids if isinstance(start, int) and start == 0 else F.slice(ids, begin + 1, F.greatest(F.size(ids), F.lit(0)))
+    # one search along the numbers written out between commas; an id's place is the number of commas before its own
+    written = F.concat(F.lit(","), F.array_join(rest.cast("array<string>"), ",", "null"), F.lit(","))
+    wanted = F.lit("," + ",".join(str(int(x)) for x in run) + ",")
+
+    def place(s: Column) -> Column:
+        before = lambda p: F.substring(s, F.lit(1), p - 1)
+        commas = lambda b: F.length(b) - F.length(F.replace(b, F.lit(","), F.lit("")))
+        return bound(F.instr(s, wanted), lambda p: F.when(p > 0, bound(before(p), commas) + begin))
+
+    return bound(written, place)
 
 
 def masked_labels(ids: Column, assistant: Sequence[int], attention: Column | None = None) -> Column:
@@ -143,8 +150,10 @@ def complete(ids: Column, assistant: Sequence[int], end: Sequence[int]) -> Colum
 
 def label_validity(df: DataFrame, ids: str, assistant: Sequence[int], end: Sequence[int], least_labels: int = 20, least_ratio: float = 0.05) -> DataFrame:
     """Adds total_length, valid_labels, label_ratio, is_valid."""
-    c = F.col(ids)
-    n = F.size(F.filter(masked_labels(c, assistant), lambda x: x != -100))
-    out = df.withColumns({"total_length": F.size(c), "valid_labels": n})
+    c, after = F.col(ids), F.col("_at") + len(assistant)
+    found = df.withColumn("_at", find_run(c, assistant))  # one search for both measures
+    labels = F.slice(c, F.coalesce(after, F.lit(0)) + 1, F.when(after.isNotNull(), F.greatest(F.size(c), F.lit(0))).otherwise(0))
+    out = found.withColumns({"total_length": F.size(c), "valid_labels": F.size(F.filter(labels, lambda x: x != -100))})
     out = out.withColumn("label_ratio", F.col("valid_labels") / F.greatest("total_length", F.lit(1)))
-    return out.withColumn("is_valid", complete(c, assistant, end) & (F.col("valid_labels") >= least_labels) & (F.col("label_ratio") >= least_ratio))
+    whole = F.coalesce(after.isNotNull() & find_run(c, end, F.coalesce(after, F.lit(0))).isNotNull(), F.lit(False))
+    return out.withColumn("is_valid", whole & (F.col("valid_labels") >= least_labels) & (F.col("label_ratio") >= least_ratio)).drop("_at")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plainlens.operators import sari, similarity
+from plainlens.operators import judge, sari, similarity
 
 
 def plan(df):
@@ -33,3 +33,14 @@ def test_ngrams_are_not_rows(spark):
     got = {r.k: r.d_sari for r in out.collect()}
     assert got[1] > 0 and got[2] is not None and got[3] is None
     assert {r.k for r in sari.operation_scores(df.filter("k = 1"), "k", "s", "o", "r").collect()} == {1}
+
+
+def test_a_marker_is_searched_once(spark):
+    df = spark.createDataFrame([([5, 2, 3, -100, 1, 4, 2, 3],), ([2, 2, 3],), ([12, 3],), ([],), (None,), ([2, None, 2, 3, 7],)], "ids array<int>")
+    at = judge.find_run(F.col("ids"), [2, 3])
+    assert "sequence(" not in plan(df.select(at)) and "slice(" not in plan(df.select(at))
+    assert [r[0] for r in df.select(at).collect()] == [1, 1, None, None, None, 2]
+    assert [r[0] for r in df.select(judge.find_run(F.col("ids"), [2, 3], 2)).collect()] == [6, None, None, None, None, 2]
+    out = judge.label_validity(df, "ids", [2, 3], [4], 1, 0.0)
+    assert plan(out).count("instr(") == 2 and out.columns == ["ids", "total_length", "valid_labels", "label_ratio", "is_valid"]
+    assert [(r.valid_labels, r.is_valid) for r in out.collect()][:4] == [(4, True), (0, False), (0, False), (0, False)]

@@ -338,11 +338,11 @@ def shorten(c: Column, most: int = 800) -> Column:
 def parse_cookies(c: Column) -> Column:
     """`k=v; k=v` to a map; parts without `=` are left out, a value keeps later `=`, the last of equal keys counts."""
     parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), strip_ws), lambda p: p.contains("="))
-    keys = F.transform(parts, lambda p: F.substring_index(p, "=", 1))
-    values = F.transform(parts, lambda p: F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.lit(0), F.size(pairs) - i - 1)), lambda q: q["k"] == p["k"]))
-    return F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
+    pairs = F.transform(parts, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), F.substr(p, F.instr(p, "=") + 1).alias("v")))
+    # equal keys lie side by side, the last of them at the end; what stays goes back to its order
+    last = bound(F.sort_array(pairs), lambda s: F.filter(s, lambda p, i: F.coalesce(F.get(s, i + 1)["k"] != p["k"], F.lit(True))))
+    ordered = F.sort_array(F.transform(last, lambda p: F.struct(p["i"].alias("i"), p["k"].alias("k"), p["v"].alias("v"))))
+    return F.map_from_entries(F.transform(ordered, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
 
 
 def prompt(template: str, **values: Column) -> Column:

@@ -1,7 +1,10 @@
 """Work that grows with the input only: in the plans, and in time on one large row."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from plainlens.functions import text as T
 from plainlens.operators import judge, sari, similarity
 
 
@@ -44,3 +47,12 @@ def test_a_marker_is_searched_once(spark):
     out = judge.label_validity(df, "ids", [2, 3], [4], 1, 0.0)
     assert plan(out).count("instr(") == 2 and out.columns == ["ids", "total_length", "valid_labels", "label_ratio", "is_valid"]
     assert [(r.valid_labels, r.is_valid) for r in out.collect()][:4] == [(4, True), (0, False), (0, False), (0, False)]
+
+
+def test_many_cookies_in_a_row(spark):
+    raw = "; ".join(f"k{i % 3000}=v{i}" for i in range(6000))
+    start = time.monotonic()
+    got = spark.createDataFrame([(raw,)], "t string").select(T.parse_cookies(F.col("t")).alias("m")).first().m
+    assert len(got) == 3000 and got["k7"] == "v3007" and time.monotonic() - start < 20
+    few = spark.createDataFrame([("b=1; =x; a=y=z; b = 2;b=3; q",)], "t string").select(T.parse_cookies(F.col("t")).alias("m")).first().m
+    assert few == {"": "x", "a": "y=z", "b ": " 2", "b": "3"}

@@ -18,15 +18,15 @@ from .kept import kept
 #: Fixed values of the method: thresholds of abbreviations, sentence starters and collocations.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 _NUMBER = "##number##"
-#: A word with the dots in it and after it, or a mark of its own.
-TOKEN = r"[\p{L}\p{N}](?:[\p{L}\p{N}.'’-]*[\p{L}\p{N}])?\.*|[.!?…]+|[^\p{L}\p{N}.!?…" + BLANKS + "]"
+#: A word with the dots in it and after it, or a mark of its own; a-z, which are letters too, are told without a look-up.
+TOKEN = r"[a-z\p{L}\p{N}]++(?:[.'’-]++[a-z\p{L}\p{N}]++)*+\.*+|[.!?…]+|[^\p{L}\p{N}.!?…" + BLANKS + "]"
 _PLACE = rf"([.!?…][\"'”’»)\]]*)[{BLANKS}]+"
 
 
 def type_of(token: Column) -> Column:
     """A token's type: lower case without the dots after it; numbers are one type."""
-    bare = F.regexp_replace(F.lower(token), r"\.+$", "")
-    return F.when(bare.rlike(r"^[+-]?[0-9][0-9.,-]*$"), _NUMBER).otherwise(bare)
+    bare = F.rtrim(F.lower(token), F.lit("."))
+    return F.when((bare < ":") & bare.rlike(r"^[+-]?[0-9][0-9.,-]*$"), _NUMBER).otherwise(bare)  # digits and signs are below `:`
 
 
 def _ll(k: Column, n: Column, p: Column) -> Column:
@@ -51,13 +51,20 @@ def abbreviation_score(kind: Column, with_dot: Column, without: Column, dots: Co
     return ratio * F.exp(-letters) * (inside + 1) * F.pow(F.greatest(letters, F.lit(1.0)), -without.cast("double"))
 
 
+def _cut(text: str) -> Column:
+    """A text's fragments, the empty ones too."""
+    return F.split(F.regexp_replace(strip_ws(F.col(f"`{text}`")), _PLACE, "$1\u0001"), "\u0001")
+
+
 def fragments(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, at, fragment, words (its tokens), last (the token that the place follows, null where the text just ends), next
     (the first word of the next fragment): the parts of a text between places where a sentence may end."""
-    cut = F.split(F.regexp_replace(strip_ws(F.col(f"`{text}`")), _PLACE, "$1\u0001"), "\u0001")
-    rows = exploded(df.select(F.col(f"`{key}`").alias("key"), cut.alias("_f")).withColumn("_n", F.transform("_f", lambda x: F.regexp_extract(x, TOKEN, 0))), ["key", "_n"], "_f", "fragment", "at")
+    rows = exploded(df.select(F.col(f"`{key}`").alias("key"), _cut(text).alias("_f")).withColumn("_n", F.transform("_f", lambda x: F.regexp_extract(x, TOKEN, 0))), ["key", "_n"], "_f", "fragment", "at")
     rows = rows.filter("fragment <> ''").withColumn("words", F.regexp_extract_all("fragment", F.lit(TOKEN), F.lit(0)))
-    last = F.element_at(F.filter("words", lambda w: ~w.isin(*"\"'”’»)]")), -1)
+    # no token holds white space, so the tokens after the last white space nearly always have the one that is asked
+    tail = F.regexp_extract_all(F.regexp_replace("fragment", f"(?s)^.*[{BLANKS}]", ""), F.lit(TOKEN), F.lit(0))
+    last_of = lambda words: F.get(F.filter(F.reverse(words), lambda w: ~w.isin(*"\"'”’»)]")), F.lit(0))
+    last = F.coalesce(last_of(tail), last_of("words"))
     following = F.nullif(F.get("_n", F.col("at") + 1), F.lit(""))
     return rows.select("key", "at", "fragment", "words", F.when(following.isNotNull(), last).alias("last"), following.alias("next"))
 
@@ -78,13 +85,15 @@ def type_counts(parts: DataFrame) -> DataFrame:
 
     Tokens are counted as they are written first, so types are told for different ones only.
     """
-    rows = exploded(parts, [], "words", "w", "i").groupBy("w", (F.col("i") > 0).alias("inside")).agg(F.count("*").alias("n")).filter(F.col("w").rlike(r"^[\p{L}\p{N}]"))
+    rows = exploded(parts, [], "words", "w", "i").groupBy("w", (F.col("i") > 0).alias("inside")).agg(F.count("*").alias("n"))
     dot = F.col("w").endswith(".")
     seen = lambda c: F.max(F.coalesce(c, F.lit(False)))
-    return rows.groupBy(type_of(F.col("w")).alias("type")).agg(
+    # whether a type is of words is told after counting: a filter on the token would run for each of all tokens
+    typed = rows.groupBy(type_of(F.col("w")).alias("type")).agg(
         F.sum(F.when(dot, F.col("n")).otherwise(0)).alias("with_dot"), F.sum(F.when(dot, 0).otherwise(F.col("n"))).alias("without"),
-        seen(F.col("inside") & F.col("w").rlike(r"^\p{Lu}")).alias("upper_inside"), seen(F.col("inside") & F.col("w").rlike(r"^\p{Ll}")).alias("lower_inside"),
+        seen(F.col("inside") & F.col("w").rlike(r"^\p{Lu}")).alias("upper_inside"), seen(F.col("inside") & F.col("w").rlike(r"^\p{Ll}")).alias("lower_inside"), F.max(F.col("w").rlike(r"^[\p{L}\p{N}]")).alias("_word"),
     )
+    return typed.filter("_word").drop("_word")
 
 
 def abbreviations(counts: DataFrame) -> DataFrame:
@@ -172,10 +181,17 @@ def breaks(parts: DataFrame, model: Punkt) -> DataFrame:
 
 def sentences(df: DataFrame, key: str, text: str, model: Punkt) -> DataFrame:
     """key and sentences, an array, for each text that has one; white space between joined fragments becomes one space. Keys
-    are unique and not null."""
-    parts = fragments(df, key, text)
-    cut = parts.select("key", "at", "fragment").join(breaks(parts, model), ["key", "at"], "left")
-    mark = F.when(F.coalesce("is_break", F.lit(True)), "\u0001").otherwise(" ")
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("fragment", mark).alias("t")))), lambda x: x["t"])
-    whole = cut.groupBy("key").agg(F.split(F.array_join(pieces, ""), "\u0001").alias("_s"))
+    are unique and not null.
+
+    Texts are cut again where they lie; only the numbers of the places that end no sentence are shuffled, and meet them.
+    """
+    held = breaks(fragments(df, key, text), model).filter("NOT is_break").groupBy("key").agg(F.collect_list("at").alias("_held"))
+    cut = df.select(F.col(f"`{key}`").alias("key"), _cut(text).alias("_f")).filter(F.exists("_f", lambda x: x != "")).join(held, "key", "left")
+    # a place that does not end a sentence lies after its fragment, so the neighbour tells what joins it to the next one
+    row = lambda at, place, t: F.struct(at.cast("int").alias("at"), F.lit(place).alias("place"), t.alias("t"))
+    places = F.transform(F.coalesce("_held", F.array().cast("array<int>")), lambda i: row(i, True, F.lit("")))
+    mixed = cut.withColumn("_m", F.sort_array(F.concat(F.transform("_f", lambda x, i: row(i, False, x)), places)))
+    mark = lambda i: F.when(F.coalesce(F.get("_m", i + 1)["place"], F.lit(False)), " ").otherwise("\u0001")
+    pieces = F.transform("_m", lambda x, i: F.when(x["place"] | (x["t"] == ""), "").otherwise(F.concat(x["t"], mark(i))))
+    whole = mixed.select("key", F.split(F.array_join(pieces, ""), "\u0001").alias("_s"))
     return whole.select(F.col("key").alias(key), F.filter(F.transform("_s", strip_ws), lambda x: x != "").alias("sentences"))

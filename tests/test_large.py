@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plainlens.functions import text as T
-from plainlens.operators import judge, sari, similarity
+from plainlens.operators import judge, punkt, sari, similarity
 
 
 def plan(df):
@@ -38,6 +38,15 @@ def test_ngrams_are_not_rows(spark):
     assert {r.k for r in sari.operation_scores(df.filter("k = 1"), "k", "s", "o", "r").collect()} == {1}
 
 
+def test_many_cookies_in_a_row(spark):
+    raw = "; ".join(f"k{i % 3000}=v{i}" for i in range(6000))
+    start = time.monotonic()
+    got = spark.createDataFrame([(raw,)], "t string").select(T.parse_cookies(F.col("t")).alias("m")).first().m
+    assert len(got) == 3000 and got["k7"] == "v3007" and time.monotonic() - start < 20
+    few = spark.createDataFrame([("b=1; =x; a=y=z; b = 2;b=3; q",)], "t string").select(T.parse_cookies(F.col("t")).alias("m")).first().m
+    assert few == {"": "x", "a": "y=z", "b ": " 2", "b": "3"}
+
+
 def test_a_marker_is_searched_once(spark):
     df = spark.createDataFrame([([5, 2, 3, -100, 1, 4, 2, 3],), ([2, 2, 3],), ([12, 3],), ([],), (None,), ([2, None, 2, 3, 7],)], "ids array<int>")
     at = judge.find_run(F.col("ids"), [2, 3])
@@ -49,10 +58,17 @@ def test_a_marker_is_searched_once(spark):
     assert [(r.valid_labels, r.is_valid) for r in out.collect()][:4] == [(4, True), (0, False), (0, False), (0, False)]
 
 
-def test_many_cookies_in_a_row(spark):
-    raw = "; ".join(f"k{i % 3000}=v{i}" for i in range(6000))
-    start = time.monotonic()
-    got = spark.createDataFrame([(raw,)], "t string").select(T.parse_cookies(F.col("t")).alias("m")).first().m
-    assert len(got) == 3000 and got["k7"] == "v3007" and time.monotonic() - start < 20
-    few = spark.createDataFrame([("b=1; =x; a=y=z; b = 2;b=3; q",)], "t string").select(T.parse_cookies(F.col("t")).alias("m")).first().m
-    assert few == {"": "x", "a": "y=z", "b ": " 2", "b": "3"}
+def test_no_filter_on_each_token(spark):
+    df = spark.createDataFrame([(1, "Ab. The (x) end, 3.5 a-b. ")], "k long, t string")
+    counts = punkt.type_counts(punkt.fragments(df, "k", "t"))
+    assert not [x for x in plan(counts).splitlines() if "Filter" in x and "RLIKE(w" in x]
+    assert {(r.type, r.with_dot, r.without) for r in counts.collect()} == {("ab", 1, 0), ("the", 0, 1), ("x", 0, 1), ("end", 0, 1), ("##number##", 0, 1), ("a-b", 1, 0)}
+
+
+def test_fragments_stay_in_their_texts(spark):
+    rows = [(1, 'One. Two!\n"Three?" Four'), (2, "a. "), (3, ""), (4, None), (5, "1. 2. 3. x"), (6, "x \u0001 y. Z")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    out = punkt.sentences(df, "k", "t", punkt.trained(df, "k", "t"))
+    assert not [x for x in plan(out).splitlines() if "Aggregate" in x and "fragment" in x]
+    got = {r.k: r.sentences for r in out.collect()}
+    assert set(got) == {1, 2, 5, 6} and got[1] == ["One.", "Two!", '"Three?"', "Four"] and got[2] == ["a."] and got[6] == ["x", "y. Z"]

@@ -22,13 +22,15 @@ def _bucket(field: Column, value: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(field, value), F.lit(buckets)).cast("int")
 
 
-def stored(tok: DataFrame, keys: Sequence[str], path: str, buckets: int = BUCKETS, block: int = 10_000) -> None:
+def stored(tok: DataFrame, keys: Sequence[str], path: str, buckets: int = BUCKETS, block: int = 10_000, fields: Sequence[str] = ud.FIELDS) -> None:
     """Write the index of tokens (keys, id and fields): field, value, block, n, places of keys and pos, the token's number.
 
+    Every token is in it, under each of the fields that questions will name (all, unless told otherwise).
+
     A value's blocks are spread by their name, so no file and no task has all places of a frequent value.
     """
     numbered = tok.filter(F.col("id").cast("string").rlike("^[0-9]+$")).withColumn("pos", F.col("id").cast("int"))
-    index = ud.inverted_index(numbered, list(keys), block).filter("value IS NOT NULL")
+    index = ud.inverted_index(numbered, list(keys), block, fields=fields).filter("value IS NOT NULL")
     dealt = index.withColumn("bucket", _bucket(F.col("field"), F.col("value"), buckets)).withColumn("_s", F.pmod(F.xxhash64("block"), F.lit(4)))
     dealt.repartition("bucket", "_s").sortWithinPartitions("bucket", "field", "value", "block").drop("_s").write.mode("overwrite").partitionBy("bucket").parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rows import exploded
@@ -92,19 +94,20 @@ def with_neighbours(tok: DataFrame, keys: list[str]) -> DataFrame:
     return there.withColumns({"next_word": pick(F.lead, 1), "previous_word": pick(F.lag, -1)}).drop("_n")
 
 
-def inverted_index(tok: DataFrame, keys: list[str], block: int = 10_000, salts: int = 64) -> DataFrame:
-    """field, value, block, n and places (keys, pos, in order) for the values of every field of integer-id tokens.
+def inverted_index(tok: DataFrame, keys: list[str], block: int = 10_000, salts: int = 64, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """field, value, block, n and places (keys, pos, in order) for the values of these fields of integer-id tokens.
 
     A value's places are dealt by a hash of their sentence and cut into blocks of at most `block`, so no row and no task
     holds all places of a frequent value.
     """
-    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FIELDS if f in tok.columns]))
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields if f in tok.columns]))
     rows = tok.filter(F.col("id").cast("string").rlike("^[0-9]+$")).select(F.struct(*keys, "pos").alias("place"), F.pmod(F.xxhash64(*keys), F.lit(salts)).alias("salt"), fields.alias("f"))
     rows = rows.select("place", "salt", "f.field", "f.value")
     at = F.row_number().over(Window.partitionBy("field", "value", "salt").orderBy("place")) - 1
     cut = rows.withColumn("part", F.floor(at / block))
-    name = F.concat_ws("-", F.col("salt").cast("string"), F.col("part").cast("string"))
-    return cut.groupBy("field", "value", name.alias("block")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+    # salt and part are keys of their own: the places already lie together by field, value and salt, so they are not dealt again
+    blocks = cut.groupBy("field", "value", "salt", "part").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+    return blocks.select("field", "value", F.concat_ws("-", F.col("salt").cast("string"), F.col("part").cast("string")).alias("block"), "n", "places")
 
 
 def profile(tok: DataFrame, entries: int | Column, keys: list[str]) -> DataFrame:

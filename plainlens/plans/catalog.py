@@ -742,21 +742,21 @@ def inverted_index(spark, d):
     return x.groupBy("field", "value").agg(F.sum("n").alias("n"), F.min(F.col("places")[0]["sent_key"]).alias("first_sentence"), F.sum(place).alias("places"))
 
 
-def _stored_postings(spark, d):
-    """The index of the order lines' tokens in a folder of the shared one."""
+def _stored_postings(spark, d, fields):
+    """The index of the order lines' tokens by these fields in a folder of the shared one."""
     path = f"{shared_folder(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
-    postings.stored(V.ud_tokens(spark, d).select("sent_key", "id", "upos", "deprel", "lemma"), ["sent_key"], path)
+    postings.stored(V.ud_tokens(spark, d).select("sent_key", "id", "upos", "deprel", "lemma"), ["sent_key"], path, fields=fields)
     return path
 
 
 @query(f"WITH {V.UD_TOKENS} SELECT sent_key, count(*) FILTER (lemma IN ('l3', 'l17')) AS n FROM tok GROUP BY 1 HAVING bool_or(lemma = 'l3') AND bool_or(lemma = 'l17')")
 def sentences_by_keywords(spark, d):
-    return postings.with_all(spark, _stored_postings(spark, d), "lemma", ["l3", "l17"], ["sent_key"])
+    return postings.with_all(spark, _stored_postings(spark, d, ["lemma"]), "lemma", ["l3", "l17"], ["sent_key"])
 
 
 @query(f"WITH {V.UD_TOKENS} SELECT a.sent_key, a.id AS start FROM tok a JOIN tok b ON b.sent_key = a.sent_key AND b.id = a.id + 1 JOIN tok c ON c.sent_key = a.sent_key AND c.id = a.id + 2 WHERE a.upos = 'NOUN' AND b.upos = 'VERB' AND c.deprel = 'conj'")
 def phrases_found(spark, d):
-    return postings.phrase(spark, _stored_postings(spark, d), [("upos", "NOUN"), ("upos", "VERB"), ("deprel", "conj")], ["sent_key"])
+    return postings.phrase(spark, _stored_postings(spark, d, ["upos", "deprel"]), [("upos", "NOUN"), ("upos", "VERB"), ("deprel", "conj")], ["sent_key"])
 
 
 @query(f"WITH {V.UD_TOKENS} SELECT 7::BIGINT AS sent_key, id, word FROM tok WHERE sent_key = 7")

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plainlens.functions import text as T
-from plainlens.operators import judge, punkt, sari, similarity
+from plainlens.operators import judge, postings, punkt, sari, similarity
 
 
 def plan(df):
@@ -58,6 +58,15 @@ def test_a_marker_is_searched_once(spark):
     assert [(r.valid_labels, r.is_valid) for r in out.collect()][:4] == [(4, True), (0, False), (0, False), (0, False)]
 
 
+def test_an_index_of_the_fields_asked(spark, tmp_path):
+    rows = [(s, str(i), "ab"[i % 2], "NV"[s % 2]) for s in range(40) for i in range(1, 4)]
+    tok = spark.createDataFrame(rows, "sent long, id string, word string, upos string")
+    postings.stored(tok, ["sent"], str(tmp_path / "i"), fields=["word"])
+    index = spark.read.parquet(str(tmp_path / "i"))
+    assert {r.field for r in index.select("field").distinct().collect()} == {"word"} and index.agg(F.sum("n")).first()[0] == 120
+    assert postings.with_all(spark, str(tmp_path / "i"), "word", ["a", "b"], ["sent"]).count() == 40
+
+
 def test_no_filter_on_each_token(spark):
     df = spark.createDataFrame([(1, "Ab. The (x) end, 3.5 a-b. ")], "k long, t string")
     counts = punkt.type_counts(punkt.fragments(df, "k", "t"))

@@ -40,13 +40,14 @@ def without_margins(pages: DataFrame, doc: str, page: str, text: str, head: int
     Only the first and last lines become rows; the others stay in their page.
     """
     near = page_lines(pages, doc, page, text, head, foot)
-    common = margin_counts(near, doc, head, foot, least, nbsp)
-    marks = common.groupBy(doc, "norm").agg(F.max(F.col("kind") == "head").alias("_h"), F.max(F.col("kind") == "foot").alias("_f"))
-    marked = near.withColumn("norm", T.normalize_for_match(F.col("line"), nbsp)).join(marks, [doc, "norm"])
-    gone = marked.filter((F.col("_h") & (F.col("line_no") < head)) | (F.col("_f") & (F.col("line_no") >= F.greatest(F.lit(0), F.col("n_lines") - foot))))
+    # the lines of a document that read the same meet once, and are counted where they meet
+    edges = near.select(doc, page, "line_no", (F.col("line_no") < head).alias("_h"), (F.col("line_no") >= F.col("n_lines") - foot).alias("_f"), T.normalize_for_match(F.col("line"), nbsp).alias("norm"))
+    same = Window.partitionBy(doc, "norm")
+    counted = edges.withColumns({"_nh": F.count_if("_h").over(same), "_nf": F.count_if("_f").over(same)})
+    gone = counted.filter((F.col("_h") & (F.col("_nh") >= least)) | (F.col("_f") & (F.col("_nf") >= least)))
     by_page = gone.groupBy(doc, page).agg(F.collect_set("line_no").alias("_g"))
     rows = pages.select(doc, page, _lines(text).alias("_l")).join(by_page, [doc, page], "left")
-    left = F.filter("_l", lambda x, i: ~F.array_contains(F.coalesce("_g", F.array().cast("array<int>")), i))
+    left = F.when(F.col("_g").isNull(), F.col("_l")).otherwise(F.filter("_l", lambda x, i: ~F.array_contains("_g", i)))
     return rows.select(doc, page, F.array_join(left, "\n").alias("text"))
 
 

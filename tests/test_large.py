@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plainlens.functions import text as T
-from plainlens.operators import judge, postings, punkt, sari, similarity
+from plainlens.operators import judge, pages, postings, punkt, sari, similarity
 
 
 def plan(df):
@@ -81,3 +81,11 @@ def test_fragments_stay_in_their_texts(spark):
     assert not [x for x in plan(out).splitlines() if "Aggregate" in x and "fragment" in x]
     got = {r.k: r.sentences for r in out.collect()}
     assert set(got) == {1, 2, 5, 6} and got[1] == ["One.", "Two!", '"Three?"', "Four"] and got[2] == ["a."] and got[6] == ["x", "y. Z"]
+
+
+def test_edge_lines_are_counted_where_they_meet(spark):
+    rows = [(1, i, f"Head\n\nHead {i}\nline\nfoot") for i in range(4)] + [(2, 0, "Head\nfoot"), (2, 1, ""), (2, 2, None)]
+    df = spark.createDataFrame(rows, "doc long, page int, text string")
+    out = pages.without_margins(df, "doc", "page", "text")
+    assert len([x for x in plan(out).splitlines() if "Join" in x]) == 1
+    assert {(r.doc, r.page): r.text for r in out.collect()} == {**{(1, i): f"Head {i}" for i in range(4)}, (2, 0): "Head\nfoot", (2, 1): "", (2, 2): ""}

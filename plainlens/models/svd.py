@@ -96,8 +96,10 @@ class SvdEncoder:
     def encoded(self, df: DataFrame, keys: Sequence[str], text: str, name: str = "vec") -> DataFrame:
         """keys and the vector of each text; one without a known term has zeros. keys are unique, other columns are left out."""
         k = len(self.values)
-        entries = _weighted(term_counts(df, keys, text), self.terms, keys)
-        vectors = entries.join(self.terms.select("term", "v"), "term").groupBy(*keys).agg(_sums(k).alias(name))
+        # a row's length divides the sums, so terms are joined once and rows dealt once
+        entries = term_counts(df, keys, text).join(self.terms, "term").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+        sums = entries.groupBy(*keys).agg(_sums(k).alias("_s"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
+        vectors = sums.select(*keys, F.transform("_s", lambda x: x / F.col("_l")).alias(name))
         zeros = F.array(*[F.lit(0.0)] * k)
         return df.select(*keys).join(vectors, list(keys), "left").withColumn(name, F.coalesce(name, zeros))
 

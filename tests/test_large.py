@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plainlens.functions import text as T
+from plainlens.models import svd
 from plainlens.operators import judge, pages, postings, punkt, sari, similarity
 
 
@@ -89,3 +90,12 @@ def test_edge_lines_are_counted_where_they_meet(spark):
     out = pages.without_margins(df, "doc", "page", "text")
     assert len([x for x in plan(out).splitlines() if "Join" in x]) == 1
     assert {(r.doc, r.page): r.text for r in out.collect()} == {**{(1, i): f"Head {i}" for i in range(4)}, (2, 0): "Head\nfoot", (2, 1): "", (2, 2): ""}
+
+
+def test_terms_are_joined_once(spark):
+    df = spark.createDataFrame([(1, "a b b c"), (2, "c d"), (3, "")], "k long, t string")
+    coder = svd.fitted(df, ["k"], "t", k=2)
+    out = coder.encoded(df, ["k"], "t")
+    assert len([x for x in plan(out).splitlines() if "Join" in x]) == 2
+    got = {r.k: r.vec for r in out.collect()}
+    assert set(got) == {1, 2, 3} and got[3] == [0.0, 0.0] and all(sum(x * x for x in got[k]) <= 1 + 1e-9 for k in (1, 2))

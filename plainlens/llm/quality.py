@@ -1,25 +1,29 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
-Every rule compares one rate of a text with a cutoff. All bad documents and one part of the good ones give one path of
-cutoffs for all rules together, from rejecting nothing to rejecting more and more, the best exchange of bad for good documents
-first. All good documents of the other part, the holdout, which did not shape the path, decide how far each stratum
-may follow it: step by step, while the exact (Clopper-Pearson) upper bound of the share of the stratum's good documents that
-the rules reject together is at most `risk`. Steps are tried in a fixed order up to the first failure, which needs no
-correction along the path; across strata the error probability is divided by their number (Bonferroni), counting
-strata that are large enough to pass at all, which their size alone decides. So with probability 1 - error at once for all
-strata, the rules reject at most `risk` of a stratum's good documents.
+Every rule compares one rate of a text with a cutoff. The good documents fall into PARTS parts. All bad documents and one part
+of the good ones give one path of cutoffs for all rules together, from rejecting nothing to rejecting more and more, the best
+exchange of bad for good documents first. All good documents of the other parts, the holdout, which did not shape the path,
+decide how far each stratum may follow it: step by step, while the exact (Clopper-Pearson) upper bound of the share of the
+stratum's good documents that the rules reject together is at most `risk`. Steps are tried in a fixed order up to the first
+failure, which needs no correction along the path; across strata the error probability is divided by their number
+(Bonferroni), counting strata that are large enough to pass at all, which their size alone decides.
+
+The parts take turns, so every good document shapes a path and decides on all others. Of the cutoffs that the paths give a
+stratum, each rule takes the loosest. These reject nothing that those of any one path would not, so they exceed the risk only
+if all paths do, and the turns need no correction either. So with probability 1 - error at once for all strata, the rules
+reject at most `risk` of a stratum's good documents.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import batch, id_key, prepare, tidy, unused
 
@@ -28,8 +32,8 @@ RISK, ERROR = 0.02, 0.05
 #: Rates, each in [0, 1] or cut there, and the grid of cutoffs: a text is rejected if its rate is above.
 RULES = ("symbol_rate", "shout_rate", "dup_line_rate", "repeat_rate", "upper_rate")
 GRID = 50
-#: One in so many good documents, by hash, shapes the path; all others are the holdout.
-PATH_PART = 4
+#: Parts of the good documents, by hash: each shapes a path of its own, for which all others are the holdout.
+PARTS = 4
 #: What rejecting a share of the good documents costs against the gain of rejecting an equal share of the bad ones; the part
 #: of the best gain that a looser cutoff must have to be preferred; the least gain of a step; stops between two cutoffs.
 PRICE, SHARE, LEAST_GAIN, STOPS = 20.0, 0.99, 0.005, 4
@@ -123,15 +127,15 @@ def upper_bound(rejected: int, n: int, error: float) -> float:
     return high
 
 
-def _greedy(histograms: Callable[[list[int]], tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, ...]]:
-    """Cutoffs of all rules (in GRID parts) at each step. histograms: of the good and of the bad documents that no rule rejects
-    at given cutoffs, how many have each bin of each rule (RULES x bins).
+def _path() -> Generator[list[int], tuple[np.ndarray, np.ndarray], list[tuple[int, ...]]]:
+    """Cutoffs of all rules (in GRID parts) at each step. Yields the cutoffs so far and is sent histograms: of the good and of
+    the bad documents that no rule rejects at these, how many have each bin of each rule (RULES x bins).
 
     A text of bin b is rejected by a cutoff under b. Each move lowers one rule's cutoff to where the share of bad documents
     newly rejected exceeds PRICE times that of good ones the most (the loosest such cutoff), and is made in STOPS steps.
     """
     now, out = [GRID] * len(RULES), []
-    good, bad = histograms(now)
+    good, bad = yield now
     n_good, n_bad = max(1, int(good[0].sum())), max(1, int(bad[0].sum()))
     while True:
         best = (LEAST_GAIN, None, None)
@@ -146,33 +150,55 @@ def _greedy(histograms: Callable[[list[int]], tuple[np.ndarray, np.ndarray]]) ->
         for stop in sorted({now[r] - round((now[r] - to) * i / STOPS) for i in range(1, STOPS + 1)}, reverse=True):
             out.append((*now[:r], stop, *now[r + 1 :]))
         now[r] = to
-        good, bad = histograms(now)
+        good, bad = yield now
+
+
+def _greedy(n: int, histograms: Callable[[dict[int, list[int]]], dict[int, tuple[np.ndarray, np.ndarray]]]) -> list[list[tuple[int, ...]]]:
+    """n paths, a move of all that are unfinished at a time. histograms: those of each of these, by its number and cutoffs."""
+    paths, out = [_path() for _ in range(n)], [[] for _ in range(n)]
+    now = {i: next(p) for i, p in enumerate(paths)}
+    while now:
+        found = histograms(now)
+        for i in list(now):
+            try:
+                now[i] = paths[i].send(found[i])
+            except StopIteration as end:
+                out[i] = end.value
+                del now[i]
+    return out
 
 
 def cutoff_path(bins: np.ndarray, good: np.ndarray) -> list[tuple[int, ...]]:
     """The path from documents' bins (rows x RULES) and labels in memory."""
-    def histograms(now: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        left = (bins <= now).all(axis=1)
-        return tuple(np.array([np.bincount(bins[left & which, r], minlength=GRID + 1) for r in range(len(RULES))]) for which in (good, ~good))
+    def histograms(now: dict[int, list[int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        left = (bins <= now[0]).all(axis=1)
+        return {0: tuple(np.array([np.bincount(bins[left & which, r], minlength=GRID + 1) for r in range(len(RULES))]) for which in (good, ~good))}
 
-    return _greedy(histograms)
+    return _greedy(1, histograms)[0]
 
 
-def counted_path(counts: DataFrame) -> list[tuple[int, ...]]:
-    """The path from a table of good, the bins (RULES) and n, how many documents have them: an aggregation for each move.
+def counted_paths(counts: DataFrame, parts: int) -> list[list[tuple[int, ...]]]:
+    """The path of each part, from a table of good, part, the bins (RULES) and n, how many documents have them: bad documents
+    count in all paths, good ones in that of their part. One aggregation makes a move of all paths.
 
-    What comes together on the driver are the histograms, 2 x RULES x bins numbers however many documents there are.
+    What comes together on the driver are the histograms, 2 x RULES x bins numbers a path however many documents there are.
     """
     rule = F.explode(F.array(*[F.struct(F.lit(j).alias("rule"), F.col(r).alias("bin")) for j, r in enumerate(RULES)])).alias("b")
 
-    def histograms(now: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((2, len(RULES), GRID + 1), np.int64)
-        left = counts.filter(reduce(lambda a, b: a & b, [F.col(r) <= c for r, c in zip(RULES, now, strict=True)]))
-        for x in left.select("good", "n", rule).groupBy("good", "b.rule", "b.bin").agg(F.sum("n").alias("n")).collect():
-            out[0 if x.good else 1, x.rule, x.bin] = x.n
-        return out[0], out[1]
+    def histograms(now: dict[int, list[int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        out = {i: np.zeros((2, len(RULES), GRID + 1), np.int64) for i in now}
+        left = {i: reduce(lambda a, b: a & b, [F.col(r) <= c for r, c in zip(RULES, cut, strict=True)]) for i, cut in now.items()}
+        path = F.explode(F.array_compact(F.array(*[F.when(left[i] & (~F.col("good") | (F.col("part") == i)), F.lit(i)) for i in now]))).alias("path")
+        for x in counts.select("good", "n", path, *RULES).select("good", "n", "path", rule).groupBy("path", "good", "b.rule", "b.bin").agg(F.sum("n").alias("n")).collect():
+            out[x.path][0 if x.good else 1, x.rule, x.bin] = x.n
+        return {i: (h[0], h[1]) for i, h in out.items()}
+
+    return _greedy(parts, histograms)
 
-    return _greedy(histograms)
+
+def counted_path(counts: DataFrame) -> list[tuple[int, ...]]:
+    """The one path from a table of good, the bins (RULES) and n."""
+    return counted_paths(counts.withColumn("part", F.lit(0)), 1)[0]
 
 
 def large_enough(sizes: dict[str, int], risk: float, error: float) -> dict[str, float]:
@@ -185,14 +211,37 @@ def large_enough(sizes: dict[str, int], risk: float, error: float) -> dict[str,
     return {s: error / len(out) for s in out}
 
 
+def _followed(rejected: np.ndarray, size: int, risk: float, error: float) -> int:
+    """How many steps a stratum of so many good documents follows."""
+    for i, total in enumerate(np.cumsum(rejected).tolist()):
+        if total > risk * size or upper_bound(int(total), size, error) > risk:
+            return i
+    return len(rejected)
+
+
 def steps_followed(rejected: dict[str, np.ndarray], sizes: dict[str, int], risk: float = RISK, error: float = ERROR) -> dict[str, int]:
     """How many steps of the path each stratum follows; rejected: good documents of the holdout rejected first at each step."""
-    out = dict.fromkeys(sizes, 0)
-    for s, share in large_enough(sizes, risk, error).items():
-        for total in np.cumsum(rejected[s]).tolist():
-            if total > risk * sizes[s] or upper_bound(int(total), sizes[s], share) > risk:
-                break
-            out[s] += 1
+    shares = large_enough(sizes, risk, error)
+    return {s: _followed(rejected[s], n, risk, shares[s]) if s in shares else 0 for s, n in sizes.items()}
+
+
+def loosest_cutoffs(paths: list[list[tuple[int, ...]]], rejected: dict[str, list[np.ndarray]], risk: float = RISK, error: float = ERROR) -> dict[str, tuple[float, ...]]:
+    """Of each stratum that rejects anything, each rule's loosest cutoff among those of the paths, as far as it follows them.
+
+    rejected: by stratum and path, good documents of the path's holdout that are rejected first at each step, and those at none.
+    A path whose holdout is too small to pass has no say; sizes alone decide that.
+    """
+    out = {}
+    for s, share in large_enough({s: max(int(x.sum()) for x in of) for s, of in rejected.items()}, risk, error).items():
+        cuts = []
+        for path, x in zip(paths, rejected[s], strict=True):
+            size = int(x.sum())
+            if (1 - risk) ** size <= share:
+                n = _followed(x[:-1], size, risk, share)
+                cuts.append(path[n - 1] if n else (GRID,) * len(RULES))
+        cut = tuple(max(c) / GRID for c in zip(*cuts, strict=True))
+        if min(cut) < 1:
+            out[s] = cut
     return out
 
 
@@ -203,26 +252,29 @@ def _bin(rate: str):
 def fitted_cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, tuple[float, ...]]:
     """Cutoffs of each stratum, in the order of RULES, from all labelled documents that pass the base filter.
 
-    Every one of them counts: the bad ones and a part of the good ones in the path, the other good ones in the holdout. They
-    are counted once by stratum, label, part and bins; path and holdout read these counts.
+    Every one of them counts: the bad ones in each path, the good ones in the path of their part and in the holdouts of all
+    others. They are counted once by stratum, label, part and bins; paths and holdouts read these counts.
     """
     prepare(measures.sparkSession)
     judged = F.min((F.col("quality") == 1).cast("int"))  # of several labels of a document the worst counts
     known = labels.filter("quality IS NOT NULL").groupBy(id_key("doc_id").alias("k")).agg((judged == 1).alias("good"))
     held = measures.filter(~base_failed()).join(known, "k").dropDuplicates(["k", "x"]).withColumns(_rates())
-    held = held.select("stratum", "good", *[_bin(r).alias(r) for r in RULES], (F.pmod(F.xxhash64("k", F.lit(23)), F.lit(PATH_PART)) == 0).alias("on_path"))
-    held = held.groupBy("stratum", "good", "on_path", *RULES).agg(F.count("*").alias("n")).checkpoint()
-    path = counted_path(held.filter(F.col("on_path") | ~F.col("good")))
-    # the first step that rejects a document: the least, over the rules, of the first step whose cutoff is under its bin
-    first = [F.element_at(F.array(*[F.lit(next((t for t, c in enumerate(path) if c[j] < b), len(path))) for b in range(GRID + 1)]), F.col(r) + 1) for j, r in enumerate(RULES)]
-    counted = held.filter(~F.col("on_path") & F.col("good")).groupBy("stratum", F.least(*first).alias("step")).agg(F.sum("n").alias("n"))
-    found: dict[str, np.ndarray] = {}
-    for row in counted.limit(MAX_STRATA * (len(path) + 1) + 1).collect():
-        found.setdefault(row.stratum, np.zeros(len(path) + 1, np.int64))[row.step] += row.n
+    held = held.select("stratum", "good", *[_bin(r).alias(r) for r in RULES], F.pmod(F.xxhash64("k", F.lit(23)), F.lit(PARTS)).cast("int").alias("part"))
+    held = held.groupBy("stratum", "good", "part", *RULES).agg(F.count("*").alias("n")).checkpoint()
+    paths = counted_paths(held, PARTS)
+
+    def first(path: list[tuple[int, ...]]) -> Column:
+        """The first step that rejects a document: the least, over the rules, of the first step whose cutoff is under its bin."""
+        return F.least(*[F.element_at(F.array(*[F.lit(next((t for t, c in enumerate(path) if c[j] < b), len(path))) for b in range(GRID + 1)]), F.col(r) + 1) for j, r in enumerate(RULES)])
+
+    steps = F.explode(F.array_compact(F.array(*[F.when(F.col("part") != i, F.struct(F.lit(i).alias("path"), first(p).alias("step"))) for i, p in enumerate(paths)]))).alias("b")
+    counted = held.filter("good").select("stratum", "n", steps).groupBy("stratum", "b.path", "b.step").agg(F.sum("n").alias("n"))
+    found: dict[str, list[np.ndarray]] = {}
+    for row in counted.limit(MAX_STRATA * sum(len(p) + 1 for p in paths) + 1).collect():
+        found.setdefault(row.stratum, [np.zeros(len(p) + 1, np.int64) for p in paths])[row.path][row.step] += row.n
     if len(found) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
-    steps = steps_followed({s: x[:-1] for s, x in found.items()}, {s: int(x.sum()) for s, x in found.items()}, risk, error)
-    return {s: tuple(c / GRID for c in path[n - 1]) for s, n in steps.items() if n}
+    return loosest_cutoffs(paths, found, risk, error)
 
 
 def base_failed():

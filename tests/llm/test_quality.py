@@ -130,3 +130,61 @@ def test_counted_path_is_that_of_the_rows(spark):
     rows = [(bool(g), *map(int, b), 1) for g, b in zip(good, bins, strict=True)]
     counts = spark.createDataFrame(rows, "good boolean, " + ", ".join(f"{c} int" for c in Q.RULES) + ", n long")
     assert Q.counted_path(counts) == Q.cutoff_path(bins, good) != []
+
+
+def test_good_documents_of_every_part_shape_the_cutoffs(spark):
+    """Good documents that are like a few bad ones are spared, whichever parts they are in."""
+    from pyspark.sql import functions as F
+
+    k = spark.range(24_000).select(F.col("id").alias("doc_id"), Q.id_key("id").alias("k"))
+    x = k.withColumns({"bad": F.col("doc_id") % 3 == 0, "late": F.pmod(F.xxhash64("k", F.lit(23)), F.lit(4)) != 0})
+    doubtful = F.when(F.col("bad"), F.col("doc_id") % 60 == 0).otherwise(F.col("late") & (F.col("doc_id") % 125 == 1))
+    symbols = F.when(doubtful, 30).when(F.col("bad"), 60).otherwise(0).cast("long")
+    zero = {c: F.lit(0).cast("long") for c in Q._COUNTS}
+    measures = x.withColumns(zero | {"n_words": F.lit(100).cast("long"), "n_symbols": symbols, "n_lines": F.lit(1).cast("long")})
+    measures = measures.withColumns({"stratum": F.lit("en"), "x": F.col("k")}).localCheckpoint()
+    labels = measures.select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality"))
+    assert measures.filter("n_symbols = 30 AND NOT bad").count() > 60
+    cut = Q.fitted_cutoffs(measures, labels)["en"]
+    assert 0.3 <= cut[0] < 0.6 and cut[1:] == (1.0,) * 4
+
+
+def test_paths_of_the_parts_are_those_of_their_rows(spark):
+    r = np.random.default_rng(5)
+    good, part = r.random(3000) < 0.7, r.integers(0, Q.PARTS, 3000)
+    bins = np.minimum(r.integers(0, 12, (3000, len(Q.RULES))) + np.where(good, 3 * part, r.integers(0, 30, 3000))[:, None], Q.GRID)
+    rows = [(bool(g), int(p), *map(int, b), 1) for g, p, b in zip(good, part, bins, strict=True)]
+    counts = spark.createDataFrame(rows, "good boolean, part int, " + ", ".join(f"{c} int" for c in Q.RULES) + ", n long")
+    want = [Q.cutoff_path(bins[~good | (part == i)], good[~good | (part == i)]) for i in range(Q.PARTS)]
+    assert Q.counted_paths(counts, Q.PARTS) == want and len(set(map(tuple, want))) > 1
+
+
+def test_loosest_cutoffs():
+    first, second = [(40, 50, 50, 50, 50), (30, 45, 50, 50, 50)], [(35, 50, 50, 50, 50)]
+    found = lambda n, *at: np.array([*at, n - sum(at)])
+    # the second step of the first path rejects too many good ones
+    assert Q.loosest_cutoffs([first, second], {"en": [found(1000, 0, 90), found(1000, 0)]}) == {"en": (0.8, 1.0, 1.0, 1.0, 1.0)}
+    assert Q.loosest_cutoffs([first, second], {"en": [found(1000, 0, 0), found(1000, 0)]}) == {"en": (0.7, 1.0, 1.0, 1.0, 1.0)}
+    # a path that is not followed at all leaves no cutoff, one whose holdout could not pass has no say
+    assert Q.loosest_cutoffs([first, second], {"en": [found(1000, 0, 0), found(1000, 90)]}) == {}
+    assert Q.loosest_cutoffs([first, second], {"en": [found(1000, 0, 0), found(100, 0)]}) == {"en": (0.6, 0.9, 1.0, 1.0, 1.0)}
+    assert Q.loosest_cutoffs([first, second], {"en": [found(100, 0, 0), found(100, 0)]}) == {} == Q.loosest_cutoffs([first, second], {})
+
+
+def test_guarantee_of_the_parts_by_simulation():
+    """With good documents dealt to parts, each for a path of its own, the loosest cutoffs keep the risk."""
+    r, wrong, used = np.random.default_rng(6), 0, 0
+    for _ in range(200):
+        good, bad = np.zeros((1600, len(Q.RULES)), int), np.zeros((400, len(Q.RULES)), int)
+        good[:, 0], bad[:, 0] = np.minimum(r.geometric(0.12, 1600), Q.GRID), r.integers(10, Q.GRID, 400)
+        part = np.arange(1600) % Q.PARTS
+        label = lambda n: np.r_[np.ones(n, bool), np.zeros(400, bool)]
+        paths = [Q.cutoff_path(np.r_[good[part == i], bad], label(int((part == i).sum()))) for i in range(Q.PARTS)]
+        rejected = []
+        for i, p in enumerate(paths):
+            over = np.array([(good[part != i] > c).any(axis=1) for c in [*p, (-1,) * len(Q.RULES)]])
+            rejected.append(np.bincount(over.argmax(axis=0), minlength=len(p) + 1))
+        cut = Q.loosest_cutoffs(paths, {"en": rejected}).get("en")
+        used += cut is not None
+        wrong += cut is not None and 0.88 ** round(cut[0] * Q.GRID) > Q.RISK
+    assert wrong <= 200 * Q.ERROR and used > 100
